@@ -46,8 +46,9 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 def _matches(text: Column, before: str, value: str, body) -> Column:
     """An array of ``body(start, end of match, value)`` for all matches: with the gap before each match
-    as a group of its own, sums of lengths give the positions."""
-    pattern = F.lit(rf"([\s\S]*?)({before})({value})")
+    as a group of its own, sums of lengths give the positions. The end of the text closes the last gap
+    (with an empty value, which no caller keeps), so that no tail is searched twice."""
+    pattern = F.lit(rf"([\s\S]*?)(?:({before})({value})|\z)")
     parts = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in ((1, "gap"), (2, "pre"), (3, "val"))])
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,val:string>>").alias("found"))
 
@@ -129,7 +130,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found_sql(n: int, before: str, value: str, least: int) -> str:
     before, value = before.replace("'", "''"), value.replace("'", "''")
-    pat = rf"([\s\S]*?)({before})({value})"
+    pat = rf"([\s\S]*?)(?:({before})({value})|\z)"
     return f"""SELECT rid, {n} AS kind, e - strlen_all AS start, e AS "end", v FROM (
   SELECT rid, v, length(p) + length(v) AS strlen_all, sum(length(g) + length(p) + length(v)) OVER (PARTITION BY rid ORDER BY i) AS e
   FROM (SELECT rid, unnest(regexp_extract_all(t, '{pat}', 1)) AS g, unnest(regexp_extract_all(t, '{pat}', 2)) AS p, unnest(regexp_extract_all(t, '{pat}', 3)) AS v,
