@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quality", "secrets", "exact_dedup", "mixing")
+MODULES = ("language_id", "toxicity", "quality", "secrets", "exact_dedup", "mixing")
 
 
 def queries() -> dict:
