@@ -26,6 +26,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .token_records import _rows, tokenizer_path
 
@@ -242,7 +243,7 @@ class Pieces:
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the pieces of each text."""
     place = tokenizer_path(model)
-    schema = docs.schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         pieces = Pieces.of(place)
@@ -255,7 +256,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
 def decode(ids: DataFrame, model: str = MODEL) -> DataFrame:
     """``ids`` with ``decoded``: the text of each row's pieces."""
     place = tokenizer_path(model)
-    schema = ids.schema.add("decoded", "string")
+    schema = T.StructType([*ids.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(batches):
         pieces = Pieces.of(place)

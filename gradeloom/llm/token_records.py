@@ -116,38 +116,38 @@ def _rows(batches, rows: int = 256):
             yield pdf.iloc[k : k + rows]
 
 
+def _write_shard(batches, path: str, tokenizer: str, end_id: int):
+    import pandas as pd
+
+    encoder = Encoder.of(tokenizer)
+    width, kind = encoder.width, np.dtype(f"<u{encoder.width}")
+    out, at, name = None, 0, f"{path}/shards/{uuid.uuid4().hex}.rec"
+    try:
+        for pdf in _rows(batches):
+            index = []
+            for doc_id, ids in zip(pdf["doc_id"], encoder.encode(list(pdf["text"])), strict=True):
+                null = pd.isna(doc_id)
+                body = PAYLOAD.pack(0 if null else int(doc_id), not null, width) + np.array([*ids, end_id], kind).tobytes()
+                record = HEAD.pack(len(body), masked_crc(struct.pack("<Q", len(body)))) + body + CRC.pack(masked_crc(body))
+                if out is None:
+                    files, inner = _filesystem(path)
+                    files.create_dir(f"{inner}/shards", recursive=True)
+                    out = files.open_output_stream(f"{inner}/shards/{os.path.basename(name)}", buffer_size=1 << 20)
+                out.write(record)
+                index.append((name, at, len(record), None if null else int(doc_id), len(ids) + 1))
+                at += len(record)
+            yield pd.DataFrame(index, columns=["shard", "at", "size", "doc_id", "n_tokens"]).astype({"doc_id": "Int64"})
+    finally:
+        if out is not None:
+            out.close()
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Write shards and index below ``path``; returns the index: shard, at, size, doc_id, n_tokens."""
     place = tokenizer_path(tokenizer)
-
-    def write(batches):
-        import pandas as pd
-
-        encoder = Encoder.of(place)
-        width, kind = encoder.width, np.dtype(f"<u{encoder.width}")
-        out, at, name = None, 0, f"{path}/shards/{uuid.uuid4().hex}.rec"
-        try:
-            for pdf in _rows(batches):
-                index = []
-                for doc_id, ids in zip(pdf["doc_id"], encoder.encode(list(pdf["text"])), strict=True):
-                    null = pd.isna(doc_id)
-                    body = PAYLOAD.pack(0 if null else int(doc_id), not null, width) + np.array([*ids, end_id], kind).tobytes()
-                    length = struct.pack("<Q", len(body))
-                    record = HEAD.pack(len(body), masked_crc(length)) + body + CRC.pack(masked_crc(body))
-                    if out is None:
-                        files, inner = _filesystem(path)
-                        files.create_dir(f"{inner}/shards", recursive=True)
-                        out = files.open_output_stream(f"{inner}/shards/{os.path.basename(name)}", buffer_size=1 << 20)
-                    out.write(record)
-                    index.append((name, at, len(record), None if null else int(doc_id), len(ids) + 1))
-                    at += len(record)
-                yield pd.DataFrame(index, columns=["shard", "at", "size", "doc_id", "n_tokens"]).astype({"doc_id": "Int64"})
-        finally:
-            if out is not None:
-                out.close()
-
     texts = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    texts.mapInPandas(write, "shard string, at long, size long, doc_id long, n_tokens long").write.parquet(f"{path}/index")
+    rows = texts.mapInPandas(lambda it: _write_shard(it, path, place, end_id), "shard string, at long, size long, doc_id long, n_tokens long")
+    rows.write.parquet(f"{path}/index")
     return docs.sparkSession.read.parquet(f"{path}/index")
 
 
@@ -193,25 +193,26 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return records.join(bases, "shard").select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
-    """doc_id and token ids in a random order, each record fetched through its entry in the index."""
+def _fetch(batches):
+    import pandas as pd
 
-    def fetch(batches):
-        import pandas as pd
+    for pdf in _rows(batches):
+        rows = []
+        for shard, at, size in zip(pdf["shard"], pdf["at"], pdf["size"], strict=True):
+            files, inner = _filesystem(shard)
+            with files.open_input_file(inner) as f:
+                f.seek(int(at))
+                doc_id, ids = parse_record(f.read(int(size)))
+            rows.append((doc_id, ids.astype(np.int32)))
+        yield pd.DataFrame(rows, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
 
-        for pdf in _rows(batches):
-            rows = []
-            for shard, at, size in zip(pdf["shard"], pdf["at"], pdf["size"], strict=True):
-                files, inner = _filesystem(shard)
-                with files.open_input_file(inner) as f:
-                    f.seek(int(at))
-                    doc_id, ids = parse_record(f.read(int(size)))
-                rows.append((doc_id, ids.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
+
+def read_shuffled(spark: SparkSession, path: str, seed: int = 0) -> DataFrame:
+    """doc_id and token ids in a random order, each record fetched through its entry in the index."""
 
     index = spark.read.parquet(f"{path}/index")
     lot = F.xxhash64(F.lit(seed), "shard", "at")
-    return index.repartitionByRange(lot).sortWithinPartitions(lot).mapInPandas(fetch, "doc_id long, ids array<int>")
+    return index.repartitionByRange(lot).sortWithinPartitions(lot).mapInPandas(_fetch, "doc_id long, ids array<int>")
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
