@@ -1,0 +1 @@
+"""Classification-evaluation analytics as Spark jobs."""
