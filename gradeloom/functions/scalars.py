@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FAILED = -1
 #: Latin-1 characters where lower-casing differs from compatibility folding, and everything beyond Latin-1.
@@ -18,7 +19,7 @@ def keyed(tag, key) -> Column:
     return F.conv(F.substring(F.md5(F.concat(tag, F.lit(":"), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _folded(texts):
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 

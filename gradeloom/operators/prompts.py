@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .prep import seeded
 from .rank import hash_bucket, ranked
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _twelve_digits(values):
     return values.map(lambda v: None if v != v else format(v, ".12g"))
 

@@ -1 +1,189 @@
-"""Queries."""
+"""Queries for contrasts and review value (C, V)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import contrast, score
+from .registry import query
+from .scoring import CONF, per_class_sql, rounded
+from .views import N_CLASSES, VIEWS, predictions, runs, table
+
+PAIRS = [("base", "review"), ("base", "direct"), ("direct", "review")]
+PAIR = VIEWS + ", pr AS (SELECT b.run_id AS before, a.run_id AS after, b.row_id, b.y, b.pred AS a, a.pred AS b FROM pred b JOIN pred a USING (row_id) WHERE (b.run_id, a.run_id) IN (('base', 'review'), ('base', 'direct'), ('direct', 'review')))"
+TRANS = "before, after, count(*) AS n_rows, " + ", ".join(
+    f"count(*) FILTER (WHERE {c}) AS {n}"
+    for n, c in {"wrong_to_correct": "a <> y AND b = y", "correct_to_wrong": "a = y AND b <> y", "harmed_by_label": "a = y AND b <> y AND b >= 0", "harmed_by_failure": "a = y AND b < 0", "both_correct": "a = y AND b = y", "both_wrong": "a <> y AND b <> y", "changed": "a <> b", "source_failures": "a < 0", "review_failures": "a >= 0 AND b < 0"}.items()
+) + ", count(*) FILTER (WHERE a <> y AND b = y) - count(*) FILTER (WHERE a = y AND b <> y) AS net"
+
+
+@query("c01_coded", VIEWS + "SELECT run_id, row_id, pred FROM pred")
+def c01(spark, d):
+    return predictions(spark, d).select("run_id", "row_id", "pred")
+
+
+@query("c02_transitions", PAIR + f"SELECT {TRANS} FROM pr GROUP BY 1, 2")
+def c02(spark, d):
+    return contrast.transitions(predictions(spark, d), PAIRS)
+
+
+@query("c03_transition_identities", PAIR + "SELECT before, after, 0 AS violations FROM pr GROUP BY 1, 2")
+def c03(spark, d):
+    t = contrast.transitions(predictions(spark, d), PAIRS)
+    bad = F.col("wrong_to_correct") + F.col("correct_to_wrong") + F.col("both_correct") + F.col("both_wrong") != F.col("n_rows")
+    also = F.col("harmed_by_label") + F.col("harmed_by_failure") != F.col("correct_to_wrong")
+    return t.select("before", "after", (bad.cast("int") + also.cast("int")).alias("violations"))
+
+
+@query("c04_compare_runs", VIEWS + "SELECT a.run_id AS run_a, b.run_id AS run_b, CASE WHEN a.train_per_class IS NOT DISTINCT FROM b.train_per_class THEN 'eligible' ELSE 'unequal_training' END AS status FROM runs a JOIN runs b ON a.run_id < b.run_id WHERE a.status = 'complete' AND b.status = 'complete'")
+def c04(spark, d):
+    ids = score.decision_fingerprints(predictions(spark, d).withColumn("pred", F.col("y"))).select("run_id", "fp")
+    r = runs(spark).where("status = 'complete'").join(ids, "run_id").select("run_id", "train_per_class", "fp")
+    a, b = r.select(*[F.col(c).alias(c + "_a") for c in r.columns]), r.select(*[F.col(c).alias(c + "_b") for c in r.columns])
+    state = F.when(F.col("fp_a") != F.col("fp_b"), "misaligned").when(~F.col("train_per_class_a").eqNullSafe(F.col("train_per_class_b")), "unequal_training").otherwise("eligible")
+    return a.join(b, F.col("run_id_a") < F.col("run_id_b")).select(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"), state.alias("status"))
+
+
+CONTRASTS = """, cl AS (SELECT 'review_minus_source' AS kind, r.run_id AS a, r.source_run_id AS b FROM runs r WHERE r.arm = 'review' UNION ALL SELECT 'review_minus_direct', r.run_id, x.run_id FROM runs r JOIN runs x ON x.arm = 'direct' AND x.model = r.model WHERE r.arm = 'review'
+UNION ALL SELECT 'few_minus_zero', f.run_id, z.run_id FROM runs f JOIN runs z ON z.train_per_class = 0 AND z.model = f.model AND z.arm = f.arm WHERE f.train_per_class > 0)"""
+
+
+def contrast_list(r):
+    x = r.select(F.col("run_id").alias("b"), F.col("arm").alias("arm_b"), F.col("model").alias("model_b"), F.col("train_per_class").alias("k_b"))
+    rev = r.where("arm = 'review'")
+    a = rev.select(F.lit("review_minus_source").alias("kind"), F.col("run_id").alias("a"), F.col("source_run_id").alias("b"))
+    b = rev.join(x, (F.col("arm_b") == "direct") & (F.col("model_b") == F.col("model"))).select(F.lit("review_minus_direct").alias("kind"), F.col("run_id").alias("a"), "b")
+    c = r.where("train_per_class > 0").join(x, (F.col("k_b") == 0) & (F.col("model_b") == F.col("model")) & (F.col("arm_b") == F.col("arm"))).select(F.lit("few_minus_zero").alias("kind"), F.col("run_id").alias("a"), "b")
+    return a.union(b).union(c)
+
+
+@query("c05_contrast_list", VIEWS + CONTRASTS + " SELECT kind, a, b, (SELECT count(DISTINCT row_id) FROM pred WHERE run_id = a) AS n_rows FROM cl")
+def c05(spark, d):
+    n = predictions(spark, d).groupBy(F.col("run_id").alias("a")).agg(F.count_distinct("row_id").alias("n_rows"))
+    return contrast_list(runs(spark)).join(n, "a", "left").select("kind", "a", "b", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@query("c06_contrasts", CONF + f", {per_class_sql()} {CONTRASTS} SELECT kind, a, b, CASE WHEN x.accuracy IS NULL OR z.accuracy IS NULL THEN 'pending' ELSE 'complete' END AS status, round(x.accuracy - z.accuracy, 9) AS delta_accuracy, round(x.macro_f1 - z.macro_f1, 9) AS delta_macro_f1, round(x.balanced_accuracy - z.balanced_accuracy, 9) AS delta_balanced FROM cl LEFT JOIN sc x ON x.run_id = a LEFT JOIN sc z ON z.run_id = b")
+def c06(spark, d):
+    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", "accuracy", "macro_f1", "balanced_accuracy")
+    x, z = s.select(*[F.col(c).alias("x_" + c) for c in s.columns]), s.select(*[F.col(c).alias("z_" + c) for c in s.columns])
+    out = contrast_list(runs(spark)).join(x, F.col("a") == F.col("x_run_id"), "left").join(z, F.col("b") == F.col("z_run_id"), "left")
+    state = F.when(F.col("x_accuracy").isNull() | F.col("z_accuracy").isNull(), "pending").otherwise("complete")
+    return out.select("kind", "a", "b", state.alias("status"), *[F.round(F.col(f"x_{c}") - F.col(f"z_{c}"), 9).alias(n) for c, n in (("accuracy", "delta_accuracy"), ("macro_f1", "delta_macro_f1"), ("balanced_accuracy", "delta_balanced"))])
+
+
+@query("c09_inventory", VIEWS + ", g AS (SELECT m AS model, a AS arm, k AS train_per_class FROM (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['source', 'review', 'direct']) AS a), (SELECT unnest([0, 4]) AS k)), n AS (SELECT run_id, count(*) AS c FROM pred GROUP BY 1) SELECT coalesce(g.model, r.model) AS model, coalesce(g.arm, r.arm) AS arm, coalesce(g.train_per_class, r.train_per_class) AS train_per_class, CASE WHEN r.model IS NULL THEN 'missing' WHEN g.model IS NULL THEN 'unexpected' ELSE r.status END AS status FROM g FULL JOIN (SELECT runs.* FROM runs LEFT JOIN n USING (run_id) WHERE status <> 'complete' OR c > 0) r ON g.model = r.model AND g.arm = r.arm AND g.train_per_class IS NOT DISTINCT FROM r.train_per_class")
+def c09(spark, d):
+    done = predictions(spark, d).select("run_id").distinct().withColumn("has", F.lit(True))
+    r = runs(spark).join(done, "run_id", "left").where("status <> 'complete' or has")
+    dims = [spark.range(1).select(F.explode(F.array(*map(F.lit, v))).alias(n)) for n, v in (("model", ["m1", "m2"]), ("arm", ["source", "review", "direct"]), ("train_per_class", [0, 4]))]
+    return contrast.inventory(dims[0].crossJoin(dims[1]).crossJoin(dims[2]), r, ["model", "arm", "train_per_class"])
+
+
+@query("c10_review_linkage", VIEWS + 'SELECT r.run_id, s.run_id IS NOT NULL AS "exists", coalesce(s.status = \'complete\', false) AS complete, coalesce(s.model = r.model AND s.train_per_class IS NOT DISTINCT FROM r.train_per_class, false) AS matches, (SELECT count(*) FROM pred WHERE run_id = r.run_id) AS saved FROM runs r LEFT JOIN runs s ON r.source_run_id = s.run_id WHERE r.arm = \'review\'')
+def c10(spark, d):
+    saved = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("saved"))
+    return contrast.review_linkage(runs(spark)).join(saved, "run_id", "left").fillna(0, ["saved"])
+
+
+@query("c11_best_model", CONF + f", {per_class_sql()} SELECT arg_max(run_id, accuracy) AS run_id, round(max(accuracy), 9) AS accuracy FROM sc")
+def c11(spark, d):
+    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES))
+    return s.agg(F.min_by("run_id", F.struct(-F.col("accuracy"), "run_id")).alias("run_id"), F.round(F.max("accuracy"), 9).alias("accuracy"))
+
+
+@query("c12_panel", VIEWS + ", pn AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM pred) ORDER BY sha256('panel:' || row_id), row_id LIMIT 36) SELECT run_id, count(*) AS n_rows, count(*) FILTER (WHERE pred = y) AS correct FROM pred WHERE row_id IN (SELECT row_id FROM pn) GROUP BY 1")
+def c12(spark, d):
+    return contrast.fixed_panel(predictions(spark, d), 36)
+
+
+@query("c15_directions", PAIR + ", t AS (SELECT count(*) FILTER (WHERE b = y) - count(*) FILTER (WHERE a = y) AS d FROM pr GROUP BY before, after) SELECT count(*) FILTER (WHERE d > 0) AS improved, count(*) FILTER (WHERE d = 0) AS tied, count(*) FILTER (WHERE d < 0) AS declined FROM t")
+def c15(spark, d):
+    t = contrast.transitions(predictions(spark, d), PAIRS)
+    return t.agg(F.count_if(F.col("net") > 0).alias("improved"), F.count_if(F.col("net") == 0).alias("tied"), F.count_if(F.col("net") < 0).alias("declined"))
+
+
+@query("v01_joint", VIEWS + ", b AS (SELECT row_id, string_agg(CAST(pred = y AS INTEGER)::VARCHAR, '' ORDER BY list_position(['base', 'direct', 'review'], run_id)) AS pattern FROM pred WHERE run_id IN ('base', 'direct', 'review') GROUP BY 1) SELECT g.pattern, count(b.row_id) AS n FROM (SELECT unnest(['000', '001', '010', '011', '100', '101', '110', '111']) AS pattern) g LEFT JOIN b USING (pattern) GROUP BY 1")
+def v01(spark, d):
+    return contrast.joint_correctness(predictions(spark, d), ["base", "direct", "review"])
+
+
+GATE = VIEWS + ", gt AS (SELECT run_id, list_filter([CASE WHEN min(pred) = max(pred) THEN 'constant_labels' END, CASE WHEN min(pred) < 0 THEN 'failures' END, CASE WHEN count(p) = 0 THEN 'no_probabilities' END], lambda x: x IS NOT NULL) AS reasons FROM pred GROUP BY 1)"
+
+
+def _reasons(spark, d):
+    r = F.array(F.when(F.min("pred") == F.max("pred"), "constant_labels"), F.when(F.min("pred") < 0, "failures"), F.when(F.count("probabilities") == 0, "no_probabilities"))
+    return predictions(spark, d).groupBy("run_id").agg(F.filter(r, lambda x: x.isNotNull()).alias("reasons"))
+
+
+@query("v02_eligibility", GATE + " SELECT run_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM gt")
+def v02(spark, d):
+    return _reasons(spark, d).select("run_id", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible"))
+
+
+@query("v03_sensitivity_gate", GATE + " SELECT run_id, len(list_filter(reasons, lambda x: x <> 'constant_labels')) = 0 AS eligible FROM gt")
+def v03(spark, d):
+    return _reasons(spark, d).select("run_id", (F.size(F.array_remove("reasons", "constant_labels")) == 0).alias("eligible"))
+
+
+RANKED = VIEWS + ", rk AS (SELECT row_id, y, pred AS a, row_number() OVER (ORDER BY coalesce(list_max(p), 0), sha256(CAST(row_id AS VARCHAR))) AS rank, count(*) OVER () AS n FROM pred WHERE run_id = 'base'), rt AS (SELECT unnest([0, 10, 25, 50, 75, 100]) AS rate)"
+
+
+@query("v04_rank", RANKED + " SELECT row_id, rank FROM rk")
+def v04(spark, d):
+    return contrast.confidence_ranked(predictions(spark, d), "base").select("row_id", "rank")
+
+
+@query("v05_coverage", RANKED + " SELECT DISTINCT rate, (n * rate + 50) // 100 AS covered FROM rk, rt")
+def v05(spark, d):
+    n = predictions(spark, d).where("run_id = 'base'").agg(F.count("*").alias("n"))
+    return n.crossJoin(contrast._rates(spark)).select("rate", contrast.covered(F.col("n"), F.col("rate")).alias("covered"))
+
+
+MIXED = RANKED + ", mx AS (SELECT rate, rk.y, a, p2.pred AS b, rank <= (n * rate + 50) // 100 AS picked FROM rk JOIN (SELECT row_id, pred FROM pred WHERE run_id = 'review') p2 USING (row_id), rt), cf AS (SELECT rate, y, CASE WHEN picked THEN b ELSE a END AS pred, count(*) AS n FROM mx GROUP BY ALL)"
+
+
+@query("v06_curve", MIXED + f", {per_class_sql('cf', 'rate')} SELECT sc.rate, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(balanced_accuracy, 9) AS balanced_accuracy, count(*) FILTER (WHERE CASE WHEN picked THEN b ELSE a END < 0) AS failures, count(*) FILTER (WHERE picked) AS reviewed, count(*) FILTER (WHERE picked AND a <> mx.y AND b = mx.y) AS fixed, count(*) FILTER (WHERE picked AND a = mx.y AND b <> mx.y) AS harmed FROM sc JOIN mx USING (rate) GROUP BY ALL".replace("sum(n) FILTER (WHERE pred = c) AS guessed", "coalesce(sum(n) FILTER (WHERE pred = c), 0) AS guessed").replace("sum(n) FILTER (WHERE y = c AND pred = c) AS tp", "coalesce(sum(n) FILTER (WHERE y = c AND pred = c), 0) AS tp"))
+def v06(spark, d):
+    return rounded(contrast.selective_curve(predictions(spark, d), "base", "review", N_CLASSES), "accuracy", "macro_f1", "balanced_accuracy")
+
+
+@query("v07_random_reference", MIXED + ", s AS (SELECT rate, count(*) AS n, count(*) FILTER (WHERE picked) / count(*) AS share, count(*) FILTER (WHERE a = y) AS sa, count(*) FILTER (WHERE b = y) AS sb, count(*) FILTER (WHERE a <> y AND b = y) AS fx, count(*) FILTER (WHERE a = y AND b <> y) AS hm FROM mx GROUP BY 1) SELECT rate, round((sa + share * (sb - sa)) / n, 9) AS accuracy, round(share * fx, 9) AS fixed, round(share * hm, 9) AS harmed FROM s")
+def v07(spark, d):
+    return rounded(contrast.random_reference(predictions(spark, d), "base", "review"), "accuracy", "fixed", "harmed")
+
+
+@query("v08_random_macro_f1")
+def v08(spark, d):
+    return contrast.random_macro_f1(predictions(spark, d), "base", "review", N_CLASSES)
+
+
+@query("v09_prompt_pairs", VIEWS + "SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS equal_proposals, count(*) FILTER (WHERE (a.pred = a.y) <> (b.pred = b.y)) AS disagreements FROM pred a JOIN pred b ON a.row_id = b.row_id AND a.run_id < b.run_id AND a.pred = b.pred WHERE a.pred >= 0 GROUP BY 1, 2")
+def v09(spark, d):
+    p = predictions(spark, d).where("pred >= 0")
+    a = p.select("row_id", "pred", F.col("run_id").alias("run_a"), (F.col("pred") == F.col("y")).alias("ra"))
+    b = p.select("row_id", "pred", F.col("run_id").alias("run_b"), (F.col("pred") == F.col("y")).alias("rb"))
+    return a.join(b, ["row_id", "pred"]).where("run_a < run_b").groupBy("run_a", "run_b").agg(F.count("*").alias("equal_proposals"), F.count_if(F.col("ra") != F.col("rb")).alias("disagreements"))
+
+
+def _versus(spark, d):
+    p = predictions(spark, d)
+    c = contrast.selective_curve(p, "base", "review", N_CLASSES).select("rate", F.col("accuracy").alias("x"))
+    return c.join(contrast.random_reference(p, "base", "review").select("rate", F.col("accuracy").alias("r")), "rate")
+
+
+@query("v10_pattern", MIXED + ", s AS (SELECT rate, avg(CAST(CASE WHEN picked THEN b ELSE a END = y AS INTEGER)) AS x, (count(*) FILTER (WHERE a = y) + count(*) FILTER (WHERE picked) / count(*) * (count(*) FILTER (WHERE b = y) - count(*) FILTER (WHERE a = y))) / count(*) AS r FROM mx WHERE rate NOT IN (0, 100) GROUP BY 1) SELECT rate, CASE WHEN abs(x - r) < 1e-12 THEN 'tie' WHEN x > r THEN 'above' ELSE 'below' END AS pattern FROM s")
+def v10(spark, d):
+    return _versus(spark, d).where("rate not in (0, 100)").select("rate", F.when(F.abs(F.col("x") - F.col("r")) < 1e-12, "tie").when(F.col("x") > F.col("r"), "above").otherwise("below").alias("pattern"))
+
+
+@query("v11_endpoints", VIEWS + "SELECT 0 AS violations, count(DISTINCT row_id) AS n_rows FROM pred")
+def v11(spark, d):
+    bad = F.count_if(F.col("rate").isin(0, 100) & (F.abs(F.col("x") - F.col("r")) > 1e-12)).cast("int").alias("violations")
+    return _versus(spark, d).agg(bad).crossJoin(predictions(spark, d).agg(F.count_distinct("row_id").alias("n_rows")))
+
+
+@query("v12_inferences", MIXED + " SELECT rate, count(*) + count(*) FILTER (WHERE picked AND a >= 0) AS calls FROM mx GROUP BY 1")
+def v12(spark, d):
+    c = contrast.selective_cells(predictions(spark, d), "base", "review")
+    return c.groupBy("rate").agg((F.sum("n") + F.sum(F.when(F.col("picked") & (F.col("a") >= 0), F.col("n")).otherwise(0))).alias("calls"))

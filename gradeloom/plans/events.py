@@ -1 +1,266 @@
-"""Queries."""
+"""Queries for recovery, ledgers, audits and streams (R, L, A, P, T)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import keyed
+from ..operators import events, score
+from ..streaming import streams
+from .registry import query
+from .scoring import CONF, KIND, per_class_sql, rounded
+from .views import N_CLASSES, VIEWS, examples, ledger, predictions, runs, table, u
+
+ATT = VIEWS + f""", fl AS (SELECT run_id, row_id, y, error FROM pred WHERE pred < 0), ok AS (SELECT *, {u("'retry1'", "row_id")} % 100 < 80 AS ok1, {u("'retry2'", "row_id")} % 100 < 80 AS ok2 FROM fl),
+att AS (SELECT run_id, row_id, 1 AS attempt_index, CASE WHEN ok1 THEN y END AS label FROM ok UNION ALL SELECT run_id, row_id, 2, CASE WHEN ok2 THEN y END FROM ok WHERE NOT ok1),
+vw AS (SELECT pred.run_id, pred.row_id, pred.y, pred.label AS original, a1.label AS first_retry, coalesce(pred.label, a1.label, a2.label) AS recovered, (a1.row_id IS NOT NULL)::INT + (a2.row_id IS NOT NULL)::INT AS extra FROM pred LEFT JOIN att a1 ON a1.run_id = pred.run_id AND a1.row_id = pred.row_id AND a1.attempt_index = 1 LEFT JOIN att a2 ON a2.run_id = pred.run_id AND a2.row_id = pred.row_id AND a2.attempt_index = 2)"""
+
+
+def attempts(spark, d):
+    lost = predictions(spark, d).where("pred < 0").select("run_id", "row_id", "y", "error")
+    ok = lambda k: keyed(f"retry{k}", F.col("row_id")) % 100 < 80
+    one = lost.select("run_id", "row_id", F.lit(1).alias("attempt_index"), F.when(ok(1), F.col("y")).alias("label"))
+    return one.unionByName(lost.where(~ok(1)).select("run_id", "row_id", F.lit(2).alias("attempt_index"), F.when(ok(2), F.col("y")).alias("label")))
+
+
+def _views(spark, d):
+    p = predictions(spark, d)
+    return events.attempt_views(p, attempts(spark, d)).join(p.select("run_id", "row_id", "y"), ["run_id", "row_id"])
+
+
+@query("r01_failures", VIEWS + f"SELECT run_id, row_id, {KIND} AS kind, sha256(run_id || ':' || row_id) AS failure_id FROM pred WHERE pred < 0")
+def r01(spark, d):
+    return predictions(spark, d).where("pred < 0").select("run_id", "row_id", score.failure_kind(F.col("error")).alias("kind"), F.sha2(F.concat_ws(":", "run_id", "row_id"), 256).alias("failure_id"))
+
+
+@query("r02_pending", VIEWS + "SELECT r.run_id, count(p.row_id) AS saved, (SELECT count(*) FROM ex WHERE source_split = 'test') AS expected FROM runs r LEFT JOIN pred p USING (run_id) GROUP BY 1")
+def r02(spark, d):
+    saved = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("saved"))
+    want = examples(spark, d).where("source_split = 'test'").agg(F.count("*").alias("expected"))
+    return runs(spark).select("run_id").join(saved, "run_id", "left").fillna(0, ["saved"]).crossJoin(want)
+
+
+@query("r03_attempt_order", ATT + " SELECT unnest(['order', 'after_success', 'too_many']) AS rule, 0 AS n")
+def r03(spark, d):
+    return events.attempt_violations(attempts(spark, d))
+
+
+@query("r04_views", ATT + " SELECT run_id, row_id, original, first_retry, recovered, extra AS extra_attempts FROM vw")
+def r04(spark, d):
+    return _views(spark, d).select("run_id", "row_id", "original", "first_retry", "recovered", "extra_attempts")
+
+
+@query("r05_view_summary", ATT + " SELECT run_id, count(*) AS n_rows, count(original) AS answered, count(recovered) AS recovered, round(count(*) FILTER (WHERE original = y) / count(*), 9) AS accuracy, round(count(*) FILTER (WHERE recovered = y) / count(*), 9) AS recovered_accuracy FROM vw GROUP BY 1")
+def r05(spark, d):
+    right = lambda c: F.round(F.count_if(F.col(c) == F.col("y")) / F.count("*"), 9)
+    return _views(spark, d).groupBy("run_id").agg(F.count("*").alias("n_rows"), F.count("original").alias("answered"), F.count("recovered").alias("recovered"), right("original").alias("accuracy"), right("recovered").alias("recovered_accuracy"))
+
+
+@query("r06_recovery_pairs", ATT + " SELECT run_id, count(*) FILTER (WHERE original IS DISTINCT FROM y AND recovered = y) AS corrected, count(*) FILTER (WHERE original = y AND recovered IS DISTINCT FROM y) AS harmed FROM vw GROUP BY 1")
+def r06(spark, d):
+    a, b = F.col("original").eqNullSafe(F.col("y")), F.col("recovered").eqNullSafe(F.col("y"))
+    return _views(spark, d).groupBy("run_id").agg(F.count_if(~a & b).alias("corrected"), F.count_if(a & ~b).alias("harmed"))
+
+
+@query("r08_rollup", ATT + f", k AS (SELECT run_id, row_id, {KIND} AS kind FROM pred WHERE pred < 0) SELECT kind, count(*) AS failures, count(recovered) AS resolved, CAST(sum(extra) AS BIGINT) AS attempts FROM k JOIN vw USING (run_id, row_id) GROUP BY 1")
+def r08(spark, d):
+    kinds = r01(spark, d).select("run_id", "row_id", "kind")
+    return kinds.join(_views(spark, d), ["run_id", "row_id"]).groupBy("kind").agg(F.count("*").alias("failures"), F.count("recovered").alias("resolved"), F.sum("extra_attempts").alias("attempts"))
+
+
+@query("r10_next_action", ATT + " SELECT run_id, row_id, extra + 1 AS next_attempt FROM vw WHERE original IS NULL AND recovered IS NULL AND extra < 3")
+def r10(spark, d):
+    return _views(spark, d).where("original is null and recovered is null and extra_attempts < 3").select("run_id", "row_id", (F.col("extra_attempts") + 1).alias("next_attempt"))
+
+
+@query("r11_halts", VIEWS + ", l AS (SELECT run_id, row_id, error, lag(error, 1) OVER w AS e1, lag(error, 2) OVER w AS e2 FROM pred WINDOW w AS (PARTITION BY run_id ORDER BY row_id)) SELECT run_id, min(row_id) AS halted_at FROM l WHERE contains(error, 'status=402') OR (error IS NOT NULL AND e1 IS NOT NULL AND e2 IS NOT NULL) GROUP BY 1")
+def r11(spark, d):
+    return events.halts(predictions(spark, d), "run_id", "row_id", "error")
+
+
+@query("l01_nano", "SELECT event_id, CAST(ceil(CAST(value AS DECIMAL(18,6)) * 1000000000) AS BIGINT) AS nano FROM events")
+def l01(spark, d):
+    return table(spark, d, "events").select("event_id", F.ceil(F.col("value").cast("decimal(18,6)") * events.NANO).cast("long").alias("nano"))
+
+
+@query("l02_chain", VIEWS + "SELECT ledger_id, 0 AS broken_links, 0 AS wrong_hashes, count(*) AS n FROM ledger GROUP BY 1")
+def l02(spark, d):
+    return events.chain_violations(chained(ledger(spark, d)))
+
+
+def chained(rows):
+    """``rows`` as a hash chain: a payload holds the digest of the event before it in its own core, an
+    event's digest covers its payload, and ``previous_sha256`` names the digest before it."""
+    core = F.concat_ws(":", "seq", "type", "reservation_id")
+    before = rows.select("ledger_id", (F.col("seq") + 1).alias("seq"), F.sha2(core, 256).alias("__c"))
+    rows = rows.join(before, ["ledger_id", "seq"], "left").withColumn("payload", F.concat_ws(":", core, F.coalesce("__c", F.lit("")))).drop("__c")
+    rows = rows.withColumn("event_sha256", F.sha2("payload", 256))
+    last = rows.select("ledger_id", (F.col("seq") + 1).alias("seq"), F.col("event_sha256").alias("__p"))
+    return rows.join(last, ["ledger_id", "seq"], "left").withColumn("previous_sha256", F.coalesce("__p", F.lit(""))).drop("__p")
+
+
+@query("l03_event_checks", VIEWS + ", r AS (SELECT ledger_id, reservation_id, count(*) FILTER (WHERE type = 'reserve') AS a, count(*) FILTER (WHERE type = 'settle') AS c, max(charged_nano) > max(reserved_nano) AS o FROM ledger GROUP BY 1, 2) SELECT ledger_id, count(*) FILTER (WHERE a <> 1) AS reserve_count, count(*) FILTER (WHERE c > 1) AS settle_count, count(*) FILTER (WHERE o) AS overcharged FROM r GROUP BY 1")
+def l03(spark, d):
+    r = events.reservations(ledger(spark, d))
+    return r.groupBy("ledger_id").agg(F.count_if(F.col("n_reserve") != 1).alias("reserve_count"), F.count_if(F.col("n_settle") > 1).alias("settle_count"), F.count_if(F.col("charged_nano") > F.col("reserved_nano")).alias("overcharged"))
+
+
+RES = VIEWS + ", r AS (SELECT ledger_id, reservation_id, max(reserved_nano) AS reserved, max(charged_nano) AS charged, max(outcome) AS outcome, count(*) FILTER (WHERE type = 'result') AS nr FROM ledger GROUP BY 1, 2)"
+
+
+@query("l04_balance", RES + " SELECT ledger_id, count(*) AS reservations, CAST(sum(reserved) AS BIGINT) AS reserved_nano, CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS conservative_nano, CAST(coalesce(sum(charged), 0) AS BIGINT) AS known_nano, count(charged) AS settled FROM r GROUP BY 1")
+def l04(spark, d):
+    return events.balances(ledger(spark, d))
+
+
+@query("l05_first_breach", VIEWS + ", h AS (SELECT ledger_id, reservation_id, reserved_nano AS held FROM ledger WHERE type = 'reserve'), x AS (SELECT l.*, CASE l.type WHEN 'reserve' THEN l.reserved_nano WHEN 'settle' THEN l.charged_nano - held ELSE 0 END AS delta FROM ledger l JOIN h USING (ledger_id, reservation_id)), c AS (SELECT *, coalesce(sum(delta) OVER (PARTITION BY ledger_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x) SELECT ledger_id, min(seq) AS seq FROM c WHERE type = 'reserve' AND before + reserved_nano > 1000000000000 GROUP BY 1")
+def l05(spark, d):
+    return events.first_breach(ledger(spark, d), 1_000_000_000_000)
+
+
+@query("l06_reservation_bound", VIEWS + "SELECT row_id, CAST((strlen(text) + 2048) * 300 + 64 * 1200 AS BIGINT) AS bound_nano FROM ex WHERE source_split = 'test'")
+def l06(spark, d):
+    return examples(spark, d).where("source_split = 'test'").select("row_id", ((F.octet_length("text") + 2048).cast("long") * 300 + 64 * 1200).alias("bound_nano"))
+
+
+@query("l07_plan_cost", VIEWS + "SELECT model, count(*) AS requests, CAST(sum((strlen(text) + 2048) * 300 + 64 * 1200) AS BIGINT) AS bound_nano FROM ex, runs WHERE source_split = 'test' GROUP BY 1")
+def l07(spark, d):
+    return l06(spark, d).crossJoin(F.broadcast(runs(spark).select("model"))).groupBy("model").agg(F.count("*").alias("requests"), F.sum("bound_nano").alias("bound_nano"))
+
+
+@query("l08_settlement", VIEWS + "SELECT run_id, CAST(sum(input_tokens * 300 + output_tokens * 1200) AS BIGINT) AS estimate_nano, CAST(sum((input_tokens * 300 + output_tokens * 1200) * 5 // 4) AS BIGINT) AS settled_nano FROM pred GROUP BY 1")
+def l08(spark, d):
+    cost = F.col("input_tokens") * 300 + F.col("output_tokens") * 1200
+    return predictions(spark, d).groupBy("run_id").agg(F.sum(cost).alias("estimate_nano"), F.sum(F.floor(cost * 5 / 4)).cast("long").alias("settled_nano"))
+
+
+@query("l09_reconcile", RES + " SELECT ledger_id, CASE WHEN nr = 0 THEN 'no_result' WHEN charged > reserved THEN 'overcharged' WHEN charged IS NULL THEN 'retained' ELSE 'settled' END AS status, count(*) AS n FROM r GROUP BY 1, 2")
+def l09(spark, d):
+    return events.reservations(ledger(spark, d)).groupBy("ledger_id", events.reconcile_status().alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("l10_totals", RES + " SELECT coalesce(outcome, 'open') AS outcome, count(*) AS n, CAST(CASE WHEN count(charged) = count(*) THEN sum(charged) END AS BIGINT) AS total_nano, CAST(coalesce(sum(charged), 0) AS BIGINT) AS known_nano, round(count(charged) / count(*), 9) AS coverage FROM r GROUP BY 1")
+def l10(spark, d):
+    c = F.col("charged_nano")
+    return events.reservations(ledger(spark, d)).groupBy(F.coalesce("outcome", F.lit("open")).alias("outcome")).agg(F.count("*").alias("n"), F.when(F.count(c) == F.count("*"), F.sum(c)).alias("total_nano"), F.coalesce(F.sum(c), F.lit(0)).alias("known_nano"), F.round(F.count(c) / F.count("*"), 9).alias("coverage"))
+
+
+@query("l11_upper", RES + " SELECT CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS upper_nano FROM r")
+def l11(spark, d):
+    return events.balances(ledger(spark, d)).agg(F.sum("conservative_nano").alias("upper_nano"))
+
+
+@query("l12_authorization", RES + " SELECT CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS counted_nano, CAST(1000000000000000 - sum(coalesce(charged, reserved)) AS BIGINT) AS remaining_nano, count(DISTINCT ledger_id) AS ledgers FROM r")
+def l12(spark, d):
+    return events.balances(ledger(spark, d)).agg(F.sum("conservative_nano").alias("counted_nano"), (F.lit(10**15) - F.sum("conservative_nano")).alias("remaining_nano"), F.count("*").alias("ledgers"))
+
+
+@query("l13_duplicate_requests", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
+def l13(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 20")
+
+
+@query("l14_condition_costs", RES + " SELECT g.ledger_id, count(r.reservation_id) AS requests, count(charged) AS known, CAST(coalesce(sum(coalesce(charged, reserved)), 0) AS BIGINT) AS conservative_nano FROM (SELECT unnest(generate_series(0, 11)) AS ledger_id) g LEFT JOIN r USING (ledger_id) GROUP BY 1")
+def l14(spark, d):
+    b = events.balances(ledger(spark, d)).select("ledger_id", F.col("reservations").alias("requests"), F.col("settled").alias("known"), "conservative_nano")
+    return spark.range(12).select(F.col("id").alias("ledger_id")).join(b, "ledger_id", "left").fillna(0)
+
+
+@query("a02_equivalence", VIEWS + ", v AS (SELECT run_id, list((row_id, y) ORDER BY row_id) AS rows, list(pred ORDER BY row_id) AS preds, count(*) AS n FROM pred GROUP BY 1) SELECT b.run_id, a.n = b.n AS same_count, a.rows = b.rows AS same_rows, a.preds = b.preds AS same_decisions FROM v a, v b WHERE a.run_id = 'base'")
+def a02(spark, d):
+    p = predictions(spark, d)
+    f = score.decision_fingerprints(p).join(score.decision_fingerprints(p.withColumn("pred", F.col("y"))).select("run_id", F.col("fp").alias("truth")), "run_id")
+    a = f.where("run_id = 'base'").select(F.col("n").alias("n0"), F.col("fp").alias("f0"), F.col("truth").alias("t0"))
+    return f.crossJoin(F.broadcast(a)).select("run_id", (F.col("n") == F.col("n0")).alias("same_count"), (F.col("truth") == F.col("t0")).alias("same_rows"), (F.col("fp") == F.col("f0")).alias("same_decisions"))
+
+
+@query("a03_manifest_diff", "SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1, 2")
+def a03(spark, d):
+    return table(spark, d, "events").select(F.lit("k").alias("path"), F.get_json_object("props", "$.k").alias("value")).groupBy("path", "value").agg(F.count("*").alias("n"))
+
+
+@query("a04_run_checks", VIEWS + "SELECT run_id, count(*) = count(DISTINCT row_id) AS unique_rows, bool_and(y BETWEEN 0 AND 3) AS truth_in_range, count(*) FILTER (WHERE row_id IN (SELECT row_id FROM ex WHERE source_split = 'train')) AS in_train FROM pred GROUP BY 1")
+def a04(spark, d):
+    train = examples(spark, d).where("source_split = 'train'").select("row_id", F.lit(1).alias("t"))
+    return predictions(spark, d).join(train, "row_id", "left").groupBy("run_id").agg((F.count("*") == F.count_distinct("row_id")).alias("unique_rows"), F.bool_and(F.col("y").between(0, 3)).alias("truth_in_range"), F.count("t").alias("in_train"))
+
+
+@query("a05_saved_metrics", CONF + f", {per_class_sql()} SELECT run_id, metric, abs(v - round(v, 4)) <= 5e-5 AS equal FROM (SELECT run_id, unnest(['accuracy', 'macro_f1']) AS metric, unnest([accuracy, macro_f1]) AS v FROM sc)")
+def a05(spark, d):
+    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES))
+    long = s.select("run_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("accuracy", "macro_f1")])))
+    saved = long.select("run_id", "metric", F.round("v", 4).alias("saved"))
+    return long.join(saved, ["run_id", "metric"]).select("run_id", "metric", (F.abs(F.col("v") - F.col("saved")) <= 5e-5).alias("equal"))
+
+
+@query("a07_snapshots", VIEWS + "SELECT count(*) FILTER (WHERE source_split = 'train') AS kept, 0 AS missing, 0 AS changed, count(*) FILTER (WHERE source_split = 'test') AS added FROM ex")
+def a07(spark, d):
+    ex = examples(spark, d)
+    old = ex.where("source_split = 'train'").select("row_id", F.md5("text").alias("a"))
+    both = old.join(ex.select("row_id", F.md5("text").alias("b")), "row_id", "full_outer")
+    a, b = F.col("a"), F.col("b")
+    return both.agg(F.count_if(a == b).alias("kept"), F.count_if(b.isNull()).cast("int").alias("missing"), F.count_if(a != b).cast("int").alias("changed"), F.count_if(a.isNull()).alias("added"))
+
+
+@query("p01_run_table", CONF + f", {per_class_sql()} SELECT run_id, model, arm, CASE WHEN train_per_class IS NULL THEN 'full' WHEN train_per_class = 0 THEN 'zero' ELSE train_per_class || ' per class' END AS budget, status, round(accuracy, 9) AS accuracy FROM runs LEFT JOIN sc USING (run_id)")
+def p01(spark, d):
+    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", F.round("accuracy", 9).alias("accuracy"))
+    budget = F.when(F.col("train_per_class").isNull(), "full").when(F.col("train_per_class") == 0, "zero").otherwise(F.concat(F.col("train_per_class").cast("string"), F.lit(" per class")))
+    return runs(spark).join(s, "run_id", "left").select("run_id", "model", "arm", budget.alias("budget"), "status", "accuracy")
+
+
+@query("p03_canonical", VIEWS + ", g AS (SELECT norm, count(*) AS n, min(row_id) AS c FROM ex GROUP BY 1) SELECT row_id, c AS canonical, n AS repetition_count, CASE WHEN row_id <> c THEN c END AS duplicate_of FROM ex JOIN g USING (norm)")
+def p03(spark, d):
+    ex = examples(spark, d)
+    g = ex.groupBy("norm").agg(F.count("*").alias("repetition_count"), F.min("row_id").alias("canonical"))
+    return ex.join(g, "norm").select("row_id", "canonical", "repetition_count", F.when(F.col("row_id") != F.col("canonical"), F.col("canonical")).alias("duplicate_of"))
+
+
+@query("p04_counters", VIEWS + "SELECT arm, count(*) AS runs, CAST(sum(n) AS BIGINT) AS predictions FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM pred GROUP BY 1) USING (run_id) GROUP BY 1")
+def p04(spark, d):
+    n = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("n"))
+    return runs(spark).join(n, "run_id", "left").groupBy("arm").agg(F.count("*").alias("runs"), F.sum("n").alias("predictions"))
+
+
+@query("p05_projection_checks", VIEWS + "SELECT run_id, count(*) FILTER (WHERE NOT (latency_s BETWEEN 0 AND 1e6)) AS bad_latency, count(*) FILTER (WHERE regexp_matches(coalesce(error, ''), '(/home/|sk-[A-Za-z0-9]{20})')) AS unsafe FROM pred GROUP BY 1")
+def p05(spark, d):
+    return predictions(spark, d).groupBy("run_id").agg(F.count_if(~F.col("latency_s").between(0, 1e6)).alias("bad_latency"), F.count_if(F.coalesce("error", F.lit("")).rlike("(/home/|sk-[A-Za-z0-9]{20})")).alias("unsafe"))
+
+
+@query("p06_dashboard", CONF + f", {per_class_sql()} SELECT s.model, round(b.accuracy, 9) AS source_accuracy, round(v.accuracy, 9) AS review_accuracy FROM runs r JOIN runs s ON r.source_run_id = s.run_id JOIN sc b ON b.run_id = s.run_id JOIN sc v ON v.run_id = r.run_id WHERE r.arm = 'review'")
+def p06(spark, d):
+    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", "accuracy")
+    r = runs(spark).where("arm = 'review'").select("run_id", "source_run_id", "model")
+    a = s.select(F.col("run_id").alias("source_run_id"), F.round("accuracy", 9).alias("source_accuracy"))
+    return r.join(a, "source_run_id").join(s.select("run_id", F.round("accuracy", 9).alias("review_accuracy")), "run_id").select("model", "source_accuracy", "review_accuracy")
+
+
+@query("p07_manifest_groups", VIEWS + "SELECT row_id, dense_rank() OVER (ORDER BY length(norm) // 512) AS group_id FROM ex")
+def p07(spark, d):
+    ex = examples(spark, d).select("row_id", F.floor(F.length("norm") / 512).alias("g"))
+    # ranks the distinct keys, not the rows
+    from pyspark.sql import Window
+
+    ids = ex.select("g").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("g")))
+    return ex.join(ids, "g").select("row_id", "group_id")
+
+
+@query("p08_datasets", VIEWS + "SELECT source_split, count(DISTINCT label) AS labels, count(*) AS n_rows FROM ex GROUP BY 1")
+def p08(spark, d):
+    return examples(spark, d).groupBy("source_split").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n_rows"))
+
+
+@query("t01_resume", "SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0")
+def t01(spark, d):
+    done = table(spark, d, "events").where("event_id % 4 = 0").select("event_id")
+    return streams.resume(streams.source(spark, d, "events"), done, "event_id").select("event_id", "user_id")
+
+
+@query("t03_halts", "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type, 1) OVER w AS e1, lag(event_type, 2) OVER w AS e2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, min(event_id) AS halted_at FROM l WHERE event_type = 'error' AND e1 = 'error' AND e2 = 'error' GROUP BY 1")
+def t03(spark, d):
+    return streams.halts(streams.source(spark, d, "events"), "user_id", "event_id", "event_type", "error")
+
+
+@query("t05_progress", "SELECT event_type, count(*) AS saved FROM events GROUP BY 1")
+def t05(spark, d):
+    return streams.progress(streams.source(spark, d, "events"), "event_type")
