@@ -127,8 +127,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_ro
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` once per copy taken (repeats are repeated rows), with the
     shard it goes to in ``__shard``."""
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "shards").groupBy("__id").agg(F.first("shards").alias("shards"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__shard", F.explode("shards")).drop("shards", "__id")
+    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), "shards").groupBy("__id").agg(F.first("shards").alias("__shards"))
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__shard", F.explode("__shards")).drop("__shards", "__id")
 
 
 def write_mix(docs: DataFrame, path: str, seed: str = SEED, **options) -> None:

@@ -14,7 +14,8 @@ become byte pieces and never merge. Runs of blanks merge last, leftmost first.
 
 Defined results: null and empty texts have no ids; decoding gives back the text exactly,
 but for the model's own blank mark (U+2581), which it reads as a blank; repeated rows
-are encoded alike; an empty table gives an empty result; further columns are kept by ``encode``.
+are encoded alike; an empty table gives an empty result; further columns are kept by
+``encode``, one named ids being replaced.
 """
 
 from __future__ import annotations
@@ -243,6 +244,7 @@ class Pieces:
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``: the pieces of each text."""
     place = tokenizer_path(model)
+    docs = docs.drop("ids")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
