@@ -119,7 +119,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, block_ro
     cum = F.sum("size").over(Window.partitionBy("source", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     d = dealt.withColumn("cum", cum).alias("d")
     joined = d.join(blocks, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    copies = F.col("b.epochs") + (F.col("b.base") + F.col("d.cum") <= F.col("b.rest")).cast("long")
+    copies = F.col("b.epochs") + ((F.col("b.base") < F.col("b.rest")) & (F.col("b.base") + F.col("d.cum") <= F.col("b.rest"))).cast("long")
     out = joined.select("d.doc_id", "d.source", "d.size", "b.source_size", "b.target", copies.alias("copies"), F.coalesce("b.drawn", F.array().cast("array<int>")).alias("drawn"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.slice("drawn", F.lit(1), F.col("copies").cast("int")).alias("shards"))
 
