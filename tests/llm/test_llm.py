@@ -239,3 +239,16 @@ def test_pipeline(spark):
         assert docs.columns == before.columns, name
     out = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in out} <= {r.doc_id for r in before.collect()} and all(r.n_tokens == len(r.ids) for r in out)
+
+
+def test_parity_bitmaps_never_hide_a_link():
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 90, 255, 256, 300, 1000, 2100):
+        whole = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        for cut in (0, size // 10, size // 5):
+            x, y = whole, np.unique(np.concatenate([whole[cut:], rng.integers(0, 1 << 63, cut // 2, np.uint64)]))
+            p, q = jaccard_join.parity_bitmap(x), jaccard_join.parity_bitmap(y)
+            while len(p) != len(q):
+                p, q = (np.bitwise_xor.reduce(p.reshape(2, -1)), q) if len(p) > len(q) else (p, np.bitwise_xor.reduce(q.reshape(2, -1)))
+            bits = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
+            assert bits <= len(np.setxor1d(x, y))
