@@ -37,6 +37,7 @@ CACHE_CHUNKS = 400_000
 _S = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
 HEAD = struct.Struct("<QI")
+IDS = np.dtype("<u4")
 PAYLOAD = struct.Struct("<qBB")
 CRC = struct.Struct("<I")
 
@@ -56,7 +57,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """ids of texts; chunks already seen come from the cache."""
+    """ids of texts; chunks already seen come from the cache, which holds ids as 4-byte integers."""
 
     _of: dict[str, Encoder] = {}
 
@@ -66,24 +67,25 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
         return cls._of.get(path) or cls._of.setdefault(path, cls(path))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [CHUNK.findall(t) for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache = {}
         cache = self.cache
         fresh = set(chain.from_iterable(parts)).difference(cache)
         blank = [c for c in fresh if c.isspace()]
-        cache.update(zip(blank, (e.ids for e in self.tokenizer.encode_batch_fast(blank, add_special_tokens=False)), strict=True))
+        for c, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True):
+            cache[c] = np.array(e.ids, IDS).tobytes()
         self._learn(list(fresh.difference(blank)))
         get = cache.__getitem__
-        return [list(chain.from_iterable(map(get, p))) for p in parts]
+        return [np.frombuffer(b"".join(map(get, p)), IDS) for p in parts]
 
     def _learn(self, fresh: list[str], per_call: int = 64) -> None:
         """Encode new chunks, many to a call. Each starts with a blank or behind a line break, so none
@@ -92,12 +94,12 @@ class Encoder:
         joined = ["".join(marked[k : k + per_call]) for k in range(0, len(marked), per_call)]
         sizes = np.array([len(c.encode()) for c in marked], np.int64)
         for k, e in zip(range(0, len(marked), per_call), self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = e.ids
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[k : k + per_call]), "left").tolist()
-            first = 0
-            for c, end in zip(fresh[k : k + per_call], ends, strict=True):
-                self.cache[c] = ids[first + (c[0] != " ") : end + 1]
-                first = end + 1
+            ids = np.array(e.ids, IDS)
+            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[k : k + per_call]), "left") + 1) * IDS.itemsize
+            raw, first = ids.tobytes(), 0
+            for c, end in zip(fresh[k : k + per_call], ends.tolist(), strict=True):
+                self.cache[c] = raw[first + (0 if c[0] == " " else IDS.itemsize) : end]
+                first = end
 
     @property
     def width(self) -> int:
@@ -121,13 +123,14 @@ def _write_shard(batches, path: str, tokenizer: str, end_id: int):
 
     encoder = Encoder.of(tokenizer)
     width, kind = encoder.width, np.dtype(f"<u{encoder.width}")
+    end = np.array([end_id], kind).tobytes()
     out, at, name = None, 0, f"{path}/shards/{uuid.uuid4().hex}.rec"
     try:
         for pdf in _rows(batches):
             index = []
             for doc_id, ids in zip(pdf["doc_id"], encoder.encode(list(pdf["text"])), strict=True):
                 null = pd.isna(doc_id)
-                body = PAYLOAD.pack(0 if null else int(doc_id), not null, width) + np.array([*ids, end_id], kind).tobytes()
+                body = PAYLOAD.pack(0 if null else int(doc_id), not null, width) + ids.astype(kind).tobytes() + end
                 record = HEAD.pack(len(body), masked_crc(struct.pack("<Q", len(body)))) + body + CRC.pack(masked_crc(body))
                 if out is None:
                     files, inner = _filesystem(path)
