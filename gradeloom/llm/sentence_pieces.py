@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from .token_records import _rows, tokenizer_path
 
+IDS = np.dtype("<i4")
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 PART = re.compile(" ?[^ \n]+| |\n")
@@ -95,8 +96,9 @@ class Pieces:
         self.keys, self.key_rank = np.array([k for k, _ in keys], np.uint64), np.array([r for _, r in keys])
         self.memo_key, self.memo_ok = np.full(1 << MEMO_BITS, -1, np.int64), np.zeros(1 << MEMO_BITS, bool)
         self.blank = rank[BLANK]
-        self.cache: dict[str, np.ndarray] = {}
-        self.runs: dict[int, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as 4-byte integers
+        self.runs: dict[int, bytes] = {}
+        self.blank_id = np.array([self.id_of[BLANK]], IDS).tobytes()
         raw = [b""] * n
         for k in plain:
             raw[k] = names[k].replace(BLANK, " ").encode()
@@ -151,8 +153,8 @@ class Pieces:
             self.memo_key[at], self.memo_ok[at] = fresh[first], good[first]
         return ok
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of equal length."""
+    def segment(self, words: list[str]) -> list[bytes]:
+        """Ids of words of equal length, as 4-byte integers."""
         n, size = len(words), len(words[0])
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size).astype(np.uint64)
         known, h = self.known[points.astype(np.int64)], self._hash(points)
@@ -179,30 +181,40 @@ class Pieces:
                     keep = np.ones(len(todo), bool)
                     keep[hit[ok]] = False
                     todo = todo[keep]
-        ids = [[] for _ in range(n)]
-        end = np.full(n, size)
-        live = np.arange(n)
-        steps = []
+        # back from the ends: (word, place, id) of every piece, a byte piece for each byte of an unknown character
+        end, live = np.full(n, size), np.arange(n)
+        rows, places, found = [], [], []
         while len(live):
-            steps.append((live, chosen[live, end[live]], end[live]))
-            end[live] -= np.maximum(back[live, end[live]], 1)
+            at = end[live]
+            piece = chosen[live, at]
+            plain = piece >= 0
+            rows.append(live[plain])
+            places.append(at[plain] << 3)
+            found.append(self.ids[piece[plain]])
+            for r, e in zip(live[~plain].tolist(), at[~plain].tolist(), strict=True):
+                raw = words[r][e - 1].encode("utf-8", "surrogatepass")
+                rows.append(np.full(len(raw), r))
+                places.append((e << 3) + np.arange(len(raw)))
+                found.append(np.frombuffer(raw, np.uint8).astype(np.int32) + self.bytes_at)
+            end[live] = at - np.maximum(back[live, at], 1)
             live = live[end[live] > 0]
-        for rows, piece, at in reversed(steps):
-            for r, p, e in zip(rows.tolist(), piece.tolist(), at.tolist(), strict=True):
-                if p >= 0:
-                    ids[r].append(int(self.ids[p]))
-                else:
-                    ids[r].extend(self.bytes_at + x for x in words[r][e - 1].encode("utf-8", "surrogatepass"))
-        return ids
-
-    def run(self, n: int) -> list[int]:
+        row, place = np.concatenate(rows), np.concatenate(places)
+        order = np.argsort(row * ((size + 1) << 3) + place)
+        raw = np.concatenate(found)[order].astype(IDS).tobytes()
+        cut = (np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]) * IDS.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def run(self, n: int) -> bytes:
         """Ids of n blanks with no character to join."""
         if n not in self.runs:
             done = _merge([BLANK] * n, self.run_rank) if n < 200 else [(p, None) for p in [BLANK * 16] * (n // 16)] + _merge([BLANK] * (n % 16), self.run_rank)
-            self.runs[n] = [self.id_of[p] for p, _ in done]
+            self.runs[n] = np.array([self.id_of[p] for p, _ in done], IDS).tobytes()
         return self.runs[n]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        return [k.tolist() for k in self.encode_arrays(texts)]
+
+    def encode_arrays(self, texts: list[str]) -> list[np.ndarray]:
         parts = [PART.findall(" " + t.replace(BLANK, " ")) if t else [] for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
@@ -218,27 +230,26 @@ class Pieces:
                 some = words[k : k + step]
                 self.cache.update(zip(some, self.segment([w.replace(" ", BLANK) for w in some]), strict=True))
         get = self.cache.__getitem__
-        return [self._with_runs(p) if " " in p else list(chain.from_iterable(map(get, p))) for p in parts]
+        return [np.frombuffer(self._with_runs(p) if " " in p else b"".join(map(get, p)), IDS) for p in parts]
 
-    def _with_runs(self, parts: list[str]) -> list[int]:
-        out, held, blank = [], 0, self.id_of[BLANK]
+    def _with_runs(self, parts: list[str]) -> bytes:
+        out, held = [], 0
         for p in parts:
             if p == " ":
                 held += 1
                 continue
             ids = self.cache[p]
-            if held and p[0] == " " and ids[0] == blank:
-                out += self.run(held + 1)
-                ids = ids[1:]
+            if held and p[0] == " " and ids.startswith(self.blank_id):
+                out.append(self.run(held + 1))
+                ids = ids[len(self.blank_id) :]
             elif held:
-                out += self.run(held)
-            out += ids
+                out.append(self.run(held))
+            out.append(ids)
             held = 0
-        return out + (self.run(held) if held else [])
+        return b"".join(out) + (self.run(held) if held else b"")
 
     def decode(self, ids) -> str:
-        raw = self.raw
-        return b"".join([raw[k] for k in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
@@ -250,7 +261,7 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataF
     def run(batches):
         pieces = Pieces.of(place)
         for pdf in _rows(batches, 2048):
-            yield pdf.assign(ids=pieces.encode([t if isinstance(t, str) else "" for t in pdf[text_col]]))
+            yield pdf.assign(ids=pieces.encode_arrays([t if isinstance(t, str) else "" for t in pdf[text_col]]))
 
     return docs.mapInPandas(run, schema)
 
@@ -263,20 +274,33 @@ def decode(ids: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         pieces = Pieces.of(place)
         for pdf in _rows(batches, 2048):
-            yield pdf.assign(decoded=[pieces.decode(k) for k in pdf["ids"]])
+            yield pdf.assign(decoded=[pieces.decode(np.asarray(k).tolist()) for k in pdf["ids"]])
 
     return ids.mapInPandas(run, schema)
 
 
-def _crc(batches):
-    for pdf in batches:
-        yield pdf[["doc_id"]].assign(n_tokens=[len(k) for k in pdf["ids"]], ids_crc32=[zlib.crc32(np.asarray(k, "<u4").tobytes()) for k in pdf["ids"]], round_trip=(pdf["decoded"] == pdf["text"]).to_numpy())
+def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: number and checksum of its ids, and whether decoding them gives
+    the text back. Texts are encoded and decoded in one pass, so no ids travel between processes."""
+    place = tokenizer_path(model)
+
+    def run(batches):
+        pieces = Pieces.of(place)
+        for pdf in _rows(batches, 2048):
+            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
+            ids = pieces.encode_arrays(texts)
+            yield pdf[["doc_id"]].assign(
+                n_tokens=[len(k) for k in ids],
+                ids_crc32=[zlib.crc32(k) for k in ids],
+                round_trip=[pieces.decode(k.tolist()) == t for k, t in zip(ids, texts, strict=True)],
+            )
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: number and checksum of its ids, and whether decoding gives the text back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return decode(encode(docs)).mapInPandas(_crc, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 QUERIES = {"op6_sentence_pieces": op6_sentence_pieces}
