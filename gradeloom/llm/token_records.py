@@ -87,7 +87,7 @@ class Encoder:
         get = cache.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), IDS) for p in parts]
 
-    def _learn(self, fresh: list[str], per_call: int = 64) -> None:
+    def _learn(self, fresh: list[str], per_call: int = 512) -> None:
         """Encode new chunks, many to a call. Each starts with a blank or behind a line break, so none
         joins its neighbour; lengths of the ids in bytes tell where each one ends."""
         marked = [c if c[0] == " " else "\n" + c for c in fresh]
