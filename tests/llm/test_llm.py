@@ -104,6 +104,20 @@ def test_jaccard_join_with_frequent_shingles(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_jaccard_join_with_text_around_frequent_passages(spark):
+    """Documents of a frequent passage and a few own words, and copies of them with text put after, before or within."""
+    passage = [f"p{k}" for k in range(84)]
+    rows = [(k, " ".join(passage + [f"c{k}_{j}" for j in range(60)])) for k in range(60)]
+    for k in range(12):
+        own, more = [f"d{k}_{j}" for j in range(20)], [f"e{k}_{j}" for j in range(20)]
+        texts = [passage + own, [passage + own + more, more + passage + own, passage + own[:10] + more[:14] + own[10:]][k % 3]]
+        rows += [(1000 + 10 * k + j, " ".join(t)) for j, t in enumerate(texts)]
+    want = brute_components(rows)
+    assert sum(i != root for i, (_, root) in want.items()) == 12
+    got = jaccard_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (7, 9), (4, 5)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {2: 1, 3: 1, 4: 1, 5: 1, 8: 7, 9: 7}
