@@ -8,7 +8,8 @@ from a term. Around each hit a context window looks for quotation marks and word
 so that quoting a term counts apart from using it. A logistic regression over the counts per document,
 fitted on the same sample with the classes' sampling rates undone, gives the score.
 
-The sample's bounds (``TRAIN_ROWS`` a class) and the lexicon's (``TERMS``) are documented parameters of
+The sample's bounds (``TRAIN_ROWS`` a class) and the lexicon's (``TERMS``, and at most 4 times that with
+the words that have a listed beginning) are documented parameters of
 the fit; scoring covers every whole text, and what is broadcast has the lexicon's size.
 
 Defined results: null and empty texts score as a document without any hit; without labelled rows of
@@ -74,9 +75,10 @@ def learn_lexicon(sample: DataFrame, n_pos: int) -> list[str]:
                 continue
         kept.append(r["term"])
     starts = [k[1:] for k in kept if k[0] == "^"]
-    kept = [k for k in kept if k[0] == "^" or not any(k[1:].startswith(s) for s in starts)]
+    # words that have a kept beginning stay beside it: only whole words are matched with an edit
+    covered = {k for k in kept if k[0] == "=" and any(k[1:].startswith(s) for s in starts)}
     order = {r["term"]: r["pos"] for r in rows}
-    return sorted(sorted(kept, key=lambda k: (-order[k], k))[:TERMS])
+    return sorted(covered.union(sorted((k for k in kept if k not in covered), key=lambda k: (-order[k], k))[:TERMS]))
 
 
 # ---- trie x automaton ----------------------------------------------------------------------------
@@ -157,11 +159,11 @@ def match_tokens(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, autom
     """Verdict of each token points[start:end]; tokens that die drop out at every step."""
     symbols, table, verdicts = automaton
     out = np.zeros(len(starts), np.int8)
-    lookup = np.zeros(0x250, np.int32)
+    # up to the lexicon's last character, and one place for all beyond
+    lookup = np.zeros(max([0, *map(ord, symbols)]) + 2, np.int32)
     for c, k in symbols.items():
-        if ord(c) < 0x250:
-            lookup[ord(c)] = k
-    coded = np.where(points < 0x250, lookup[np.minimum(points, 0x24F)], 0)
+        lookup[ord(c)] = k
+    coded = lookup[np.minimum(points, len(lookup) - 1)]
     live, state, t = np.arange(len(starts)), np.ones(len(starts), np.int32), 0
     while len(live):
         state = table[state, coded[starts[live] + t]]
@@ -176,6 +178,18 @@ def match_tokens(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, autom
 # ---- features and model --------------------------------------------------------------------------
 
 
+def word_points(points: np.ndarray) -> np.ndarray:
+    """Which code points belong to words, by the same classes as ``TOKEN`` in any script."""
+    classes = np.zeros(0x250, bool)
+    classes[[c for c in range(0x250) if chr(c).isalnum() or chr(c) in "_@$"]] = True
+    out = classes[np.minimum(points, 0x24F)]
+    high = np.flatnonzero(points >= 0x250)
+    if len(high):
+        some, at = np.unique(points[high], return_inverse=True)
+        out[high] = np.array([chr(c).isalnum() for c in some])[at]
+    return out
+
+
 def features(texts: list[str], automaton) -> np.ndarray:
     """Per text: log counts of exact, beginning, fuzzy and quoted hits, whether any, hits per word."""
     out = np.zeros((len(texts), 8))
@@ -184,9 +198,7 @@ def features(texts: list[str], automaton) -> np.ndarray:
         joined = "\n".join(lowered[a:b])
         points, _ = code_points([joined])
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered[a:b]])])
-        classes = np.zeros(0x250, bool)
-        classes[[c for c in range(0x250) if chr(c).isalnum() or chr(c) in "_@$"]] = True
-        word = np.where(points < 0x250, classes[np.minimum(points, 0x24F)], points > 0x2FF) & ~((points >= 0x2000) & (points < 0x2070))
+        word = word_points(points)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
         starts, ends = edge[::2], edge[1::2]
         doc = np.searchsorted(offsets, starts, "right") - 1

@@ -154,6 +154,23 @@ def test_automaton():
     assert toxicity.match_tokens(points, starts, ends, a).tolist() == [3, 1, 1, 1, 1, 2, 2, 0, 0]
 
 
+def test_toxic_words_beside_their_beginnings(spark):
+    words = ["idiot", "idiot", "idiotic", "idioten"]
+    rows = [(f"weather today {words[k % 4]}", 1) for k in range(40)] + [("weather today plain", 0)] * 40
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 40)
+    assert {"^idio", "=idiot", "=idiotic", "=idioten"} <= set(terms)
+    a = toxicity.compile_automaton(terms)
+    f = toxicity.features(["id1ot", "idiotisch", "idiot", "idle"], a)
+    assert [np.flatnonzero(x[4:7]).tolist() for x in f] == [[2], [1], [0], []]
+
+
+def test_toxic_terms_in_any_script():
+    terms = ["придурок", "əclafsan", "الاحمق", "愚か者達め"]
+    a = toxicity.compile_automaton(["=" + t for t in terms])
+    f = toxicity.features([f"x {t}، {t}。 y" for t in terms] + ["привет мир", terms[0][:3] + terms[0][4:]], a)
+    assert f[:, 0].tolist() == [np.log1p(2)] * 4 + [0, 0] and f[:, 2].tolist() == [0] * 4 + [0, np.log1p(1)]
+
+
 def test_quality(docs, empty, spark):
     rows = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     assert rows[3].n_words == 0 and rows[3].base_failed and not rows[3].kept
