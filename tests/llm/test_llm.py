@@ -260,6 +260,24 @@ def test_licenses(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    story = "the river ran on past the mill and nobody came that day " * 40
+    texts = [(1, mit), (2, gpl), (3, f"{story}\n{gpl}\n{story}"), (4, "Licensed under the MIT\nLicense. Parts are licensed under the Apache\r\nLicense, Version 2.0."), (5, f"{story}\nShow a license\nat the counter.")]
+    got = {r.doc_id: (r.license, r.licenses, r.n_notices, r.n_unknown) for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", "mit", 1, 1), 2: ("gpl", "gpl", 1, 0), 3: ("gpl", "gpl", 1, 0), 4: ("apache-2.0", "apache-2.0,mit", 2, 0), 5: (None, "", 0, 1)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
