@@ -110,13 +110,13 @@ def fit_predict(method: str, train: DataFrame, test: DataFrame, features: int =
     return out.select("row_id", F.col("label").cast("int").alias("y"), F.col("prediction").cast("int").alias("label"), p.alias("probabilities"))
 
 
-def fit_predict_native(method: str, train: DataFrame, test: DataFrame, trees: int = 20) -> DataFrame:
+def fit_predict_native(method: str, train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30) -> DataFrame:
     """(row_id, y, label) of a forest on the imputed numeric and one-hot categorical features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
     a, b = standardize(train, train, "acctbal"), standardize(test, train, "acctbal")
-    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=42)]
+    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42)]
     out = Pipeline(stages=stages).fit(a).transform(b)
     return out.select("row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("label"))

@@ -104,3 +104,15 @@ def test_chain_tampering_shows(spark):
 def test_arrays(spark):
     r = spark.range(1).select(valid_probabilities(F.array(F.lit(0.5), F.lit(0.5)), 2).alias("a"), valid_probabilities(F.array(F.lit(float("nan")), F.lit(0.5)), 2).alias("b"), F.get(softmax(F.array(F.lit(0.0), F.lit(0.0))), F.lit(0)).alias("c"), coded(F.lit(7), 4).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == (True, False, 0.5, -1)
+
+
+def test_forest_has_the_surveys_size(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from gradeloom.operators import features
+
+    made, fit = [], RandomForestClassifier._fit
+    monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: made.append(self) or fit(self, rows))
+    rows = spark.createDataFrame([(k, float(k), "ab"[k % 2], k % 2) for k in range(40)], "row_id long, acctbal double, nation string, label int")
+    assert features.fit_predict_native("forest", rows, rows).count() == 40
+    assert (made[0].getNumTrees(), made[0].getMaxDepth()) == (200, 30)
