@@ -8,12 +8,13 @@ task streams its shard to a file of its own attempt in the shared folder, and th
 written by Spark, names only files of attempts that committed: a lost executor leaves at most an
 orphaned file.
 
-Texts are encoded with the tokenizers library. Its byte-level pre-tokenizer never joins what stands on
+Texts are encoded with the tokenizers library, special tokens that a text spells included, as the library
+does by default. Its byte-level pre-tokenizer never joins what stands on
 the two sides of a blank, so texts are cut there and a bounded cache holds the ids of chunks.
 
 Defined results: null text is empty (its record holds the end id alone); a null doc_id is written with
 has_id 0 and sorts first; repeated rows give repeated records; an empty table gives no shards and an
-empty result; further columns are ignored.
+empty empty result; further columns are ignored; rows of equal doc_id come in order of their texts.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import shared_dir, text_of
+from .text_batches import slices, texts_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
+#: Bytes of text that a shard file takes.
+SHARD_BYTES = 256 << 20
 _S = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]")
 HEAD = struct.Struct("<QI")
@@ -66,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
         self.cache: dict[str, bytes] = {}
         self.lengths = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())], np.int64)
 
@@ -75,31 +80,38 @@ class Encoder:
         return cls._of.get(path) or cls._of.setdefault(path, cls(path))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [CHUNK.findall(t) for t in texts]
+        # texts that spell a special token are rare and cut differently: the library takes them whole
+        whole = {k for k, t in enumerate(texts) if self.special.search(t)}
+        parts = [[] if k in whole else CHUNK.findall(t) for k, t in enumerate(texts)]
+        words = set(chain.from_iterable(parts))
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache = {}
-        cache = self.cache
-        fresh = set(chain.from_iterable(parts)).difference(cache)
+            # what this batch holds is kept, so frequent chunks stay
+            self.cache = {c: self.cache[c] for c in words if c in self.cache}
+        fresh = words.difference(self.cache)
         blank = [c for c in fresh if c.isspace()]
         for c, e in zip(blank, self.tokenizer.encode_batch_fast(blank, add_special_tokens=False), strict=True):
-            cache[c] = np.array(e.ids, IDS).tobytes()
+            self.cache[c] = np.array(e.ids, IDS).tobytes()
         self._learn(list(fresh.difference(blank)))
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), IDS) for p in parts]
+        get = self.cache.__getitem__
+        out = [np.frombuffer(b"".join(map(get, p)), IDS) for p in parts]
+        for k in whole:
+            out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, IDS)
+        return out
 
     def _learn(self, fresh: list[str], per_call: int = 512) -> None:
         """Encode new chunks, many to a call. Each starts with a blank or behind a line break, so none
         joins its neighbour; lengths of the ids in bytes tell where each one ends."""
         marked = [c if c[0] == " " else "\n" + c for c in fresh]
         joined = ["".join(marked[k : k + per_call]) for k in range(0, len(marked), per_call)]
-        sizes = np.array([len(c.encode()) for c in marked], np.int64)
-        for k, e in zip(range(0, len(marked), per_call), self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        skip, at = [0 if c[0] == " " else IDS.itemsize for c in fresh], 0
+        for text, e in zip(joined, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            some = marked[at : at + per_call]
+            sizes = list(map(len, some)) if text.isascii() else [len(c.encode()) for c in some]
             ids = np.array(e.ids, IDS)
-            ends = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes[k : k + per_call]), "left") + 1) * IDS.itemsize
-            raw, first = ids.tobytes(), 0
-            for c, end in zip(fresh[k : k + per_call], ends.tolist(), strict=True):
-                self.cache[c] = raw[first + (0 if c[0] == " " else IDS.itemsize) : end]
-                first = end
+            ends = ((np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes), "left") + 1) * IDS.itemsize).tolist()
+            raw = ids.tobytes()
+            self.cache.update(zip(fresh[at : at + per_call], [raw[a + s : b] for a, s, b in zip([0, *ends], skip[at : at + per_call], ends, strict=False)], strict=True))
+            at += per_call
 
     @property
     def width(self) -> int:
@@ -119,27 +131,29 @@ def _rows(batches, rows: int = 256):
 
 
 def _write_shard(batches, path: str, tokenizer: str, end_id: int):
-    import pandas as pd
+    import pyarrow as pa
 
     encoder = Encoder.of(tokenizer)
     width, kind = encoder.width, np.dtype(f"<u{encoder.width}")
     end = np.array([end_id], kind).tobytes()
     out, at, name = None, 0, f"{path}/shards/{uuid.uuid4().hex}.rec"
     try:
-        for pdf in _rows(batches):
-            index = []
-            for doc_id, ids in zip(pdf["doc_id"], encoder.encode(list(pdf["text"])), strict=True):
-                null = pd.isna(doc_id)
-                body = PAYLOAD.pack(0 if null else int(doc_id), not null, width) + ids.astype(kind).tobytes() + end
+        for part in slices(batches):
+            doc_ids, sizes, counts = part.column("doc_id").to_pylist(), [], []
+            for doc_id, ids in zip(doc_ids, encoder.encode(texts_of(part)), strict=True):
+                body = PAYLOAD.pack(doc_id or 0, doc_id is not None, width) + ids.astype(kind).tobytes() + end
                 record = HEAD.pack(len(body), masked_crc(struct.pack("<Q", len(body)))) + body + CRC.pack(masked_crc(body))
                 if out is None:
                     files, inner = _filesystem(path)
                     files.create_dir(f"{inner}/shards", recursive=True)
                     out = files.open_output_stream(f"{inner}/shards/{os.path.basename(name)}", buffer_size=1 << 20)
                 out.write(record)
-                index.append((name, at, len(record), None if null else int(doc_id), len(ids) + 1))
-                at += len(record)
-            yield pd.DataFrame(index, columns=["shard", "at", "size", "doc_id", "n_tokens"]).astype({"doc_id": "Int64"})
+                sizes.append(len(record))
+                counts.append(len(ids) + 1)
+            starts = at + np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            at = int(starts[-1])
+            columns = [pa.array([name] * len(part)), pa.array(starts[:-1]), pa.array(sizes, pa.int64()), part.column("doc_id"), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "at", "size", "doc_id", "n_tokens"])
     finally:
         if out is not None:
             out.close()
@@ -148,8 +162,11 @@ def _write_shard(batches, path: str, tokenizer: str, end_id: int):
 def write_records(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Write shards and index below ``path``; returns the index: shard, at, size, doc_id, n_tokens."""
     place = tokenizer_path(tokenizer)
-    texts = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows = texts.mapInPandas(lambda it: _write_shard(it, path, place, end_id), "shard string, at long, size long, doc_id long, n_tokens long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    held = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
+    texts = texts.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts.mapInArrow(lambda it: _write_shard(it, path, place, end_id), "shard string, at long, size long, doc_id long, n_tokens long")
     rows.write.parquet(f"{path}/index")
     return docs.sparkSession.read.parquet(f"{path}/index")
 
