@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .text_batches import chunks, code_points
+from .text_batches import chunks, code_points, slices, texts_of
 
 TRAIN_ROWS = 6000
 TERMS = 200
@@ -37,7 +37,8 @@ MIN_PRECISION = 0.9
 STEM = 4
 THRESHOLD = 0.3
 WINDOW = 24
-TOKEN = re.compile(r"[^\W\d_][\w@$]*")
+#: A token of the lower-cased text: letters, digits, '_', '@' and '$', in any script.
+TOKEN = re.compile(r"[\w@$]+")
 QUOTES = "\"'«»“”„‘’‹›"
 #: Words of reported speech.
 REPORTS = re.compile(r"\b(said|says|say|called|calls|quote|quoted|wrote|word|term|insult|sagte|nannte|zitat|wort|dit|appelé|cita|dijo|llamó|palabra|mot)\b")
@@ -90,7 +91,7 @@ def compile_automaton(terms: list[str], edits: int = 1) -> tuple[dict[str, int],
     A position is (trie node, edits so far); a state is a set of positions. Symbol 0 is any character
     outside the lexicon; state 0 is dead, state 1 the start. Terms under 5 characters match exactly.
     """
-    nodes, ends, size = [{}], [0], [0]
+    nodes, ends, size, depth = [{}], [0], [0], [0]
     for t in terms:
         node = 0
         for c in t[1:]:
@@ -99,8 +100,10 @@ def compile_automaton(terms: list[str], edits: int = 1) -> tuple[dict[str, int],
                 nodes.append({})
                 ends.append(0)
                 size.append(0)
+                depth.append(depth[node] + 1)
             node = nodes[node][c]
             size[node] = max(size[node], len(t) - 1)
+        size[0] = max(size[0], len(t) - 1)
         ends[node] |= 1 if t[0] == "=" else 2
     alphabet = sorted({c for t in terms for c in t[1:]})
     symbols = {c: k + 1 for k, c in enumerate(alphabet)}
@@ -127,7 +130,8 @@ def compile_automaton(terms: list[str], edits: int = 1) -> tuple[dict[str, int],
                     out.add((m, e))
                 elif e < edits and size[m] >= 5:
                     out.add((m, e + 1))
-            if e < edits and (n == 0 or size[n] >= 5) and n:
+            # an inserted character, before the first one too
+            if e < edits and size[n] >= 5:
                 out.add((n, e + 1))
         out |= {(-1, e) for n, e in out if n > 0 and ends[n] & 2 and e == 0}
         return close(frozenset(out))
@@ -138,7 +142,8 @@ def compile_automaton(terms: list[str], edits: int = 1) -> tuple[dict[str, int],
             if n < 0:
                 best = max(best, STARTS)
             elif ends[n]:
-                best = max(best, (EXACT if e == 0 else FUZZY) if ends[n] & 1 else (STARTS if e == 0 else NONE))
+                near = FUZZY if depth[n] >= 5 else NONE
+                best = max(best, (EXACT if e == 0 else near) if ends[n] & 1 else (STARTS if e == 0 else NONE))
         return best
 
     start = close(frozenset({(0, 0)}))
@@ -181,12 +186,12 @@ def match_tokens(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, autom
 def word_points(points: np.ndarray) -> np.ndarray:
     """Which code points belong to words, by the same classes as ``TOKEN`` in any script."""
     classes = np.zeros(0x250, bool)
-    classes[[c for c in range(0x250) if chr(c).isalnum() or chr(c) in "_@$"]] = True
+    classes[[c for c in range(0x250) if TOKEN.match(chr(c))]] = True
     out = classes[np.minimum(points, 0x24F)]
     high = np.flatnonzero(points >= 0x250)
     if len(high):
         some, at = np.unique(points[high], return_inverse=True)
-        out[high] = np.array([chr(c).isalnum() for c in some])[at]
+        out[high] = np.array([bool(TOKEN.match(chr(c))) for c in some])[at]
     return out
 
 
@@ -268,35 +273,41 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS):
     return automaton, fit_logistic(np.stack(rows["f"].to_numpy()), y, weight / weight.mean())
 
 
+def toxic_scores(texts: list[str], model) -> np.ndarray:
+    """Scores from 0 to 1 by a fitted model; 0 without one."""
+    if not model:
+        return np.zeros(len(texts))
+    automaton, w = model
+    return 1 / (1 + np.exp(-np.clip(w[0] + features(texts, automaton) @ w[1:], -30, 30)))
+
+
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_rows))
 
     def run(batches):
-        for pdf in batches:
-            s = np.zeros(len(pdf))
-            if model.value and len(pdf):
-                automaton, w = model.value
-                f = features([t if isinstance(t, str) else "" for t in pdf["text"]], automaton)
-                s = 1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30)))
-            yield pdf[["doc_id", "held_out"]].assign(score=s, predicted=(s >= THRESHOLD).astype(np.int32))
+        import pyarrow as pa
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+        for part in slices(batches):
+            s = toxic_scores(texts_of(part), model.value)
+            columns = [part.column("doc_id"), part.column("held_out"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, with all their columns."""
+    """The rows of ``docs`` not predicted toxic, with all their columns; they stay Arrow batches throughout."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
-        for pdf in batches:
-            if model.value and len(pdf):
-                automaton, w = model.value
-                f = features([t if isinstance(t, str) else "" for t in pdf["text"]], automaton)
-                pdf = pdf[1 / (1 + np.exp(-np.clip(w[0] + f @ w[1:], -30, 30))) < THRESHOLD]
-            yield pdf
+        import pyarrow as pa
+
+        for part in slices(batches):
+            yield part.filter(pa.array(toxic_scores(texts_of(part), model.value) < THRESHOLD))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

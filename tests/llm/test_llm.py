@@ -154,6 +154,41 @@ def test_automaton():
     assert toxicity.match_tokens(points, starts, ends, a).tolist() == [3, 1, 1, 1, 1, 2, 2, 0, 0]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_against_edit_distances():
+    rng = np.random.default_rng(7)
+    terms = ["=idiot", "=bad", "=badger", "=дурак", "^vermi", "=verminous"]
+    tokens = ["xidiot", "xbad", "bad", "badd", "badgr", "дурак", "хдурак", "дуак", "vermin", "vermn", "verminou"]
+    for t in terms * 40:
+        w = list(t[1:])
+        for _ in range(rng.integers(0, 3)):
+            at = rng.integers(0, len(w) + 1)
+            w[at : at + rng.integers(0, 2)] = rng.choice(list("abdegiortvдк"), rng.integers(0, 2))
+        tokens.append("".join(w))
+    tokens = [t for t in tokens if t]
+
+    def want(token):
+        if "=" + token in terms:
+            return toxicity.EXACT
+        if any(token.startswith(t[1:]) for t in terms if t[0] == "^"):
+            return toxicity.STARTS
+        return toxicity.FUZZY if any(edits(token, t[1:]) <= 1 for t in terms if t[0] == "=" and len(t) > 5) else toxicity.NONE
+
+    points = np.array([ord(c) for c in " ".join(tokens)], np.uint32)
+    ends = np.cumsum([len(w) + 1 for w in tokens]) - 1
+    starts = ends - np.array([len(w) for w in tokens])
+    got = toxicity.match_tokens(points, starts, ends, toxicity.compile_automaton(terms)).tolist()
+    assert got == [want(t) for t in tokens]
+
+
 def test_toxic_words_beside_their_beginnings(spark):
     words = ["idiot", "idiot", "idiotic", "idioten"]
     rows = [(f"weather today {words[k % 4]}", 1) for k in range(40)] + [("weather today plain", 0)] * 40
@@ -203,17 +238,22 @@ def test_sentence_pieces_equal_the_library(docs, empty, sample):
     for frame in (docs, sample):
         rows = sentence_pieces.decode(sentence_pieces.encode(frame)).collect()
         assert all(list(r.ids) == sp.encode(r.text or "") and r.decoded == (r.text or "") for r in rows)
-    odd = ["a  b", "   x \n\n y", "▁x ▁▁ y", " " * 300, "\x00 \x1c"]
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABC0123456789_-/+=é你好語"
+    odd = ["a  b", "   x \n\n y", "▁x ▁▁ y", " " * 300, "\x00 \x1c", "a" * 5000, "你好吗我很好" * 2000, "🤦🏼‍♂️" * 99, "ab" * 3000]
+    odd += ["".join(rng.choice(list(letters), n)) for n in (*range(60, 140, 7), 20_000)] + ["x" + " " * n + "y" for n in range(1, 70)]
     assert sentence_pieces.Pieces.of(token_records.tokenizer_path(sentence_pieces.MODEL)).encode(odd) == sp.encode(odd)
     assert sentence_pieces.encode(empty).count() == 0
+    twice = sentence_pieces.decode(sentence_pieces.decode(sentence_pieces.encode(docs)))
+    assert twice.columns.count("decoded") == 1 and twice.count() == len(ROWS)
 
 
 def test_token_records(spark, docs, empty, sample):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(token_records.tokenizer_path())
-    tok.encode_special_tokens = True
-    for frame in (docs, sample):
+    special = spark.createDataFrame([(k, t) for k, t in enumerate(["hello <|endoftext|> world", "a   <|endoftext|>", "<|endoftext|>\n\n x<|endoftext|><|endoftext|>", "<|endoftext| >"])], "doc_id long, text string")
+    for frame in (docs, sample, special):
         path = shared_dir(spark, "test-records")
         token_records.write_records(frame, path)
         start = 0
