@@ -50,9 +50,41 @@ def test_exact_dedup(docs, empty):
 
 def test_directory_splits_full_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
-    directory = exact_dedup.build_directory(keys, capacity=200, max_depth=8)
-    held = keys.withColumn("cell", F.shiftrightunsigned("key", 56)).join(directory, "cell").groupBy("bucket").count()
+    depth = exact_dedup.depth_for(3000, 200)
+    directory = exact_dedup.build_directory(keys, 200, depth)
+    held = keys.withColumn("cell", F.shiftrightunsigned("key", 64 - depth)).join(directory, "cell").groupBy("bucket").count()
     assert held.agg(F.max("count")).first()[0] <= 200 and held.agg(F.sum("count")).first()[0] == 3000
+    assert exact_dedup.depth_for(10**12, 1 << 16) > exact_dedup.depth_for(10**9, 1 << 16) > 12
+
+
+def test_dedup_compares_bytes_in_chains(spark):
+    rows = [(k, f"text {k % 37}") for k in range(200)] + [(None, "text 1"), (None, "alone"), (5, "A"), (5, "B"), (9, "B"), (5, "B")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted((str(i), str(best[t]), len(groups[t]), i == best[t], hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    for bits in (64, 2):
+        got = exact_dedup.exact_dedup(docs, capacity=10, key_bits=bits).collect()
+        assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
+        kept = sorted(map(str, exact_dedup.drop_copies(docs, capacity=10, key_bits=bits).collect()))
+        assert kept == sorted(str(r) for r in docs.collect() if r.doc_id == best[r.text])
+
+
+@pytest.mark.parametrize("module", [exact_dedup, quality, secrets, mixing])
+def test_sql(spark, module):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for name, sql in module.ORACLE.items():
+        got, want = module.QUERIES[name](spark, DATA).toPandas(), con.execute(sql).fetchdf()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns) and len(got) == len(want)
+        rows = [sorted(tuple(round(v, 6) if isinstance(v, float) else str(v) for v in r) for r in x[columns].astype(object).itertuples(index=False)) for x in (got, want)]
+        assert rows[0] == rows[1]
 
 
 def brute_components(rows):
@@ -282,14 +314,21 @@ def test_mixing(docs, empty, sample):
     assert len(rows) == len(ROWS) and all(r.taken <= 3 * r.size and len(r.shards) == r.copies for r in rows)
     assert mixing.mix(empty).count() == 0
     per = mixing.mix(sample).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max("size").alias("m")).collect()
-    assert all(r.g - r.m <= r.t <= r.g for r in per)
-    quotas = sample.sparkSession.createDataFrame([("a", 900), ("b", 50), (None, 51)], "source string, n long")
+    assert all(abs(r.g - r.t) <= r.m / 2 for r in per)
+    quotas = sample.sparkSession.createDataFrame([(1, 900), (2, 50), (3, 51)], "sid int, n long")
     split = mixing.split_quotas(quotas, 130)
-    assert {r.source: r.n for r in split.groupBy("source").agg(F.sum("n").alias("n")).collect()} == {"a": 900, "b": 50, None: 51}
+    assert {r.sid: r.n for r in split.groupBy("sid").agg(F.sum("n").alias("n")).collect()} == {1: 900, 2: 50, 3: 51}
     sizes = [r.n for r in split.groupBy("lo").agg(F.sum("n").alias("n")).collect()]
     assert len(sizes) == 130 and max(sizes) - min(sizes) <= 8
     mixed = mixing.mix_documents(docs)
     assert set(docs.columns) < set(mixed.columns)
+    # every draw has a place: copies follow from the tree's quotas, small blocks and shards included
+    small = mixing.mix(sample, block_rows=7, shard_words=500)
+    whole = mixing.mix(sample)
+    assert sorted((r.doc_id, r.taken) for r in small.collect()) == sorted((r.doc_id, r.taken) for r in whole.collect())
+    assert small.select(F.explode("shards").alias("s")).distinct().count() > 10
+    again = mixing.mix_documents(sample, block_rows=7, shard_words=500)
+    assert again.groupBy("doc_id").count().join(small, "doc_id").where("count <> copies").count() == 0
 
 
 def test_licenses(spark, docs, empty):
