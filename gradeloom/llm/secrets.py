@@ -37,9 +37,12 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (its characters, least entropy of the best window in bits)
 CLASSES = {"hex": ("^[0-9a-fA-F]+$", 3.0), "upper": ("^[A-Z0-9]+$", 3.4), "mixed": ("", 3.7)}
 #: Runs that look random but are no secrets: UUIDs, documentation values, plain paths and joined words.
-ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i)example|^[a-z]+([/_-][a-z]+)*[0-9]{0,4}$|^[0-9]+([-_/][0-9]+)*$"
+ALLOWED = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example)|^[a-z]+([/_-][a-z]+)*[0-9]{0,4}$|^[0-9]+([-_/][0-9]+)*$"
 #: Millionths of c log2 c.
 CLOGC = [0, *(round(c * math.log2(c) * 1e6) for c in range(1, WINDOW + 1))]
+#: Characters whose counts share a number; matches that are summed up together.
+PACKED = 12
+BLOCK = 256
 NAMES = [*KINDS, "entropy"]
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -47,17 +50,30 @@ SPANS = "array<struct<start:int,kind:int,end:int>>"
 def _matches(text: Column, before: str, value: str, body) -> Column:
     """An array of ``body(start, end of match, value)`` for all matches: with the gap before each match
     as a group of its own, sums of lengths give the positions. The end of the text closes the last gap
-    (with an empty value, which no caller keeps), so that no tail is searched twice."""
+    (with an empty value, which no caller keeps), so that no tail is searched twice. Matches are summed up in
+    blocks, block by block and then within each, as arrays that grow entry by entry are copied every time."""
     pattern = F.lit(rf"([\s\S]*?)(?:({before})({value})|\z)")
     parts = F.arrays_zip(*[F.regexp_extract_all(text, pattern, F.lit(k)).alias(n) for k, n in ((1, "gap"), (2, "pre"), (3, "val"))])
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,val:string>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,end:int,val:string>>")
+
+    def length(x: Column) -> Column:
+        return F.length(x["gap"]) + F.length(x["pre"]) + F.length(x["val"])
 
     def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.length(x["pre"]) + F.length(x["val"])
+        start, end = a["at"] + F.length(x["gap"]), a["at"] + length(x)
         return F.struct(end.alias("at"), F.concat(a["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["val"].alias("val")))).alias("found"))
 
-    return body(F.aggregate(parts, zero, step, lambda a: a["found"]))
+    def offsets(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        return F.aggregate(blocks, zero, lambda a, x: F.struct((a["at"] + F.aggregate(x, F.lit(0), lambda n, y: n + length(y))).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+
+    def assembled(blocks: Column) -> Column:
+        return let(offsets(blocks), lambda at: F.flatten(F.transform(blocks, lambda x, i: F.aggregate(x, F.struct(F.get(at, i).alias("at"), none.alias("found")), step, lambda a: a["found"]))))
+
+    def cut(p: Column) -> Column:
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK))), assembled)
+
+    return body(let(parts, cut))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -65,18 +81,31 @@ def _spans(found: Column, kind: int) -> Column:
 
 
 def _best_window(value: Column) -> Column:
-    """The least sum of c log2 c (in millionths) over the windows of ``value``; the most even window."""
+    """The least sum of c log2 c (in millionths) over the windows of ``value``; the most even window. Counts
+    are kept packed, ``PACKED`` characters of 5 bits to a number, so that a step changes two fields."""
     table = F.array(*map(F.lit, CLOGC))
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0).alias("sum"), F.lit(10**9).alias("best"))
+    fields = [f"n{k}" for k in range(-(-len(ALPHABET) // PACKED))]
+    zero = F.struct(*[F.lit(0).cast("long").alias(f) for f in fields], F.lit(0).alias("sum"), F.lit(10**9).alias("best"))
+
+    def place(code: Column) -> Column:
+        return (code % PACKED * 5).cast("int")
+
+    def count(a: Column, code: Column) -> Column:
+        held = F.element_at(F.array(*[a[f] for f in fields]), F.floor(code / PACKED).cast("int") + 1)
+        return F.call_function("shiftright", held, place(code)).bitwiseAND(F.lit(31)).cast("int")
+
+    def one(code: Column, k: int) -> Column:
+        return F.when(F.floor(code / PACKED) == k, F.call_function("shiftleft", F.lit(1).cast("long"), place(code))).otherwise(F.lit(0).cast("long"))
 
     def slide(code: Column) -> Column:
         def step(a: Column, i: Column) -> Column:
             enter, leave = F.get(code, i), F.coalesce(F.get(code, i - WINDOW), F.lit(-1))
-            n_in, n_out = F.get(a["n"], enter), F.coalesce(F.get(a["n"], leave), F.lit(1))
-            total = F.when(enter == leave, a["sum"]).otherwise(a["sum"] + F.get(table, n_in + 1) - F.get(table, n_in) + F.get(table, n_out - 1) - F.get(table, n_out))
-            counts = F.when(enter == leave, a["n"]).otherwise(F.transform(a["n"], lambda c, k: c + (k == enter).cast("int") - (k == leave).cast("int")))
-            return F.struct(counts.alias("n"), total.alias("sum"), F.when(i >= WINDOW - 1, F.least(a["best"], total)).otherwise(a["best"]).alias("best"))
+            gone, same = leave >= 0, enter == leave
+            n_in, n_out = count(a, enter), F.when(gone, count(a, F.greatest(leave, F.lit(0)))).otherwise(1)
+            total = F.when(same, a["sum"]).otherwise(a["sum"] + F.get(table, n_in + 1) - F.get(table, n_in) + F.get(table, n_out - 1) - F.get(table, n_out))
+            counts = [(a[f] + one(enter, k) - F.when(gone, one(leave, k)).otherwise(F.lit(0).cast("long"))).alias(f) for k, f in enumerate(fields)]
+            return F.struct(*counts, total.alias("sum"), F.when(i >= WINDOW - 1, F.least(a["best"], total)).otherwise(a["best"]).alias("best"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), zero, step, lambda a: a["best"])
 
