@@ -25,19 +25,22 @@ MIN_WORDS = 10
 MAX_REPEAT_PCT = 20
 MAX_LOSS_PCT = 50
 
-#: Phrases of page furniture, matched in either case.
-BOILERPLATE = (
-    "all rights reserved|terms of (use|service)|privacy policy|cookie (policy|settings)|accept cookies|"
-    "enable javascript|subscribe to our|sign up for|click here|read more|share this|skip to content|"
-    "powered by|follow us on|back to top|lorem ipsum"
-)
+#: Phrases of page furniture by language, matched in either case where a word begins ('.' stands for an accented letter).
+PHRASES = {
+    "en": "all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|accept cookies|enable javascript|subscribe to our|sign up for|"
+    "click here|read more|share this|skip to content|powered by|follow us on|back to top|lorem ipsum",
+    "de": "alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl.rung|cookie-einstellungen|cookies akzeptieren|newsletter abonnieren|hier klicken|weiterlesen|folgen sie uns|nach oben",
+    "es": "todos los derechos reservados|t.rminos de uso|pol.tica de (?:privacidad|cookies)|aceptar cookies|suscr.bete|haga clic aqu.|leer m.s|s.guenos en|volver arriba",
+    "fr": "tous droits r.serv.s|conditions d.utilisation|politique de confidentialit.|accepter les cookies|abonnez-vous|cliquez ici|lire la suite|suivez-nous|haut de page",
+}
+BOILERPLATE = f"(?i)(?:^|[^a-z])(?:{'|'.join(PHRASES.values())})"
 #: (name, expression over a line l): a line that satisfies one of them fails.
 LINE_RULES = {
     "navigation": r"[|>»•][^|>»•]*[|>»•][^|>»•]*[|>»•]",
     "symbols": r"([#*$%&<>]{2,}[^#*$%&<>]*){4}",
     "shouting": r"(!!+[^!]*){4}",
 }
-#: Page furniture comes in short lines; longer ones aren't tried for it.
+#: A line with a phrase of page furniture for every so many of its characters fails.
 FURNITURE_CHARS = 200
 #: A line of at least so many words must have some punctuation.
 PUNCTUATED_FROM = 12
@@ -47,7 +50,7 @@ PUNCTUATION = r"[.,;:!?…。、؟]"
 def _line_fails(line: Column) -> Column:
     rules = [line.rlike(r) for r in LINE_RULES.values()]
     long_line = F.regexp_count(line, F.lit(WORD)) >= PUNCTUATED_FROM
-    out = (~line.rlike(PUNCTUATION) & long_line) | ((F.length(line) <= FURNITURE_CHARS) & line.rlike(f"(?i){BOILERPLATE}"))
+    out = (~line.rlike(PUNCTUATION) & long_line) | (line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * FURNITURE_CHARS >= F.length(line)))
     for r in rules:
         out = out | r
     return out
@@ -119,7 +122,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-_FAILS = " OR ".join(f"regexp_matches(x, '{r}')" for r in LINE_RULES.values()) + f" OR (NOT regexp_matches(x, '{PUNCTUATION}') AND len(regexp_extract_all(x, '{WORD}')) >= {PUNCTUATED_FROM}) OR (length(x) <= {FURNITURE_CHARS} AND regexp_matches(x, '(?i){BOILERPLATE}'))"
+_FAILS = " OR ".join(f"regexp_matches(x, '{r}')" for r in LINE_RULES.values()) + f" OR (NOT regexp_matches(x, '{PUNCTUATION}') AND len(regexp_extract_all(x, '{WORD}')) >= {PUNCTUATED_FROM}) OR (regexp_matches(x, '{BOILERPLATE}') AND len(regexp_extract_all(x, '{BOILERPLATE}')) * {FURNITURE_CHARS} >= length(x))"
 QUERIES = {"op4_quality_rules": op4_quality_rules}
 ORACLE = {
     "op4_quality_rules": rf"""
