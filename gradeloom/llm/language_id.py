@@ -3,8 +3,9 @@
 Grams of 2 and 3 characters of the lower-cased text hash into ``BUCKETS``. Training counts them per
 language over a bounded sample of labelled rows: each language's rows are thinned by a hash of doc_id
 to about ``TRAIN_ROWS`` (a documented parameter; it binds the fit alone). The model, one row of log
-probabilities per language, is broadcast: languages x BUCKETS doubles, whatever the corpus. Scoring
-gathers the grams of a batch from it and sums them per text, whole texts always.
+probabilities per language, is broadcast: languages x BUCKETS doubles, ``MAX_LANGS`` languages (the most
+frequent) at most. Scoring gathers the grams of a batch from it and sums them per text, whole texts always,
+on top of the log of each language's share of the labelled rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language that sorts first; without training rows everything is ``und``; repeated rows are scored
@@ -17,10 +18,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text_batches import chunks, code_points
+from .text_batches import chunks, code_points, slices
 
 BUCKETS = 1 << 15
 TRAIN_ROWS = 1500
+MAX_LANGS = 256
 SMOOTHING = 0.1
 MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -62,34 +64,37 @@ def _count(batches, buckets: int):
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
 
 
-def training_sample(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def training_sample(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
+    """(lang, text) of about ``train_rows`` rows a language, and the labelled rows of each language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
     if not per:
-        return rows.select("lang", "text").limit(0)
+        return rows.select("lang", "text").limit(0), per
     rate = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, train_rows / n))])
     lot = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
-    return rows.where(lot < F.element_at(rate, F.col("lang"))).select("lang", "text")
+    return rows.where(lot < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text"), per
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their log probabilities (languages x buckets)."""
-    counts = training_sample(docs, train_rows).mapInPandas(lambda it: _count(it, buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, their log probabilities (languages x buckets) and their log priors."""
+    sample, per = training_sample(docs, train_rows)
+    counts = sample.mapInPandas(lambda it: _count(it, buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), buckets), SMOOTHING)
     place = {k: i for i, k in enumerate(langs)}
     table[counts["lang"].map(place).to_numpy(int), counts["bucket"].to_numpy(int)] += counts["n"].to_numpy(float)
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table
+    prior = np.array([per[k] for k in langs], float)
+    return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table, np.log(prior / prior.sum()) if len(langs) else prior
 
 
-def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior for each text."""
     pred, score = ["und"] * len(texts), np.zeros(len(texts))
     live = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if langs else []
     padded = _padded([texts[k] for k in live])
     for a, b in chunks(padded):
         points, at = code_points(padded[a:b])
-        total = np.zeros((len(langs), b - a))
+        total = np.repeat(prior[:, None], b - a, axis=1)
         for order in (2, 3):
             grams = _grams(points, order, table.shape[1])
             # every padded text has 3 characters at least; grams across two texts are left out
@@ -106,15 +111,17 @@ def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray) ->
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    langs, table = fit(docs, train_rows, buckets)
-    model = docs.sparkSession.sparkContext.broadcast((langs, table))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows, buckets))
 
     def run(batches):
-        for pdf in batches:
-            pred, score = score_texts([t if isinstance(t, str) else None for t in pdf["text"]], *model.value)
-            yield pdf[["doc_id", "held_out"]].assign(lang_pred=pred, score=score)
+        import pyarrow as pa
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+        for part in slices(batches):
+            pred, score = score_texts(part.column("text").to_pylist(), *model.value)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
