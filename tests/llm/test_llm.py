@@ -165,6 +165,34 @@ def test_language_id(docs, empty, sample):
     assert right >= 0.95 * sum(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in sample.collect())
 
 
+def test_language_id_against_plain_naive_bayes(spark, sample):
+    import math
+    from collections import Counter
+
+    rows = [(r.doc_id, r.text, r.lang) for r in sample.collect()]
+    rows += [(900_000 + k, "ein kurzer satz" if k % 7 else "una frase corta", "de" if k % 7 else "es") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2 and g is not None and t is not None]
+
+    def grams(t):
+        points = np.array([ord(c) for c in f" {t.lower()} "], np.uint32)
+        return Counter((n, int(b)) for n in (2, 3) for b in language_id._grams(points, n, language_id.BUCKETS))
+
+    counts, prior = {}, Counter(g for _, g in train)
+    for t, g in train:
+        for (_, b), n in grams(t).items():
+            counts.setdefault(g, Counter())[b] += n
+    size = {g: sum(c.values()) + language_id.SMOOTHING * language_id.BUCKETS for g, c in counts.items()}
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for i, t, _ in rows[::5]:
+        if not t or not any(map(str.isalpha, t)):
+            continue
+        s = {g: math.log(prior[g] / len(train)) + sum(n * math.log((c[b] + language_id.SMOOTHING) / size[g]) for (_, b), n in grams(t).items()) for g, c in counts.items()}
+        best = max(sorted(s), key=s.get)
+        assert got[i].lang_pred == best
+        assert abs(got[i].score - 1 / sum(math.exp(v - s[best]) for v in s.values())) < 1e-6
+
+
 def test_toxicity(spark, docs, empty):
     good, bad = "all of this is a plain and quiet text about weather", "you are such an idiot and a moron"
     texts = [(k, f"{bad if k % 4 == 0 else good} number{k}") for k in range(200)]
@@ -248,6 +276,29 @@ def test_quality(docs, empty, spark):
     nav = "home | news | sport | more | about | shop | cart | help | login | map"
     got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame([(1, prose), (2, nav)], "doc_id long, text string")).collect()}
     assert got == {1: True, 2: False}
+    page = "Read more. Click here, accept cookies. Share this: follow us on all pages. " * 6
+    story = "The town hall keeps its privacy policy in a drawer, and nobody has read it since the flood came, so they say. " + "The river is calm now, as it was in other years. " * 4
+    texts = [(1, page), (2, story), (3, f"{prose}\nAlle Rechte vorbehalten, hier klicken.\nPolítica de privacidad, por favor."), (4, None)]
+    some = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.clean_text for r in quality.clean_documents(some).collect()} == {1: None, 2: story, 3: prose, 4: None}
+
+
+def test_secrets_in_bulk(spark):
+    """Many matches and a long candidate against plain Python."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = np.random.default_rng(2)
+    long = "".join(rng.choice(list("abcdefgh0123"), 5000))
+    even = "".join(rng.permutation(list("ABCDEFGHIJabcdefghij0123456789")))
+    texts = ["token=abc123 " * 3000 + "é" + "a1b2c3" * 8, long, f"{long[:300]}{even}x", "QwErTyZxCvPlMkJnBhGf7291", "QwErTyZx7CvPlMkJnBhGf291", "EXAMPLE" + even, "a" * 40 + "1"]
+    got = [r.spans.split(",") if r.spans else [] for r in secrets.secret_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert len(got[0]) == 3001 and got[0][2999] == "assign:38987:38999" and got[0][3000] == "hex:39001:39049"
+    for t, spans in zip(texts[1:], got[1:], strict=True):
+        best = min((sum(c * math.log2(c) for c in Counter(t[k : k + 20]).values()) for k in range(len(t) - 19)), default=99.0)
+        allowed = re.search(r"(?i:example)|^[a-z]+([/_-][a-z]+)*[0-9]{0,4}$", t)
+        assert any(s.startswith("entropy") for s in spans) == (not allowed and math.log2(20) - best / 20 >= 3.7), t[:30]
 
 
 def test_secrets(docs, empty, spark):
@@ -335,6 +386,9 @@ def test_licenses(spark, docs, empty):
     texts = [(1, "Some text.\nLicensed under the Apache License, Version 2.0."), (2, "Released under the MIT License."), (3, "All rights reserved."), (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Licensed under CC BY-NC 4.0."), (6, None)]
     got = {r.doc_id: (r.license, r.n_notices, r.n_unknown) for r in license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
     assert got == {1: ("apache-2.0", 1, 0), 2: ("mit", 1, 0), 3: (None, 0, 1), 4: ("gpl", 1, 0), 5: ("cc-by-nc", 1, 0), 6: (None, 0, 0)}
+    more = [(1, "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted."), (2, "// Licensed under the GNU Affero General Public License, version 3."), (3, "This is free and unencumbered software released into the public domain.")] * 2
+    got = sorted((r.doc_id, r.license, r.n_notices) for r in license_scan.license_scan(spark.createDataFrame(more, "doc_id long, text string")).collect())
+    assert got == [(1, "isc", 2)] * 2 + [(2, "agpl", 2)] * 2 + [(3, "unlicense", 2)] * 2
     assert license_scan.license_scan(docs).count() == len(ROWS)
     assert license_scan.license_scan(empty).count() == 0
 
