@@ -174,34 +174,12 @@ def a02(spark, d):
     return f.crossJoin(F.broadcast(a)).select("run_id", (F.col("n") == F.col("n0")).alias("same_count"), (F.col("truth") == F.col("t0")).alias("same_rows"), (F.col("fp") == F.col("f0")).alias("same_decisions"))
 
 
-@query("a03_manifest_diff", "SELECT 'k' AS path, json_extract_string(props, '$.k') AS value, count(*) AS n FROM events GROUP BY 1, 2")
-def a03(spark, d):
-    return table(spark, d, "events").select(F.lit("k").alias("path"), F.get_json_object("props", "$.k").alias("value")).groupBy("path", "value").agg(F.count("*").alias("n"))
-
-
 @query("a04_run_checks", VIEWS + "SELECT run_id, count(*) = count(DISTINCT row_id) AS unique_rows, bool_and(y BETWEEN 0 AND 3) AS truth_in_range, count(*) FILTER (WHERE row_id IN (SELECT row_id FROM ex WHERE source_split = 'train')) AS in_train FROM pred GROUP BY 1")
 def a04(spark, d):
     train = examples(spark, d).where("source_split = 'train'").select("row_id", F.lit(1).alias("t"))
     return predictions(spark, d).join(train, "row_id", "left").groupBy("run_id").agg((F.count("*") == F.count_distinct("row_id")).alias("unique_rows"), F.bool_and(F.col("y").between(0, 3)).alias("truth_in_range"), F.count("t").alias("in_train"))
 
 
-@query("a05_saved_metrics", CONF + f", {per_class_sql()} SELECT run_id, metric, abs(v - round(v, 4)) <= 5e-5 AS equal FROM (SELECT run_id, unnest(['accuracy', 'macro_f1']) AS metric, unnest([accuracy, macro_f1]) AS v FROM sc)")
-def a05(spark, d):
-    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES))
-    long = s.select("run_id", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("accuracy", "macro_f1")])))
-    saved = long.select("run_id", "metric", F.round("v", 4).alias("saved"))
-    return long.join(saved, ["run_id", "metric"]).select("run_id", "metric", (F.abs(F.col("v") - F.col("saved")) <= 5e-5).alias("equal"))
-
-
-@query("a07_snapshots", VIEWS + "SELECT count(*) FILTER (WHERE source_split = 'train') AS kept, 0 AS missing, 0 AS changed, count(*) FILTER (WHERE source_split = 'test') AS added FROM ex")
-def a07(spark, d):
-    ex = examples(spark, d)
-    old = ex.where("source_split = 'train'").select("row_id", F.md5("text").alias("a"))
-    both = old.join(ex.select("row_id", F.md5("text").alias("b")), "row_id", "full_outer")
-    a, b = F.col("a"), F.col("b")
-    return both.agg(F.count_if(a == b).alias("kept"), F.count_if(b.isNull()).cast("int").alias("missing"), F.count_if(a != b).cast("int").alias("changed"), F.count_if(a.isNull()).alias("added"))
-
-
 @query("p01_run_table", CONF + f", {per_class_sql()} SELECT run_id, model, arm, CASE WHEN train_per_class IS NULL THEN 'full' WHEN train_per_class = 0 THEN 'zero' ELSE train_per_class || ' per class' END AS budget, status, round(accuracy, 9) AS accuracy FROM runs LEFT JOIN sc USING (run_id)")
 def p01(spark, d):
     s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", F.round("accuracy", 9).alias("accuracy"))

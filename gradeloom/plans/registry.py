@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("prep", "scoring", "contrasts", "events")
+MODULES = ("prep", "scoring", "contrasts", "events", "audits", "controls")
 
 
 def query(name: str, sql: str | None = None):
