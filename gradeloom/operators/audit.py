@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _leaves_of(path: Column, value: Column, depth: int) -> Column:
+    leaf = F.array(F.struct(path.alias("path"), value.alias("value")))
+    if not depth:
+        return leaf
+    maps = F.transform(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: _leaves_of(F.concat_ws(".", path, e["key"]), e["value"], depth - 1))
+    lists = F.transform(F.from_json(value, "array<string>"), lambda x, i: _leaves_of(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, depth - 1))
+    return F.when(value.startswith("{"), F.flatten(maps)).when(value.startswith("["), F.flatten(lists)).otherwise(leaf)
+
+
 def leaves(rows: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
     """(key, path, value) of every leaf of a JSON object, to ``depth`` levels; deeper parts stay JSON text."""
-    level = rows.select(F.col(key).alias(key), F.lit("$").alias("path"), F.col(json).alias("value"))
-    out = None
-    for k in range(depth + 1):
-        inner, listed = F.col("value").startswith("{"), F.col("value").startswith("[")
-        done = level if k == depth else level.where(F.col("value").isNull() | ~(inner | listed))
-        out = done if out is None else out.union(done)
-        if k < depth:
-            maps = level.where(inner).select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("name", "item"))
-            lists = level.where(listed).select(key, "path", F.posexplode(F.from_json("value", "array<string>")).alias("name", "item"))
-            level = maps.select(key, F.concat_ws(".", "path", "name").alias("path"), F.col("item").alias("value")).union(lists.select(key, F.concat(F.col("path"), F.lit("["), F.col("name").cast("string"), F.lit("]")).alias("path"), F.col("item").alias("value")))
-    return out
+    return rows.select(key, F.inline(_leaves_of(F.lit("$"), F.col(json), depth)))
 
 
 def manifest_diff(left: DataFrame, right: DataFrame, key: str, json: str, allowed: list[str], depth: int = 6) -> DataFrame:

@@ -50,6 +50,36 @@ def group_replicates(preds: DataFrame, replicates: int, seed: int) -> DataFrame:
     return picked.join(groups, "g").join(preds, "grp").select("run_id", "rep", "y", "pred")
 
 
+def signature_replicates(preds: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(run_id, rep, y, pred, n): whole groups drawn with replacement, over signatures. A group's signature is
+    its sorted counts per cell; groups that share it are alike, so a replicate draws how often each signature
+    comes, and its cost is that of the signatures, not of the rows. All groups' signatures of a run meet in one
+    task: classes x (classes + 1) cells for groups of one row, more for larger groups, few in practice."""
+    cells = preds.groupBy("run_id", "grp", "y", "pred").agg(F.count("*").alias("n"))
+    groups = cells.groupBy("run_id", "grp").agg(F.array_sort(F.collect_list(F.struct("y", "pred", "n"))).alias("cells"))
+    kinds = groups.groupBy("run_id", "cells").agg(F.count("*").alias("held"))
+
+    def draw(pdf):
+        import numpy as np
+        import pandas as pd
+
+        run = pdf["run_id"].iloc[0]
+        parts = [[(c["y"], c["pred"], c["n"]) for c in x] for x in pdf["cells"]]
+        order = sorted(range(len(parts)), key=lambda k: parts[k])
+        parts, held = [parts[k] for k in order], pdf["held"].to_numpy()[order]
+        names = sorted({c[:2] for p in parts for c in p})
+        place = {c: k for k, c in enumerate(names)}
+        table = np.zeros((len(parts), len(names)), np.int64)
+        for k, p in enumerate(parts):
+            for y, pred, n in p:
+                table[k, place[y, pred]] += n
+        out = np.random.default_rng([seed, *run.encode()]).multinomial(held.sum(), held / held.sum(), size=replicates) @ table
+        y, pred = (np.array([c[i] for c in names]) for i in (0, 1))
+        return pd.DataFrame({"run_id": run, "rep": np.repeat(np.arange(replicates), len(names)), "y": np.tile(y, replicates), "pred": np.tile(pred, replicates), "n": out.ravel()})
+
+    return kinds.groupBy("run_id").applyInPandas(draw, "run_id string, rep int, y int, pred int, n long")
+
+
 def intervals(rep_cells: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Percentile intervals of accuracy and macro-F1 from confusion cells per (run_id, rep)."""
     s = scores(rep_cells, ("run_id", "rep"))
@@ -64,12 +94,50 @@ def stratified_bootstrap(preds: DataFrame, n_classes: int, replicates: int, seed
     return intervals(multinomial_replicates(confusion(preds, n_classes), replicates, seed))
 
 
-def group_bootstrap(preds: DataFrame, n_classes: int, replicates: int, seed: int) -> DataFrame:
+def group_bootstrap(preds: DataFrame, n_classes: int, replicates: int, seed: int, mode: str = "signatures") -> DataFrame:
+    """Intervals from whole groups, with the range of rows a replicate drew. Mode ``hash`` draws group by group, the
+    same in any engine; it costs replicates x groups and is meant for checks."""
+    if mode == "signatures":
+        reps = signature_replicates(preds, replicates, seed)
+        size = reps.groupBy("run_id", "rep").agg(F.sum("n").alias("n")).groupBy("run_id").agg(F.min("n").alias("least_rows"), F.max("n").alias("most_rows"))
+        return intervals(reps).join(size, "run_id")
     return intervals(confusion(group_replicates(preds, replicates, seed), n_classes, ("run_id", "rep")))
 
 
+def paired_cells(preds: DataFrame, a: str, b: str, n_classes: int, replicates: int, seed: int) -> DataFrame:
+    """Interval of accuracy and macro-F1 of run a minus run b, each class's rows drawn over the joint cells of
+    both predictions: classes x (classes + 1)^2 cells, whatever the number of rows."""
+    x = preds.where(F.col("run_id") == a).select("row_id", "y", F.col("pred").alias("pa"))
+    z = preds.where(F.col("run_id") == b).select("row_id", F.col("pred").alias("pb"))
+    cells = x.join(z, "row_id").groupBy("y", "pa", "pb").agg(F.count("*").alias("n"))
+
+    def draw(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["y", "pa", "pb"])
+        y, pa, pb, n = (pdf[c].to_numpy() for c in ("y", "pa", "pb", "n"))
+        rng, reps = np.random.default_rng(seed), np.zeros((replicates, len(n)), np.int64)
+        for c in np.unique(y):
+            own = y == c
+            reps[:, own] = rng.multinomial(n[own].sum(), n[own] / n[own].sum(), size=replicates)
+
+        def scored(pred):
+            f1 = np.zeros(replicates)
+            for c in range(n_classes):
+                den = reps[:, y == c].sum(axis=1) + reps[:, pred == c].sum(axis=1)
+                f1 += np.where(den > 0, 2 * reps[:, (y == c) & (pred == c)].sum(axis=1) / np.maximum(den, 1), 0)
+            return reps[:, pred == y].sum(axis=1) / n.sum(), f1 / n_classes
+
+        accuracy, f1 = (p - q for p, q in zip(scored(pa), scored(pb), strict=True))
+        low, high = np.quantile(accuracy, [0.025, 0.975]), np.quantile(f1, [0.025, 0.975])
+        return pd.DataFrame({"accuracy_low": [low[0]], "accuracy_high": [low[1]], "macro_f1_low": [high[0]], "macro_f1_high": [high[1]]})
+
+    return cells.groupBy().applyInPandas(draw, "accuracy_low double, accuracy_high double, macro_f1_low double, macro_f1_high double")
+
+
 def paired_intervals(preds: DataFrame, a: str, b: str, n_classes: int, replicates: int, seed: int) -> DataFrame:
-    """Interval of accuracy and macro-F1 of run a minus run b on the same draws."""
+    """The same on indexed hash draws, for checks and small tables."""
     reps = scores(confusion(hash_replicates(preds.where(F.col("run_id").isin(a, b)), replicates, seed), n_classes, ("run_id", "rep")), ("run_id", "rep"))
     x, y = reps.where(F.col("run_id") == a), reps.where(F.col("run_id") == b)
     d = x.alias("x").join(y.alias("y"), F.col("x.rep") == F.col("y.rep")).select(*[(F.col(f"x.{c}") - F.col(f"y.{c}")).alias(c) for c in ("accuracy", "macro_f1")])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
+from .rank import quantiles
 
 
 def native_table(customer: DataFrame) -> DataFrame:
@@ -18,7 +19,9 @@ def native_table(customer: DataFrame) -> DataFrame:
 
 
 def _moments(train: DataFrame, column: str) -> DataFrame:
-    median = train.agg(F.coalesce(F.percentile(column, 0.5), F.lit(0.0)).alias("median"))
+    some = quantiles(train, [], column, {"m": 0.5})
+    # one row, also where training has no value at all
+    median = some.agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("median"))
     filled = train.select(column).crossJoin(F.broadcast(median)).withColumn("v", F.coalesce(column, "median"))
     return filled.agg(F.first("median").alias("median"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("scale"))
 

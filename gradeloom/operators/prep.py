@@ -19,18 +19,44 @@ def overlap_filter(rows: DataFrame, holdout: DataFrame, removed: bool = False) -
     return rows.join(keys, "norm", "left_semi" if removed else "left_anti")
 
 
+def _shares(pdf, limit: int):
+    """Quotas of one table of class counts. The cut level of the priorities is found by bisection; what is
+    left, a few rows a class, is given out one by one."""
+    import heapq
+
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("label")
+    label, n = pdf["label"].tolist(), pdf["n"].to_numpy(np.int64)
+    t = limit * n / n.sum()
+    need = min(max(limit - len(n), 0), int((n - 1).sum()))
+
+    def above(level: float):
+        return np.clip(np.ceil(t - level) - 1, 0, n - 1).astype(np.int64)
+
+    low, high = float(t.min() - n.max() - 1), float(t.max())
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if above(mid).sum() <= need else (mid, high)
+    more = np.maximum(above(high) - 1, 0)
+    heap = [(-(t[c] - (more[c] + 1)), label[c], c) for c in range(len(n)) if more[c] < n[c] - 1]
+    heapq.heapify(heap)
+    for _ in range(need - int(more.sum())):
+        _, _, c = heapq.heappop(heap)
+        more[c] += 1
+        if more[c] < n[c] - 1:
+            heapq.heappush(heap, (-(t[c] - (more[c] + 1)), label[c], c))
+    return pd.DataFrame({"label": label, "quota": 1 + more})
+
+
 def quotas(counts: DataFrame, limit: int) -> DataFrame:
     """(label, quota) from ``counts(label, n)``: proportional, one each at least, ``limit`` in all.
 
     A class's target share is limit * n / total; after one row each, the limit - C largest priorities
-    target - j (j = 1..n-1) get a row, ties to the lower label. The table has a row per class."""
-    every = Window.partitionBy()
-    target = counts.withColumn("t", limit * F.col("n") / F.sum("n").over(every)).withColumn("c", F.count("*").over(every))
-    wanted = F.least(F.col("n"), F.lit(limit))
-    steps = target.select("label", "t", "c", F.explode(F.when(wanted > 1, F.sequence(F.lit(1), wanted.cast("int") - 1)).otherwise(F.array(F.lit(0)))).alias("j"))
-    order = Window.orderBy(F.desc(F.when(F.col("j") > 0, F.col("t") - F.col("j")).otherwise(F.lit(float("-inf")))), "label", "j")
-    given = steps.withColumn("r", F.row_number().over(order)).where((F.col("j") > 0) & (F.col("r") <= F.lit(limit) - F.col("c")))
-    return counts.join(given.groupBy("label").agg(F.count("*").alias("more")), "label", "left").select("label", (1 + F.coalesce("more", F.lit(0))).alias("quota"))
+    target - j (j = 1..n-1) get a row, ties to the lower label. Only the table of classes is touched."""
+    one = counts.select(F.col("label").cast("int").alias("label"), F.col("n").cast("long").alias("n"))
+    return one.groupBy().applyInPandas(lambda pdf: _shares(pdf, limit), "label int, quota long")
 
 
 def hash_ranked(rows: DataFrame, seed, by: list[str], key: str = "row_id") -> DataFrame:

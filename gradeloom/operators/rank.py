@@ -44,3 +44,25 @@ def running_total(df: DataFrame, by: list[str], bucket: Column, order: list, amo
     placed = _placed(df.withColumn("__bucket", bucket), by, F.col(amount))
     before = Window.partitionBy(*by, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn(name, F.col("__off") + F.coalesce(F.sum(amount).over(before), F.lit(0))).drop("__off", "__bucket")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], buckets: int = 1024) -> DataFrame:
+    """``by`` and a column per entry of ``at``: exact quantiles with linear interpolation, from counts per
+    distinct value and their prefix sums, so no group's values meet in one buffer. Nulls are left out."""
+    keys = [F.col(c).alias(f"__b{k}") for k, c in enumerate(by)]
+    rows = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(0).alias("__b0")]), F.col(value).cast("double").alias("__v"))
+    names = [f"__b{k}" for k in range(max(len(by), 1))]
+    per = rows.groupBy(*names, "__v").agg(F.count("*").alias("__c"))
+    span = per.groupBy(*names).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__all"))
+    same = reduce(lambda a, b: a & b, [per[n].eqNullSafe(span[n]) for n in names])
+    per = per.join(span, same).drop(*[span[n] for n in names])
+    bucket = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets)).otherwise(F.lit(0).cast("long"))
+    per = running_total(per, names, bucket, ["__v"], "__c", "__before")
+    picks = []
+    for name, q in at.items():
+        place = (F.col("__all") - 1) * F.lit(q)
+        for side, k in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__v"))).alias(f"__{name}_{side}"))
+    out = per.groupBy(*names).agg(F.first("__all").alias("__all"), *picks)
+    between = [(F.col(f"__{n}_lo") + (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")) * ((F.col("__all") - 1) * F.lit(q) - F.floor((F.col("__all") - 1) * F.lit(q)))).alias(n) for n, q in at.items()]
+    return out.select(*[F.col(f"__b{k}").alias(c) for k, c in enumerate(by)], *between)

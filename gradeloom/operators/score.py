@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FAILED, ratio, total
-from .rank import running_total
+from .rank import quantiles, running_total
 
 
 def alignment(test: DataFrame, preds: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def usage(preds: DataFrame) -> DataFrame:
 
 
 def latency(preds: DataFrame) -> DataFrame:
-    return preds.where("latency_s >= 0").groupBy("run_id").agg(F.percentile("latency_s", 0.5).alias("p50"), F.percentile("latency_s", 0.95).alias("p95"), F.sum("latency_s").alias("total_s"))
+    rows = preds.where("latency_s >= 0")
+    return quantiles(rows, ["run_id"], "latency_s", {"p50": 0.5, "p95": 0.95}).join(rows.groupBy("run_id").agg(F.sum("latency_s").alias("total_s")), "run_id")
 
 
 def with_probabilities(preds: DataFrame) -> DataFrame:
@@ -106,17 +107,26 @@ def missing_classes(preds: DataFrame, n_classes: int) -> DataFrame:
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count_distinct(value).alias("n_unique")).select(*by, "n", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("p75"), "max", "mean", "std", "n_unique")
+    q = quantiles(rows, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    per = rows.groupBy(*by, value).agg(F.count(value).alias("__n"))
+    moments = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    unique = per.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n_unique"))
+    return moments.join(q, by).join(unique, by).select(*by, "n", "min", "p25", "median", "p75", "max", "mean", "std", "n_unique")
 
 
 def confidence_profile(preds: DataFrame) -> DataFrame:
-    """Per run and correctness: n, mean top, mean margin, mean normalized entropy, saturated, tied."""
+    """Per run and correctness: n, mean top, mean margin, mean normalized entropy, counts of saturated, tied
+    and zero entries, distinct vectors, classes chosen, and the share of the most chosen class."""
     desc = F.sort_array("q", asc=False)
     rows = with_probabilities(preds).withColumn("d", desc)
     entropy = -total(F.transform("q", lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0))) / F.ln(F.size("q"))
-    rows = rows.select("run_id", (F.col("pred") == F.col("y")).alias("correct"), "conf", (F.get("d", F.lit(0)) - F.get("d", F.lit(1))).alias("margin"), entropy.alias("entropy"))
-    return rows.groupBy("run_id", "correct").agg(F.count("*").alias("n"), F.avg("conf").alias("top"), F.avg("margin").alias("margin"), F.avg("entropy").alias("entropy"), F.count_if(F.col("conf") >= 0.99).alias("saturated"), F.count_if(F.col("margin") == 0).alias("tied"))
+    vector = F.md5(F.concat_ws(",", F.transform("q", lambda x: F.round(x, 9).cast("string"))))
+    rows = rows.select("run_id", (F.col("pred") == F.col("y")).alias("correct"), "pred", "conf", (F.get("d", F.lit(0)) - F.get("d", F.lit(1))).alias("margin"), entropy.alias("entropy"), F.size(F.filter("q", lambda x: x == 0)).alias("zeros"), vector.alias("vector"))
+    per = rows.groupBy("run_id", "correct").agg(F.count("*").alias("n"), F.avg("conf").alias("top"), F.avg("margin").alias("margin"), F.avg("entropy").alias("entropy"), F.count_if(F.col("conf") >= 0.99).alias("saturated"), F.count_if(F.col("margin") == 0).alias("tied"), F.sum("zeros").alias("zero_entries"))
+    vectors = rows.select("run_id", "correct", "vector").distinct().groupBy("run_id", "correct").agg(F.count("*").alias("unique_vectors"))
+    chosen = rows.groupBy("run_id", "correct", "pred").agg(F.count("*").alias("k")).groupBy("run_id", "correct").agg(F.count("*").alias("classes_chosen"), F.max("k").alias("most"))
+    out = per.join(vectors, ["run_id", "correct"]).join(chosen, ["run_id", "correct"])
+    return out.withColumns({"dominant_share": F.col("most") / F.col("n"), "constant_class": F.col("classes_chosen") == 1}).drop("most")
 
 
 def decision_fingerprints(preds: DataFrame) -> DataFrame:

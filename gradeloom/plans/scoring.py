@@ -111,9 +111,9 @@ def m15(spark, d):
     return rounded(score.distribution(predictions(spark, d), ["run_id"], "latency_s"), "p25", "median", "p75", "mean", "std", digits=8)
 
 
-@query("m16_confidence_profile", PROB + ", sr AS (SELECT *, list_sort(q, 'DESC') AS s FROM pq) SELECT run_id, pred = y AS correct, count(*) AS n, round(avg(conf), 8) AS top, round(avg(s[1] - s[2]), 8) AS margin, round(avg(-list_sum(list_transform(q, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(4)), 8) AS entropy, count(*) FILTER (WHERE conf >= 0.99) AS saturated, count(*) FILTER (WHERE s[1] = s[2]) AS tied FROM sr GROUP BY 1, 2")
+@query("m16_confidence_profile", PROB + ", sr AS (SELECT *, pred = y AS correct, list_sort(q, 'DESC') AS s FROM pq), dk AS (SELECT run_id, correct, max(k) AS k FROM (SELECT run_id, correct, pred, count(*) AS k FROM sr GROUP BY ALL) GROUP BY ALL) SELECT run_id, correct, count(*) AS n, round(avg(conf), 8) AS top, round(avg(s[1] - s[2]), 8) AS margin, round(avg(-list_sum(list_transform(q, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(4)), 8) AS entropy, count(*) FILTER (WHERE conf >= 0.99) AS saturated, count(*) FILTER (WHERE s[1] = s[2]) AS tied, CAST(sum(len(list_filter(q, lambda x: x = 0))) AS BIGINT) AS zero_entries, count(DISTINCT list_transform(q, lambda x: round(x, 9))) AS unique_vectors, count(DISTINCT pred) AS classes_chosen, round(max(dk.k) / count(*), 8) AS dominant_share, count(DISTINCT pred) = 1 AS constant_class FROM sr JOIN dk USING (run_id, correct) GROUP BY 1, 2")
 def m16(spark, d):
-    return rounded(score.confidence_profile(predictions(spark, d)), "top", "margin", "entropy", digits=8)
+    return rounded(score.confidence_profile(predictions(spark, d)), "top", "margin", "entropy", "dominant_share", digits=8)
 
 
 @query("m17_error_detection", PROB + ", hits AS (SELECT run_id, 1 - conf AS s, CAST(pred <> y AS INTEGER) AS h FROM pq)" + AUC)
@@ -239,11 +239,22 @@ def b01p(spark, d):
     return rounded(boot.paired_intervals(predictions(spark, d), "review", "base", N_CLASSES, 100, 42), *_CI, digits=8)
 
 
-@query("b02_group_boot", CONF + f""", gp AS (SELECT pred.*, sha256(norm) AS grp FROM pred JOIN ex USING (row_id)), gs AS (SELECT grp, row_number() OVER (ORDER BY grp) AS g, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM gp)), rp AS (SELECT CAST(unnest(generate_series(0, 49)) AS INTEGER) AS rep),
+@query("b02_group_boot", CONF + f""", gp AS (SELECT pred.*, sha256(norm) AS grp FROM pred JOIN ex USING (row_id)), gs AS (SELECT grp, row_number() OVER (ORDER BY grp) AS g, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM gp)), rp AS (SELECT CAST(unnest(generate_series(0, 99)) AS INTEGER) AS rep),
 dr AS (SELECT rep, {u("'7'", "(rep || ':' || g)")} % n + 1 AS g FROM gs, rp), bs AS (SELECT run_id, rep, y, pred, count(*) AS n FROM dr JOIN gs USING (g) JOIN gp USING (grp) GROUP BY ALL), {PC_REP} {QUANT} FROM sc GROUP BY 1""")
 def b02(spark, d):
     keys = examples(spark, d).select("row_id", F.sha2("norm", 256).alias("grp"))
-    return rounded(boot.group_bootstrap(predictions(spark, d).join(keys, "row_id"), N_CLASSES, 50, 7), *_CI, digits=8)
+    return rounded(boot.group_bootstrap(predictions(spark, d).join(keys, "row_id"), N_CLASSES, 100, 7, "hash"), *_CI, digits=8)
+
+
+@query("b02_group_signatures")
+def b02s(spark, d):
+    keys = examples(spark, d).select("row_id", F.sha2("norm", 256).alias("grp"))
+    return boot.group_bootstrap(predictions(spark, d).join(keys, "row_id"), N_CLASSES, 2000, 42)
+
+
+@query("b01_paired_cells")
+def b01c(spark, d):
+    return boot.paired_cells(predictions(spark, d), "review", "base", N_CLASSES, 2000, 42)
 
 
 @query("b03_group_keys", VIEWS + "SELECT row_id, sha256(norm) AS group_sha256, sha256(text) AS raw_sha256 FROM ex WHERE source_split = 'test'")

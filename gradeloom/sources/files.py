@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialized(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back, where several parts of a plan read them."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, recode: dict[str, dict[str, str]] | None = None, header: bool = True) -> DataFrame:
     """A CSV table with declared columns. Null markers become null in every column before it takes its type;
     ``recode`` maps the codes of a column to names (codes it lacks become null)."""
