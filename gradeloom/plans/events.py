@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
 from ..operators import events, score
+from ..sources.files import shared_folder
 from ..streaming import streams
 from .registry import query
 from .scoring import CONF, KIND, per_class_sql, rounded
@@ -239,6 +240,33 @@ def t03(spark, d):
     return streams.halts(streams.source(spark, d, "events"), "user_id", "event_id", "event_type", "error")
 
 
-@query("t05_progress", "SELECT event_type, count(*) AS saved FROM events GROUP BY 1")
+@query("t05_progress", "SELECT user_id % 8 AS cohort, count(*) FILTER (WHERE event_type <> 'error') AS saved, count(*) AS expected, count(*) FILTER (WHERE event_type = 'error') = 0 AS complete FROM events GROUP BY 1")
 def t05(spark, d):
-    return streams.progress(streams.source(spark, d, "events"), "event_type")
+    cohort = (F.col("user_id") % 8).alias("cohort")
+    expected = table(spark, d, "events").groupBy(cohort).agg(F.count("*").alias("expected"))
+    saved = streams.source(spark, d, "events").where("event_type <> 'error'").select(cohort)
+    return streams.progress(saved, "cohort", expected)
+
+
+@query("t02_ledger_machine", RES + " SELECT ledger_id, count(*) AS admitted, 0::BIGINT AS refused, count(charged) AS settled, 0::BIGINT AS violations, CAST(sum(coalesce(charged, 0)) + sum(CASE WHEN charged IS NULL THEN reserved ELSE 0 END) AS BIGINT) AS balance_nano FROM r GROUP BY 1")
+def t02(spark, d):
+    """A cap that refuses nothing: the replayed balance equals the batch balance."""
+    path = shared_folder(spark, "ledger-events")
+    ledger(spark, d).write.parquet(path)
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = streams.ledger_machine(rows, 10**18)
+    n = lambda k: F.count_if(F.col("status") == k)
+    return out.groupBy("ledger_id").agg(n("admitted").alias("admitted"), n("refused").alias("refused"), n("settled").alias("settled"), n("violation").alias("violations"), F.max_by("balance_nano", "seq").alias("balance_nano"))
+
+
+@query("t04_open_reservations", "SELECT event_id FROM events WHERE event_type = 'signup'")
+def t04(spark, d):
+    """Reserves whose event brings no result; a last event far ahead lets the watermarks pass all others."""
+    path = shared_folder(spark, "reservations")
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "signup").alias("answered"))
+    e.write.parquet(f"{path}/a")
+    last = F.max("ts") + F.expr("interval 30 days")
+    e.agg(last.alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(True).alias("answered")).write.parquet(f"{path}/b")
+    rows = lambda: spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/*")
+    out = streams.open_reservations(rows(), rows().where("answered"), "event_id", "ts")
+    return out.where("event_id >= 0").select("event_id")

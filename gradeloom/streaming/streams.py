@@ -1,18 +1,15 @@
 """Append-only event processing with Structured Streaming. Each function drains what is available and
-returns a batch view of its sink; checkpoint and sink live in the shared folder, so a rerun resumes."""
+returns a batch view of its sink. Checkpoint and sink live below ``place``, a folder named by the caller: a
+rerun with the same one goes on where the last stopped. Without a name each call starts anew."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _place(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.files import shared_folder
 
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,31 +21,52 @@ def source(spark: SparkSession, d: str, name: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp") for c, t in batch.dtypes if t == "timestamp_ntz"})
 
 
+def _place(rows: DataFrame, place: str | None) -> str:
+    return place or shared_folder(rows.sparkSession, "stream")
+
+
 def _drained(rows: DataFrame, place: str) -> DataFrame:
     rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/out").awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{place}/out")
 
 
-def resume(rows: DataFrame, saved: DataFrame, key: str) -> DataFrame:
-    """Rows without a saved result, each once."""
-    return _drained(rows.join(saved, key, "left_anti").dropDuplicates([key]), _place(rows.sparkSession))
+def resume(rows: DataFrame, saved: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """Rows without a saved result, each once. What the sink already has is looked up there, so no state
+    grows with the stream; each batch overwrites a folder of its own, so a repeated batch changes nothing."""
+    place, spark = _place(rows, place), rows.sparkSession
 
+    def keep(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number:
+            before = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out").where(F.col("batch") < number)
+            fresh = fresh.join(before.select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-def progress(rows: DataFrame, by: str) -> DataFrame:
-    """Counts per condition, kept as the newest snapshot of a running aggregation."""
-    place, spark = _place(rows.sparkSession), rows.sparkSession
+    left = rows.join(saved, key, "left_anti")
+    left.writeStream.option("checkpointLocation", f"{place}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out").drop("batch")
+
+
+def progress(rows: DataFrame, by: str, expected: DataFrame | None = None, place: str | None = None) -> DataFrame:
+    """Counts per condition, kept as the newest snapshot of a running aggregation; with ``expected(by, expected)``
+    joined to the grid: saved, expected and whether the condition is complete."""
+    place, spark = _place(rows, place), rows.sparkSession
 
     def snapshot(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{place}/snapshot")
 
     counts = rows.groupBy(by).agg(F.count("*").alias("saved"))
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/checkpoint").foreachBatch(snapshot).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/snapshot")
+    now = spark.read.parquet(f"{place}/snapshot")
+    if expected is None:
+        return now
+    return expected.join(now, by, "left").withColumn("saved", F.coalesce("saved", F.lit(0))).withColumn("complete", F.col("saved") == F.col("expected"))
 
 
-def halts(rows: DataFrame, by: str, order: str, kind: str, bad: str, streak: int = 3) -> DataFrame:
-    """Per group, the first row that ends ``streak`` bad rows in a row: keyed state holds the current run
-    of bad rows and whether the group has stopped; rows of a micro-batch are taken in ``order``."""
+def halts(rows: DataFrame, by: str, order: str, kind: str, bad: str, streak: int = 3, stop: str | None = None, place: str | None = None) -> DataFrame:
+    """Per group, the first row that ends ``streak`` bad rows in a row, or is of kind ``stop`` (a billing error): keyed
+    state holds the current run of bad rows and whether the group has stopped; rows of a micro-batch are
+    taken in ``order``."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(key, batches, state):
@@ -59,11 +77,57 @@ def halts(rows: DataFrame, by: str, order: str, kind: str, bad: str, streak: int
         found = []
         for at, what in zip(pdf[order], pdf[kind], strict=True):
             run = run + 1 if what == bad else 0
-            if run >= streak and not stopped:
+            if (run >= streak or (stop is not None and what == stop)) and not stopped:
                 stopped = True
                 found.append(at)
         state.update((run, stopped))
         yield pd.DataFrame({by: [key[0]] * len(found), "halted_at": found})
 
     out = rows.select(by, order, kind).groupBy(by).applyInPandasWithState(step, f"{by} long, halted_at long", "run int, stopped boolean", "append", GroupStateTimeout.NoTimeout)
-    return _drained(out, _place(rows.sparkSession))
+    return _drained(out, _place(rows, place))
+
+
+def ledger_machine(rows: DataFrame, cap_nano: int, place: str | None = None) -> DataFrame:
+    """(ledger_id, seq, status, balance_nano) per event: reserves are admitted or refused against the cap (a
+    refused one holds nothing), results and settlements of reservations that are not open are violations, a
+    settlement gives back what it did not charge. State per ledger: balance and open reservations."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        balance, open_ = state.get if state.exists else (0, "{}")
+        held, out = json.loads(open_), []
+        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+            rid = str(r.reservation_id)
+            if r.type == "reserve":
+                ok = rid not in held and balance + int(r.reserved_nano) <= cap_nano
+                status = "admitted" if ok else "violation" if rid in held else "refused"
+                if ok:
+                    held[rid] = int(r.reserved_nano)
+                    balance += held[rid]
+            elif rid not in held:
+                status = "violation"
+            elif r.type == "result":
+                status = "answered"
+            else:
+                status = "settled" if int(r.charged_nano) <= held[rid] else "violation"
+                if status == "settled":
+                    balance += int(r.charged_nano) - held.pop(rid)
+            out.append((key[0], int(r.seq), status, balance))
+        state.update((balance, json.dumps(held)))
+        yield pd.DataFrame(out, columns=["ledger_id", "seq", "status", "balance_nano"])
+
+    events = rows.select("ledger_id", "seq", "type", "reservation_id", "reserved_nano", "charged_nano")
+    out = events.groupBy("ledger_id").applyInPandasWithState(step, "ledger_id long, seq long, status string, balance_nano long", "balance long, held string", "append", GroupStateTimeout.NoTimeout)
+    return _drained(out, _place(rows, place))
+
+
+def open_reservations(reserves: DataFrame, results: DataFrame, key: str, time: str, within: str = "1 hour", late: str = "10 minutes", place: str | None = None) -> DataFrame:
+    """Reserves without a result within the time bound: a left outer join of two streams, whose state is dropped
+    as the watermarks pass. Rows of the last ``within`` + ``late`` are undecided until later events come."""
+    a = reserves.select(F.col(key).alias("k"), F.col(time).alias("reserved_at")).withWatermark("reserved_at", late)
+    b = results.select(F.col(key).alias("rk"), F.col(time).alias("result_at")).withWatermark("result_at", late)
+    on = (F.col("k") == F.col("rk")) & (F.col("result_at") >= F.col("reserved_at")) & (F.col("result_at") <= F.col("reserved_at") + F.expr(f"interval {within}"))
+    joined = a.join(b, on, "left_outer")
+    return _drained(joined, _place(reserves, place)).where("rk is null").select(F.col("k").alias(key), "reserved_at")
