@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
+from ..sources.files import materialized
 from .rank import quantiles
 
 
@@ -61,50 +62,94 @@ def word_terms(rows: DataFrame) -> DataFrame:
 
 def char_terms(rows: DataFrame, low: int, high: int) -> DataFrame:
     """Grams of ``low`` to ``high`` characters within blank-padded words; a word not longer than n counts
-    once and ends the sizes."""
+    once and ends the sizes. Words are counted first, so that each is cut into grams once a document."""
     words = F.filter(F.split(F.lower("text"), r"[ \t\n\r\f\x0b]+"), lambda w: w != "")
-    padded = rows.select("row_id", F.explode(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))).alias("w"))
-    out = None
-    for n in range(low, high + 1):
-        some = padded if n == low else padded.where(F.length("w") >= n)
-        grams = F.when(F.length("w") <= n, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substr(F.col("w"), i, F.lit(n))))
-        part = some.select("row_id", F.explode(grams).alias("term"))
-        out = part if out is None else out.union(part)
-    return out
+    padded = rows.select("row_id", "source_split", "label", F.explode(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))).alias("w"))
+    padded = padded.groupBy("row_id", "source_split", "label", "w").agg(F.count("*").alias("times"))
+    sizes = F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), F.length("w"))))
+    grams = F.flatten(F.transform(sizes, lambda n: F.when(F.length("w") <= n, F.array("w")).otherwise(F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substr(F.col("w"), i, n)))))
+    return padded.select("row_id", "source_split", "label", "times", F.explode(grams).alias("term"))
 
 
 def term_counts(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("row_id", "source_split", "label", "term").agg(F.count("*").alias("tf"))
+    n = F.sum("times") if "times" in terms.columns else F.count("*")
+    return terms.groupBy("row_id", "source_split", "label", "term").agg(n.alias("tf"))
 
 
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:
-    """The most frequent terms of training counts, with their document frequency."""
+    """The most frequent terms of training counts, with their document frequency: ``size`` rows at most."""
     per = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
     return per.orderBy(F.desc("total"), "term").limit(size).select("term", "df")
 
 
 def tfidf(terms: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(row_id, term, w): sublinear tf, smooth idf of the training rows, unit length."""
-    counts = term_counts(terms)
+    """(row_id, term, w): sublinear tf, smooth idf of the training rows, unit length. Counts are written once, as
+    the vocabulary and the weights both read them; the vocabulary's size is bounded, so it is broadcast."""
+    counts = materialized(term_counts(terms), "term-counts")
     vocab = vocabulary(counts.where("source_split = 'train'"), size)
     n = rows.where("source_split = 'train'").agg(F.count("*").alias("n"))
     w = (1 + F.ln("tf")) * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)
-    weighted = counts.join(vocab, "term").crossJoin(F.broadcast(n)).select("row_id", "term", w.alias("w"))
+    weighted = materialized(counts.join(F.broadcast(vocab), "term").crossJoin(F.broadcast(n)).select("row_id", "term", w.alias("w")), "term-weights")
     norm = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighted.join(norm, "row_id").select("row_id", "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def fit_predict(method: str, train: DataFrame, test: DataFrame, features: int = 1 << 14) -> DataFrame:
-    """(row_id, y, label, probabilities) of a text baseline on hashed word TF-IDF."""
+def union_features(parts: dict[str, DataFrame]) -> DataFrame:
+    """Feature tables side by side: terms carry the name of their part."""
+    out = None
+    for name, part in parts.items():
+        named = part.select("row_id", F.concat(F.lit(f"{name}:"), "term").alias("term"), "w")
+        out = named if out is None else out.union(named)
+    return out
+
+
+def naive_bayes(counts: DataFrame, vocab: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(row_id, label) of the test rows of ``counts``: multinomial naive Bayes over the terms of the vocabulary,
+    fitted on its train rows; ties go to the lower class."""
+    counts = counts.join(F.broadcast(vocab.select("term")), "term")
+    train = counts.where("source_split = 'train'")
+    size = vocab.agg(F.count("*").alias("v"))
+    sums = train.groupBy(F.col("label").alias("c"), "term").agg(F.sum("tf").alias("k"))
+    # a row per class
+    classes = train.groupBy(F.col("label").alias("c")).agg(F.sum("tf").alias("total"), F.count_distinct("row_id").alias("rows")).crossJoin(F.broadcast(size))
+    classes = F.broadcast(classes.withColumn("floor", F.ln(F.lit(alpha) / (F.col("total") + alpha * F.col("v")))))
+    test = counts.where("source_split = 'test'").select("row_id", "term", "tf")
+    # every class gives each of the row's words its floor; terms seen in a class lift it
+    lifted = test.join(sums, "term").join(classes.select("c", "total", "v"), "c")
+    lift = F.sum(F.col("tf") * (F.ln((F.col("k") + alpha) / (F.col("total") + alpha * F.col("v"))) - F.ln(F.lit(alpha) / (F.col("total") + alpha * F.col("v")))))
+    lifts = lifted.groupBy("row_id", "c").agg(lift.alias("lift"))
+    words = test.groupBy("row_id").agg(F.sum("tf").alias("words"))
+    per = words.crossJoin(classes).join(lifts, ["row_id", "c"], "left")
+    score = F.ln("rows") + F.col("words") * F.col("floor") + F.coalesce("lift", F.lit(0.0))
+    return per.groupBy("row_id").agg(F.min_by("c", F.struct(F.round(-score, 6).alias("s"), "c")).alias("label"))
+
+
+def tuned(train: DataFrame, validation: DataFrame, test: DataFrame, candidates: list[tuple[str, float]], n_classes: int) -> tuple[DataFrame, DataFrame]:
+    """(predictions, trials): each candidate (method, strength) is fitted on train rows and scored by macro-F1 on
+    validation rows; the first best one predicts the test rows. Test labels are not looked at."""
+    from .score import confusion, scores
+
+    spark, trials = train.sparkSession, []
+    for k, (method, strength) in enumerate(candidates):
+        out = fit_predict(method, train, validation, strength=strength).select(F.lit(str(k)).alias("run_id"), "y", F.col("label").alias("pred"))
+        trials.append((k, method, strength, scores(confusion(out, n_classes)).first()["macro_f1"]))
+    best = min(trials, key=lambda t: (-t[3], t[0]))
+    listed = [F.struct(F.lit(k).alias("trial"), F.lit(m).alias("method"), F.lit(s).alias("strength"), F.lit(f).alias("macro_f1"), F.lit(k == best[0]).alias("chosen")) for k, m, s, f in trials]
+    return fit_predict(best[1], train, test, strength=best[2]), spark.range(1).select(F.inline(F.array(*listed)))
+
+
+def fit_predict(method: str, train: DataFrame, test: DataFrame, features: int = 1 << 14, strength: float = 1.0) -> DataFrame:
+    """(row_id, y, label, probabilities) of a text baseline on hashed word TF-IDF. ``strength`` is the inverse
+    regularization of the linear models and the smoothing of naive Bayes."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
 
     models = {
-        "logistic": lambda: LogisticRegression(family="multinomial", regParam=0.001, standardization=False, maxIter=30),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20)),
-        "bayes": lambda: NaiveBayes(smoothing=1.0),
+        "logistic": lambda: LogisticRegression(family="multinomial", regParam=0.001 / strength, standardization=False, maxIter=30),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.001 / strength)),
+        "bayes": lambda: NaiveBayes(smoothing=strength),
     }
     stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), HashingTF(inputCol="words", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="features"), models[method]()]
     cols = ["row_id", "text", F.col("label").cast("double").alias("label")]
@@ -114,12 +159,17 @@ def fit_predict(method: str, train: DataFrame, test: DataFrame, features: int =
 
 
 def fit_predict_native(method: str, train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30) -> DataFrame:
-    """(row_id, y, label) of a forest on the imputed numeric and one-hot categorical features."""
+    """(row_id, y, label) of a forest, or of boosted trees one class against the rest, on the imputed numeric
+    and one-hot categorical features."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
+    models = {
+        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42),
+        "boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42)),
+    }
     a, b = standardize(train, train, "acctbal"), standardize(test, train, "acctbal")
-    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42)]
+    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), models[method]()]
     out = Pipeline(stages=stages).fit(a).transform(b)
     return out.select("row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,20 +39,39 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"^\{\"v\":(.*)\}$", 1)
 
 
-def build_prompts(rows: DataFrame, demos: DataFrame, chars: int) -> DataFrame:
-    """``rows`` with ``prompt``: one line per demonstration, then the row's own. The demonstrations are k
-    per class, made into one text once."""
-    line = F.concat(F.lit('{"text":'), _quoted(F.substring("norm", 1, chars)), F.lit(',"label":'), F.col("label").cast("string"), F.lit("}"))
+def _demo_head(demos: DataFrame) -> DataFrame:
+    """The demonstrations (k per class) as one text, a line each."""
+    line = F.concat(F.lit('{"text":'), _quoted(F.col("norm")), F.lit(',"label":'), F.col("label").cast("string"), F.lit("}"))
     head = demos.select(F.struct("label", "rank", line.alias("line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    head = head.select(F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("head"))
-    own = F.concat(F.lit('{"text":'), _quoted(F.substring("norm", 1, chars)), F.lit("}"))
-    return rows.crossJoin(F.broadcast(head)).withColumn("prompt", F.concat_ws("\n", "head", own)).drop("head")
+    return head.select(F.array_join(F.transform("xs", lambda x: x["line"]), "\n").alias("head"))
 
 
-def review_prompts(source: DataFrame) -> DataFrame:
-    """A prompt naming the proposed class; rows whose source failed keep an error instead."""
+def build_prompts(rows: DataFrame, demos: DataFrame, labels: list[str], instruction: str) -> DataFrame:
+    """``rows`` with ``prompt``: the instruction, the class map, a line per demonstration, then the row's own text.
+    Texts are whole; a row never comes with its own demonstration, and its label is not used."""
+    classes = json.dumps({str(k): v for k, v in enumerate(labels)}, separators=(",", ":"), ensure_ascii=False)
+    own = F.concat(F.lit('{"text":'), _quoted(F.col("norm")), F.lit("}"))
+    rows = rows.join(F.broadcast(demos.select("row_id")), "row_id", "left_anti")
+    return rows.crossJoin(F.broadcast(_demo_head(demos))).withColumn("prompt", F.concat_ws("\n", F.lit(instruction), F.lit(classes), "head", own)).drop("head")
+
+
+def proposal_slot(proposal: Column) -> Column:
+    """The sentence that names the proposed class; without one the slot says so."""
+    return F.concat(F.lit("Proposed class: "), F.coalesce(proposal.cast("string"), F.lit("none")))
+
+
+def review_prompts(source: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The classification prompt with the proposed class; rows whose source failed keep an error instead."""
     ok = F.col("pred") >= 0
-    return source.select("row_id", F.when(ok, F.concat(F.lit("Proposed class: "), F.col("pred").cast("string"))).alias("prompt"), F.when(~ok, "source_proposal_failed").alias("error"))
+    both = source.select("row_id", "pred").join(prompts.select("row_id", "prompt"), "row_id")
+    return both.select("row_id", F.when(ok, F.concat_ws("\n", "prompt", proposal_slot(F.col("pred")))).alias("prompt"), F.when(~ok, "source_proposal_failed").alias("error"))
+
+
+def control_prompts(plan: DataFrame, prompts: DataFrame, closing: str = "Answer with the class number.") -> DataFrame:
+    """``plan`` with ``prompt``, and its parts before and behind the slot as cut from the prompt itself."""
+    rows = plan.join(prompts.select("row_id", F.col("prompt").alias("base")), "row_id").withColumn("prompt", F.concat_ws("\n", "base", proposal_slot(F.col("proposal")), F.lit(closing)))
+    at = F.length("prompt") - F.length(F.substring_index("prompt", "\nProposed class: ", -1))
+    return rows.withColumns({"before": F.substr(F.col("prompt"), F.lit(1), at), "behind": F.substring_index("prompt", "\n", -1)}).drop("base")
 
 
 def donors(cases: DataFrame) -> DataFrame:

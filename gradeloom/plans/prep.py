@@ -206,29 +206,62 @@ def f07(spark, d):
 _TERMS = r"""tok AS (SELECT row_id, source_split, label, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM ex),
 tm AS (SELECT row_id, source_split, label, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok),
 tf AS (SELECT row_id, source_split, label, term, count(*) AS tf FROM tm GROUP BY ALL),
-vocab AS (SELECT term, count(*) AS df FROM tf WHERE source_split = 'train' GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 2000),
-nd AS (SELECT count(*) AS n FROM ex WHERE source_split = 'train')"""
+vocab AS (SELECT term, count(*) AS df FROM tf WHERE source_split = 'train' GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 60000),
+nd AS (SELECT count(*) AS n FROM ex WHERE source_split = 'train'), ww AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), nd)"""
+_GRAMS = r"""wd AS (SELECT row_id, source_split, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0b]+'), lambda x: x <> '')) AS w FROM ex), pw AS (SELECT row_id, source_split, ' ' || w || ' ' AS w, count(*) AS times FROM wd GROUP BY 1, 2, 3),
+gn AS (SELECT *, unnest([3, 4, 5]) AS z FROM pw), gg AS (SELECT row_id, source_split, times, unnest(CASE WHEN length(w) <= z THEN [w] ELSE list_transform(generate_series(1, length(w) - z + 1), lambda i: substr(w, i, z)) END) AS term FROM gn WHERE z = 3 OR length(w) >= z),
+gf AS (SELECT row_id, source_split, term, sum(times) AS tf FROM gg GROUP BY ALL), gv AS (SELECT term, count(*) AS df FROM gf WHERE source_split = 'train' GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 80000),
+gd AS (SELECT count(*) AS n FROM ex WHERE source_split = 'train'), gw AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM gf JOIN gv USING (term), gd)"""
 
 
-@query("f01_word_tfidf", VIEWS + f", {_TERMS}, w AS (SELECT row_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN vocab USING (term), nd) SELECT row_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY row_id)), 8) AS w FROM w")
+def _digest_sql(src: str, name: str = "term") -> str:
+    """Per row: terms, sum of weights, and a checksum that names each term with its weight in millionths."""
+    return f"SELECT row_id, count(*) AS n_terms, round(sum(w), 5) AS total, CAST(sum(CAST(floor(w * 1e6 + 0.25) AS BIGINT) * (('0x' || substr(md5({name}), 1, 4))::BIGINT)) AS BIGINT) AS checksum FROM {src} GROUP BY 1"
+
+
+def _digest(weights):
+    code = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("long")
+    return weights.groupBy("row_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("w"), 5).alias("total"), F.sum(F.floor(F.col("w") * 1e6 + 0.25) * code).cast("long").alias("checksum"))
+
+
+_UNIT = "SELECT row_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY row_id)) AS w FROM"
+
+
+@query("f01_word_tfidf", VIEWS + f", {_TERMS}, z AS ({_UNIT} ww) {_digest_sql('z')}")
 def f01(spark, d):
     rows = examples(spark, d)
-    return feat.tfidf(feat.word_terms(rows), rows, 2000).select("row_id", "term", F.round("w", 8).alias("w"))
+    return _digest(feat.tfidf(feat.word_terms(rows), rows, 60_000))
+
+
+@query("f02_char_grams", VIEWS + f", {_GRAMS}, z AS ({_UNIT} gw) {_digest_sql('z')}")
+def f02(spark, d):
+    rows = examples(spark, d)
+    return _digest(feat.tfidf(feat.char_terms(rows, 3, 5), rows, 80_000))
+
+
+@query("f03_feature_union", VIEWS + f", {_TERMS}, {_GRAMS}, z AS (SELECT row_id, 'word:' || term AS term, w FROM ({_UNIT} ww) UNION ALL SELECT row_id, 'char:' || term, w FROM ({_UNIT} gw)) {_digest_sql('z')}")
+def f03(spark, d):
+    rows = examples(spark, d)
+    return _digest(feat.union_features({"word": feat.tfidf(feat.word_terms(rows), rows, 60_000), "char": feat.tfidf(feat.char_terms(rows, 3, 5), rows, 80_000)}))
 
 
 @query("f10_naive_bayes_sums", VIEWS + f", {_TERMS} SELECT label, term, CAST(sum(tf) AS BIGINT) AS n FROM tf JOIN vocab USING (term) WHERE source_split = 'train' GROUP BY 1, 2")
 def f10(spark, d):
     rows = examples(spark, d)
     counts = feat.term_counts(feat.word_terms(rows).where("source_split = 'train'"))
-    vocab = feat.vocabulary(counts, 2000)
-    return counts.join(vocab.select("term"), "term").groupBy("label", "term").agg(F.sum("tf").alias("n"))
+    vocab = feat.vocabulary(counts, 60_000)
+    return counts.join(F.broadcast(vocab.select("term")), "term").groupBy("label", "term").agg(F.sum("tf").alias("n"))
 
 
-@query("f02_char_grams", VIEWS + r""", wd AS (SELECT row_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0b]+'), lambda x: x <> '')) AS w FROM ex WHERE source_split = 'test'), pw AS (SELECT row_id, ' ' || w || ' ' AS w FROM wd),
-g AS (SELECT row_id, CASE WHEN length(w) <= 3 THEN [w] ELSE list_transform(generate_series(1, length(w) - 2), lambda i: substr(w, i, 3)) END AS gs FROM pw)
-SELECT row_id, gram, count(*) AS tf FROM (SELECT row_id, unnest(gs) AS gram FROM g) GROUP BY 1, 2""")
-def f02(spark, d):
-    return feat.char_terms(_split(spark, d, "test"), 3, 3).groupBy("row_id", F.col("term").alias("gram")).agg(F.count("*").alias("tf"))
+@query("f10_naive_bayes", VIEWS + f""", {_TERMS}, vt AS (SELECT tf.* FROM tf JOIN vocab USING (term)), sm AS (SELECT label AS c, term, sum(tf) AS k FROM vt WHERE source_split = 'train' GROUP BY 1, 2),
+tc AS (SELECT label AS c, sum(tf) AS total, count(DISTINCT row_id) AS rows, (SELECT count(*) FROM vocab) AS v FROM vt WHERE source_split = 'train' GROUP BY 1),
+sco AS (SELECT t.row_id, tc.c, ln(any_value(rows)) + sum(t.tf * ln((coalesce(k, 0) + 1) / (total + v))) AS s FROM vt t CROSS JOIN tc LEFT JOIN sm ON sm.c = tc.c AND sm.term = t.term WHERE t.source_split = 'test' GROUP BY 1, 2)
+SELECT row_id, c AS label FROM sco QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(-s, 6), c) = 1""")
+def f10p(spark, d):
+    from ..sources.files import materialized
+
+    counts = materialized(feat.term_counts(feat.word_terms(examples(spark, d))), "term-counts")
+    return feat.naive_bayes(counts, feat.vocabulary(counts.where("source_split = 'train'"), 60_000))
 
 
 @query("f14_argmax", VIEWS + "SELECT run_id, row_id, list_position(p, list_max(p)) - 1 AS best FROM pred WHERE p IS NOT NULL")
@@ -257,6 +290,30 @@ def f11(spark, d):
     return feat.fit_predict_native("forest", rows.where("split = 'train'"), rows.where("split = 'test'"))
 
 
+@query("f12_boosted_trees")
+def f12(spark, d):
+    rows = _native(spark, d)
+    return feat.fit_predict_native("boosting", rows.where("split = 'train'"), rows.where("split = 'test'"), trees=20, depth=4)
+
+
+CANDIDATES = [("logistic", 0.1), ("logistic", 1.0), ("logistic", 10.0), ("bayes", 0.1), ("bayes", 1.0)]
+
+
+def _tuned(spark, d):
+    rows = _prepared(spark, d)
+    return feat.tuned(*[rows.where(F.col("split") == s) for s in ("train", "validation", "test")], CANDIDATES, 4)
+
+
+@query("f13_tuned_predictions")
+def f13(spark, d):
+    return _tuned(spark, d)[0]
+
+
+@query("f13_trials")
+def f13t(spark, d):
+    return _tuned(spark, d)[1]
+
+
 @query("s01_serialize", NATIVE + "SELECT row_id, sha256('Predict the segment.' || chr(10) || 'acctbal=' || coalesce(CASE WHEN acctbal = floor(acctbal) THEN CAST(CAST(acctbal AS BIGINT) AS VARCHAR) ELSE CAST(acctbal AS VARCHAR) END, 'NA') || '; nation=\"' || nation || '\"') AS text_sha256 FROM tab")
 def s01(spark, d):
     rows = _native(spark, d)
@@ -279,20 +336,26 @@ def s04(spark, d):
     return both.groupBy("split").agg(F.count_if(same).alias("same"), F.count_if(~same).cast("int").alias("different"))
 
 
-_DEMO = """dm AS (SELECT string_agg('{"text":' || to_json(substr(norm, 1, 40)) || ',"label":' || label || '}', chr(10) ORDER BY label, rank) AS demos FROM rk WHERE rank <= 2)"""
+INSTRUCTION = "Classify the text by its language."
+_DEMO = """dm AS (SELECT string_agg('{"text":' || to_json(norm) || ',"label":' || label || '}', chr(10) ORDER BY label, rank) AS demos FROM rk WHERE rank <= 2),
+pm AS (SELECT row_id, '""" + INSTRUCTION + """' || chr(10) || '{"0":"de","1":"en","2":"es","3":"fr"}' || chr(10) || demos || chr(10) || '{"text":' || to_json(norm) || '}' AS prompt FROM ex, dm WHERE source_split = 'test')"""
 
 
-@query("s05_prompts", LABELED + f", {_DEMO} SELECT row_id, sha256(demos || chr(10) || '{{\"text\":' || to_json(substr(norm, 1, 40)) || '}}') AS prompt_sha256 FROM ex, dm WHERE source_split = 'test'")
-def s05(spark, d):
+def _prompts(spark, d):
     demos = prep.select_examples(_split(spark, d, "train"), 2, 42)
-    return prompts.build_prompts(_split(spark, d, "test"), demos, 40).select("row_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return prompts.build_prompts(_split(spark, d, "test"), demos, ["de", "en", "es", "fr"], INSTRUCTION)
+
+
+@query("s05_prompts", LABELED + f", {_DEMO} SELECT row_id, sha256(prompt) AS prompt_sha256 FROM pm")
+def s05(spark, d):
+    return _prompts(spark, d).select("row_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query("s06_review_prompts", VIEWS + "SELECT row_id, CASE WHEN pred >= 0 THEN sha256('Proposed class: ' || pred) END AS prompt_sha256, CASE WHEN pred < 0 THEN 'source_proposal_failed' END AS error FROM pred WHERE run_id = 'base'")
+@query("s06_review_prompts", LABELED + f", {_DEMO} SELECT row_id, CASE WHEN pred >= 0 THEN sha256(prompt || chr(10) || 'Proposed class: ' || pred) END AS prompt_sha256, CASE WHEN pred < 0 THEN 'source_proposal_failed' END AS error FROM pred JOIN pm USING (row_id) WHERE run_id = 'base'")
 def s06(spark, d):
     from .views import predictions
 
-    return prompts.review_prompts(predictions(spark, d).where("run_id = 'base'")).select("row_id", F.sha2("prompt", 256).alias("prompt_sha256"), "error")
+    return prompts.review_prompts(predictions(spark, d).where("run_id = 'base'"), _prompts(spark, d)).select("row_id", F.sha2("prompt", 256).alias("prompt_sha256"), "error")
 
 
 _DONOR = f"cs AS (SELECT row_id, pred, row_number() OVER (ORDER BY {_h('donor', 'row_id')}, row_id) AS r, count(*) OVER () AS n FROM pred WHERE run_id = 'base' AND pred >= 0), dn AS (SELECT a.row_id, b.row_id AS donor_row_id, a.pred, b.pred AS donor_pred FROM cs a JOIN cs b ON b.r = a.r % a.n + 1)"
@@ -310,13 +373,14 @@ rq AS (SELECT row_id, arm, CASE arm WHEN 'actual' THEN pred WHEN 'shuffled' THEN
 rp AS (SELECT row_id, 'actual' AS arm, pred AS proposal, 1 AS is_repeat FROM dn ORDER BY {_h('repeat', 'row_id')}, row_id LIMIT 16), al AS (SELECT * FROM rq UNION ALL SELECT * FROM rp)"""
 
 
-@query("s07_control_prompts", VIEWS + f", {_PLAN} SELECT row_id, count(*) AS arms, count(DISTINCT coalesce(proposal, -1)) AS proposals, 1 AS prefixes FROM rq GROUP BY row_id")
+@query("s07_control_prompts", LABELED + f", {_DEMO}, {_PLAN}, cp AS (SELECT row_id, prompt || chr(10) || 'Proposed class: ' || coalesce(CAST(proposal AS VARCHAR), 'none') || chr(10) || 'Answer with the class number.' AS full_prompt, proposal FROM rq JOIN pm USING (row_id)) SELECT row_id, count(*) AS arms, count(DISTINCT coalesce(proposal, -1)) AS proposals, 1 AS prefixes, 1 AS suffixes, count(DISTINCT full_prompt) AS prompts, min(sha256(full_prompt)) AS least_sha256 FROM cp GROUP BY row_id")
 def s07(spark, d):
     from .views import predictions
 
     plan = prompts.control_plan(predictions(spark, d).where("run_id = 'base' and pred >= 0"), 0)
-    prefix = F.sha2(F.concat(F.lit("case "), F.col("row_id").cast("string")), 256)
-    return plan.groupBy("row_id").agg(F.count("*").alias("arms"), F.count_distinct(F.coalesce("proposal", F.lit(-1))).alias("proposals"), F.count_distinct(prefix).cast("int").alias("prefixes"))
+    rows = prompts.control_prompts(plan, _prompts(spark, d))
+    distinct = lambda c: F.count_distinct(F.sha2(c, 256))
+    return rows.groupBy("row_id").agg(F.count("*").alias("arms"), F.count_distinct(F.coalesce("proposal", F.lit(-1))).alias("proposals"), distinct("before").cast("int").alias("prefixes"), distinct("behind").cast("int").alias("suffixes"), distinct("prompt").alias("prompts"), F.min(F.sha2("prompt", 256)).alias("least_sha256"))
 
 
 @query("s09_plan", VIEWS + f", {_PLAN} SELECT row_id, arm, proposal, is_repeat, row_number() OVER (ORDER BY {_h('run', 'row_id || chr(58) || arm || chr(58) || is_repeat')}) - 1 AS execution_index FROM al")
@@ -331,9 +395,10 @@ def s10(spark, d):
     return prompts.matrix(spark, ["m1", "m2", "m3"], [0, 1, 4, 8], [13, 42, 87]).crossJoin(table(spark, d, "documents").agg(F.count("*").alias("requests")))
 
 
-@query("s11_digests", VIEWS + "SELECT row_id, sha256(text) AS text_sha256 FROM ex WHERE source_split = 'test'")
+@query("s11_digests", LABELED + f", {_DEMO} SELECT row_id, sha256(text) AS text_sha256, CASE WHEN source_split = 'test' THEN sha256(prompt) END AS prompt_sha256 FROM ex LEFT JOIN pm USING (row_id)")
 def s11(spark, d):
-    return _split(spark, d, "test").select("row_id", F.sha2("text", 256).alias("text_sha256"))
+    digests = _prompts(spark, d).select("row_id", F.sha2("prompt", 256).alias("prompt_sha256"))
+    return examples(spark, d).select("row_id", F.sha2("text", 256).alias("text_sha256")).join(digests, "row_id", "left")
 
 
 @query("io01_pruned_scan", "SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
