@@ -15,45 +15,60 @@ def preds(spark, y, **runs):
     return frame(spark, rows, "run_id string, row_id long, y int, pred int")
 
 
-def test_failures_stay_in_denominators(spark):
-    s = score.scores(score.confusion(preds(spark, [0, 0, 1, 1], a=[0, -1, 0, 1]), 2)).first()
-    assert (s.accuracy, s.balanced_accuracy, s.failures) == (0.5, 0.5, 1)
-    assert abs(s.macro_f1 - 7 / 12) < 1e-12
+def test_scores_count_failures_as_wrong(spark):
+    """Six rows of three classes; two failures. Expected by hand from the confusion matrix."""
+    s = score.scores(score.confusion(preds(spark, [0, 0, 0, 1, 1, 2], a=[0, 0, -1, 1, 2, -1]), 3)).first()
+    assert abs(s.accuracy - 3 / 6) < 1e-12 and s.failures == 2
+    assert abs(s.balanced_accuracy - (2 / 3 + 1 / 2 + 0) / 3) < 1e-12
+    # f1: class 0 2*2/(3+2), class 1 2*1/(2+1), class 2 0
+    assert abs(s.macro_f1 - (4 / 5 + 2 / 3 + 0) / 3) < 1e-12
 
 
-def test_failure_column(spark):
-    cells = score.confusion(preds(spark, [0, 1], a=[0, -1]), 2)
-    assert cells.count() == 6
-    assert cells.where("y = 1 and pred = -1").first().n == 1
+def test_confusion_is_filled_with_zeros(spark):
+    cells = {(r.y, r.pred): r.n for r in score.confusion(preds(spark, [2, 2, 1], a=[2, -1, 0]), 3).collect()}
+    assert len(cells) == 12 and sum(cells.values()) == 3
+    assert cells[2, -1] == cells[2, 2] == cells[1, 0] == 1 and cells[0, 0] == 0
 
 
-def test_transitions(spark):
-    p = preds(spark, [0, 1, 0, 1, 1], a=[1, 1, 0, -1, 0], b=[0, 0, 0, -1, 0])
-    t = contrast.transitions(p, [("a", "b")]).first()
-    assert (t.wrong_to_correct, t.correct_to_wrong, t.both_correct, t.both_wrong, t.changed, t.net, t.source_failures) == (1, 1, 1, 2, 2, 0, 1)
-    t = contrast.transitions(preds(spark, [0, 1, 1], a=[0, 1, -1], b=[-1, 0, -1]), [("a", "b")]).first()
-    assert (t.correct_to_wrong, t.harmed_by_label, t.harmed_by_failure) == (2, 1, 1)
+def test_transitions_against_plain_counting(spark):
+    import random
 
+    rng = random.Random(11)
+    y = [rng.randrange(3) for _ in range(60)]
+    a, b = ([rng.choice([-1, 0, 1, 2, t]) for t in y] for _ in range(2))
+    t = contrast.transitions(preds(spark, y, first=a, second=b), [("first", "second")]).first()
+    rows = list(zip(y, a, b, strict=True))
+    assert t.wrong_to_correct == sum(p != t_ == q for t_, p, q in rows)
+    assert t.correct_to_wrong == sum(p == t_ != q for t_, p, q in rows) == t.harmed_by_label + t.harmed_by_failure
+    assert t.harmed_by_failure == sum(p == t_ and q < 0 for t_, p, q in rows)
+    assert t.changed == sum(p != q for _, p, q in rows) and t.net == t.wrong_to_correct - t.correct_to_wrong
+    assert t.source_failures == sum(p < 0 for _, p, _ in rows)
 
-def test_joint_patterns(spark):
-    p = preds(spark, [0, 1], base=[0, -1], direct=[1, 1], review=[-1, 1])
-    n = {r.pattern: r.n for r in contrast.joint_correctness(p, ["base", "direct", "review"]).collect()}
-    assert len(n) == 8 and n["100"] == 1 and n["011"] == 1 and sum(n.values()) == 2
 
+def test_joint_patterns_against_plain_counting(spark):
+    from collections import Counter
 
-def test_coverage_counts(spark):
-    for n, want in ((36, [0, 4, 9, 18, 27, 36]), (114, [0, 11, 29, 57, 86, 114])):
-        rows = spark.createDataFrame([(n, r) for r in contrast.RATES], "n long, r long")
-        assert [x[0] for x in rows.orderBy("r").select(contrast.covered(F.col("n"), F.col("r"))).collect()] == want
+    y = [0, 1, 2, 0, 1, 2, 0]
+    runs = {"u": [0, 1, 0, -1, 1, 2, 2], "v": [0, 0, 2, 0, -1, 2, 1], "w": [1, 1, 2, 0, 1, -1, 2]}
+    want = Counter("".join(str(int(runs[r][k] == t)) for r in "uvw") for k, t in enumerate(y))
+    got = {r.pattern: r.n for r in contrast.joint_correctness(preds(spark, y, **runs), ["u", "v", "w"]).collect()}
+    assert len(got) == 8 and {k: n for k, n in got.items() if n} == dict(want)
 
 
-def test_unicode_leak_and_audit(spark):
-    rows = frame(spark, [(1, " ＨＥＬＬＯ   World ", 0, "train"), (2, "hello world", 0, "test"), (3, "Hello\nWorld", 0, "test"), (4, "other", 1, "train")], "row_id long, text string, label int, source_split string")
+def test_coverage_rounds_half_up(spark):
+    for n in (7, 20, 55, 1001):
+        got = {r.r: r.m for r in spark.createDataFrame([(n, r) for r in contrast.RATES], "n long, r long").select("r", contrast.covered(F.col("n"), F.col("r")).alias("m")).collect()}
+        assert got == {r: int(n * r / 100 + 0.5) for r in contrast.RATES}
+
+
+def test_folded_texts_leak(spark):
+    rows = frame(spark, [(1, "Straße ﬁn", 0, "train"), (2, "STRASSE\tFIN ", 1, "test"), (3, "x²", 0, "train"), (4, "X2", 0, "test"), (5, "Ｋ9", 1, "train"), (6, "plain", 0, "train"), (7, "strasse fin", 1, "test")], "row_id long, text string, label int, source_split string")
     rows = rows.withColumn("norm", folded_text(F.col("text")))
     test, train = rows.where("source_split = 'test'"), rows.where("source_split = 'train'")
-    assert [r.row_id for r in prep.overlap_filter(train, test).collect()] == [4]
+    assert {r.row_id for r in prep.overlap_filter(train, test).collect()} == {5, 6}
+    assert {r.row_id for r in prep.overlap_filter(train, test, removed=True).collect()} == {1, 3}
     audit = {r.source_split: r for r in prep.split_audit(rows).collect()}
-    assert audit["test"].duplicate_text_rows == 1
+    assert (audit["test"].duplicate_text_rows, audit["test"].conflicting_groups, audit["train"].n_classes) == (1, 0, 2)
 
 
 def test_quotas_and_order_independence(spark):
@@ -75,14 +90,100 @@ def test_bootstrap_modes(spark):
     assert d.accuracy_low == d.accuracy_high == 0
 
 
-def test_random_reference_is_the_mean_over_subsets(spark):
-    from itertools import combinations
+def test_random_reference_is_an_expectation(spark):
+    """Accuracy under random review of m rows is linear in m: every row is reviewed with chance m / n."""
+    y, a, b = [0, 1, 2, 2, 1, 0, 1, 0], [0, 0, 2, -1, 1, 1, 1, 2], [1, 1, 2, 2, -1, 0, 1, 0]
+    got = {r.rate: r for r in contrast.random_reference(preds(spark, y, s=a, r=b), "s", "r").collect()}
+    for rate, m in ((0, 0), (25, 2), (50, 4), (100, 8)):
+        want = sum((1 - m / 8) * (p == t) + m / 8 * (q == t) for t, p, q in zip(y, a, b, strict=True)) / 8
+        assert abs(got[rate].accuracy - want) < 1e-12
+        assert abs(got[rate].harmed - m / 8 * sum(p == t != q for t, p, q in zip(y, a, b, strict=True))) < 1e-12
+
+
+def test_quotas_against_the_greedy_rule(spark):
+    import random
+
+    rng = random.Random(4)
+    for case in range(12):
+        n = {c: rng.choice([1, 2, 7, 50, 400]) for c in range(rng.randrange(1, 7))}
+        limit, total = rng.randrange(1, sum(n.values()) + 3), sum(n.values())
+        order = sorted(((-(limit * k / total - j), c, j) for c, k in n.items() for j in range(1, k)))
+        want = {c: 1 for c in n}
+        for _, c, _ in order[: max(limit - len(n), 0)]:
+            want[c] += 1
+        counts = spark.createDataFrame(list(n.items()), "label int, n long")
+        assert {r.label: r.quota for r in prep.quotas(counts, limit).collect()} == want, case
+
 
-    y, a, b = [0, 0, 0, 1], [0, 0, 1, 1], [1, -1, 0, 0]
-    p = preds(spark, y, a=a, b=b)
-    got = {r.rate: r.accuracy for r in contrast.random_reference(p, "a", "b").collect()}[50]
-    want = [sum((b if k in s else a)[k] == y[k] for k in range(4)) / 4 for s in combinations(range(4), 2)]
-    assert abs(got - sum(want) / len(want)) < 1e-12
+def test_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from gradeloom.operators.rank import quantiles
+
+    rng = np.random.default_rng(1)
+    groups = {"a": rng.normal(size=301), "b": rng.integers(0, 4, 50).astype(float), "c": np.array([2.5])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None)], "g string, v double")
+    for r in quantiles(rows, ["g"], "v", {"low": 0.025, "mid": 0.5}).collect():
+        assert np.allclose([r.low, r.mid], np.quantile(groups[r.g], [0.025, 0.5]))
+
+
+def test_group_bootstrap_draws_whole_groups(spark):
+    p = preds(spark, [0, 0, 1, 1, 1, 0], a=[0, 1, 1, 0, 1, 0]).withColumn("grp", (F.col("row_id") / 2).cast("int").cast("string"))
+    reps = boot.signature_replicates(p, 300, 3).groupBy("rep").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n"))).alias("ok")).collect()
+    # groups of two: (right, wrong), (right, wrong), (right, right)
+    assert all(r.n == 6 and 3 <= r.ok <= 6 for r in reps) and {r.ok for r in reps} == {3, 4, 5, 6}
+    same = preds(spark, [0, 1] * 10, a=[0, 1] * 10, b=[0, 1] * 10)
+    d = boot.paired_cells(same, "a", "b", 2, 100, 1).first()
+    assert d.accuracy_low == d.accuracy_high == d.macro_f1_low == d.macro_f1_high == 0
+
+
+def test_injected_violations_show(spark):
+    """Rules whose queries report none on sound data."""
+    from gradeloom.operators import audit, control
+
+    test = spark.createDataFrame([(0,), (1,), (2,)], "row_id long")
+    r = score.alignment(test, frame(spark, [("a", 0, 0, 0), ("a", 0, 0, 0), ("a", 9, 0, 0)], "run_id string, row_id long, y int, pred int")).first()
+    assert (r.missing, r.extra, r.duplicate) == (2, 1, 1)
+    left = spark.createDataFrame([(1, '{"a":{"b":[1,2]},"c":"x"}')], "id long, m string")
+    right = spark.createDataFrame([(1, '{"a":{"b":[1,3,4]},"d":{"n":null}}')], "id long, m string")
+    got = {(r.path, r.status) for r in audit.manifest_diff(left, right, "id", "m", [r"^\$\.d"]).collect()}
+    assert got == {("$.a.b[1]", "changed"), ("$.a.b[2]", "added"), ("$.c", "missing")}
+    rows = frame(spark, [(1, "x", 0, -1), (1, "z", 0, 0), (2, "x", 1, 1)], "case_id long, arm string, y int, pred int")
+    expected = spark.createDataFrame([("x", 2), ("z", 2)], "arm string, n_expected long")
+    r = control.arm_contrasts(rows, expected, [("x", "z")], 2).first()
+    assert r.status == "pending" and r.delta_accuracy is None and r.net is None
+    tries = frame(spark, [(1, "x", 1, -1), (1, "x", 2, 0), (2, "x", 1, 0)], "case_id long, arm string, attempt_index int, pred int")
+    fixed = {(r.case_id, r.arm): r.pred for r in control.overlay(rows, tries, ["case_id", "arm"]).collect()}
+    assert fixed == {(1, "x"): 0, (1, "z"): 0, (2, "x"): 1}
+
+
+def test_torn_records(spark, tmp_path):
+    import pytest
+
+    from gradeloom.sources import files
+
+    (tmp_path / "run.jsonl").write_text('{"k":1}\n{"k":2}\n{"k":')
+    path = str(tmp_path / "run.jsonl")
+    assert sorted(r.k for r in files.read_jsonl(spark, path, "k long", complete=False).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        files.read_jsonl(spark, path, "k long")
+    (tmp_path / "bad.jsonl").write_text('{"k":1}\n{"k":\n{"k":3}\n')
+    with pytest.raises(ValueError):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "k long", complete=False)
+
+
+def test_ledger_machine_refuses_and_resumes(spark, tmp_path):
+    from gradeloom.streaming import streams
+
+    schema = "ledger_id long, seq long, type string, reservation_id long, reserved_nano long, charged_nano long"
+    first = [(1, 1, "reserve", 10, 60, None), (1, 2, "reserve", 11, 50, None), (1, 3, "settle", 10, None, 20), (1, 4, "settle", 12, None, 1)]
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    rows = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+    got = {r.seq: (r.status, r.balance_nano) for r in streams.ledger_machine(rows(), 100, f"{tmp_path}/place").collect()}
+    assert got == {1: ("admitted", 60), 2: ("refused", 60), 3: ("settled", 20), 4: ("violation", 20)}
+    spark.createDataFrame([(1, 5, "reserve", 13, 80, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    got = {r.seq: (r.status, r.balance_nano) for r in streams.ledger_machine(rows(), 100, f"{tmp_path}/place").collect()}
+    assert len(got) == 5 and got[5] == ("admitted", 100)
 
 
 def test_attempt_violations(spark):
