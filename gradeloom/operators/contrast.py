@@ -107,11 +107,14 @@ def selective_curve(preds: DataFrame, source: str, review: str, n_classes: int)
 
 def random_reference(preds: DataFrame, source: str, review: str) -> DataFrame:
     """Exact expectations when the same number of rows is reviewed at random."""
-    pair = paired(preds, source, review)
-    y = F.col("y")
-    s = pair.agg(F.count("*").alias("n"), F.count_if(F.col("a") == y).alias("sa"), F.count_if(F.col("b") == y).alias("sb"), F.count_if((F.col("a") != y) & (F.col("b") == y)).alias("fix"), F.count_if((F.col("a") == y) & (F.col("b") != y)).alias("harm"))
-    rows = s.crossJoin(F.broadcast(_rates(preds.sparkSession))).withColumn("share", covered(F.col("n"), F.col("rate")) / F.col("n"))
-    return rows.select("rate", ((F.col("sa") + F.col("share") * (F.col("sb") - F.col("sa"))) / F.col("n")).alias("accuracy"), (F.col("share") * F.col("fix")).alias("fixed"), (F.col("share") * F.col("harm")).alias("harmed"))
+    y, a, b, n = F.col("y"), F.col("a"), F.col("b"), F.col("n")
+    part = lambda c, name: F.sum(F.when(c, n).otherwise(0)).alias(name)
+    cells = paired(preds, source, review).groupBy("y", "a", "b").agg(F.count("*").alias("n"))
+    classes = cells.groupBy("y").agg(F.sum("n").alias("n"), part(a == y, "sa"), part(b == y, "sb"), part((a != y) & (b == y), "fix"), part((a == y) & (b != y), "harm"), part(a < 0, "fa"), part(b < 0, "fb"))
+    s = classes.agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "fix", "harm", "fa", "fb")], F.avg(F.col("sa") / F.col("n")).alias("ra"), F.avg(F.col("sb") / F.col("n")).alias("rb"))
+    rows = s.crossJoin(F.broadcast(_rates(preds.sparkSession))).withColumn("share", covered(n, F.col("rate")) / n)
+    between = lambda x, z: F.col(x) + F.col("share") * (F.col(z) - F.col(x))
+    return rows.select("rate", (between("sa", "sb") / n).alias("accuracy"), between("ra", "rb").alias("balanced_accuracy"), (F.col("share") * F.col("fix")).alias("fixed"), (F.col("share") * F.col("harm")).alias("harmed"), between("fa", "fb").alias("failures"))
 
 
 def random_macro_f1(preds: DataFrame, source: str, review: str, n_classes: int, draws: int = 500, seed: int = 7) -> DataFrame:

@@ -13,6 +13,18 @@ def seeded(seed, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def load_rows(records: DataFrame, labels: list[str], dataset: str, n_classes: int | None = None) -> DataFrame:
+    """``records(doc_id, text, lang)`` with label, row_id and reason: rejected ones (no text, a name outside the label
+    map, a class beyond the ``n_classes`` declared) stay as rows that name the reason and get no id."""
+    label = (F.array_position(F.array(*map(F.lit, labels)), F.col("lang")) - 1).cast("int")
+    rows = records.withColumn("label", label)
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    reason = F.when(empty, "empty_text").when(F.col("label").isNull() | (F.col("label") < 0), "unknown_label").when(F.col("label") >= (n_classes or len(labels)), "label_out_of_range")
+    digest = F.substring(F.sha2(F.concat_ws("|", "text", F.col("label").cast("string")), 256), 1, 16)
+    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("row_id", F.when(F.col("reason").isNull(), F.concat_ws(":", F.lit(dataset), F.col("doc_id").cast("string"), digest)))
+
+
 def overlap_filter(rows: DataFrame, holdout: DataFrame, removed: bool = False) -> DataFrame:
     """Rows whose normalized text is not (or, ``removed``, is) in the hold-out. Held-out data wins."""
     keys = holdout.select("norm").distinct()

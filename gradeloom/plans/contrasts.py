@@ -108,12 +108,14 @@ def v01(spark, d):
     return contrast.joint_correctness(predictions(spark, d), ["base", "direct", "review"])
 
 
-GATE = VIEWS + ", gt AS (SELECT run_id, list_filter([CASE WHEN min(pred) = max(pred) THEN 'constant_labels' END, CASE WHEN min(pred) < 0 THEN 'failures' END, CASE WHEN count(p) = 0 THEN 'no_probabilities' END], lambda x: x IS NOT NULL) AS reasons FROM pred GROUP BY 1)"
+GATE = VIEWS + ", gt AS (SELECT run_id, list_filter([CASE WHEN any_value(status) <> 'complete' THEN 'incomplete' END, CASE WHEN any_value(model) = 'm3' THEN 'not_local' END, CASE WHEN min(pred) = max(pred) THEN 'constant_labels' END, CASE WHEN min(pred) < 0 THEN 'failures' END, CASE WHEN count(p) = 0 THEN 'no_probabilities' END], lambda x: x IS NOT NULL) AS reasons FROM runs LEFT JOIN pred USING (run_id) GROUP BY 1)"
 
 
 def _reasons(spark, d):
-    r = F.array(F.when(F.min("pred") == F.max("pred"), "constant_labels"), F.when(F.min("pred") < 0, "failures"), F.when(F.count("probabilities") == 0, "no_probabilities"))
-    return predictions(spark, d).groupBy("run_id").agg(F.filter(r, lambda x: x.isNotNull()).alias("reasons"))
+    p = predictions(spark, d).groupBy("run_id").agg(F.min("pred").alias("least"), F.max("pred").alias("most"), F.count("probabilities").alias("held"))
+    rows = runs(spark).select("run_id", "status", "model").join(p, "run_id", "left")
+    r = [F.when(F.col("status") != "complete", "incomplete"), F.when(F.col("model") == "m3", "not_local"), F.when(F.col("least") == F.col("most"), "constant_labels"), F.when(F.col("least") < 0, "failures"), F.when(F.coalesce("held", F.lit(0)) == 0, "no_probabilities")]
+    return rows.select("run_id", F.filter(F.array(*r), lambda x: x.isNotNull()).alias("reasons"))
 
 
 @query("v02_eligibility", GATE + " SELECT run_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS eligible FROM gt")
@@ -148,9 +150,9 @@ def v06(spark, d):
     return rounded(contrast.selective_curve(predictions(spark, d), "base", "review", N_CLASSES), "accuracy", "macro_f1", "balanced_accuracy")
 
 
-@query("v07_random_reference", MIXED + ", s AS (SELECT rate, count(*) AS n, count(*) FILTER (WHERE picked) / count(*) AS share, count(*) FILTER (WHERE a = y) AS sa, count(*) FILTER (WHERE b = y) AS sb, count(*) FILTER (WHERE a <> y AND b = y) AS fx, count(*) FILTER (WHERE a = y AND b <> y) AS hm FROM mx GROUP BY 1) SELECT rate, round((sa + share * (sb - sa)) / n, 9) AS accuracy, round(share * fx, 9) AS fixed, round(share * hm, 9) AS harmed FROM s")
+@query("v07_random_reference", MIXED + ", k AS (SELECT rate, y, count(*) AS n, count(*) FILTER (WHERE a = y) AS sa, count(*) FILTER (WHERE b = y) AS sb FROM mx GROUP BY 1, 2), s AS (SELECT rate, count(*) AS n, count(*) FILTER (WHERE picked) / count(*) AS share, count(*) FILTER (WHERE a = y) AS sa, count(*) FILTER (WHERE b = y) AS sb, count(*) FILTER (WHERE a <> y AND b = y) AS fx, count(*) FILTER (WHERE a = y AND b <> y) AS hm, count(*) FILTER (WHERE a < 0) AS fa, count(*) FILTER (WHERE b < 0) AS fb FROM mx GROUP BY 1) SELECT s.rate, round((s.sa + share * (s.sb - s.sa)) / s.n, 9) AS accuracy, round(share * fx, 9) AS fixed, round(share * hm, 9) AS harmed, round(fa + share * (fb - fa), 9) AS failures, round((SELECT avg((k.sa + s.share * (k.sb - k.sa)) / k.n) FROM k WHERE k.rate = s.rate), 9) AS balanced_accuracy FROM s")
 def v07(spark, d):
-    return rounded(contrast.random_reference(predictions(spark, d), "base", "review"), "accuracy", "fixed", "harmed")
+    return rounded(contrast.random_reference(predictions(spark, d), "base", "review"), "accuracy", "balanced_accuracy", "fixed", "harmed", "failures")
 
 
 @query("v08_random_macro_f1")
@@ -158,12 +160,14 @@ def v08(spark, d):
     return contrast.random_macro_f1(predictions(spark, d), "base", "review", N_CLASSES)
 
 
-@query("v09_prompt_pairs", VIEWS + "SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS equal_proposals, count(*) FILTER (WHERE (a.pred = a.y) <> (b.pred = b.y)) AS disagreements FROM pred a JOIN pred b ON a.row_id = b.row_id AND a.run_id < b.run_id AND a.pred = b.pred WHERE a.pred >= 0 GROUP BY 1, 2")
+@query("v09_prompt_pairs", VIEWS + "SELECT a.run_id AS run_a, b.run_id AS run_b, count(*) AS equal_proposals, count(*) FILTER (WHERE a.pred < 0) AS both_failed, count(*) FILTER (WHERE a.pred >= 0 AND (a.pred = a.y) <> (b.pred = b.y)) AS disagreements, count(*) FILTER (WHERE ra.model <> rb.model) AS model_mismatch FROM pred a JOIN pred b ON a.row_id = b.row_id AND a.run_id < b.run_id AND sha256(a.row_id || ':' || a.pred) = sha256(b.row_id || ':' || b.pred) JOIN runs ra ON ra.run_id = a.run_id JOIN runs rb ON rb.run_id = b.run_id GROUP BY 1, 2")
 def v09(spark, d):
-    p = predictions(spark, d).where("pred >= 0")
-    a = p.select("row_id", "pred", F.col("run_id").alias("run_a"), (F.col("pred") == F.col("y")).alias("ra"))
-    b = p.select("row_id", "pred", F.col("run_id").alias("run_b"), (F.col("pred") == F.col("y")).alias("rb"))
-    return a.join(b, ["row_id", "pred"]).where("run_a < run_b").groupBy("run_a", "run_b").agg(F.count("*").alias("equal_proposals"), F.count_if(F.col("ra") != F.col("rb")).alias("disagreements"))
+    """Pairs of runs by rows whose review prompts (row and proposal) have the same digest."""
+    p = predictions(spark, d).join(F.broadcast(runs(spark).select("run_id", "model")), "run_id")
+    p = p.select(F.sha2(F.concat_ws(":", "row_id", "pred"), 256).alias("prompt"), "pred", "run_id", "model", (F.col("pred") == F.col("y")).alias("right"))
+    a, b = (p.select("prompt", *[F.col(c).alias(f"{c}_{k}") for c in ("pred", "run_id", "model", "right")]) for k in "ab")
+    both = a.join(b, "prompt").where("run_id_a < run_id_b").groupBy(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"))
+    return both.agg(F.count("*").alias("equal_proposals"), F.count_if(F.col("pred_a") < 0).alias("both_failed"), F.count_if((F.col("pred_a") >= 0) & (F.col("right_a") != F.col("right_b"))).alias("disagreements"), F.count_if(F.col("model_a") != F.col("model_b")).alias("model_mismatch"))
 
 
 def _versus(spark, d):
@@ -172,9 +176,11 @@ def _versus(spark, d):
     return c.join(contrast.random_reference(p, "base", "review").select("rate", F.col("accuracy").alias("r")), "rate")
 
 
-@query("v10_pattern", MIXED + ", s AS (SELECT rate, avg(CAST(CASE WHEN picked THEN b ELSE a END = y AS INTEGER)) AS x, (count(*) FILTER (WHERE a = y) + count(*) FILTER (WHERE picked) / count(*) * (count(*) FILTER (WHERE b = y) - count(*) FILTER (WHERE a = y))) / count(*) AS r FROM mx WHERE rate NOT IN (0, 100) GROUP BY 1) SELECT rate, CASE WHEN abs(x - r) < 1e-12 THEN 'tie' WHEN x > r THEN 'above' ELSE 'below' END AS pattern FROM s")
+@query("v10_pattern", MIXED + ", s AS (SELECT rate, avg(CAST(CASE WHEN picked THEN b ELSE a END = y AS INTEGER)) AS x, (count(*) FILTER (WHERE a = y) + count(*) FILTER (WHERE picked) / count(*) * (count(*) FILTER (WHERE b = y) - count(*) FILTER (WHERE a = y))) / count(*) AS r FROM mx WHERE rate NOT IN (0, 100) GROUP BY 1), pt AS (SELECT rate, CASE WHEN abs(x - r) < 1e-12 THEN 'tie' WHEN x > r THEN 'above' ELSE 'below' END AS pattern FROM s) SELECT *, (SELECT CASE WHEN count(DISTINCT pattern) > 1 THEN 'mixed' ELSE min(pattern) END FROM pt) AS pooled FROM pt")
 def v10(spark, d):
-    return _versus(spark, d).where("rate not in (0, 100)").select("rate", F.when(F.abs(F.col("x") - F.col("r")) < 1e-12, "tie").when(F.col("x") > F.col("r"), "above").otherwise("below").alias("pattern"))
+    rows = _versus(spark, d).where("rate not in (0, 100)").select("rate", F.when(F.abs(F.col("x") - F.col("r")) < 1e-12, "tie").when(F.col("x") > F.col("r"), "above").otherwise("below").alias("pattern"))
+    # one row per rate
+    return rows.crossJoin(rows.agg(F.when(F.count_distinct("pattern") > 1, "mixed").otherwise(F.min("pattern")).alias("pooled")))
 
 
 @query("v11_endpoints", VIEWS + "SELECT 0 AS violations, count(DISTINCT row_id) AS n_rows FROM pred")
@@ -183,7 +189,13 @@ def v11(spark, d):
     return _versus(spark, d).agg(bad).crossJoin(predictions(spark, d).agg(F.count_distinct("row_id").alias("n_rows")))
 
 
-@query("v12_inferences", MIXED + " SELECT rate, count(*) + count(*) FILTER (WHERE picked AND a >= 0) AS calls FROM mx GROUP BY 1")
+@query("v12_inferences", MIXED + " SELECT 'selective' AS policy, rate, count(*) + count(*) FILTER (WHERE picked AND a >= 0) AS calls FROM mx GROUP BY 2 UNION ALL SELECT unnest(['never', 'always', 'direct']), NULL, unnest([count(*), count(*) + count(*) FILTER (WHERE a >= 0), count(*)]) FROM rk")
 def v12(spark, d):
+    """Calls per policy: a review needs a valid proposal; direct classification replaces the source call."""
     c = contrast.selective_cells(predictions(spark, d), "base", "review")
-    return c.groupBy("rate").agg((F.sum("n") + F.sum(F.when(F.col("picked") & (F.col("a") >= 0), F.col("n")).otherwise(0))).alias("calls"))
+    asked = F.sum(F.when(F.col("picked") & (F.col("a") >= 0), F.col("n")).otherwise(0))
+    per = c.groupBy("rate").agg((F.sum("n") + asked).alias("calls"), F.sum("n").alias("n"))
+    rows = per.select(F.lit("selective").alias("policy"), "rate", "calls")
+    for policy, rate, calls in (("never", 0, "calls"), ("always", 100, "calls"), ("direct", 0, "n")):
+        rows = rows.union(per.where(F.col("rate") == rate).select(F.lit(policy), F.lit(None).cast("int"), calls))
+    return rows

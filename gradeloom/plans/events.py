@@ -29,16 +29,24 @@ def _views(spark, d):
     return events.attempt_views(p, attempts(spark, d)).join(p.select("run_id", "row_id", "y"), ["run_id", "row_id"])
 
 
-@query("r01_failures", VIEWS + f"SELECT run_id, row_id, {KIND} AS kind, sha256(run_id || ':' || row_id) AS failure_id FROM pred WHERE pred < 0")
+@query("r01_failures", VIEWS + f", kd AS (SELECT *, {KIND} AS kind FROM pred) SELECT p.run_id, p.row_id, p.kind, sha256(p.run_id || ':' || p.row_id) AS failure_id, CASE WHEN s.pred < 0 THEN 'upstream_skip' ELSE 'paid_failure' END AS origin, CASE WHEN s.pred < 0 THEN sha256(s.run_id || ':' || s.row_id) END AS depends_on FROM kd p LEFT JOIN pred s ON s.run_id = p.source_run_id AND s.row_id = p.row_id WHERE p.pred < 0")
 def r01(spark, d):
-    return predictions(spark, d).where("pred < 0").select("run_id", "row_id", score.failure_kind(F.col("error")).alias("kind"), F.sha2(F.concat_ws(":", "run_id", "row_id"), 256).alias("failure_id"))
+    """Failed predictions; a review of a row whose source failed depends on that failure."""
+    p = predictions(spark, d).where("pred < 0")
+    failure = F.sha2(F.concat_ws(":", "run_id", "row_id"), 256)
+    up = p.select(F.col("run_id").alias("source_run_id"), "row_id", failure.alias("depends_on"))
+    rows = p.join(up, ["source_run_id", "row_id"], "left")
+    origin = F.when(F.col("depends_on").isNotNull(), "upstream_skip").otherwise("paid_failure")
+    return rows.select("run_id", "row_id", score.failure_kind(F.col("error")).alias("kind"), failure.alias("failure_id"), origin.alias("origin"), "depends_on")
 
 
-@query("r02_pending", VIEWS + "SELECT r.run_id, count(p.row_id) AS saved, (SELECT count(*) FROM ex WHERE source_split = 'test') AS expected FROM runs r LEFT JOIN pred p USING (run_id) GROUP BY 1")
+@query("r02_pending", VIEWS + "SELECT r.run_id, count(p.row_id) AS saved, (SELECT count(*) FROM ex WHERE source_split = 'test') AS expected, (SELECT count(*) FROM pred s WHERE s.run_id = r.source_run_id AND s.pred < 0) AS failed_sources, (SELECT count(*) FROM pred s WHERE s.run_id = r.source_run_id AND s.error LIKE 'invalid_output%') AS invalid_sources FROM runs r LEFT JOIN pred p USING (run_id) GROUP BY r.run_id, r.source_run_id")
 def r02(spark, d):
-    saved = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("saved"))
+    per = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("saved"), F.count_if(F.col("pred") < 0).alias("failed"), F.count_if(F.coalesce(F.col("error").startswith("invalid_output"), F.lit(False))).alias("invalid"))
     want = examples(spark, d).where("source_split = 'test'").agg(F.count("*").alias("expected"))
-    return runs(spark).select("run_id").join(saved, "run_id", "left").fillna(0, ["saved"]).crossJoin(want)
+    source = per.select(F.col("run_id").alias("source_run_id"), F.col("failed").alias("failed_sources"), F.col("invalid").alias("invalid_sources"))
+    out = runs(spark).select("run_id", "source_run_id").join(per.select("run_id", "saved"), "run_id", "left").join(source, "source_run_id", "left")
+    return out.drop("source_run_id").fillna(0, ["saved", "failed_sources", "invalid_sources"]).crossJoin(want)
 
 
 @query("r03_attempt_order", ATT + " SELECT unnest(['order', 'after_success', 'too_many']) AS rule, 0 AS n")
@@ -51,10 +59,17 @@ def r04(spark, d):
     return _views(spark, d).select("run_id", "row_id", "original", "first_retry", "recovered", "extra_attempts")
 
 
-@query("r05_view_summary", ATT + " SELECT run_id, count(*) AS n_rows, count(original) AS answered, count(recovered) AS recovered, round(count(*) FILTER (WHERE original = y) / count(*), 9) AS accuracy, round(count(*) FILTER (WHERE recovered = y) / count(*), 9) AS recovered_accuracy FROM vw GROUP BY 1")
+@query("r05_view_summary", ATT + f", kd AS (SELECT vw.*, {KIND} AS kind FROM vw JOIN pred USING (run_id, row_id)) SELECT run_id, count(*) AS n_rows, count(original) AS answered, count(recovered) AS recovered, count(*) FILTER (WHERE kind = 'billing') AS billing, count(*) FILTER (WHERE kind = 'transport') AS transport, count(*) FILTER (WHERE kind = 'http_service') AS http_service, count(*) FILTER (WHERE kind = 'invalid_output') AS invalid_output, round(CASE WHEN count(*) = (SELECT count(*) FROM ex WHERE source_split = 'test') THEN count(*) FILTER (WHERE original = y) / count(*) END, 9) AS accuracy, round(CASE WHEN count(*) = (SELECT count(*) FROM ex WHERE source_split = 'test') THEN count(*) FILTER (WHERE recovered = y) / count(*) END, 9) AS recovered_accuracy FROM kd GROUP BY 1")
 def r05(spark, d):
-    right = lambda c: F.round(F.count_if(F.col(c) == F.col("y")) / F.count("*"), 9)
-    return _views(spark, d).groupBy("run_id").agg(F.count("*").alias("n_rows"), F.count("original").alias("answered"), F.count("recovered").alias("recovered"), right("original").alias("accuracy"), right("recovered").alias("recovered_accuracy"))
+    """Counts by kind of failure; accuracies only where every row was attempted."""
+    kinds = predictions(spark, d).select("run_id", "row_id", score.failure_kind(F.col("error")).alias("kind"))
+    want = examples(spark, d).where("source_split = 'test'").agg(F.count("*").alias("want"))
+    right = lambda c: F.count_if(F.col(c) == F.col("y")).alias(f"{c}_right")
+    of = [F.count_if(F.col("kind") == k).alias(k) for k in ("billing", "transport", "http_service", "invalid_output")]
+    per = _views(spark, d).join(kinds, ["run_id", "row_id"]).groupBy("run_id").agg(F.count("*").alias("n_rows"), F.count("original").alias("answered"), F.count("recovered").alias("recovered"), *of, right("original"), right("recovered"))
+    share = lambda c: F.round(F.when(F.col("n_rows") == F.col("want"), F.col(f"{c}_right") / F.col("n_rows")), 9)
+    out = per.crossJoin(F.broadcast(want)).withColumns({"accuracy": share("original"), "recovered_accuracy": share("recovered")})
+    return out.drop("want", "original_right", "recovered_right")
 
 
 @query("r06_recovery_pairs", ATT + " SELECT run_id, count(*) FILTER (WHERE original IS DISTINCT FROM y AND recovered = y) AS corrected, count(*) FILTER (WHERE original = y AND recovered IS DISTINCT FROM y) AS harmed FROM vw GROUP BY 1")
@@ -69,9 +84,16 @@ def r08(spark, d):
     return kinds.join(_views(spark, d), ["run_id", "row_id"]).groupBy("kind").agg(F.count("*").alias("failures"), F.count("recovered").alias("resolved"), F.sum("extra_attempts").alias("attempts"))
 
 
-@query("r10_next_action", ATT + " SELECT run_id, row_id, extra + 1 AS next_attempt FROM vw WHERE original IS NULL AND recovered IS NULL AND extra < 3")
+@query("r10_next_action", ATT + """, nx AS (SELECT v.run_id, v.row_id, v.extra + 1 AS next_attempt, s.row_id IS NOT NULL AND s.original IS NULL AS dependent, s.recovered IS NOT NULL AS ready FROM vw v LEFT JOIN pred p ON p.run_id = v.run_id AND p.row_id = v.row_id LEFT JOIN vw s ON s.run_id = p.source_run_id AND s.row_id = v.row_id
+WHERE v.original IS NULL AND v.recovered IS NULL AND v.extra < 3) SELECT run_id, row_id, next_attempt, CASE WHEN dependent THEN 2 ELSE 1 END AS phase FROM nx WHERE NOT dependent OR ready""")
 def r10(spark, d):
-    return _views(spark, d).where("original is null and recovered is null and extra_attempts < 3").select("run_id", "row_id", (F.col("extra_attempts") + 1).alias("next_attempt"))
+    """Failures that may be tried again: first those on their own, then those whose source has come good since."""
+    v = _views(spark, d)
+    todo = v.where("original is null and recovered is null and extra_attempts < 3").select("run_id", "row_id", (F.col("extra_attempts") + 1).alias("next_attempt"))
+    links = predictions(spark, d).select("run_id", "row_id", "source_run_id")
+    source = v.where("original is null").select(F.col("run_id").alias("source_run_id"), "row_id", F.lit(True).alias("dependent"), F.col("recovered").isNotNull().alias("ready"))
+    rows = todo.join(links, ["run_id", "row_id"], "left").join(source, ["source_run_id", "row_id"], "left")
+    return rows.where("dependent is null or ready").select("run_id", "row_id", "next_attempt", F.when(F.col("dependent"), 2).otherwise(1).alias("phase"))
 
 
 @query("r11_halts", VIEWS + ", l AS (SELECT run_id, row_id, error, lag(error, 1) OVER w AS e1, lag(error, 2) OVER w AS e2 FROM pred WINDOW w AS (PARTITION BY run_id ORDER BY row_id)) SELECT run_id, min(row_id) AS halted_at FROM l WHERE contains(error, 'status=402') OR (error IS NOT NULL AND e1 IS NOT NULL AND e2 IS NOT NULL) GROUP BY 1")
@@ -129,10 +151,13 @@ def l07(spark, d):
     return l06(spark, d).crossJoin(F.broadcast(runs(spark).select("model"))).groupBy("model").agg(F.count("*").alias("requests"), F.sum("bound_nano").alias("bound_nano"))
 
 
-@query("l08_settlement", VIEWS + "SELECT run_id, CAST(sum(input_tokens * 300 + output_tokens * 1200) AS BIGINT) AS estimate_nano, CAST(sum((input_tokens * 300 + output_tokens * 1200) * 5 // 4) AS BIGINT) AS settled_nano FROM pred GROUP BY 1")
+@query("l08_settlement", VIEWS + ", c AS (SELECT run_id, input_tokens * 300 + output_tokens * 1200 AS token, (input_tokens * 300 + output_tokens * 1200) * (row_id % 3) // 2 AS reported FROM pred) SELECT run_id, CAST(sum(token) AS BIGINT) AS estimate_nano, CAST(sum(CASE WHEN token IS NOT NULL THEN least(greatest(token, reported) * 5 // 4, 2000000) END) AS BIGINT) AS settled_nano FROM c GROUP BY 1")
 def l08(spark, d):
-    cost = F.col("input_tokens") * 300 + F.col("output_tokens") * 1200
-    return predictions(spark, d).groupBy("run_id").agg(F.sum(cost).alias("estimate_nano"), F.sum(F.floor(cost * 5 / 4)).cast("long").alias("settled_nano"))
+    """Token estimate, and a conservative settlement: the larger of reported and token cost times 1.25, up to a cap."""
+    token = F.col("input_tokens") * 300 + F.col("output_tokens") * 1200
+    reported = F.floor(token * (F.col("row_id") % 3) / 2)
+    settled = F.when(token.isNotNull(), F.least(F.floor(F.greatest(token, reported) * 5 / 4), F.lit(2_000_000)))
+    return predictions(spark, d).groupBy("run_id").agg(F.sum(token).alias("estimate_nano"), F.sum(settled).cast("long").alias("settled_nano"))
 
 
 @query("l09_reconcile", RES + " SELECT ledger_id, CASE WHEN nr = 0 THEN 'no_result' WHEN charged > reserved THEN 'overcharged' WHEN charged IS NULL THEN 'retained' ELSE 'settled' END AS status, count(*) AS n FROM r GROUP BY 1, 2")

@@ -36,13 +36,10 @@ def d01(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), F.sha2(folded_text(F.col("text")), 256).alias("norm_sha256"))
 
 
-@query("d02_load_rows", "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty_text' WHEN lang NOT IN ('de', 'en', 'es') THEN 'unknown_label' END AS reason FROM documents) GROUP BY 1")
+@query("d02_load_rows", r"""SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN CASE WHEN k IS NULL THEN 'unknown_label' WHEN k >= 3 THEN 'label_out_of_range' END ELSE 'empty_text' END AS reason, CASE WHEN regexp_matches(coalesce(text, ''), '\S') AND k < 3 THEN 'docs:' || doc_id || ':' || substr(sha256(text || '|' || k), 1, 16) END AS row_id
+FROM (SELECT *, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS k FROM documents)""")
 def d02(spark, d):
-    docs = table(spark, d, "documents")
-    labels = spark.range(1).select(F.posexplode(F.array(F.lit("de"), F.lit("en"), F.lit("es"))).alias("label", "lang"))
-    rows = docs.join(F.broadcast(labels), "lang", "left")
-    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "empty_text").when(F.col("label").isNull(), "unknown_label").otherwise("ok")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    return prep.load_rows(table(spark, d, "documents"), ["de", "en", "es", "fr"], "docs", n_classes=3).select("doc_id", "reason", "row_id")
 
 
 @query("d03_overlap_kept", LABELED + "SELECT row_id FROM kept")
