@@ -3,6 +3,12 @@
 toxicity drops what is predicted toxic; exact dedup keeps the row with the largest doc_id of equal
 texts; the n-gram Jaccard join keeps the least doc_id of each component of near copies; mixing repeats
 or leaves out documents towards the sources' target weights; the last stage encodes the texts.
+
+Defined results: null and empty texts are clean, equal to each other, near no other text, take part in mixing
+with size 0 (so whole epochs repeat them and a rest leaves them out) and have no pieces; rows with null doc_id
+pass like others, but are no one's near copy; repeated rows stay repeated where their doc_id survives; ties go
+as the operators state; further columns are kept up to the last stage; an empty table gives an empty result.
+Long texts are taken whole by every stage.
 """
 
 from __future__ import annotations
