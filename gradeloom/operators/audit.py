@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import valid_probabilities
+
 
 def _leaves_of(path: Column, value: Column, depth: int) -> Column:
     leaf = F.array(F.struct(path.alias("path"), value.alias("value")))
@@ -97,3 +99,38 @@ def schema_violations(rows: DataFrame, features: list[tuple[str, str]], allowed:
     for x in rest:
         first = first.union(x)
     return first
+
+
+def equivalence(runs: DataFrame, reference: str, checks: list[str]) -> DataFrame:
+    """Per run, whether each column of ``checks`` equals the reference run's."""
+    one = runs.where(F.col("run_id") == reference).select(*[F.col(c).alias(f"__{c}") for c in checks])
+    return runs.crossJoin(F.broadcast(one)).select("run_id", *[F.col(c).eqNullSafe(F.col(f"__{c}")).alias(f"same_{c}") for c in checks])
+
+
+def run_checks(preds: DataFrame, training: DataFrame, runs: DataFrame, n_classes: int) -> DataFrame:
+    """Per run: unique test rows, truths in range, test rows it trained on, its training rows, and whether
+    these keep to its budget: that many of every class, none at 0, any number where it has none."""
+    both = preds.join(training.select("run_id", "row_id", F.lit(1).alias("t")).distinct(), ["run_id", "row_id"], "left")
+    seen = both.groupBy("run_id").agg((F.count("*") == F.count_distinct("row_id")).alias("unique_rows"), F.bool_and(F.col("y").between(0, n_classes - 1)).alias("truth_in_range"), F.count("t").alias("in_train"))
+    per = training.groupBy("run_id", "label").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.sum("n").alias("n_train"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("classes"))
+    rows = seen.join(F.broadcast(runs.select("run_id", "train_per_class")), "run_id").join(per, "run_id", "left").fillna(0, ["n_train"])
+    k = F.col("train_per_class")
+    even = (F.col("least") == k) & (F.col("most") == k) & (F.col("classes") == n_classes)
+    kept = F.when(k.isNull(), F.col("n_train") > 0).when(k == 0, F.col("n_train") == 0).otherwise(F.coalesce(even, F.lit(False)))
+    return rows.select("run_id", "unique_rows", "truth_in_range", "in_train", "n_train", kept.alias("within_budget"))
+
+
+def projection_violations(rows: DataFrame, n_classes: int, unsafe: str) -> DataFrame:
+    """Per run, counts of rows that must not be published, by reason."""
+    label, error = F.col("label"), F.col("error")
+    reasons = {
+        "bad_latency": ~F.col("latency_s").between(0, 1e6),
+        "bad_label": ~label.between(0, n_classes - 1),
+        "bad_tokens": F.col("input_tokens") < 0,
+        "unsafe": error.rlike(unsafe),
+        "label_and_error": label.isNotNull() & error.isNotNull(),
+        "neither": label.isNull() & error.isNull(),
+        "bad_probabilities": F.col("probabilities").isNotNull() & ~valid_probabilities(F.col("probabilities"), n_classes),
+    }
+    out = rows.groupBy("run_id").agg(*[F.count_if(c).alias(k) for k, c in reasons.items()])
+    return out.withColumn("bad_id", ~F.col("run_id").rlike(r"^[A-Za-z0-9_.-]+$"))

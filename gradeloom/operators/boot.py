@@ -144,3 +144,12 @@ def paired_intervals(preds: DataFrame, a: str, b: str, n_classes: int, replicate
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
     out = d.agg(q("accuracy").alias("a"), q("macro_f1").alias("f"))
     return out.select(*[F.get(c, F.lit(k)).alias(f"{n}_{e}") for c, n in (("a", "accuracy"), ("f", "macro_f1")) for k, e in ((0, "low"), (1, "high"))])
+
+
+def interval_violations(intervals: DataFrame, scores: DataFrame, metrics: list[str], slack: float = 0.05) -> DataFrame:
+    """Per run, intervals that are inverted, leave [0, 1], or lie more than ``slack`` off the score."""
+    bad = []
+    for m in metrics:
+        low, high = F.col(f"{m}_low"), F.col(f"{m}_high")
+        bad += [low > high, (low < 0) | (high > 1), ~F.col(m).between(low - slack, high + slack)]
+    return intervals.join(scores, "run_id").select("run_id", sum((F.coalesce(b, F.lit(True)).cast("int") for b in bad), F.lit(0)).alias("violations"))

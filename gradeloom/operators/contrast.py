@@ -28,15 +28,41 @@ def transition_counts(y: Column, a: Column, b: Column) -> list[Column]:
     ]
 
 
-def transitions(preds: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def transitions(preds: DataFrame, pairs: list[tuple[str, str]] | DataFrame) -> DataFrame:
     """One row per (before, after), by one join on row_id for the whole list of pairs."""
     s = preds.sparkSession
-    listed = s.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in pairs])))
+    listed = pairs.select("before", "after").distinct() if isinstance(pairs, DataFrame) else s.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b in pairs])))
     a = preds.select(F.col("run_id").alias("before"), "row_id", "y", F.col("pred").alias("a")).join(F.broadcast(listed), "before")
     b = preds.select(F.col("run_id").alias("after"), "row_id", F.col("pred").alias("b"))
     return a.join(b, ["after", "row_id"]).groupBy("before", "after").agg(*transition_counts(F.col("y"), F.col("a"), F.col("b")))
 
 
+def transition_violations(t: DataFrame) -> DataFrame:
+    """Broken identities per pair: the partition, the kinds of harm, and the net change."""
+    bad = [
+        F.col("wrong_to_correct") + F.col("correct_to_wrong") + F.col("both_correct") + F.col("both_wrong") != F.col("n_rows"),
+        F.col("harmed_by_label") + F.col("harmed_by_failure") != F.col("correct_to_wrong"),
+        F.col("wrong_to_correct") - F.col("correct_to_wrong") != F.col("net"),
+    ]
+    return t.select("before", "after", sum((b.cast("int") for b in bad), F.lit(0)).alias("violations"))
+
+
+def best_runs(rows: DataFrame, by: tuple[str, ...] = ("dataset",)) -> DataFrame:
+    """Of runs with ``validation`` and ``test`` scores: the best on test, and the best on validation with its
+    test score; ties go to the run that sorts first."""
+    best = lambda c: F.min_by(F.struct("run_id", "validation", "test"), F.struct(-F.col(c), "run_id"))
+    out = rows.groupBy(*by).agg(best("test").alias("t"), best("validation").alias("v"))
+    return out.select(*by, F.col("t.run_id").alias("test_best"), F.col("t.test").alias("test_score"), F.col("v.run_id").alias("validation_best"), F.col("v.validation").alias("validation_score"), F.col("v.test").alias("validation_best_on_test"))
+
+
+def endpoint_violations(curve: DataFrame, source: str, review: str, metrics: list[str]) -> DataFrame:
+    """Per end of a selective curve, the metrics that differ from those of the run it must equal: rows hold
+    ``rate``, the curve's metrics, and the runs' as ``<run>_<metric>``."""
+    off = lambda m, run: (F.abs(F.col(m) - F.col(f"{run}_{m}")) > 1e-12).cast("int")
+    total = sum((F.when(F.col("rate") == 0, off(m, source)).otherwise(off(m, review)) for m in metrics), F.lit(0))
+    return curve.where(F.col("rate").isin(0, 100)).select("rate", total.alias("violations"))
+
+
 def joint_correctness(preds: DataFrame, runs: list[str]) -> DataFrame:
     """Counts of all bit patterns of correctness of the listed runs, zero-filled."""
     rows = preds.where(F.col("run_id").isin(runs)).groupBy("row_id").agg(*[F.max(F.when(F.col("run_id") == r, (F.col("pred") == F.col("y")).cast("int"))).alias(f"b{k}") for k, r in enumerate(runs)])

@@ -64,6 +64,31 @@ def reconcile_status() -> Column:
     )
 
 
+def reconcile(ledger: DataFrame, answers: DataFrame) -> DataFrame:
+    """(ledger_id, reservation_id, status): reservations against the saved predictions that name them, rows of
+    ``answers`` (ledger_id, reservation_id, told_nano), one for each."""
+    told = answers.groupBy("ledger_id", "reservation_id").agg(F.count("*").alias("n_told"), F.max("told_nano").alias("told_nano"))
+    both = reservations(ledger).join(told, ["ledger_id", "reservation_id"], "full_outer")
+    status = (
+        F.when(F.coalesce("n_reserve", F.lit(0)) == 0, "no_reserve")
+        .when(F.col("n_result") == 0, "no_result")
+        .when(F.col("n_told").isNull(), "no_prediction")
+        .when(F.col("n_told") > 1, "duplicate_prediction")
+        .when(F.col("charged_nano") > F.col("reserved_nano"), "overcharged")
+        .when(~F.col("charged_nano").eqNullSafe(F.col("told_nano")), "amount_mismatch")
+        .otherwise(reconcile_status())
+    )
+    return both.select("ledger_id", "reservation_id", status.alias("status"))
+
+
+def authorization(balances: DataFrame, stage: Column, cap_nano: int) -> DataFrame:
+    """Per stage: counted spend of its ledgers, the sum up to it, and what is left of the authorization."""
+    per = balances.groupBy(stage.alias("stage")).agg(F.sum("conservative_nano").alias("counted_nano"), F.count("*").alias("ledgers"))
+    # a row per stage
+    upto = F.sum("counted_nano").over(Window.orderBy("stage").rowsBetween(Window.unboundedPreceding, 0))
+    return per.withColumn("cumulative_nano", upto).withColumn("remaining_nano", F.lit(cap_nano) - F.col("cumulative_nano"))
+
+
 def balances(ledger: DataFrame) -> DataFrame:
     """Per ledger: reserved, charged (retained reservations in full) and counts."""
     r = reservations(ledger)

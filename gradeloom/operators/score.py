@@ -134,6 +134,16 @@ def decision_fingerprints(preds: DataFrame) -> DataFrame:
     return preds.groupBy("run_id").agg(F.sum(digest).alias("fp"), F.count("*").alias("n"))
 
 
+def fingerprints(preds: DataFrame, named: dict[str, list[str]]) -> DataFrame:
+    """Per run, an order-insensitive fingerprint of each named list of columns, and the number of rows."""
+
+    def digest(columns: list[str]) -> Column:
+        text = F.to_json(F.struct("row_id", *columns))
+        return F.sum(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)"))
+
+    return preds.groupBy("run_id").agg(F.count("*").alias("n_rows"), *[digest(c).alias(k) for k, c in named.items()])
+
+
 def most_predicted(preds: DataFrame) -> DataFrame:
     per = preds.where("pred >= 0").groupBy("run_id", "pred").agg(F.count("*").alias("n"))
     return per.groupBy("run_id").agg(F.min_by("pred", F.struct(-F.col("n"), "pred")).alias("pred"), F.max("n").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import keyed
 from ..operators import contrast, score
 from .registry import query
 from .scoring import CONF, per_class_sql, rounded
-from .views import N_CLASSES, VIEWS, predictions, runs, table
+from .views import N_CLASSES, VIEWS, predictions, runs, table, u
 
 PAIRS = [("base", "review"), ("base", "direct"), ("direct", "review")]
 PAIR = VIEWS + ", pr AS (SELECT b.run_id AS before, a.run_id AS after, b.row_id, b.y, b.pred AS a, a.pred AS b FROM pred b JOIN pred a USING (row_id) WHERE (b.run_id, a.run_id) IN (('base', 'review'), ('base', 'direct'), ('direct', 'review')))"
@@ -29,19 +30,21 @@ def c02(spark, d):
 
 @query("c03_transition_identities", PAIR + "SELECT before, after, 0 AS violations FROM pr GROUP BY 1, 2")
 def c03(spark, d):
-    t = contrast.transitions(predictions(spark, d), PAIRS)
-    bad = F.col("wrong_to_correct") + F.col("correct_to_wrong") + F.col("both_correct") + F.col("both_wrong") != F.col("n_rows")
-    also = F.col("harmed_by_label") + F.col("harmed_by_failure") != F.col("correct_to_wrong")
-    return t.select("before", "after", (bad.cast("int") + also.cast("int")).alias("violations"))
+    return contrast.transition_violations(contrast.transitions(predictions(spark, d), PAIRS))
 
 
-@query("c04_compare_runs", VIEWS + "SELECT a.run_id AS run_a, b.run_id AS run_b, CASE WHEN a.train_per_class IS NOT DISTINCT FROM b.train_per_class THEN 'eligible' ELSE 'unequal_training' END AS status FROM runs a JOIN runs b ON a.run_id < b.run_id WHERE a.status = 'complete' AND b.status = 'complete'")
+@query("c04_compare_runs", CONF + f""", {per_class_sql()}, w AS (SELECT run_id, list((row_id, y) ORDER BY row_id) AS held FROM pred GROUP BY 1), k AS (SELECT runs.run_id, train_per_class, held, n_rows, accuracy, macro_f1 FROM runs JOIN w USING (run_id) JOIN sc USING (run_id) WHERE status = 'complete')
+SELECT a.run_id AS run_a, b.run_id AS run_b, a.n_rows AS n_a, b.n_rows AS n_b, CASE WHEN a.held <> b.held THEN 'misaligned' WHEN a.train_per_class IS DISTINCT FROM b.train_per_class THEN 'unequal_training' ELSE 'eligible' END AS status,
+round(CASE WHEN a.held = b.held THEN a.accuracy - b.accuracy END, 9) AS delta_accuracy, round(CASE WHEN a.held = b.held THEN a.macro_f1 - b.macro_f1 END, 9) AS delta_macro_f1 FROM k a JOIN k b ON a.run_id < b.run_id""")
 def c04(spark, d):
-    ids = score.decision_fingerprints(predictions(spark, d).withColumn("pred", F.col("y"))).select("run_id", "fp")
-    r = runs(spark).where("status = 'complete'").join(ids, "run_id").select("run_id", "train_per_class", "fp")
+    """Deltas of every pair of runs on the same rows and truths; the status says whether training was equal."""
+    p = predictions(spark, d)
+    r = runs(spark).where("status = 'complete'").join(score.fingerprints(p, {"fp": ["y"]}), "run_id").join(score.scores(score.confusion(p, N_CLASSES)).drop("n_rows"), "run_id").select("run_id", "train_per_class", "fp", "n_rows", "accuracy", "macro_f1")
     a, b = r.select(*[F.col(c).alias(c + "_a") for c in r.columns]), r.select(*[F.col(c).alias(c + "_b") for c in r.columns])
-    state = F.when(F.col("fp_a") != F.col("fp_b"), "misaligned").when(~F.col("train_per_class_a").eqNullSafe(F.col("train_per_class_b")), "unequal_training").otherwise("eligible")
-    return a.join(b, F.col("run_id_a") < F.col("run_id_b")).select(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"), state.alias("status"))
+    same = (F.col("fp_a") == F.col("fp_b")) & (F.col("n_rows_a") == F.col("n_rows_b"))
+    state = F.when(~same, "misaligned").when(~F.col("train_per_class_a").eqNullSafe(F.col("train_per_class_b")), "unequal_training").otherwise("eligible")
+    delta = lambda c: F.round(F.when(same, F.col(f"{c}_a") - F.col(f"{c}_b")), 9).alias(f"delta_{c}")
+    return a.join(b, F.col("run_id_a") < F.col("run_id_b")).select(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"), F.col("n_rows_a").alias("n_a"), F.col("n_rows_b").alias("n_b"), state.alias("status"), delta("accuracy"), delta("macro_f1"))
 
 
 CONTRASTS = """, cl AS (SELECT 'review_minus_source' AS kind, r.run_id AS a, r.source_run_id AS b FROM runs r WHERE r.arm = 'review' UNION ALL SELECT 'review_minus_direct', r.run_id, x.run_id FROM runs r JOIN runs x ON x.arm = 'direct' AND x.model = r.model WHERE r.arm = 'review'
@@ -63,16 +66,25 @@ def c05(spark, d):
     return contrast_list(runs(spark)).join(n, "a", "left").select("kind", "a", "b", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
-@query("c06_contrasts", CONF + f", {per_class_sql()} {CONTRASTS} SELECT kind, a, b, CASE WHEN x.accuracy IS NULL OR z.accuracy IS NULL THEN 'pending' ELSE 'complete' END AS status, round(x.accuracy - z.accuracy, 9) AS delta_accuracy, round(x.macro_f1 - z.macro_f1, 9) AS delta_macro_f1, round(x.balanced_accuracy - z.balanced_accuracy, 9) AS delta_balanced FROM cl LEFT JOIN sc x ON x.run_id = a LEFT JOIN sc z ON z.run_id = b")
+@query("c06_contrasts", CONF + f""", {per_class_sql()} {CONTRASTS}, tc AS (SELECT kind, cl.a, cl.b, count(*) FILTER (WHERE x.pred <> x.y AND z.pred = z.y) AS wrong_to_correct, count(*) FILTER (WHERE x.pred = x.y AND z.pred <> z.y) AS correct_to_wrong FROM cl JOIN pred x ON x.run_id = cl.b JOIN pred z ON z.run_id = cl.a AND z.row_id = x.row_id GROUP BY 1, 2, 3)
+SELECT cl.kind, cl.a, cl.b, CASE WHEN x.accuracy IS NULL OR z.accuracy IS NULL THEN 'pending' ELSE 'complete' END AS status, round(x.accuracy - z.accuracy, 9) AS delta_accuracy, round(x.macro_f1 - z.macro_f1, 9) AS delta_macro_f1, round(x.balanced_accuracy - z.balanced_accuracy, 9) AS delta_balanced, wrong_to_correct, correct_to_wrong, wrong_to_correct - correct_to_wrong AS net
+FROM cl LEFT JOIN sc x ON x.run_id = cl.a LEFT JOIN sc z ON z.run_id = cl.b LEFT JOIN tc ON tc.kind = cl.kind AND tc.a = cl.a AND tc.b = cl.b""")
 def c06(spark, d):
-    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", "accuracy", "macro_f1", "balanced_accuracy")
+    p = predictions(spark, d)
+    s = score.scores(score.confusion(p, N_CLASSES)).select("run_id", "accuracy", "macro_f1", "balanced_accuracy")
     x, z = s.select(*[F.col(c).alias("x_" + c) for c in s.columns]), s.select(*[F.col(c).alias("z_" + c) for c in s.columns])
-    out = contrast_list(runs(spark)).join(x, F.col("a") == F.col("x_run_id"), "left").join(z, F.col("b") == F.col("z_run_id"), "left")
+    listed = contrast_list(runs(spark))
+    moved = contrast.transitions(p, listed.select(F.col("b").alias("before"), F.col("a").alias("after"))).select(F.col("before").alias("b"), F.col("after").alias("a"), "wrong_to_correct", "correct_to_wrong", "net")
+    out = listed.join(x, F.col("a") == F.col("x_run_id"), "left").join(z, F.col("b") == F.col("z_run_id"), "left").join(moved, ["a", "b"], "left")
     state = F.when(F.col("x_accuracy").isNull() | F.col("z_accuracy").isNull(), "pending").otherwise("complete")
-    return out.select("kind", "a", "b", state.alias("status"), *[F.round(F.col(f"x_{c}") - F.col(f"z_{c}"), 9).alias(n) for c, n in (("accuracy", "delta_accuracy"), ("macro_f1", "delta_macro_f1"), ("balanced_accuracy", "delta_balanced"))])
+    deltas = [F.round(F.col(f"x_{c}") - F.col(f"z_{c}"), 9).alias(n) for c, n in (("accuracy", "delta_accuracy"), ("macro_f1", "delta_macro_f1"), ("balanced_accuracy", "delta_balanced"))]
+    return out.select("kind", "a", "b", state.alias("status"), *deltas, "wrong_to_correct", "correct_to_wrong", "net")
+
 
+INVENTORY = VIEWS + ", g AS (SELECT m AS model, a AS arm, k AS train_per_class FROM (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['source', 'review', 'direct']) AS a), (SELECT unnest([0, 4]) AS k)), n AS (SELECT run_id, count(*) AS c FROM pred GROUP BY 1) SELECT coalesce(g.model, r.model) AS model, coalesce(g.arm, r.arm) AS arm, coalesce(g.train_per_class, r.train_per_class) AS train_per_class, CASE WHEN r.model IS NULL THEN 'missing' WHEN g.model IS NULL THEN 'unexpected' ELSE r.status END AS status FROM g FULL JOIN (SELECT runs.* FROM runs LEFT JOIN n USING (run_id) WHERE status <> 'complete' OR c > 0) r ON g.model = r.model AND g.arm = r.arm AND g.train_per_class IS NOT DISTINCT FROM r.train_per_class"
 
-@query("c09_inventory", VIEWS + ", g AS (SELECT m AS model, a AS arm, k AS train_per_class FROM (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['source', 'review', 'direct']) AS a), (SELECT unnest([0, 4]) AS k)), n AS (SELECT run_id, count(*) AS c FROM pred GROUP BY 1) SELECT coalesce(g.model, r.model) AS model, coalesce(g.arm, r.arm) AS arm, coalesce(g.train_per_class, r.train_per_class) AS train_per_class, CASE WHEN r.model IS NULL THEN 'missing' WHEN g.model IS NULL THEN 'unexpected' ELSE r.status END AS status FROM g FULL JOIN (SELECT runs.* FROM runs LEFT JOIN n USING (run_id) WHERE status <> 'complete' OR c > 0) r ON g.model = r.model AND g.arm = r.arm AND g.train_per_class IS NOT DISTINCT FROM r.train_per_class")
+
+@query("c09_inventory", INVENTORY)
 def c09(spark, d):
     done = predictions(spark, d).select("run_id").distinct().withColumn("has", F.lit(True))
     r = runs(spark).join(done, "run_id", "left").where("status <> 'complete' or has")
@@ -80,16 +92,27 @@ def c09(spark, d):
     return contrast.inventory(dims[0].crossJoin(dims[1]).crossJoin(dims[2]), r, ["model", "arm", "train_per_class"])
 
 
+@query("c09_arm_counts", f"SELECT arm, count(*) AS conditions, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE status = 'missing') AS missing, count(*) FILTER (WHERE status = 'unexpected') AS unexpected, count(*) FILTER (WHERE status NOT IN ('complete', 'missing', 'unexpected')) AS other FROM ({INVENTORY}) GROUP BY 1")
+def c09_arms(spark, d):
+    n = lambda k: F.count_if(F.col("status") == k).alias(k)
+    other = F.count_if(~F.col("status").isin("complete", "missing", "unexpected")).alias("other")
+    return c09(spark, d).groupBy("arm").agg(F.count("*").alias("conditions"), n("complete"), n("missing"), n("unexpected"), other)
+
+
 @query("c10_review_linkage", VIEWS + 'SELECT r.run_id, s.run_id IS NOT NULL AS "exists", coalesce(s.status = \'complete\', false) AS complete, coalesce(s.model = r.model AND s.train_per_class IS NOT DISTINCT FROM r.train_per_class, false) AS matches, (SELECT count(*) FROM pred WHERE run_id = r.run_id) AS saved FROM runs r LEFT JOIN runs s ON r.source_run_id = s.run_id WHERE r.arm = \'review\'')
 def c10(spark, d):
     saved = predictions(spark, d).groupBy("run_id").agg(F.count("*").alias("saved"))
     return contrast.review_linkage(runs(spark)).join(saved, "run_id", "left").fillna(0, ["saved"])
 
 
-@query("c11_best_model", CONF + f", {per_class_sql()} SELECT arg_max(run_id, accuracy) AS run_id, round(max(accuracy), 9) AS accuracy FROM sc")
+@query("c11_best_model", VIEWS + f""", vs AS (SELECT dataset, run_id, avg(CAST(pred = y AS INTEGER)) FILTER (WHERE v) AS va, avg(CAST(pred = y AS INTEGER)) FILTER (WHERE NOT v) AS ta FROM (SELECT pred.*, {u("'validation'", "row_id")} % 4 = 0 AS v FROM pred) JOIN runs USING (run_id) GROUP BY 1, 2),
+t AS (SELECT * FROM vs ORDER BY ta DESC, run_id LIMIT 1), v AS (SELECT * FROM vs ORDER BY va DESC, run_id LIMIT 1)
+SELECT t.dataset, t.run_id AS test_best, round(t.ta, 9) AS test_score, v.run_id AS validation_best, round(v.va, 9) AS validation_score, round(v.ta, 9) AS validation_best_on_test FROM t, v""")
 def c11(spark, d):
-    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES))
-    return s.agg(F.min_by("run_id", F.struct(-F.col("accuracy"), "run_id")).alias("run_id"), F.round(F.max("accuracy"), 9).alias("accuracy"))
+    """A quarter of the scored rows, by hash of the id, serves for validation."""
+    p = predictions(spark, d).withColumns({"v": keyed("validation", F.col("row_id")) % 4 == 0, "right": (F.col("pred") == F.col("y")).cast("int")})
+    s = p.groupBy("run_id").agg(F.avg(F.when(F.col("v"), F.col("right"))).alias("validation"), F.avg(F.when(~F.col("v"), F.col("right"))).alias("test"))
+    return rounded(contrast.best_runs(s.join(runs(spark).select("run_id", "dataset"), "run_id")), "test_score", "validation_score", "validation_best_on_test")
 
 
 @query("c12_panel", VIEWS + ", pn AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM pred) ORDER BY sha256('panel:' || row_id), row_id LIMIT 36) SELECT run_id, count(*) AS n_rows, count(*) FILTER (WHERE pred = y) AS correct FROM pred WHERE row_id IN (SELECT row_id FROM pn) GROUP BY 1")
@@ -183,10 +206,14 @@ def v10(spark, d):
     return rows.crossJoin(rows.agg(F.when(F.count_distinct("pattern") > 1, "mixed").otherwise(F.min("pattern")).alias("pooled")))
 
 
-@query("v11_endpoints", VIEWS + "SELECT 0 AS violations, count(DISTINCT row_id) AS n_rows FROM pred")
+@query("v11_endpoints", VIEWS + "SELECT unnest([0, 100]) AS rate, 0 AS violations")
 def v11(spark, d):
-    bad = F.count_if(F.col("rate").isin(0, 100) & (F.abs(F.col("x") - F.col("r")) > 1e-12)).cast("int").alias("violations")
-    return _versus(spark, d).agg(bad).crossJoin(predictions(spark, d).agg(F.count_distinct("row_id").alias("n_rows")))
+    """A curve's ends have the metrics of its source and of its review."""
+    p, metrics = predictions(spark, d), ["accuracy", "macro_f1", "balanced_accuracy"]
+    s = score.scores(score.confusion(p, N_CLASSES))
+    ends = [s.where(F.col("run_id") == run).select(*[F.col(m).alias(f"{run}_{m}") for m in metrics]) for run in ("base", "review")]
+    curve = contrast.selective_curve(p, "base", "review", N_CLASSES)
+    return contrast.endpoint_violations(curve.crossJoin(F.broadcast(ends[0])).crossJoin(F.broadcast(ends[1])), "base", "review", metrics)
 
 
 @query("v12_inferences", MIXED + " SELECT 'selective' AS policy, rate, count(*) + count(*) FILTER (WHERE picked AND a >= 0) AS calls FROM mx GROUP BY 2 UNION ALL SELECT unnest(['never', 'always', 'direct']), NULL, unnest([count(*), count(*) + count(*) FILTER (WHERE a >= 0), count(*)]) FROM rk")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
-from ..operators import events, score
+from ..operators import audit, events, prep, score
 from ..sources.files import shared_folder
 from ..streaming import streams
+from .prep import LABELED
 from .registry import query
 from .scoring import CONF, KIND, per_class_sql, rounded
 from .views import N_CLASSES, VIEWS, examples, ledger, predictions, runs, table, u
@@ -78,10 +80,16 @@ def r06(spark, d):
     return _views(spark, d).groupBy("run_id").agg(F.count_if(~a & b).alias("corrected"), F.count_if(a & ~b).alias("harmed"))
 
 
-@query("r08_rollup", ATT + f", k AS (SELECT run_id, row_id, {KIND} AS kind FROM pred WHERE pred < 0) SELECT kind, count(*) AS failures, count(recovered) AS resolved, CAST(sum(extra) AS BIGINT) AS attempts FROM k JOIN vw USING (run_id, row_id) GROUP BY 1")
+@query("r08_rollup", ATT + f""", k AS (SELECT run_id, row_id, source_run_id, {KIND} AS kind FROM pred WHERE pred < 0)
+SELECT k.kind, count(*) AS failures, count(v.recovered) AS resolved, count(v.first_retry) AS at_first_retry, CAST(sum(v.extra) AS BIGINT) AS attempts, count(s.row_id) AS upstream, count(*) FILTER (WHERE s.row_id IS NOT NULL AND s.recovered IS NULL) AS unresolved_upstream
+FROM k JOIN vw v ON v.run_id = k.run_id AND v.row_id = k.row_id LEFT JOIN vw s ON s.run_id = k.source_run_id AND s.row_id = k.row_id AND s.original IS NULL GROUP BY 1""")
 def r08(spark, d):
-    kinds = r01(spark, d).select("run_id", "row_id", "kind")
-    return kinds.join(_views(spark, d), ["run_id", "row_id"]).groupBy("kind").agg(F.count("*").alias("failures"), F.count("recovered").alias("resolved"), F.sum("extra_attempts").alias("attempts"))
+    """Outcomes by kind of failure and stage; upstream are failures whose source run failed on the same row."""
+    kinds = predictions(spark, d).where("pred < 0").select("run_id", "row_id", "source_run_id", score.failure_kind(F.col("error")).alias("kind"))
+    v = _views(spark, d)
+    source = v.where("original is null").select(F.col("run_id").alias("source_run_id"), "row_id", F.lit(True).alias("up"), F.col("recovered").isNull().alias("open"))
+    rows = kinds.join(v, ["run_id", "row_id"]).join(source, ["source_run_id", "row_id"], "left")
+    return rows.groupBy("kind").agg(F.count("*").alias("failures"), F.count("recovered").alias("resolved"), F.count("first_retry").alias("at_first_retry"), F.sum("extra_attempts").alias("attempts"), F.count("up").alias("upstream"), F.count_if("open").alias("unresolved_upstream"))
 
 
 @query("r10_next_action", ATT + """, nx AS (SELECT v.run_id, v.row_id, v.extra + 1 AS next_attempt, s.row_id IS NOT NULL AND s.original IS NULL AS dependent, s.recovered IS NOT NULL AS ready FROM vw v LEFT JOIN pred p ON p.run_id = v.run_id AND p.row_id = v.row_id LEFT JOIN vw s ON s.run_id = p.source_run_id AND s.row_id = v.row_id
@@ -160,9 +168,20 @@ def l08(spark, d):
     return predictions(spark, d).groupBy("run_id").agg(F.sum(token).alias("estimate_nano"), F.sum(settled).cast("long").alias("settled_nano"))
 
 
-@query("l09_reconcile", RES + " SELECT ledger_id, CASE WHEN nr = 0 THEN 'no_result' WHEN charged > reserved THEN 'overcharged' WHEN charged IS NULL THEN 'retained' ELSE 'settled' END AS status, count(*) AS n FROM r GROUP BY 1, 2")
+@query("l09_reconcile", RES + f""", q AS (SELECT ledger_id, event_id, CASE WHEN event_type = 'purchase' THEN (nano * 8 + 9) // 10 END AS charged, {u("'answer'", "event_id")} AS h FROM ev WHERE event_type <> 'signup'),
+an AS (SELECT ledger_id, event_id, charged + CASE WHEN h % 71 = 0 THEN 1 ELSE 0 END AS told FROM q WHERE h % 67 <> 0 UNION ALL SELECT ledger_id, event_id, charged + CASE WHEN h % 71 = 0 THEN 1 ELSE 0 END FROM q WHERE h % 73 = 0 UNION ALL SELECT ledger_id, -event_id - 1, NULL FROM q WHERE h % 79 = 0),
+ag AS (SELECT ledger_id, event_id AS reservation_id, count(*) AS na, max(told) AS told FROM an GROUP BY 1, 2)
+SELECT ledger_id, CASE WHEN r.reserved IS NULL THEN 'no_reserve' WHEN nr = 0 THEN 'no_result' WHEN na IS NULL THEN 'no_prediction' WHEN na > 1 THEN 'duplicate_prediction' WHEN charged > reserved THEN 'overcharged' WHEN charged IS DISTINCT FROM told THEN 'amount_mismatch' WHEN charged IS NULL THEN 'retained' ELSE 'settled' END AS status, count(*) AS n
+FROM r FULL JOIN ag USING (ledger_id, reservation_id) GROUP BY 1, 2""")
 def l09(spark, d):
-    return events.reservations(ledger(spark, d)).groupBy("ledger_id", events.reconcile_status().alias("status")).agg(F.count("*").alias("n"))
+    """Saved predictions with some lost, told a wrong amount, doubled, or naming no reservation."""
+    e = table(spark, d, "events").where("event_type <> 'signup'")
+    e = e.select((F.col("user_id") % 10).alias("ledger_id"), "event_id", F.when(F.col("event_type") == "purchase", F.ceil(F.col("value").cast("decimal(18,6)") * 1_000_000_000).cast("long")).alias("nano"), keyed("answer", F.col("event_id")).alias("h"))
+    told = F.expr("(nano * 8 + 9) div 10") + (F.col("h") % 71 == 0).cast("int")
+    answer = lambda c, id, told: F.when(c, F.struct(id.alias("reservation_id"), told.cast("long").alias("told_nano")))
+    id, h = F.col("event_id"), F.col("h")
+    answers = F.filter(F.array(answer(h % 67 != 0, id, told), answer(h % 73 == 0, id, told), answer(h % 79 == 0, -id - 1, F.lit(None))), lambda x: x.isNotNull())
+    return events.reconcile(ledger(spark, d), e.select("ledger_id", F.inline(answers))).groupBy("ledger_id", "status").agg(F.count("*").alias("n"))
 
 
 @query("l10_totals", RES + " SELECT coalesce(outcome, 'open') AS outcome, count(*) AS n, CAST(CASE WHEN count(charged) = count(*) THEN sum(charged) END AS BIGINT) AS total_nano, CAST(coalesce(sum(charged), 0) AS BIGINT) AS known_nano, round(count(charged) / count(*), 9) AS coverage FROM r GROUP BY 1")
@@ -176,9 +195,10 @@ def l11(spark, d):
     return events.balances(ledger(spark, d)).agg(F.sum("conservative_nano").alias("upper_nano"))
 
 
-@query("l12_authorization", RES + " SELECT CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS counted_nano, CAST(1000000000000000 - sum(coalesce(charged, reserved)) AS BIGINT) AS remaining_nano, count(DISTINCT ledger_id) AS ledgers FROM r")
+@query("l12_authorization", RES + """, s AS (SELECT ledger_id % 3 AS stage, CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS counted_nano, count(DISTINCT ledger_id) AS ledgers FROM r GROUP BY 1)
+SELECT stage, counted_nano, ledgers, CAST(sum(counted_nano) OVER (ORDER BY stage) AS BIGINT) AS cumulative_nano, CAST(1000000000000000 - sum(counted_nano) OVER (ORDER BY stage) AS BIGINT) AS remaining_nano FROM s""")
 def l12(spark, d):
-    return events.balances(ledger(spark, d)).agg(F.sum("conservative_nano").alias("counted_nano"), (F.lit(10**15) - F.sum("conservative_nano")).alias("remaining_nano"), F.count("*").alias("ledgers"))
+    return events.authorization(events.balances(ledger(spark, d)), F.col("ledger_id") % 3, 10**15)
 
 
 @query("l13_duplicate_requests", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
@@ -192,25 +212,35 @@ def l14(spark, d):
     return spark.range(12).select(F.col("id").alias("ledger_id")).join(b, "ledger_id", "left").fillna(0)
 
 
-@query("a02_equivalence", VIEWS + ", v AS (SELECT run_id, list((row_id, y) ORDER BY row_id) AS rows, list(pred ORDER BY row_id) AS preds, count(*) AS n FROM pred GROUP BY 1) SELECT b.run_id, a.n = b.n AS same_count, a.rows = b.rows AS same_rows, a.preds = b.preds AS same_decisions FROM v a, v b WHERE a.run_id = 'base'")
+@query("a02_equivalence", VIEWS + """, v AS (SELECT run_id, list(row_id ORDER BY row_id) AS ids, list(y ORDER BY row_id) AS ys, list(pred ORDER BY row_id) AS preds, list(coalesce(error, '') ORDER BY row_id) AS errors, list(coalesce(p, []) ORDER BY row_id) AS ps, count(*) AS n FROM pred GROUP BY 1), w AS (SELECT v.*, dataset, train_per_class, seed FROM v JOIN runs USING (run_id))
+SELECT b.run_id, a.dataset IS NOT DISTINCT FROM b.dataset AS same_dataset, a.train_per_class IS NOT DISTINCT FROM b.train_per_class AS same_budget, a.seed IS NOT DISTINCT FROM b.seed AS same_seed, a.n = b.n AS same_count, a.ids = b.ids AS same_rows, a.ids = b.ids AND a.ys = b.ys AS same_truths, a.ids = b.ids AND a.preds = b.preds AS same_decisions, a.ids = b.ids AND a.errors = b.errors AS same_errors, a.ids = b.ids AND a.ps = b.ps AS same_probabilities FROM w a, w b WHERE a.run_id = 'base'""")
 def a02(spark, d):
-    p = predictions(spark, d)
-    f = score.decision_fingerprints(p).join(score.decision_fingerprints(p.withColumn("pred", F.col("y"))).select("run_id", F.col("fp").alias("truth")), "run_id")
-    a = f.where("run_id = 'base'").select(F.col("n").alias("n0"), F.col("fp").alias("f0"), F.col("truth").alias("t0"))
-    return f.crossJoin(F.broadcast(a)).select("run_id", (F.col("n") == F.col("n0")).alias("same_count"), (F.col("truth") == F.col("t0")).alias("same_rows"), (F.col("fp") == F.col("f0")).alias("same_decisions"))
+    f = score.fingerprints(predictions(spark, d), {"rows": [], "truths": ["y"], "decisions": ["pred"], "errors": ["error"], "probabilities": ["probabilities"]})
+    f = f.join(F.broadcast(runs(spark).select("run_id", "dataset", F.col("train_per_class").alias("budget"), "seed")), "run_id").withColumnRenamed("n_rows", "count")
+    return audit.equivalence(f, "base", ["dataset", "budget", "seed", "count", "rows", "truths", "decisions", "errors", "probabilities"])
 
 
-@query("a04_run_checks", VIEWS + "SELECT run_id, count(*) = count(DISTINCT row_id) AS unique_rows, bool_and(y BETWEEN 0 AND 3) AS truth_in_range, count(*) FILTER (WHERE row_id IN (SELECT row_id FROM ex WHERE source_split = 'train')) AS in_train FROM pred GROUP BY 1")
+@query("a04_run_checks", LABELED + """, tn AS (SELECT run_id, row_id, label FROM rk, runs WHERE status = 'complete' AND (train_per_class IS NULL OR rank <= train_per_class)), tc AS (SELECT run_id, label, count(*) AS n FROM tn GROUP BY 1, 2), tk AS (SELECT run_id, CAST(sum(n) AS BIGINT) AS n_train, min(n) AS lo, max(n) AS hi, count(*) AS k FROM tc GROUP BY 1),
+s AS (SELECT run_id, count(*) = count(DISTINCT row_id) AS unique_rows, bool_and(y BETWEEN 0 AND 3) AS truth_in_range, count(*) FILTER (WHERE row_id IN (SELECT row_id FROM ex WHERE source_split = 'train')) AS in_train FROM pred GROUP BY 1)
+SELECT s.*, coalesce(n_train, 0) AS n_train, CASE WHEN train_per_class IS NULL THEN coalesce(n_train, 0) > 0 WHEN train_per_class = 0 THEN n_train IS NULL ELSE coalesce(lo = train_per_class AND hi = train_per_class AND k = 4, false) END AS within_budget FROM s JOIN runs USING (run_id) LEFT JOIN tk USING (run_id)""")
 def a04(spark, d):
-    train = examples(spark, d).where("source_split = 'train'").select("row_id", F.lit(1).alias("t"))
-    return predictions(spark, d).join(train, "row_id", "left").groupBy("run_id").agg((F.count("*") == F.count_distinct("row_id")).alias("unique_rows"), F.bool_and(F.col("y").between(0, 3)).alias("truth_in_range"), F.count("t").alias("in_train"))
+    train = prep.hash_ranked(examples(spark, d).where("source_split = 'train'"), 42, ["label"])
+    r = runs(spark).where("status = 'complete'").select("run_id", "train_per_class")
+    # the list of runs is a literal of a few rows
+    training = train.select("row_id", "label", "rank").crossJoin(F.broadcast(r)).where("train_per_class is null or rank <= train_per_class")
+    return audit.run_checks(predictions(spark, d), training, r, N_CLASSES)
 
 
-@query("p01_run_table", CONF + f", {per_class_sql()} SELECT run_id, model, arm, CASE WHEN train_per_class IS NULL THEN 'full' WHEN train_per_class = 0 THEN 'zero' ELSE train_per_class || ' per class' END AS budget, status, round(accuracy, 9) AS accuracy FROM runs LEFT JOIN sc USING (run_id)")
+@query("p01_run_table", CONF + f""", {per_class_sql()}, x AS (SELECT run_id, count(*) FILTER (WHERE pred < 0) AS failures, count(p) / count(*) AS covered, count(DISTINCT y) AS labels FROM pred GROUP BY 1)
+SELECT run_id, model, arm, seed, CASE WHEN train_per_class IS NULL THEN 'full' WHEN train_per_class = 0 THEN 'zero' ELSE train_per_class || ' per class' END AS budget, status, labels, n_rows, failures, round(covered, 9) AS probability_coverage, CASE WHEN covered IS NULL THEN NULL WHEN covered = 0 THEN 'labels only' ELSE 'probabilities' END AS output, round(accuracy, 9) AS accuracy, round(macro_f1, 9) AS macro_f1, round(balanced_accuracy, 9) AS balanced_accuracy FROM runs LEFT JOIN sc USING (run_id) LEFT JOIN x USING (run_id)""")
 def p01(spark, d):
-    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", F.round("accuracy", 9).alias("accuracy"))
+    p = predictions(spark, d)
+    s = score.scores(score.confusion(p, N_CLASSES)).select("run_id", "n_rows", "failures", *[F.round(c, 9).alias(c) for c in ("accuracy", "macro_f1", "balanced_accuracy")])
+    # classes are few, so the distinct count is over a handful of values
+    x = p.groupBy("run_id").agg((F.count("probabilities") / F.count("*")).alias("covered"), F.count_distinct("y").alias("labels"))
     budget = F.when(F.col("train_per_class").isNull(), "full").when(F.col("train_per_class") == 0, "zero").otherwise(F.concat(F.col("train_per_class").cast("string"), F.lit(" per class")))
-    return runs(spark).join(s, "run_id", "left").select("run_id", "model", "arm", budget.alias("budget"), "status", "accuracy")
+    output = F.when(F.col("covered") == 0, "labels only").when(F.col("covered") > 0, "probabilities")
+    return runs(spark).join(s, "run_id", "left").join(x, "run_id", "left").select("run_id", "model", "arm", "seed", budget.alias("budget"), "status", "labels", "n_rows", "failures", F.round("covered", 9).alias("probability_coverage"), output.alias("output"), "accuracy", "macro_f1", "balanced_accuracy")
 
 
 @query("p03_canonical", VIEWS + ", g AS (SELECT norm, count(*) AS n, min(row_id) AS c FROM ex GROUP BY 1) SELECT row_id, c AS canonical, n AS repetition_count, CASE WHEN row_id <> c THEN c END AS duplicate_of FROM ex JOIN g USING (norm)")
@@ -226,32 +256,60 @@ def p04(spark, d):
     return runs(spark).join(n, "run_id", "left").groupBy("arm").agg(F.count("*").alias("runs"), F.sum("n").alias("predictions"))
 
 
-@query("p05_projection_checks", VIEWS + "SELECT run_id, count(*) FILTER (WHERE NOT (latency_s BETWEEN 0 AND 1e6)) AS bad_latency, count(*) FILTER (WHERE regexp_matches(coalesce(error, ''), '(/home/|sk-[A-Za-z0-9]{20})')) AS unsafe FROM pred GROUP BY 1")
-def p05(spark, d):
-    return predictions(spark, d).groupBy("run_id").agg(F.count_if(~F.col("latency_s").between(0, 1e6)).alias("bad_latency"), F.count_if(F.coalesce("error", F.lit("")).rlike("(/home/|sk-[A-Za-z0-9]{20})")).alias("unsafe"))
+SAFE_ERROR = "(/home/|sk-[A-Za-z0-9]{20}|Bearer )"
 
 
-@query("p06_dashboard", CONF + f", {per_class_sql()} SELECT s.model, round(b.accuracy, 9) AS source_accuracy, round(v.accuracy, 9) AS review_accuracy FROM runs r JOIN runs s ON r.source_run_id = s.run_id JOIN sc b ON b.run_id = s.run_id JOIN sc v ON v.run_id = r.run_id WHERE r.arm = 'review'")
+@query("p05_projection_checks", VIEWS + f""", g AS (SELECT *, {u("'spoil'", "row_id")} AS h FROM pred), b AS (SELECT run_id, CASE WHEN h % 61 = 0 THEN -latency_s - 1 ELSE latency_s END AS latency_s, CASE WHEN h % 67 = 0 THEN 9 ELSE label END AS label, CASE WHEN h % 71 = 0 THEN -1 ELSE input_tokens END AS input_tokens, CASE WHEN h % 73 = 0 THEN 'at /home/x' ELSE error END AS error, p, h FROM g)
+SELECT run_id, count(*) FILTER (WHERE NOT (latency_s BETWEEN 0 AND 1e6)) AS bad_latency, count(*) FILTER (WHERE label NOT BETWEEN 0 AND 3) AS bad_label, count(*) FILTER (WHERE input_tokens < 0) AS bad_tokens, count(*) FILTER (WHERE regexp_matches(error, '(/home/|sk-[A-Za-z0-9]{{20}}|Bearer )')) AS unsafe,
+count(*) FILTER (WHERE label IS NOT NULL AND error IS NOT NULL) AS label_and_error, count(*) FILTER (WHERE label IS NULL AND error IS NULL) AS neither, count(*) FILTER (WHERE p IS NOT NULL AND h % 79 = 0) AS bad_probabilities, NOT regexp_matches(run_id, '^[A-Za-z0-9_.-]+$') AS bad_id FROM b GROUP BY 1""")
+def p05(spark, d):
+    """Checks before rows are published, on predictions some of which were spoiled."""
+    h = keyed("spoil", F.col("row_id"))
+    rows = predictions(spark, d).withColumns({
+        "latency_s": F.when(h % 61 == 0, -F.col("latency_s") - 1).otherwise(F.col("latency_s")),
+        "label": F.when(h % 67 == 0, 9).otherwise(F.col("label")),
+        "input_tokens": F.when(h % 71 == 0, -1).otherwise(F.col("input_tokens")),
+        "error": F.when(h % 73 == 0, "at /home/x").otherwise(F.col("error")),
+        "probabilities": F.when(h % 79 == 0, F.transform("probabilities", lambda x: x / 2)).otherwise(F.col("probabilities")),
+    })
+    return audit.projection_violations(rows, N_CLASSES, SAFE_ERROR)
+
+
+def dashboard(scores, r, metric="accuracy", **filters):
+    """Review runs with the metric of their source, their own, and the direct run's of the same model and
+    budget; ``filters`` are values of columns of the runs."""
+    for name, value in filters.items():
+        r = r.where(F.col(name).eqNullSafe(F.lit(value)))
+    of = lambda arm: scores.select(F.col("run_id").alias(f"{arm}_run_id"), F.round(metric, 9).alias(f"{arm}_{metric}"))
+    direct = r.where("arm = 'direct'").select(F.col("run_id").alias("direct_run_id"), "model", F.col("train_per_class").alias("k"))
+    rows = r.where("arm = 'review'").select("model", "train_per_class", F.col("run_id").alias("review_run_id"), "source_run_id").join(direct, "model", "left").where(F.col("k").eqNullSafe(F.col("train_per_class")) | F.col("direct_run_id").isNull())
+    for arm in ("source", "direct", "review"):
+        rows = rows.join(of(arm), f"{arm}_run_id", "left")
+    return rows.select("model", "train_per_class", *[f"{arm}_{metric}" for arm in ("source", "direct", "review")])
+
+
+@query("p06_dashboard", CONF + f", {per_class_sql()} SELECT r.model, r.train_per_class, round(b.macro_f1, 9) AS source_macro_f1, round(t.macro_f1, 9) AS direct_macro_f1, round(v.macro_f1, 9) AS review_macro_f1 FROM runs r LEFT JOIN runs x ON x.arm = 'direct' AND x.model = r.model AND x.train_per_class IS NOT DISTINCT FROM r.train_per_class LEFT JOIN sc b ON b.run_id = r.source_run_id LEFT JOIN sc v ON v.run_id = r.run_id LEFT JOIN sc t ON t.run_id = x.run_id WHERE r.arm = 'review' AND r.train_per_class = 4")
 def p06(spark, d):
-    s = score.scores(score.confusion(predictions(spark, d), N_CLASSES)).select("run_id", "accuracy")
-    r = runs(spark).where("arm = 'review'").select("run_id", "source_run_id", "model")
-    a = s.select(F.col("run_id").alias("source_run_id"), F.round("accuracy", 9).alias("source_accuracy"))
-    return r.join(a, "source_run_id").join(s.select("run_id", F.round("accuracy", 9).alias("review_accuracy")), "run_id").select("model", "source_accuracy", "review_accuracy")
+    return dashboard(score.scores(score.confusion(predictions(spark, d), N_CLASSES)), runs(spark), "macro_f1", train_per_class=4)
 
 
-@query("p07_manifest_groups", VIEWS + "SELECT row_id, dense_rank() OVER (ORDER BY length(norm) // 512) AS group_id FROM ex")
+@query("p07_manifest_groups", VIEWS + f""", m AS (SELECT run_id, list((row_id, y) ORDER BY row_id) AS held, count(*) AS n_test FROM (SELECT * FROM pred WHERE NOT (run_id IN ('weak', 'zero') AND {u("'manifest'", "row_id")} % 5 = 0)) GROUP BY 1), g AS (SELECT dataset, held, n_test, min(run_id) AS first, count(*) AS runs, count(DISTINCT coalesce(train_per_class, -1)) = 1 AS equal_training FROM m JOIN runs USING (run_id) GROUP BY 1, 2, 3)
+SELECT dataset, dense_rank() OVER (PARTITION BY dataset ORDER BY first) AS group_id, first, runs, n_test, equal_training FROM g""")
 def p07(spark, d):
-    ex = examples(spark, d).select("row_id", F.floor(F.length("norm") / 512).alias("g"))
-    # ranks the distinct keys, not the rows
-    from pyspark.sql import Window
-
-    ids = ex.select("g").distinct().withColumn("group_id", F.row_number().over(Window.orderBy("g")))
-    return ex.join(ids, "g").select("row_id", "group_id")
+    """Runs grouped by the rows and truths they were tested on; two of them were tested on fewer rows."""
+    fewer = F.col("run_id").isin("weak", "zero") & (keyed("manifest", F.col("row_id")) % 5 == 0)
+    m = score.fingerprints(predictions(spark, d).where(~fewer), {"manifest": ["y"]}).join(F.broadcast(runs(spark)), "run_id")
+    g = m.groupBy("dataset", "manifest", F.col("n_rows").alias("n_test")).agg(F.min("run_id").alias("first"), F.count("*").alias("runs"), (F.count_distinct(F.coalesce("train_per_class", F.lit(-1))) == 1).alias("equal_training"))
+    # ranks groups of runs within a dataset
+    return g.withColumn("group_id", F.dense_rank().over(Window.partitionBy("dataset").orderBy("first"))).drop("manifest")
 
 
-@query("p08_datasets", VIEWS + "SELECT source_split, count(DISTINCT label) AS labels, count(*) AS n_rows FROM ex GROUP BY 1")
+@query("p08_datasets", VIEWS + """, t AS (SELECT dataset, run_id, count(DISTINCT y) AS labels, count(*) AS n_test FROM pred JOIN runs USING (run_id) GROUP BY 1, 2)
+SELECT dataset, count(*) AS runs, max(labels) AS labels, max(n_test) AS n_test, min(labels) = max(labels) AND min(n_test) = max(n_test) AS consistent FROM t GROUP BY 1""")
 def p08(spark, d):
-    return examples(spark, d).groupBy("source_split").agg(F.count_distinct("label").alias("labels"), F.count("*").alias("n_rows"))
+    t = predictions(spark, d).join(F.broadcast(runs(spark).select("run_id", "dataset")), "run_id").groupBy("dataset", "run_id").agg(F.count_distinct("y").alias("labels"), F.count("*").alias("n_test"))
+    same = (F.min("labels") == F.max("labels")) & (F.min("n_test") == F.max("n_test"))
+    return t.groupBy("dataset").agg(F.count("*").alias("runs"), F.max("labels").alias("labels"), F.max("n_test").alias("n_test"), same.alias("consistent"))
 
 
 @query("t01_resume", "SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0")

@@ -155,12 +155,19 @@ def d12(spark, d):
 
 @query(
     "d13_validation_inventory",
-    PREPARED + f""", v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h(13, "row_id")}, row_id) AS r FROM prepared WHERE split = 'validation')
-SELECT label, count(*) FILTER (WHERE r <= 3) AS diagnostic, count(*) FILTER (WHERE r > 3) AS remaining FROM v GROUP BY label""",
+    PREPARED + f""", v AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h(13, "row_id")}, row_id) AS r FROM prepared WHERE split = 'validation'),
+t AS (SELECT label, count(*) AS train_rows, least(count(*), 2) AS demonstrations FROM prepared WHERE split = 'train' GROUP BY 1)
+SELECT label, count(*) FILTER (WHERE r <= 3) AS diagnostic, count(*) FILTER (WHERE r > 3) AS remaining, count(*) FILTER (WHERE row_id IN (SELECT row_id FROM prepared WHERE split = 'train')) AS shared_ids, count(*) FILTER (WHERE norm IN (SELECT norm FROM prepared WHERE split IN ('train', 'test'))) AS shared_texts, train_rows, demonstrations FROM v LEFT JOIN t USING (label) GROUP BY label, train_rows, demonstrations""",
 )
 def d13(spark, d):
-    v = prep.hash_ranked(_prepared(spark, d).where("split = 'validation'"), 13, ["label"])
-    return v.groupBy("label").agg(F.count_if(F.col("rank") <= 3).alias("diagnostic"), F.count_if(F.col("rank") > 3).alias("remaining"))
+    """Validation rows by use, whether ids or texts are shared with other splits, and what training offers."""
+    rows = _prepared(spark, d).where("split is not null")
+    v = prep.hash_ranked(rows.where("split = 'validation'"), 13, ["label"])
+    ids = rows.where("split = 'train'").select("row_id", F.lit(1).alias("same_id"))
+    texts = rows.where("split in ('train', 'test')").select("norm", F.lit(1).alias("same_text")).distinct()
+    train = rows.where("split = 'train'").groupBy("label").agg(F.count("*").alias("train_rows"), F.least(F.count("*"), F.lit(2)).alias("demonstrations"))
+    out = v.join(ids, "row_id", "left").join(texts, "norm", "left").groupBy("label").agg(F.count_if(F.col("rank") <= 3).alias("diagnostic"), F.count_if(F.col("rank") > 3).alias("remaining"), F.count("same_id").alias("shared_ids"), F.count("same_text").alias("shared_texts"))
+    return out.join(train, "label", "left")
 
 
 @query("d14_case_selection", VIEWS + "SELECT row_id FROM ex WHERE source_split = 'test' ORDER BY sha256(to_json(['case', '42', 'docs', CAST(row_id AS VARCHAR)])::VARCHAR), row_id LIMIT 16")
