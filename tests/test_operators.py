@@ -217,3 +217,48 @@ def test_forest_has_the_surveys_size(spark, monkeypatch):
     rows = spark.createDataFrame([(k, float(k), "ab"[k % 2], k % 2) for k in range(40)], "row_id long, acctbal double, nation string, label int")
     assert features.fit_predict_native("forest", rows, rows).count() == 40
     assert (made[0].getNumTrees(), made[0].getMaxDepth()) == (200, 30)
+
+
+def test_broken_identities_show(spark):
+    """Transitions, intervals and curve ends that contradict themselves."""
+    t = contrast.transitions(preds(spark, [0, 1, 1, 0], f=[0, 0, 1, -1], s=[1, 1, 1, 0]), [("f", "s")])
+    assert contrast.transition_violations(t).first().violations == 0
+    assert contrast.transition_violations(t.withColumn("net", F.col("net") + 1).withColumn("both_wrong", F.lit(9))).first().violations == 2
+    ci = frame(spark, [("good", 0.4, 0.6), ("inverted", 0.6, 0.4), ("outside", -0.1, 1.2), ("off", 0.8, 0.9), ("none", None, None)], "run_id string, accuracy_low double, accuracy_high double")
+    rows = ci.select("run_id", F.lit(0.5).alias("accuracy"))
+    got = {r.run_id: r.violations for r in boot.interval_violations(ci, rows, ["accuracy"]).collect()}
+    assert got["good"] == 0 and got["outside"] == 1 and got["off"] == 1 and got["inverted"] >= 1 and got["none"] == 3
+    curve = frame(spark, [(0, 0.5, 0.5, 0.7), (50, 0.1, 0.5, 0.7), (100, 0.6, 0.5, 0.7)], "rate int, accuracy double, s_accuracy double, r_accuracy double")
+    assert {r.rate: r.violations for r in contrast.endpoint_violations(curve, "s", "r", ["accuracy"]).collect()} == {0: 0, 100: 1}
+
+
+def test_ledger_against_saved_predictions(spark):
+    events_ = [(1, 10, "reserve", 9, None, None), (1, 10, "result", None, None, "returned"), (1, 10, "settle", None, 5, None)]
+    for k in (11, 12, 13):
+        events_ += [(1, k, t, r, c, o) for (_, _, t, r, c, o) in events_[:3]]
+    events_ += [(1, 14, "reserve", 9, None, None), (1, 15, "reserve", 9, None, None), (1, 15, "result", None, None, "returned")]
+    rows = frame(spark, events_, "ledger_id long, reservation_id long, type string, reserved_nano long, charged_nano long, outcome string")
+    answers = frame(spark, [(1, 10, 5), (1, 11, 6), (1, 12, 5), (1, 12, 5), (1, 15, None), (1, 99, 1)], "ledger_id long, reservation_id long, told_nano long")
+    got = {r.reservation_id: r.status for r in events.reconcile(rows, answers).collect()}
+    assert got == {10: "settled", 11: "amount_mismatch", 12: "duplicate_prediction", 13: "no_prediction", 14: "no_result", 15: "retained", 99: "no_reserve"}
+
+
+def test_training_budgets(spark):
+    from gradeloom.operators import audit
+
+    runs = frame(spark, [("zero", 0), ("one", 1), ("uneven", 1), ("all", None), ("leak", 1)], "run_id string, train_per_class int")
+    p = preds(spark, [0, 1], zero=[0, 1], one=[0, 1], uneven=[0, 1], all=[0, 1], leak=[0, 1])
+    training = frame(spark, [("one", 7, 0), ("one", 8, 1), ("uneven", 7, 0), ("uneven", 8, 0), ("all", 7, 0), ("leak", 0, 0), ("leak", 8, 1)], "run_id string, row_id long, label int")
+    got = {r.run_id: (r.n_train, r.in_train, r.within_budget) for r in audit.run_checks(p, training, runs, 2).collect()}
+    assert got == {"zero": (0, 0, True), "one": (2, 0, True), "uneven": (2, 0, False), "all": (1, 0, True), "leak": (2, 1, True)}
+
+
+def test_best_runs_and_equivalence(spark):
+    from gradeloom.operators import audit
+
+    rows = frame(spark, [("d", "b", 0.7, 0.8), ("d", "a", 0.7, 0.6), ("d", "c", 0.1, 0.8)], "dataset string, run_id string, validation double, test double")
+    r = contrast.best_runs(rows).first()
+    assert (r.test_best, r.validation_best, r.validation_best_on_test) == ("b", "a", 0.6)
+    f = score.fingerprints(preds(spark, [0, 1, 1], x=[0, 1, -1], z=[0, 1, -1], w=[0, 0, -1]), {"truths": ["y"], "decisions": ["pred"]})
+    got = {r.run_id: (r.same_truths, r.same_decisions) for r in audit.equivalence(f, "x", ["truths", "decisions"]).collect()}
+    assert got == {"x": (True, True), "z": (True, True), "w": (True, False)}
