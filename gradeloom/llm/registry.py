@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("jaccard_join", "language_id", "toxicity", "quality", "secrets", "sentence_pieces", "token_records", "exact_dedup", "mixing", "license_scan")
+MODULES = ("jaccard_join", "language_id", "toxicity", "quality", "secrets", "sentence_pieces", "token_records", "exact_dedup", "mixing", "license_scan", "token_counts", "clustering", "hard_negatives")
 
 
 def queries() -> dict:
