@@ -35,6 +35,8 @@ SCALE, EVERY, POSITIVES, NEGATIVES = 256, 100, 5, 10
 #: Scores are right between LEAST / OF and MOST / OF of the positive's.
 LEAST, MOST, OF = 30, 90, 100
 BLOCK_ROWS, CHUNK_ROWS = 512, 256
+#: Chunks whose best rows a task keeps while blocks come in (0.2 MB each at most); the oldest leave first.
+HELD_CHUNKS = 256
 NO_SCORE = -(1 << 62)
 LAST = (1 << 63) - 1
 
@@ -168,10 +170,10 @@ def _search(pairs: DataFrame, packed: Packed, same: bool, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        now, held = None, None
+        held: dict[int, tuple] = {}
 
-        def told():
-            ns, scores, keys = held
+        def told(chunk):
+            ns, scores, keys = held.pop(chunk)
             anchor, slot, at = np.nonzero(scores != NO_SCORE)
             columns = [pa.array(ns[anchor]), pa.array(slot.astype(np.int32)), pa.array(scores[anchor, slot, at]), pa.array(keys[anchor, slot, at])]
             return pa.RecordBatch.from_arrays(columns, ["n", "slot", "score", "key"])
@@ -181,11 +183,12 @@ def _search(pairs: DataFrame, packed: Packed, same: bool, k: int) -> DataFrame:
                 row = {c: batch.column(c)[r] for c in batch.schema.names}
                 keys, labels = _array(row["keys"], np.int64), _array(row["labels"], np.int64)
                 ns, a_labels = _array(row["ns"], np.int64), _array(row["a_labels"], np.int64)
-                if row["chunk"].as_py() != now:
-                    if held:
-                        yield told()
+                chunk = row["chunk"].as_py()
+                if chunk not in held:
+                    if len(held) == HELD_CHUNKS:
+                        yield told(next(iter(held)))
                     empty = np.full((len(ns), slots, k), NO_SCORE, np.int64)
-                    now, held = row["chunk"].as_py(), (ns, empty, np.full_like(empty, LAST))
+                    held[chunk] = (ns, empty, np.full_like(empty, LAST))
                 dims = row["dims"].as_py()
                 scores = packed.scores(_array(row["a"], np.int64).reshape(len(ns), dims), _array(row["words"], np.uint64).reshape(dims, -(-len(keys) // packed.fields)), len(keys))
                 scores = np.where((labels == a_labels[:, None]) == same, scores, NO_SCORE)
@@ -207,10 +210,10 @@ def _search(pairs: DataFrame, packed: Packed, same: bool, k: int) -> DataFrame:
                     x = np.take_along_axis(scores, take, 1)
                     found.append(np.where(there & (x >= least[:, None]), x, NO_SCORE))
                     names.append(np.take_along_axis(keys, take, 1))
-                both = np.concatenate([held[1], np.stack(found, 1)], -1), np.concatenate([held[2], np.stack(names, 1)], -1)
-                held = (held[0], *_best(*both, k))
-        if held:
-            yield told()
+                _, best, best_keys = held[chunk]
+                held[chunk] = (ns, *_best(np.concatenate([best, np.stack(found, 1)], -1), np.concatenate([best_keys, np.stack(names, 1)], -1), k))
+        for chunk in list(held):
+            yield told(chunk)
 
     found = pairs.mapInArrow(run, "n long, slot int, score long, key long")
     place = F.row_number().over(Window.partitionBy("n", "slot").orderBy(F.desc("score"), "key"))
