@@ -315,7 +315,7 @@ def p08(spark, d):
 @query("t01_resume", "SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0")
 def t01(spark, d):
     done = table(spark, d, "events").where("event_id % 4 = 0").select("event_id")
-    return streams.resume(streams.source(spark, d, "events"), done, "event_id").select("event_id", "user_id")
+    return streams.resume(streams.source(spark, d, "events"), done, "event_id", time="ts", within="3650 days").select("event_id", "user_id")
 
 
 @query("t03_halts", "WITH l AS (SELECT user_id, event_id, event_type, lag(event_type, 1) OVER w AS e1, lag(event_type, 2) OVER w AS e2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, min(event_id) AS halted_at FROM l WHERE event_type = 'error' AND e1 = 'error' AND e2 = 'error' GROUP BY 1")
@@ -338,10 +338,58 @@ def t02(spark, d):
     ledger(spark, d).write.parquet(path)
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = streams.ledger_machine(rows, 10**18)
+    return _machine_counts(out)
+
+
+def _machine_counts(out):
     n = lambda k: F.count_if(F.col("status") == k)
     return out.groupBy("ledger_id").agg(n("admitted").alias("admitted"), n("refused").alias("refused"), n("settled").alias("settled"), n("violation").alias("violations"), F.max_by("balance_nano", "seq").alias("balance_nano"))
 
 
+CAPPED = RES + """, cap AS (SELECT CAST(floor(sum(coalesce(charged, reserved)) * 6 / (10 * count(DISTINCT ledger_id))) AS BIGINT) AS cap FROM r),
+run AS (SELECT l.*, sum(CASE l.type WHEN 'reserve' THEN l.reserved_nano WHEN 'settle' THEN l.charged_nano - r.reserved ELSE 0 END) OVER (PARTITION BY l.ledger_id ORDER BY l.seq) AS balance FROM ledger l JOIN r ON l.ledger_id = r.ledger_id AND l.reservation_id = r.reservation_id),
+stop AS (SELECT ledger_id, min(seq) AS breach FROM run, cap WHERE type = 'reserve' AND balance > cap GROUP BY 1),
+own AS (SELECT l.ledger_id, l.reservation_id, min(CASE WHEN type = 'reserve' THEN seq END) < coalesce(any_value(breach), 9223372036854775807) AS ok FROM ledger l LEFT JOIN stop USING (ledger_id) GROUP BY 1, 2)"""
+
+
+@query("t02_ledger_capped", CAPPED + """ SELECT l.ledger_id, count(*) FILTER (type = 'reserve' AND ok) AS admitted, count(*) FILTER (type = 'reserve' AND NOT ok) AS refused, count(*) FILTER (type = 'settle' AND ok) AS settled,
+count(*) FILTER (type <> 'reserve' AND NOT ok) AS violations, CAST(sum(CASE WHEN NOT ok THEN 0 WHEN type = 'reserve' THEN reserved_nano WHEN type = 'settle' THEN charged_nano - reserved ELSE 0 END) AS BIGINT) AS balance_nano
+FROM ledger l JOIN own USING (ledger_id, reservation_id) JOIN r USING (ledger_id, reservation_id) GROUP BY 1""")
+def t02_capped(spark, d):
+    """A cap of 0.6 times the ledgers' mean final balance: the first reserve over it stops its ledger."""
+    path = shared_folder(spark, "ledger-events")
+    ledger(spark, d).write.parquet(path)
+    saved = spark.read.parquet(path)
+    per = events.balances(saved).agg(F.sum("conservative_nano").alias("s"), F.count("*").alias("n")).first()
+    out = streams.ledger_machine(spark.readStream.schema(saved.schema).parquet(path), int(per.s) * 6 // (10 * per.n), stop_at_cap=True)
+    return _machine_counts(out)
+
+
+@query("t03_billing_stop", """WITH e AS (SELECT user_id, event_id, event_type, value >= 50 AND event_type = 'error' AS billing FROM events),
+l AS (SELECT *, lag(event_type, 1) OVER w AS e1, lag(event_type, 2) OVER w AS e2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, min(event_id) AS halted_at FROM l WHERE billing OR (event_type = 'error' AND e1 = 'error' AND e2 = 'error') GROUP BY 1""")
+def t03_billing(spark, d):
+    """Errors of a value from 50 on stand for a billing error: one stops at once, others stop as three in a row."""
+    e = streams.source(spark, d, "events")
+    kind = F.when((F.col("event_type") == "error") & (F.col("value") >= 50), "billing").otherwise(F.col("event_type"))
+    return streams.halts(e.withColumn("kind", kind), "user_id", "event_id", "kind", "error", stop="billing")
+
+
+@query("t04_unreconciled", "SELECT event_id, CASE WHEN event_type = 'signup' THEN 'no_result' WHEN event_id % 9 = 0 THEN 'no_prediction' ELSE 'answered' END AS status FROM events")
+def t04_unreconciled(spark, d):
+    """Each event is a reserve; all but signups have a result, all results but each ninth event's a saved
+    prediction. Two last events far ahead let the watermarks pass all others."""
+    path = shared_folder(spark, "reconciled")
+    e = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "signup").alias("answered"), (F.col("event_id") % 9 != 0).alias("saved"))
+    e.write.parquet(f"{path}/a")
+    for k, days in (("b", 30), ("c", 60)):
+        last = e.agg((F.max("ts") + F.expr(f"interval {days} days")).alias("ts"))
+        last.select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(True).alias("answered"), F.lit(True).alias("saved")).write.parquet(f"{path}/{k}")
+    rows = lambda: spark.readStream.schema(e.schema).parquet(f"{path}/*")
+    out = streams.unreconciled(rows(), rows().where("answered"), rows().where("answered and saved"), "event_id", "ts")
+    return out.where("event_id >= 0").select("event_id", "status")
+
+
 @query("t04_open_reservations", "SELECT event_id FROM events WHERE event_type = 'signup'")
 def t04(spark, d):
     """Reserves whose event brings no result; a last event far ahead lets the watermarks pass all others."""

@@ -4,13 +4,37 @@ rerun with the same one goes on where the last stopped. Without a name each call
 
 from __future__ import annotations
 
-import json
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources.files import shared_folder
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries that start inside keep their state in RocksDB, which state variables need."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def commit(batch: DataFrame, path: str) -> None:
+    """Write a batch to a folder of its own. One that has been committed stays as it is; the batch still runs, as
+    its state must be written again."""
+    at = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if at.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).exists(at):
+        batch.write.format("noop").mode("overwrite").save()
+    else:
+        batch.write.mode("overwrite").parquet(path)
+
 
 def source(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table's files as a stream; NTZ timestamps become timestamps, as watermarks need."""
@@ -30,39 +54,48 @@ def _drained(rows: DataFrame, place: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{place}/out")
 
 
-def resume(rows: DataFrame, saved: DataFrame, key: str, place: str | None = None) -> DataFrame:
-    """Rows without a saved result, each once. What the sink already has is looked up there, so no state
-    grows with the stream; each batch overwrites a folder of its own, so a repeated batch changes nothing."""
+def resume(rows: DataFrame, saved: DataFrame, key: str, place: str | None = None, time: str | None = None, within: str = "1 day") -> DataFrame:
+    """Rows without a saved result, each once. Keys already passed on are kept as state, so the work of a batch
+    follows the batch, never the sink: with ``time`` a key is forgotten ``within`` after it came (repeats come
+    no later, and rows older than that are too late to be taken), without it keys stay for good. Each batch has
+    a folder of its own; one that was committed is not written again, so a repeated batch changes nothing."""
     place, spark = _place(rows, place), rows.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        if number:
-            before = spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out").where(F.col("batch") < number)
-            fresh = fresh.join(before.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
+        commit(batch, f"{place}/out/batch={number}")
 
     left = rows.join(saved, key, "left_anti")
-    left.writeStream.option("checkpointLocation", f"{place}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out").drop("batch")
+    once = left.withWatermark(time, within).dropDuplicatesWithinWatermark([key]) if time else left.dropDuplicates([key])
+    with rocksdb(spark):
+        once.writeStream.option("checkpointLocation", f"{place}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).option("basePath", f"{place}/out").parquet(f"{place}/out").drop("batch")
 
 
 def progress(rows: DataFrame, by: str, expected: DataFrame | None = None, place: str | None = None) -> DataFrame:
-    """Counts per condition, kept as the newest snapshot of a running aggregation; with ``expected(by, expected)``
+    """Counts per condition, kept as versions of a running aggregation: each batch commits a folder of its own
+    and none is written over, so a reader always finds the last committed one. With ``expected(by, expected)``
     joined to the grid: saved, expected and whether the condition is complete."""
     place, spark = _place(rows, place), rows.sparkSession
 
     def snapshot(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/snapshot")
+        commit(batch, f"{place}/version={number:012d}")
 
     counts = rows.groupBy(by).agg(F.count("*").alias("saved"))
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/checkpoint").foreachBatch(snapshot).trigger(availableNow=True).start().awaitTermination()
-    now = spark.read.parquet(f"{place}/snapshot")
+    now = newest(spark, place, counts.schema)
     if expected is None:
         return now
     return expected.join(now, by, "left").withColumn("saved", F.coalesce("saved", F.lit(0))).withColumn("complete", F.col("saved") == F.col("expected"))
 
 
+def newest(spark: SparkSession, place: str, schema) -> DataFrame:
+    """The last committed version below ``place``; no rows where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    paths = sorted(f.getPath().getParent().toString() for f in found or [])
+    return spark.read.schema(schema).parquet(paths[-1]) if paths else spark.createDataFrame([], schema)
+
+
 def halts(rows: DataFrame, by: str, order: str, kind: str, bad: str, streak: int = 3, stop: str | None = None, place: str | None = None) -> DataFrame:
     """Per group, the first row that ends ``streak`` bad rows in a row, or is of kind ``stop`` (a billing error): keyed
     state holds the current run of bad rows and whether the group has stopped; rows of a micro-batch are
@@ -87,40 +120,92 @@ def halts(rows: DataFrame, by: str, order: str, kind: str, bad: str, streak: int
     return _drained(out, _place(rows, place))
 
 
-def ledger_machine(rows: DataFrame, cap_nano: int, place: str | None = None) -> DataFrame:
-    """(ledger_id, seq, status, balance_nano) per event: reserves are admitted or refused against the cap (a
-    refused one holds nothing), results and settlements of reservations that are not open are violations, a
-    settlement gives back what it did not charge. State per ledger: balance and open reservations."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+class Ledger(StatefulProcessor):
+    """One ledger's events in order of their ``seq`` (1, 2, ...). State: a head of fixed size, an entry per open
+    reservation, and an entry per event that came before its turn; an event writes one or two entries,
+    however many there are."""
 
-    def step(key, batches, state):
-        import pandas as pd
+    HEAD = "balance long, next long, halted boolean, stopped boolean, waiting long"
+    OPEN = "reserved_nano long"
+    EVENT = "type string, reservation_id long, reserved_nano long, charged_nano long"
+    OUT = "ledger_id long, seq long, status string, balance_nano long, halted boolean"
 
-        balance, open_ = state.get if state.exists else (0, "{}")
-        held, out = json.loads(open_), []
-        for r in pd.concat(list(batches)).sort_values("seq").itertuples():
-            rid = str(r.reservation_id)
-            if r.type == "reserve":
-                ok = rid not in held and balance + int(r.reserved_nano) <= cap_nano
-                status = "admitted" if ok else "violation" if rid in held else "refused"
-                if ok:
-                    held[rid] = int(r.reserved_nano)
-                    balance += held[rid]
-            elif rid not in held:
-                status = "violation"
-            elif r.type == "result":
-                status = "answered"
-            else:
-                status = "settled" if int(r.charged_nano) <= held[rid] else "violation"
-                if status == "settled":
-                    balance += int(r.charged_nano) - held.pop(rid)
-            out.append((key[0], int(r.seq), status, balance))
-        state.update((balance, json.dumps(held)))
-        yield pd.DataFrame(out, columns=["ledger_id", "seq", "status", "balance_nano"])
+    def __init__(self, cap_nano: int, stop_at_cap: bool):
+        self.cap, self.stop_at_cap = cap_nano, stop_at_cap
 
+    def init(self, handle) -> None:
+        self.head = handle.getValueState("head", self.HEAD)
+        self.open = handle.getMapState("open", "reservation_id long", self.OPEN)
+        self.early = handle.getMapState("early", "seq long", self.EVENT)
+
+    def handleInputRows(self, key, rows, timers):
+        import pandas as pd
+
+        self.balance, turn, self.halted, self.stopped, waiting = self.head.get() if self.head.exists() else (0, 1, False, False, 0)
+        for pdf in rows:
+            out = []
+            events = pdf.sort_values("seq")[["seq", "type", "reservation_id", "reserved_nano", "charged_nano"]].astype(object)
+            events = events.where(events.notna(), None)
+            for seq, *event in events.itertuples(index=False, name=None):
+                if seq < turn or (seq > turn and waiting and self.early.containsKey((seq,))):
+                    out.append((key[0], int(seq), "repeated", self.balance, self.halted))
+                    continue
+                if seq > turn:
+                    self.early.updateValue((int(seq),), (event[0], *(None if x is None else int(x) for x in event[1:])))
+                    waiting += 1
+                    continue
+                out.append((key[0], turn, self.step(*event), self.balance, self.halted))
+                turn += 1
+                while waiting and self.early.containsKey((turn,)):
+                    event = self.early.getValue((turn,))
+                    self.early.removeKey((turn,))
+                    waiting -= 1
+                    out.append((key[0], turn, self.step(*event), self.balance, self.halted))
+                    turn += 1
+            yield pd.DataFrame(out, columns=["ledger_id", "seq", "status", "balance_nano", "halted"])
+        self.head.update((self.balance, turn, self.halted, self.stopped, waiting))
+
+    def step(self, kind, reservation_id, reserved_nano, charged_nano) -> str:
+        """Status of an event; balance, halts and open reservations follow it."""
+        name = (int(reservation_id),)
+        held = int(self.open.getValue(name)[0]) if self.open.containsKey(name) else None
+        if kind == "reserve":
+            if held is not None or reserved_nano is None or reserved_nano <= 0:
+                return "violation"
+            if self.halted or self.stopped or self.balance + int(reserved_nano) > self.cap:
+                self.stopped = self.stopped or (self.stop_at_cap and not self.halted)
+                return "refused"
+            self.open.updateValue(name, (int(reserved_nano),))
+            self.balance += int(reserved_nano)
+            return "admitted"
+        if held is None:
+            return "violation"
+        if kind != "settle":
+            return "answered"
+        if charged_nano is None or charged_nano < 0:
+            return "violation"
+        if charged_nano > held:
+            # more was used than reserved: what is held stays, and nothing new is admitted
+            self.halted = True
+            return "violation"
+        self.balance += int(charged_nano) - held
+        self.open.removeKey(name)
+        return "settled"
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_machine(rows: DataFrame, cap_nano: int, place: str | None = None, stop_at_cap: bool = False) -> DataFrame:
+    """(ledger_id, seq, status, balance_nano, halted) per event, in order of ``seq`` from 1 on: reserves are admitted or
+    refused against the cap (a refused one holds nothing; with ``stop_at_cap`` the first refusal refuses all that
+    follow), results and settlements of reservations that are not open are violations, a settlement gives back
+    what it did not charge, one above its reservation halts the ledger. An event that comes before its turn waits
+    in the state for those before it; one that has had its turn is reported as repeated and changes nothing."""
     events = rows.select("ledger_id", "seq", "type", "reservation_id", "reserved_nano", "charged_nano")
-    out = events.groupBy("ledger_id").applyInPandasWithState(step, "ledger_id long, seq long, status string, balance_nano long", "balance long, held string", "append", GroupStateTimeout.NoTimeout)
-    return _drained(out, _place(rows, place))
+    out = events.groupBy("ledger_id").transformWithStateInPandas(Ledger(cap_nano, stop_at_cap), Ledger.OUT, "Append", "None")
+    with rocksdb(rows.sparkSession):
+        return _drained(out, _place(rows, place))
 
 
 def open_reservations(reserves: DataFrame, results: DataFrame, key: str, time: str, within: str = "1 hour", late: str = "10 minutes", place: str | None = None) -> DataFrame:
@@ -131,3 +216,23 @@ def open_reservations(reserves: DataFrame, results: DataFrame, key: str, time: s
     on = (F.col("k") == F.col("rk")) & (F.col("result_at") >= F.col("reserved_at")) & (F.col("result_at") <= F.col("reserved_at") + F.expr(f"interval {within}"))
     joined = a.join(b, on, "left_outer")
     return _drained(joined, _place(reserves, place)).where("rk is null").select(F.col("k").alias(key), "reserved_at")
+
+
+def unreconciled(reserves: DataFrame, results: DataFrame, predictions: DataFrame, key: str, time: str, within: str = "1 hour", late: str = "10 minutes", place: str | None = None) -> DataFrame:
+    """(key, reserved_at, status) per reserve: no_result, no_prediction (a result, but no saved prediction) or
+    answered. One query with two stateful joins, each an outer join of streams within a time bound of the reserve:
+    the second one's state is dropped as the watermark that the first one hands on passes. Rows of the last
+    ``within`` + ``late`` are undecided until later events come."""
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(F.col(key).alias(f"{name}_key"), F.col(time).alias(f"{name}_at")).withWatermark(f"{name}_at", late)
+
+    a, b, c = side(reserves, "reserved"), side(results, "result"), side(predictions, "saved")
+
+    def near(name: str):
+        end = F.col("reserved_at") + F.expr(f"interval {within}")
+        return (F.col("reserved_key") == F.col(f"{name}_key")) & (F.col(f"{name}_at") >= F.col("reserved_at")) & (F.col(f"{name}_at") <= end)
+
+    joined = a.join(b, near("result"), "left_outer").join(c, near("saved"), "left_outer")
+    status = F.when(F.col("result_key").isNull(), "no_result").when(F.col("saved_key").isNull(), "no_prediction").otherwise("answered")
+    return _drained(joined.select(F.col("reserved_key").alias(key), "reserved_at", status.alias("status")), _place(reserves, place))
