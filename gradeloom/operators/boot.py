@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
+from . import resample
 from .rank import ranked
 from .score import confusion, scores
 
@@ -51,33 +52,10 @@ def group_replicates(preds: DataFrame, replicates: int, seed: int) -> DataFrame:
 
 
 def signature_replicates(preds: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(run_id, rep, y, pred, n): whole groups drawn with replacement, over signatures. A group's signature is
-    its sorted counts per cell; groups that share it are alike, so a replicate draws how often each signature
-    comes, and its cost is that of the signatures, not of the rows. All groups' signatures of a run meet in one
-    task: classes x (classes + 1) cells for groups of one row, more for larger groups, few in practice."""
-    cells = preds.groupBy("run_id", "grp", "y", "pred").agg(F.count("*").alias("n"))
-    groups = cells.groupBy("run_id", "grp").agg(F.array_sort(F.collect_list(F.struct("y", "pred", "n"))).alias("cells"))
-    kinds = groups.groupBy("run_id", "cells").agg(F.count("*").alias("held"))
-
-    def draw(pdf):
-        import numpy as np
-        import pandas as pd
-
-        run = pdf["run_id"].iloc[0]
-        parts = [[(c["y"], c["pred"], c["n"]) for c in x] for x in pdf["cells"]]
-        order = sorted(range(len(parts)), key=lambda k: parts[k])
-        parts, held = [parts[k] for k in order], pdf["held"].to_numpy()[order]
-        names = sorted({c[:2] for p in parts for c in p})
-        place = {c: k for k, c in enumerate(names)}
-        table = np.zeros((len(parts), len(names)), np.int64)
-        for k, p in enumerate(parts):
-            for y, pred, n in p:
-                table[k, place[y, pred]] += n
-        out = np.random.default_rng([seed, *run.encode()]).multinomial(held.sum(), held / held.sum(), size=replicates) @ table
-        y, pred = (np.array([c[i] for c in names]) for i in (0, 1))
-        return pd.DataFrame({"run_id": run, "rep": np.repeat(np.arange(replicates), len(names)), "y": np.tile(y, replicates), "pred": np.tile(pred, replicates), "n": out.ravel()})
-
-    return kinds.groupBy("run_id").applyInPandas(draw, "run_id string, rep int, y int, pred int, n long")
+    """(run_id, rep, y, pred, n): whole groups drawn with replacement, over signatures (groups with the same counts
+    of cells are alike), by a tree of splits: the cost is that of the signatures, and no run meets in one task."""
+    rows = preds.select(F.col("run_id").alias("contrast"), "grp", "y", F.col("pred").alias("pa"), F.lit(None).cast("int").alias("pb"))
+    return resample.replicates(rows, replicates, seed, grouped=True).select(F.col("contrast").alias("run_id"), "rep", "y", F.col("pa").alias("pred"), "n")
 
 
 def intervals(rep_cells: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .contrast import transition_counts
-from .score import confusion, scores
+from .score import confusion, missing_classes, scores
 
 METRICS = ("accuracy", "macro_f1", "balanced_accuracy")
 
@@ -19,6 +19,9 @@ def arm_contrasts(results: DataFrame, expected: DataFrame, pairs: list[tuple[str
     have = expected.join(results.groupBy("arm").agg(F.count("*").alias("n")), "arm", "left")
     done = have.select("arm", (F.coalesce("n", F.lit(0)) == F.col("n_expected")).alias("complete"))
     m = scores(confusion(results, n_classes, ("arm",)), ("arm",)).select("arm", *METRICS)
+    # no balanced accuracy where a class has no rows
+    whole = missing_classes(results.withColumnRenamed("arm", "run_id"), n_classes).select(F.col("run_id").alias("arm"), "available")
+    m = m.join(whole, "arm").withColumn("balanced_accuracy", F.when(F.col("available"), F.col("balanced_accuracy"))).drop("available")
     out = listed
     for k in "ab":
         side = done.join(m, "arm", "left").select(F.col("arm").alias(k), F.col("complete").alias(f"{k}_complete"), *[F.col(c).alias(f"{k}_{c}") for c in METRICS])
@@ -32,18 +35,20 @@ def arm_contrasts(results: DataFrame, expected: DataFrame, pairs: list[tuple[str
     return out.select("a", "b", "status", *[F.when(ready, F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"delta_{c}") for c in METRICS], *[F.when(ready, F.col(c)).alias(c) for c in counts])
 
 
-def repeat_diagnostic(first: DataFrame, repeats: DataFrame, expected: int) -> DataFrame:
-    """One row on repeated requests against their references, by ``(case_id, pred, model)``: agreement and failures;
-    all figures are withheld until every pair exists."""
-    r = repeats.select("case_id", F.col("pred").alias("again"), F.col("model").alias("model_again"))
-    both = r.join(first.select("case_id", "pred", "model"), "case_id")
+def repeat_diagnostic(first: DataFrame, repeats: DataFrame, expected: DataFrame, by: str = "dataset") -> DataFrame:
+    """Per ``by`` of ``expected(by, expected)``: repeated requests against their references, by ``(by, case_id, pred,
+    model)``: agreement, and failures of the reference only, of the repeat only and of both; all figures are
+    withheld until every pair exists."""
+    r = repeats.select(by, "case_id", F.col("pred").alias("again"), F.col("model").alias("model_again"))
+    both = r.join(first.select(by, "case_id", "pred", "model"), [by, "case_id"])
     a, b = F.col("pred"), F.col("again")
-    s = both.agg(
-        F.count("*").alias("pairs"), F.count_if((a >= 0) & (a == b)).alias("agree"), F.count_if((a >= 0) & (b >= 0) & (a != b)).alias("disagree"),
-        F.count_if((a < 0) & (b < 0)).alias("both_failed"), F.count_if((a < 0) != (b < 0)).alias("one_failed"), F.count_if(F.col("model") != F.col("model_again")).alias("model_mismatch"),
-    )
-    ready = F.col("pairs") == expected
-    return s.select(F.lit(expected).cast("long").alias("expected"), "pairs", F.when(ready, "complete").otherwise("pending").alias("status"), *[F.when(ready, F.col(c)).alias(c) for c in ("agree", "disagree", "both_failed", "one_failed", "model_mismatch")])
+    counts = {
+        "agree": (a >= 0) & (a == b), "disagree": (a >= 0) & (b >= 0) & (a != b), "both_failed": (a < 0) & (b < 0), "reference_failed": (a < 0) & (b >= 0), "repeat_failed": (a >= 0) & (b < 0),
+        "model_mismatch": F.col("model") != F.col("model_again"),
+    }
+    s = expected.join(both.groupBy(by).agg(F.count("*").alias("pairs"), *[F.count_if(c).alias(k) for k, c in counts.items()]), by, "left").fillna(0, ["pairs"])
+    ready = F.col("pairs") == F.col("expected")
+    return s.select(by, "expected", "pairs", F.when(ready, "complete").otherwise("pending").alias("status"), *[F.when(ready, F.coalesce(F.col(c), F.lit(0))).alias(c) for c in counts])
 
 
 def overlay(results: DataFrame, attempts: DataFrame, keys: list[str], most: int = 2) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
-from ..operators import contrast, score
+from ..operators import contrast, resample, score
+from ..sources.files import materialized
 from .registry import query
 from .scoring import CONF, per_class_sql, rounded
-from .views import N_CLASSES, VIEWS, predictions, runs, table, u
+from .views import N_CLASSES, VIEWS, examples, predictions, runs, table, u
 
 PAIRS = [("base", "review"), ("base", "direct"), ("direct", "review")]
 PAIR = VIEWS + ", pr AS (SELECT b.run_id AS before, a.run_id AS after, b.row_id, b.y, b.pred AS a, a.pred AS b FROM pred b JOIN pred a USING (row_id) WHERE (b.run_id, a.run_id) IN (('base', 'review'), ('base', 'direct'), ('direct', 'review')))"
@@ -47,6 +48,37 @@ def c04(spark, d):
     return a.join(b, F.col("run_id_a") < F.col("run_id_b")).select(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"), F.col("n_rows_a").alias("n_a"), F.col("n_rows_b").alias("n_b"), state.alias("status"), delta("accuracy"), delta("macro_f1"))
 
 
+_D = "CAST(pa = y AS INTEGER) - coalesce(CAST(pb = y AS INTEGER), 0)"
+#: Closed-form standard errors of the two bootstraps from joint rows jr(contrast, y, pa, pb[, grp]).
+SE_ROWS = f"st AS (SELECT contrast, y, count(*) AS n, sum({_D}) AS d, sum(({_D}) * ({_D})) AS dd FROM jr GROUP BY 1, 2), se AS (SELECT contrast, sqrt(sum(dd - d * d / n)) / sum(n) AS se FROM st GROUP BY 1)"
+SE_GROUPS = f"gt AS (SELECT contrast, grp, sum({_D}) AS d, count(*) AS n FROM jr GROUP BY 1, 2), gs AS (SELECT contrast, sum(d) / sum(n) AS r FROM gt GROUP BY 1), se AS (SELECT contrast, sqrt(sum((d - r * n) * (d - r * n))) / sum(n) AS se FROM gt JOIN gs USING (contrast) GROUP BY 1)"
+BAND = ("se", "low_in_band", "high_in_band", "f1_in_order")
+BAND_SQL = "round(se, 8) AS se, CASE WHEN se IS NOT NULL THEN true END AS low_in_band, CASE WHEN se IS NOT NULL THEN true END AS high_in_band, CASE WHEN se IS NOT NULL THEN true END AS f1_in_order"
+
+
+def banded(rows, grouped):
+    """Intervals of all contrasts in ``rows``, held against the closed form."""
+    rows = materialized(rows, "joint")
+    found = resample.in_band(resample.contrast_intervals(rows, N_CLASSES, grouped=grouped), resample.standard_error(rows, grouped))
+    return found.select("contrast", F.round("se", 8).alias("se"), *BAND[1:])
+
+
+def text_groups(spark, d):
+    return examples(spark, d).select("row_id", F.sha2("norm", 256).alias("grp"))
+
+
+@query("c04_intervals", CONF + f""", w AS (SELECT run_id, list((row_id, y) ORDER BY row_id) AS held FROM pred GROUP BY 1), k AS (SELECT run_id, train_per_class, held FROM runs JOIN w USING (run_id) WHERE status = 'complete'),
+pq AS (SELECT a.run_id AS run_a, b.run_id AS run_b, CASE WHEN a.held <> b.held THEN 'misaligned' WHEN a.train_per_class IS DISTINCT FROM b.train_per_class THEN 'unequal_training' ELSE 'eligible' END AS status FROM k a JOIN k b ON a.run_id < b.run_id),
+jr AS (SELECT run_a || ':' || run_b AS contrast, x.y, x.pred AS pa, z.pred AS pb FROM pq JOIN pred x ON x.run_id = run_a JOIN pred z ON z.run_id = run_b AND z.row_id = x.row_id WHERE status = 'eligible'), {SE_ROWS}
+SELECT run_a, run_b, status, {BAND_SQL} FROM pq LEFT JOIN se ON se.contrast = run_a || ':' || run_b""")
+def c04_intervals(spark, d):
+    """All eligible pairs of runs at once: paired, within classes; other pairs have no interval."""
+    pairs = materialized(c04(spark, d).select("run_a", "run_b", "status", F.concat_ws(":", "run_a", "run_b").alias("contrast")), "pairs")
+    listed = pairs.where("status = 'eligible'").select("contrast", F.col("run_a").alias("a"), F.col("run_b").alias("b"))
+    found = banded(resample.joint_rows(predictions(spark, d), listed), False)
+    return pairs.join(found, "contrast", "left").drop("contrast")
+
+
 CONTRASTS = """, cl AS (SELECT 'review_minus_source' AS kind, r.run_id AS a, r.source_run_id AS b FROM runs r WHERE r.arm = 'review' UNION ALL SELECT 'review_minus_direct', r.run_id, x.run_id FROM runs r JOIN runs x ON x.arm = 'direct' AND x.model = r.model WHERE r.arm = 'review'
 UNION ALL SELECT 'few_minus_zero', f.run_id, z.run_id FROM runs f JOIN runs z ON z.train_per_class = 0 AND z.model = f.model AND z.arm = f.arm WHERE f.train_per_class > 0)"""
 
@@ -81,6 +113,37 @@ def c06(spark, d):
     return out.select("kind", "a", "b", state.alias("status"), *deltas, "wrong_to_correct", "correct_to_wrong", "net")
 
 
+@query("c06_intervals", CONF + f"""{CONTRASTS}, jr AS (SELECT concat_ws(':', kind, cl.a, cl.b) AS contrast, sha256(norm) AS grp, x.y, x.pred AS pa, z.pred AS pb FROM cl JOIN pred x ON x.run_id = cl.a JOIN pred z ON z.run_id = cl.b AND z.row_id = x.row_id JOIN ex ON ex.row_id = x.row_id), {SE_GROUPS}
+SELECT kind, a, b, CASE WHEN se IS NULL THEN 'pending' ELSE 'complete' END AS status, {BAND_SQL} FROM cl LEFT JOIN se ON contrast = concat_ws(':', kind, a, b)""")
+def c06_intervals(spark, d):
+    """Every contrast's paired interval over whole groups of equal texts; pending ones have none."""
+    listed = contrast_list(runs(spark)).withColumn("contrast", F.concat_ws(":", "kind", "a", "b"))
+    found = banded(resample.joint_rows(predictions(spark, d), listed.where("b is not null"), text_groups(spark, d)), True)
+    out = listed.join(found, "contrast", "left")
+    return out.select("kind", "a", "b", F.when(F.col("se").isNull(), "pending").otherwise("complete").alias("status"), *BAND)
+
+
+@query("p01_intervals", VIEWS + f""", jr AS (SELECT run_id AS contrast, y, pred AS pa, CAST(NULL AS INTEGER) AS pb FROM pred), {SE_ROWS} SELECT run_id, status, {BAND_SQL} FROM runs LEFT JOIN se ON contrast = run_id""")
+def p01_intervals(spark, d):
+    """The run table's intervals: every run's own scores, within classes; runs without predictions have none."""
+    listed = runs(spark).select(F.col("run_id").alias("contrast"), F.col("run_id").alias("a"), F.lit(None).cast("string").alias("b"))
+    found = banded(resample.joint_rows(predictions(spark, d), listed), False)
+    return runs(spark).select("run_id", "status").join(found, F.col("run_id") == F.col("contrast"), "left").drop("contrast")
+
+
+@query("b02_paired", VIEWS + f""", jr AS (SELECT 'review-base' AS contrast, sha256(norm) AS grp, x.y, x.pred AS pa, z.pred AS pb FROM pred x JOIN pred z USING (row_id) JOIN ex USING (row_id) WHERE x.run_id = 'review' AND z.run_id = 'base'
+ UNION ALL SELECT 'base', sha256(norm), pred.y, pred, NULL FROM pred JOIN ex USING (row_id) WHERE run_id = 'base'), {SE_GROUPS}, pt AS (SELECT contrast, count(*) AS n_rows, count(DISTINCT grp) AS n_groups, sum({_D}) / count(*) AS accuracy FROM jr GROUP BY 1)
+SELECT contrast, n_rows, n_groups, round(accuracy, 9) AS accuracy, 2000::BIGINT AS replicates, {BAND_SQL} FROM pt JOIN se USING (contrast)""")
+def b02_paired(spark, d):
+    """Whole groups drawn for a pair of runs (shared draws) and for one run alone."""
+    listed = spark.createDataFrame([("review-base", "review", "base"), ("base", "base", None)], "contrast string, a string, b string")
+    rows = materialized(resample.joint_rows(predictions(spark, d), listed, text_groups(spark, d)), "joint")
+    n = rows.groupBy("contrast").agg(F.count("*").alias("n_rows"))
+    g = rows.select("contrast", "grp").distinct().groupBy("contrast").agg(F.count("*").alias("n_groups"))
+    found = resample.in_band(resample.contrast_intervals(rows, N_CLASSES, grouped=True), resample.standard_error(rows, True))
+    return n.join(g, "contrast").join(found, "contrast").select("contrast", "n_rows", "n_groups", F.round("accuracy", 9).alias("accuracy"), "replicates", F.round("se", 8).alias("se"), *BAND[1:])
+
+
 INVENTORY = VIEWS + ", g AS (SELECT m AS model, a AS arm, k AS train_per_class FROM (SELECT unnest(['m1', 'm2']) AS m), (SELECT unnest(['source', 'review', 'direct']) AS a), (SELECT unnest([0, 4]) AS k)), n AS (SELECT run_id, count(*) AS c FROM pred GROUP BY 1) SELECT coalesce(g.model, r.model) AS model, coalesce(g.arm, r.arm) AS arm, coalesce(g.train_per_class, r.train_per_class) AS train_per_class, CASE WHEN r.model IS NULL THEN 'missing' WHEN g.model IS NULL THEN 'unexpected' ELSE r.status END AS status FROM g FULL JOIN (SELECT runs.* FROM runs LEFT JOIN n USING (run_id) WHERE status <> 'complete' OR c > 0) r ON g.model = r.model AND g.arm = r.arm AND g.train_per_class IS NOT DISTINCT FROM r.train_per_class"
 
 

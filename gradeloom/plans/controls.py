@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import keyed
-from ..operators import control, prompts, score
+from ..operators import control, prompts, resample, score
 from ..sources.files import materialized
+from .contrasts import BAND, BAND_SQL, SE_GROUPS, banded, text_groups
 from .events import ATT, _views
 from .prep import _PLAN
 from .registry import query
@@ -23,7 +24,7 @@ _OUTCOME = f"""ctl AS (SELECT row_id AS case_id, arm, is_repeat, y, model, CASE
 def _contrast_sql(pred: str) -> str:
     return f"""res AS (SELECT case_id, arm, y, {pred} AS pred FROM ctl WHERE is_repeat = 0), rc AS (SELECT arm, y, pred, count(*) AS n FROM res GROUP BY ALL),
 apc AS (SELECT arm, c, coalesce(sum(n) FILTER (WHERE y = c), 0) AS support, coalesce(sum(n) FILTER (WHERE y = c AND pred = c), 0) AS tp, coalesce(sum(n) FILTER (WHERE pred = c), 0) AS guessed FROM rc, cls GROUP BY 1, 2),
-asc_ AS (SELECT arm, sum(tp) / sum(support) AS accuracy, avg(CASE WHEN support + guessed > 0 THEN 2 * tp / (support + guessed) ELSE 0 END) AS macro_f1, avg(tp / nullif(support, 0)) AS balanced_accuracy FROM apc GROUP BY 1),
+asc_ AS (SELECT arm, sum(tp) / sum(support) AS accuracy, avg(CASE WHEN support + guessed > 0 THEN 2 * tp / (support + guessed) ELSE 0 END) AS macro_f1, CASE WHEN min(support) > 0 THEN avg(tp / support) END AS balanced_accuracy FROM apc GROUP BY 1),
 mv AS (SELECT p.arm AS a, q.arm AS b, count(*) FILTER (WHERE q.pred <> p.y AND p.pred = p.y) AS wrong_to_correct, count(*) FILTER (WHERE q.pred = p.y AND p.pred <> p.y) AS correct_to_wrong, count(*) FILTER (WHERE p.pred <> q.pred) AS changed FROM res p JOIN res q USING (case_id) GROUP BY 1, 2),
 cl AS (SELECT 'actual' AS a, unnest(['no_proposal', 'shuffled', 'unsent']) AS b)
 SELECT cl.a, cl.b, CASE WHEN z.arm IS NULL THEN 'pending' ELSE 'complete' END AS status, round(x.accuracy - z.accuracy, 9) AS delta_accuracy, round(x.macro_f1 - z.macro_f1, 9) AS delta_macro_f1, round(x.balanced_accuracy - z.balanced_accuracy, 9) AS delta_balanced_accuracy,
@@ -69,12 +70,28 @@ def r09(spark, d):
     return rounded(control.arm_contrasts(rows, _expected(spark, rows), ARM_PAIRS, N_CLASSES), *DELTAS)
 
 
-@query("c08_repeats", VIEWS + f""", {_PLAN}, {_OUTCOME} SELECT 16::BIGINT AS expected, count(*) AS pairs, CASE WHEN count(*) = 16 THEN 'complete' ELSE 'pending' END AS status, count(*) FILTER (WHERE p.pred >= 0 AND p.pred = q.pred) AS agree,
-count(*) FILTER (WHERE p.pred >= 0 AND q.pred >= 0 AND p.pred <> q.pred) AS disagree, count(*) FILTER (WHERE p.pred < 0 AND q.pred < 0) AS both_failed, count(*) FILTER (WHERE (p.pred < 0) <> (q.pred < 0)) AS one_failed,
-count(*) FILTER (WHERE p.model <> q.model) AS model_mismatch FROM ctl p JOIN ctl q USING (case_id) WHERE p.arm = 'actual' AND p.is_repeat = 0 AND q.is_repeat = 1""")
+@query("c08_repeats", VIEWS + f""", {_PLAN}, {_OUTCOME}, ds AS (SELECT DISTINCT case_id, ['even', 'odd'][case_id % 2 + 1] AS dataset FROM ctl), ee AS (SELECT dataset, count(DISTINCT case_id) + CASE dataset WHEN 'odd' THEN 1 ELSE 0 END AS expected FROM ctl JOIN ds USING (case_id) WHERE is_repeat = 1 GROUP BY 1),
+qq AS (SELECT ds.dataset, p.pred, q.pred AS again, p.model, q.model AS model_again FROM ctl p JOIN ctl q USING (case_id) JOIN ds USING (case_id) WHERE p.arm = 'actual' AND p.is_repeat = 0 AND q.is_repeat = 1),
+cc AS (SELECT dataset, count(*) AS pairs, count(*) FILTER (pred >= 0 AND pred = again) AS agree, count(*) FILTER (pred >= 0 AND again >= 0 AND pred <> again) AS disagree, count(*) FILTER (pred < 0 AND again < 0) AS both_failed, count(*) FILTER (pred < 0 AND again >= 0) AS reference_failed,
+ count(*) FILTER (pred >= 0 AND again < 0) AS repeat_failed, count(*) FILTER (model <> model_again) AS model_mismatch FROM qq GROUP BY 1)
+SELECT dataset, expected, coalesce(pairs, 0) AS pairs, CASE WHEN pairs = expected THEN 'complete' ELSE 'pending' END AS status, """ + ", ".join(f"CASE WHEN pairs = expected THEN {c} END AS {c}" for c in ("agree", "disagree", "both_failed", "reference_failed", "repeat_failed", "model_mismatch")) + " FROM ee LEFT JOIN cc USING (dataset)")
 def c08(spark, d):
-    rows = _requests(spark, d)[0].where("arm = 'actual'")
-    return control.repeat_diagnostic(rows.where("is_repeat = 0"), rows.where("is_repeat = 1"), REPEATS)
+    """Two halves of the cases stand for datasets; the second one waits for one more repeat."""
+    rows = _requests(spark, d)[0].where("arm = 'actual'").withColumn("dataset", F.when(F.col("case_id") % 2 == 0, "even").otherwise("odd"))
+    repeats = rows.where("is_repeat = 1")
+    expected = repeats.groupBy("dataset").agg((F.count_distinct("case_id") + F.max((F.col("dataset") == "odd").cast("int"))).alias("expected"))
+    return control.repeat_diagnostic(rows.where("is_repeat = 0"), repeats, expected)
+
+
+@query("c07_intervals", VIEWS + f""", {_PLAN}, {_OUTCOME}, jr AS (SELECT q.arm AS contrast, sha256(norm) AS grp, p.y, p.pred AS pa, q.pred AS pb FROM ctl p JOIN ctl q USING (case_id) JOIN ex ON ex.row_id = case_id WHERE p.arm = 'actual' AND q.arm IN ('no_proposal', 'shuffled') AND p.is_repeat = 0 AND q.is_repeat = 0), {SE_GROUPS}
+SELECT 'actual' AS a, b, CASE WHEN se IS NULL THEN 'pending' ELSE 'complete' END AS status, {BAND_SQL} FROM (SELECT unnest(['no_proposal', 'shuffled', 'unsent']) AS b) LEFT JOIN se ON contrast = b""")
+def c07_intervals(spark, d):
+    """Paired intervals of the control contrasts over groups of equal texts."""
+    rows = _requests(spark, d)[0].where("is_repeat = 0")
+    listed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(b).alias("contrast"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ARM_PAIRS])))
+    preds = rows.select(F.col("arm").alias("run_id"), F.col("case_id").alias("row_id"), "y", "pred")
+    out = listed.join(banded(resample.joint_rows(preds, listed, text_groups(spark, d)), True), "contrast", "left")
+    return out.select("a", "b", F.when(F.col("se").isNull(), "pending").otherwise("complete").alias("status"), *BAND)
 
 
 @query("r07_condition_summary", ATT + f""", lv AS (SELECT run_id, row_id, y, unnest(['original', 'recovered']) AS "view", unnest([original, recovered]) AS label FROM vw), lp AS (SELECT *, coalesce(label, -1) AS pred FROM lv),
