@@ -6,27 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_probabilities
-
-
-def _leaves_of(path: Column, value: Column, depth: int) -> Column:
-    leaf = F.array(F.struct(path.alias("path"), value.alias("value")))
-    if not depth:
-        return leaf
-    maps = F.transform(F.map_entries(F.from_json(value, "map<string,string>")), lambda e: _leaves_of(F.concat_ws(".", path, e["key"]), e["value"], depth - 1))
-    lists = F.transform(F.from_json(value, "array<string>"), lambda x, i: _leaves_of(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), x, depth - 1))
-    return F.when(value.startswith("{"), F.flatten(maps)).when(value.startswith("["), F.flatten(lists)).otherwise(leaf)
-
-
-def leaves(rows: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
-    """(key, path, value) of every leaf of a JSON object, to ``depth`` levels; deeper parts stay JSON text."""
-    return rows.select(key, F.inline(_leaves_of(F.lit("$"), F.col(json), depth)))
-
-
-def manifest_diff(left: DataFrame, right: DataFrame, key: str, json: str, allowed: list[str], depth: int = 6) -> DataFrame:
-    """(key, path, status): leaves that only one side has or whose values differ; paths that match an
+from ..sources.files import materialized
+
+
+#: Levels of a manifest that are opened between two writes.
+LEVELS = 6
+_HOLDS = "coalesce(v IS NOT NULL AND left(value, 1) IN ('{', '[') AND value NOT IN ('{}', '[]'), false)"
+_NAME = "CASE WHEN x.key IS NULL THEN '[' || x.pos || ']' WHEN x.key RLIKE '^[A-Za-z0-9_-]+$' THEN '.' || x.key ELSE '[' || to_json(named_struct('k', x.key)) || ']' END"
+
+
+def leaves(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value) of every leaf of a JSON text, however deep: a scalar, null, or an empty object or list,
+    as JSON. Texts are read as VARIANT values once and opened level by level, some levels at a time; what is still
+    to be opened then is written, so no plan grows with the depth. A text that is no JSON is a leaf itself."""
+    spark, out = rows.sparkSession, None
+    parsed = F.try_parse_json(json)
+    value = F.when(parsed.isNull() & F.col(json).isNotNull(), F.to_json(F.struct(json))).otherwise(F.to_json(parsed))
+    now = rows.select(key, F.lit("$").alias("path"), value.alias("value"), parsed.alias("v"))
+    while True:
+        for _ in range(LEVELS):
+            # what does not hold anything stays as it is
+            now = spark.sql(
+                f"""SELECT t.`{key}`, CASE WHEN holds THEN t.path || {_NAME} ELSE t.path END AS path, CASE WHEN holds THEN to_json(x.value) ELSE t.value END AS value, CASE WHEN holds THEN x.value ELSE t.v END AS v
+                FROM (SELECT *, {_HOLDS} AS holds FROM {{now}}) t, LATERAL variant_explode(CASE WHEN holds THEN t.v ELSE parse_json('[0]') END) x""".replace("IN ('{', '[')", "IN ('{{', '[')").replace("'{}'", "'{{}}'"),
+                now=now,
+            )
+        now = materialized(now, "leaves")
+        ended = now.where(f"NOT {_HOLDS}").select(key, "path", "value")
+        out = ended if out is None else out.union(ended)
+        now = now.where(_HOLDS)
+        if now.isEmpty():
+            return out
+
+
+def manifest_diff(left: DataFrame, right: DataFrame, key: str, json: str, allowed: list[str]) -> DataFrame:
+    """(key, path, status): leaves that only one side has or whose values differ, at any depth; paths that match an
     allow-list expression may be missing on the left."""
-    a = leaves(left, key, json, depth).withColumnRenamed("value", "a").withColumn("in_a", F.lit(True))
-    b = leaves(right, key, json, depth).withColumnRenamed("value", "b").withColumn("in_b", F.lit(True))
+    a = leaves(left, key, json).withColumnRenamed("value", "a").withColumn("in_a", F.lit(True))
+    b = leaves(right, key, json).withColumnRenamed("value", "b").withColumn("in_b", F.lit(True))
     both = a.join(b, [key, "path"], "full_outer")
     status = F.when(F.col("in_a").isNull(), "added").when(F.col("in_b").isNull(), "missing").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
     extra = F.lit(False)

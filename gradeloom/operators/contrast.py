@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prep import hash_ranked
-from .rank import ranked
+from .rank import balanced, ranked
 from .score import scores
 
 
@@ -99,7 +99,8 @@ RATES = (0, 10, 25, 50, 75, 100)
 def confidence_ranked(preds: DataFrame, run: str) -> DataFrame:
     """Rows of a run by ascending top probability, ties by sha-256 of the id; blind to the truth."""
     rows = preds.where(F.col("run_id") == run).withColumns({"conf": F.coalesce(F.array_max("probabilities"), F.lit(0.0)), "h": F.sha2(F.col("row_id").cast("string"), 256)})
-    return ranked(rows, [], F.floor(F.col("conf") * 1024), ["conf", "h"], "rank").drop("h")
+    rows, bucket = balanced(rows, "conf", "h")
+    return ranked(rows, [], bucket, ["conf", "h"], "rank").drop("h", "__cuts")
 
 
 def covered(n: Column, rate: Column) -> Column:
@@ -143,8 +144,9 @@ def random_reference(preds: DataFrame, source: str, review: str) -> DataFrame:
     return rows.select("rate", (between("sa", "sb") / n).alias("accuracy"), between("ra", "rb").alias("balanced_accuracy"), (F.col("share") * F.col("fix")).alias("fixed"), (F.col("share") * F.col("harm")).alias("harmed"), between("fa", "fb").alias("failures"))
 
 
-def random_macro_f1(preds: DataFrame, source: str, review: str, n_classes: int, draws: int = 500, seed: int = 7) -> DataFrame:
-    """Monte-Carlo mean and standard error of macro-F1 under random review, drawn over cells."""
+def random_macro_f1(preds: DataFrame, source: str, review: str, n_classes: int, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """Monte-Carlo mean and standard error of macro-F1 under random review, drawn over cells of any size; where no row
+    or every row is reviewed the value is exact and there are no samples. ``plug_in`` puts the expected counts in."""
     pair = paired(preds, source, review).groupBy("y", "a", "b").agg(F.count("*").alias("n"))
     # at most classes x (classes + 1)^2 cells, whatever the number of rows
     cells = pair.crossJoin(F.broadcast(_rates(preds.sparkSession)))
@@ -153,22 +155,29 @@ def random_macro_f1(preds: DataFrame, source: str, review: str, n_classes: int,
         import numpy as np
         import pandas as pd
 
+        from ..functions.draws import multivariate_hypergeometric
+
         pdf = pdf.sort_values(["y", "a", "b"])
         rate, n = int(pdf["rate"].iloc[0]), pdf["n"].to_numpy()
         y, a, b = (pdf[c].to_numpy() for c in "yab")
         m = (n.sum() * rate + 50) // 100
         rng = np.random.default_rng([seed, rate])
-        take = rng.multivariate_hypergeometric(n, m, size=draws, method="marginals")
-        f1 = np.zeros(draws)
-        for c in range(n_classes):
-            tp = ((y == c) & (b == c)) * take + ((y == c) & (a == c)) * (n - take)
-            guess = (b == c) * take + (a == c) * (n - take)
-            den = n[y == c].sum() + guess.sum(axis=1)
-            f1 += np.where(den > 0, 2 * tp.sum(axis=1) / np.maximum(den, 1), 0)
-        f1 /= n_classes
-        return pd.DataFrame({"rate": [rate], "macro_f1": [f1.mean()], "se": [f1.std(ddof=1) / draws**0.5]})
-
-    return cells.groupBy("rate").applyInPandas(simulate, "rate int, macro_f1 double, se double")
+        exact = m in (0, n.sum())
+
+        def macro_f1(take):
+            f1 = np.zeros(len(take))
+            for c in range(n_classes):
+                tp = ((y == c) & (b == c)) * take + ((y == c) & (a == c)) * (n - take)
+                guess = (b == c) * take + (a == c) * (n - take)
+                den = n[y == c].sum() + guess.sum(axis=1)
+                f1 += np.where(den > 0, 2 * tp.sum(axis=1) / np.maximum(den, 1), 0)
+            return f1 / n_classes
+
+        plug_in = macro_f1((n * (m / n.sum()))[None])[0]
+        f1 = np.array([plug_in]) if exact else macro_f1(multivariate_hypergeometric(rng, n, m, draws))
+        return pd.DataFrame({"rate": [rate], "macro_f1": [f1.mean()], "se": [0.0 if exact else f1.std(ddof=1) / draws**0.5], "samples": [0 if exact else draws], "plug_in": [plug_in]})
+
+    return cells.groupBy("rate").applyInPandas(simulate, "rate int, macro_f1 double, se double, samples int, plug_in double")
 
 
 def fixed_panel(preds: DataFrame, size: int) -> DataFrame:

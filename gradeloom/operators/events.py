@@ -26,6 +26,41 @@ def attempt_violations(attempts: DataFrame, most: int = 2) -> DataFrame:
     return s.select(F.inline(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("n")) for c in s.columns])))
 
 
+def first_breaks(original: DataFrame, attempts: DataFrame, most: int = 2) -> DataFrame:
+    """(run_id, row_id, rule, at): for every row whose attempts break a rule, the first rule broken and the place in
+    its history (1 is the first attempt). ``original(run_id, row_id, stage, label, prompt)`` says how the row came to
+    be open: attempted, upstream_not_called or not_attempted; ``attempts`` have attempt_index, stage, label and
+    prompt. A row's attempts in order run through a small automaton: identity, unknown_row, on_success, order (consecutive
+    from 1), stage (a retry after a call, else a first call), after_success, too_many, and at the end unfinished
+    (failed with attempts left). Only the first ``most`` + 1 attempts of a row are gathered, as one more than
+    ``most`` always breaks a rule."""
+    w = Window.partitionBy("run_id", "row_id").orderBy("attempt_index", "stage")
+    some = attempts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most + 1)
+    listed = some.groupBy("run_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("place", "attempt_index", "stage", F.col("label").isNotNull().alias("ok"), "prompt"))).alias("tries"))
+    first = original.select("run_id", "row_id", F.col("stage").alias("origin"), F.col("label").isNotNull().alias("answered"), F.col("prompt").alias("asked"))
+    rows = first.join(listed, ["run_id", "row_id"], "full_outer").withColumn("tries", F.coalesce("tries", F.array().cast("array<struct<place:int,attempt_index:int,stage:string,ok:boolean,prompt:string>>")))
+    start = F.struct(F.lit(False).alias("ok"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("at"))
+
+    def step(state, t):
+        due = F.when((t["place"] > 1) | (F.col("origin") == "attempted"), "retry").when(F.col("origin") == "upstream_not_called", "dependent_first_call").otherwise("first_attempt")
+        rule = (
+            F.when(F.col("origin").isNull(), "unknown_row")
+            .when(F.col("answered"), "on_success")
+            .when(~t["prompt"].eqNullSafe(F.col("asked")), "identity")
+            .when(~t["attempt_index"].eqNullSafe(t["place"]), "order")
+            .when(state["ok"], "after_success")
+            .when(t["place"] > most, "too_many")
+            .when(~t["stage"].eqNullSafe(due), "stage")
+        )
+        broken = state["rule"].isNotNull()
+        return F.struct((state["ok"] | t["ok"]).alias("ok"), F.coalesce(state["rule"], rule).alias("rule"), F.when(broken, state["at"]).otherwise(t["place"]).alias("at"))
+
+    end = rows.select("run_id", "row_id", F.coalesce("answered", F.lit(True)).alias("answered"), F.size("tries").alias("n"), F.aggregate("tries", start, step).alias("end"))
+    open_ = ~F.col("answered") & ~F.col("end.ok") & (F.col("n") < most)
+    rule = F.coalesce(F.col("end.rule"), F.when(open_, "unfinished"))
+    return end.select("run_id", "row_id", rule.alias("rule"), F.when(F.col("end.rule").isNotNull(), F.col("end.at")).otherwise(F.col("n") + 1).alias("at")).where("rule is not null")
+
+
 def halts(rows: DataFrame, by: str, order: str, error: str, streak: int = 3) -> DataFrame:
     """Per group, the first place where a billing error or ``streak`` errors in a row stop it."""
     w = Window.partitionBy(by).orderBy(order)

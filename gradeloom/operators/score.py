@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FAILED, ratio, total
-from .rank import quantiles, running_total
+from ..sources.shared import materialized
+from .rank import balanced, quantiles, running_total
 
 
 def alignment(test: DataFrame, preds: DataFrame) -> DataFrame:
@@ -92,7 +93,8 @@ def calibration_error(preds: DataFrame, bins: int = 15) -> DataFrame:
 def ranking_quality(rows: DataFrame, by: list[str], score: str = "score", hit: str = "hit") -> DataFrame:
     """ROC-AUC (ties at mid-rank) and average precision per group from counts per distinct score."""
     per = rows.groupBy(*by, score).agg(F.sum(hit).alias("pos"), F.sum(1 - F.col(hit)).alias("neg"))
-    bucket = -F.floor(F.col(score) * 1024)
+    per, bucket = balanced(materialized(per, "scores"), score)
+    bucket = -bucket
     per = running_total(per, by, bucket, [F.desc(score)], "pos", "tp0")
     per = running_total(per, by, bucket, [F.desc(score)], "neg", "fp0")
     tp, fp = F.col("tp0") + F.col("pos"), F.col("fp0") + F.col("neg")

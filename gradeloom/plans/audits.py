@@ -91,7 +91,26 @@ def _manifests(spark, d):
 @query("a03_manifest_diff", f"""WITH e AS (SELECT event_id, {u("'man'", "event_id")} AS h FROM events), x AS (SELECT '$.run.kind' AS path, CASE WHEN h % 83 = 0 THEN 'changed' WHEN h % 89 = 0 THEN 'missing' END AS status FROM e
 UNION ALL SELECT '$.run.owner', CASE WHEN h % 97 = 0 THEN 'added' END FROM e) SELECT path, status, count(*) AS n FROM x WHERE status IS NOT NULL GROUP BY 1, 2""")
 def a03(spark, d):
-    return audit.manifest_diff(*_manifests(spark, d), "event_id", "manifest", [r"^\$\.supplement"], depth=4).groupBy("path", "status").agg(F.count("*").alias("n"))
+    return audit.manifest_diff(*_manifests(spark, d), "event_id", "manifest", [r"^\$\.supplement"]).groupBy("path", "status").agg(F.count("*").alias("n"))
+
+
+DEEP = 12
+
+
+@query("a03_deep_diff", f"""WITH e AS (SELECT {u("'man'", "event_id")} AS h FROM events), x AS (SELECT '$' || repeat('.in[1]', {DEEP}) || '.kind' AS path, CASE WHEN h % 83 = 0 THEN 'changed' END AS status FROM e
+UNION ALL SELECT '$' || repeat('.in[1]', {DEEP}) || '.list[0]', CASE WHEN h % 89 = 0 THEN 'missing' END FROM e UNION ALL SELECT '$' || repeat('.in[1]', {DEEP}) || '.list', CASE WHEN h % 89 = 0 THEN 'added' END FROM e) SELECT path, status, count(*) AS n FROM x WHERE status IS NOT NULL GROUP BY 1, 2""")
+def a03_deep(spark, d):
+    """Differences twelve objects and lists down: a changed value, and a list that lost its only entry."""
+    e = table(spark, d, "events").select("event_id", "event_type", keyed("man", F.col("event_id")).alias("h"))
+
+    def manifest(kind, entries):
+        inner = F.to_json(F.struct(kind.alias("kind"), entries.alias("list")))
+        return F.concat(F.lit('{"in":[null,' * DEEP), inner, F.lit("]}" * DEEP)).alias("manifest")
+
+    left = e.select("event_id", manifest(F.col("event_type"), F.array("event_id")))
+    kind = F.when(F.col("h") % 83 == 0, "edited").otherwise(F.col("event_type"))
+    entries = F.when(F.col("h") % 89 == 0, F.array().cast("array<long>")).otherwise(F.array("event_id"))
+    return audit.manifest_diff(left, e.select("event_id", manifest(kind, entries)), "event_id", "manifest", []).groupBy("path", "status").agg(F.count("*").alias("n"))
 
 
 @query("a05_saved_metrics", VIEWS + "SELECT run_id, metric, CASE WHEN run_id = 'hosted' THEN 'not_saved' WHEN run_id = 'zero' AND metric = 'accuracy' THEN 'different' ELSE 'equal' END AS status FROM (SELECT DISTINCT run_id FROM pred), (SELECT unnest(['accuracy', 'failure_rate']) AS metric)")

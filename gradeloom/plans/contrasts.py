@@ -241,6 +241,18 @@ def v07(spark, d):
     return rounded(contrast.random_reference(predictions(spark, d), "base", "review"), "accuracy", "balanced_accuracy", "fixed", "harmed", "failures")
 
 
+@query("v08_checked", MIXED + """, ce AS (SELECT DISTINCT rate, y, a, b, count(*) OVER (PARTITION BY rate, y, a, b) AS n, count(*) FILTER (WHERE picked) OVER (PARTITION BY rate) / count(*) OVER (PARTITION BY rate) AS share FROM mx),
+pf AS (SELECT rate, any_value(share) AS share, c, 2 * sum(n * ((y = c AND b = c)::INT * share + (y = c AND a = c)::INT * (1 - share))) / nullif(sum(n * ((y = c)::INT + (b = c)::INT * share + (a = c)::INT * (1 - share))), 0) AS f FROM ce, cls GROUP BY rate, c)
+SELECT rate, CASE WHEN any_value(share) IN (0, 1) THEN 0 ELSE 10000 END::INTEGER AS samples, round(avg(coalesce(f, 0)), 9) AS plug_in, true AS near FROM pf GROUP BY rate""")
+def v08_checked(spark, d):
+    """The draws' means against macro-F1 of the expected counts, which they approach as rows grow."""
+    p = predictions(spark, d)
+    n = p.where("run_id = 'base'").count()
+    out = contrast.random_macro_f1(p, "base", "review", N_CLASSES)
+    near = F.abs(F.col("macro_f1") - F.col("plug_in")) <= F.when(F.col("samples") == 0, 1e-12).otherwise(5 * F.col("se") + F.lit(2.0) / n)
+    return out.select("rate", "samples", F.round("plug_in", 9).alias("plug_in"), near.alias("near"))
+
+
 @query("v08_random_macro_f1")
 def v08(spark, d):
     return contrast.random_macro_f1(predictions(spark, d), "base", "review", N_CLASSES)

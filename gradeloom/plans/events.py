@@ -56,6 +56,25 @@ def r03(spark, d):
     return events.attempt_violations(attempts(spark, d))
 
 
+@query("r03_first_breaks", ATT + f""", ij AS (SELECT *, {u("'inj'", "row_id")} % 8 AS h, {u("'stg'", "row_id")} % 3 AS g FROM ok), mx AS (SELECT *, CASE WHEN ok1 OR h = 4 THEN 1 ELSE 2 END AS n FROM ij)
+SELECT run_id, row_id, CASE h WHEN 0 THEN 'order' WHEN 1 THEN 'stage' WHEN 2 THEN 'identity' WHEN 3 THEN CASE WHEN ok1 OR ok2 THEN 'after_success' ELSE 'too_many' END WHEN 4 THEN 'unfinished' ELSE 'unknown_row' END AS rule,
+CASE h WHEN 3 THEN n + 1 WHEN 4 THEN 2 ELSE 1 END::INTEGER AS "at" FROM mx WHERE h < 3 OR h = 3 OR (h = 4 AND NOT ok1) OR h = 5""")
+def r03_first(spark, d):
+    """The attempts with faults put in: shifted indices, wrong stages, other prompts, one attempt more, one less,
+    and rows whose original is not there."""
+    h, g = keyed("inj", F.col("row_id")) % 8, keyed("stg", F.col("row_id")) % 3
+    origin = F.when(g == 0, "attempted").when(g == 1, "upstream_not_called").otherwise("not_attempted")
+    prompt = F.sha2(F.concat_ws(":", "run_id", "row_id"), 256)
+    lost = predictions(spark, d).where("pred < 0").select("run_id", "row_id", origin.alias("stage"), F.col("label"), prompt.alias("prompt"))
+    tries = attempts(spark, d).withColumn("h", h)
+    due = F.when((F.col("attempt_index") > 1) | (g == 0), "retry").when(g == 1, "dependent_first_call").otherwise("first_attempt")
+    tries = tries.withColumns({"stage": F.when((F.col("h") == 1) & (F.col("attempt_index") == 1), "another").otherwise(due), "prompt": F.when(F.col("h") == 2, "x").otherwise(prompt)})
+    more = tries.where("h = 3").groupBy("run_id", "row_id").agg((F.max("attempt_index") + 1).alias("attempt_index"), F.first("prompt").alias("prompt"))
+    more = more.select("run_id", "row_id", "attempt_index", F.lit(None).cast("int").alias("label"), F.lit("retry").alias("stage"), "prompt")
+    tries = tries.where("not (h = 4 and attempt_index = 2)").withColumn("attempt_index", F.col("attempt_index") + F.when(F.col("h") == 0, 1).otherwise(0))
+    return events.first_breaks(lost.where(h != 5), tries.select(more.columns).unionByName(more))
+
+
 @query("r04_views", ATT + " SELECT run_id, row_id, original, first_retry, recovered, extra AS extra_attempts FROM vw")
 def r04(spark, d):
     return _views(spark, d).select("run_id", "row_id", "original", "first_retry", "recovered", "extra_attempts")

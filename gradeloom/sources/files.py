@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prep import fingerprint
+from .shared import materialized, shared_folder
 
 #: Fields that stand for a missing one.
 NULL_MARKERS = ("", "NA", "?")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``); only where that
-    is unset (tests, a laptop) a temporary folder of this machine takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialized(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` written to the shared folder and read back, where several parts of a plan read them."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def read_csv(spark: SparkSession, path: str, schema: str, recode: dict[str, dict[str, str]] | None = None, header: bool = True) -> DataFrame:
     """A CSV table with declared columns. Null markers become null in every column before it takes its type;
     ``recode`` maps the codes of a column to names (codes it lacks become null)."""
