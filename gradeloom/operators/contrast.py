@@ -63,6 +63,19 @@ def endpoint_violations(curve: DataFrame, source: str, review: str, metrics: lis
     return curve.where(F.col("rate").isin(0, 100)).select("rate", total.alias("violations"))
 
 
+def prompt_pairs(rows: DataFrame) -> DataFrame:
+    """Per pair of runs, outcomes on equal prompts, from ``rows(prompt, run_id, model, y, pred)``. Prompts on which the
+    same runs meet with the same outcomes are counted first; pairs are formed on these patterns, so their number
+    follows the runs and outcomes, not the rows. A run has a prompt once."""
+    met = F.struct("run_id", "model", (F.col("pred") < 0).alias("failed"), (F.col("pred") == F.col("y")).alias("right"))
+    patterns = rows.groupBy("prompt").agg(F.array_sort(F.collect_list(met)).alias("met")).where(F.size("met") > 1).groupBy("met").agg(F.count("*").alias("n"))
+    after = lambda i: F.slice("met", i + 2, F.size("met"))
+    pairs = F.flatten(F.transform("met", lambda a, i: F.transform(after(i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    both = patterns.select("n", F.inline(pairs)).where("a.run_id < b.run_id").groupBy(F.col("a.run_id").alias("run_a"), F.col("b.run_id").alias("run_b"))
+    part = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
+    return both.agg(F.sum("n").alias("equal_proposals"), part(F.col("a.failed"), "both_failed"), part(~F.col("a.failed") & (F.col("a.right") != F.col("b.right")), "disagreements"), part(F.col("a.model") != F.col("b.model"), "model_mismatch"))
+
+
 def joint_correctness(preds: DataFrame, runs: list[str]) -> DataFrame:
     """Counts of all bit patterns of correctness of the listed runs, zero-filled."""
     rows = preds.where(F.col("run_id").isin(runs)).groupBy("row_id").agg(*[F.max(F.when(F.col("run_id") == r, (F.col("pred") == F.col("y")).cast("int"))).alias(f"b{k}") for k, r in enumerate(runs)])

@@ -262,10 +262,7 @@ def v08(spark, d):
 def v09(spark, d):
     """Pairs of runs by rows whose review prompts (row and proposal) have the same digest."""
     p = predictions(spark, d).join(F.broadcast(runs(spark).select("run_id", "model")), "run_id")
-    p = p.select(F.sha2(F.concat_ws(":", "row_id", "pred"), 256).alias("prompt"), "pred", "run_id", "model", (F.col("pred") == F.col("y")).alias("right"))
-    a, b = (p.select("prompt", *[F.col(c).alias(f"{c}_{k}") for c in ("pred", "run_id", "model", "right")]) for k in "ab")
-    both = a.join(b, "prompt").where("run_id_a < run_id_b").groupBy(F.col("run_id_a").alias("run_a"), F.col("run_id_b").alias("run_b"))
-    return both.agg(F.count("*").alias("equal_proposals"), F.count_if(F.col("pred_a") < 0).alias("both_failed"), F.count_if((F.col("pred_a") >= 0) & (F.col("right_a") != F.col("right_b"))).alias("disagreements"), F.count_if(F.col("model_a") != F.col("model_b")).alias("model_mismatch"))
+    return contrast.prompt_pairs(p.withColumn("prompt", F.sha2(F.concat_ws(":", "row_id", "pred"), 256)))
 
 
 def _versus(spark, d):

@@ -264,9 +264,9 @@ def p01(spark, d):
 
 @query("p03_canonical", VIEWS + ", g AS (SELECT norm, count(*) AS n, min(row_id) AS c FROM ex GROUP BY 1) SELECT row_id, c AS canonical, n AS repetition_count, CASE WHEN row_id <> c THEN c END AS duplicate_of FROM ex JOIN g USING (norm)")
 def p03(spark, d):
-    ex = examples(spark, d)
-    g = ex.groupBy("norm").agg(F.count("*").alias("repetition_count"), F.min("row_id").alias("canonical"))
-    return ex.join(g, "norm").select("row_id", "canonical", "repetition_count", F.when(F.col("row_id") != F.col("canonical"), F.col("canonical")).alias("duplicate_of"))
+    ex = prep.without_texts(examples(spark, d), "row_id")
+    g = ex.groupBy("norm_sha256").agg(F.count("*").alias("repetition_count"), F.min("row_id").alias("canonical"))
+    return ex.join(g, "norm_sha256").select("row_id", "canonical", "repetition_count", F.when(F.col("row_id") != F.col("canonical"), F.col("canonical")).alias("duplicate_of"))
 
 
 @query("p04_counters", VIEWS + "SELECT arm, count(*) AS runs, CAST(sum(n) AS BIGINT) AS predictions FROM runs LEFT JOIN (SELECT run_id, count(*) AS n FROM pred GROUP BY 1) USING (run_id) GROUP BY 1")

@@ -20,6 +20,12 @@ def _split(spark, d, s):
     return examples(spark, d).where(F.col("source_split") == s)
 
 
+def _keys(spark, d, s=None):
+    """Rows by the key of their text."""
+    rows = examples(spark, d) if s is None else _split(spark, d, s)
+    return prep.without_texts(rows, "row_id", "label", "source_split")
+
+
 LABELED = VIEWS + f""", tr AS (SELECT * FROM ex WHERE source_split = 'train'),
 kept AS (SELECT * FROM tr WHERE norm NOT IN (SELECT norm FROM ex WHERE source_split = 'test')),
 rk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h(42, "row_id")}, row_id) AS rank FROM tr)"""
@@ -44,12 +50,12 @@ def d02(spark, d):
 
 @query("d03_overlap_kept", LABELED + "SELECT row_id FROM kept")
 def d03(spark, d):
-    return prep.overlap_filter(_split(spark, d, "train"), _split(spark, d, "test")).select("row_id")
+    return prep.overlap_filter(_keys(spark, d, "train"), _keys(spark, d, "test")).select("row_id")
 
 
 @query("d03_overlap_removed", LABELED + "SELECT row_id FROM tr WHERE row_id NOT IN (SELECT row_id FROM kept)")
 def d03r(spark, d):
-    return prep.overlap_filter(_split(spark, d, "train"), _split(spark, d, "test"), removed=True).select("row_id")
+    return prep.overlap_filter(_keys(spark, d, "train"), _keys(spark, d, "test"), removed=True).select("row_id")
 
 
 @query("d04_stratified_subset", LABELED + f", {_quota_sql('tr', '100')} SELECT row_id, label FROM rk JOIN q USING (label) WHERE rank <= quota")
@@ -77,9 +83,13 @@ def _prepared(spark, d):
     return prep.prepare(examples(spark, d), 4)
 
 
+def _prepared_keys(spark, d):
+    return prep.prepare_keys(examples(spark, d), 4)
+
+
 @query("d05_prepare", PREPARED + "SELECT row_id, label, split, removal_reason FROM prepared")
 def d05(spark, d):
-    return _prepared(spark, d).select("row_id", "label", "split", "removal_reason")
+    return _prepared_keys(spark, d).select("row_id", "label", "split", "removal_reason")
 
 
 @query(
@@ -90,7 +100,7 @@ UNION ALL SELECT 'duplicate_id', CAST(sum(c - 1) AS BIGINT) FROM (SELECT count(*
 UNION ALL SELECT 'cross_split_text', count(*) FROM (SELECT norm FROM k GROUP BY norm HAVING min(split) <> max(split))""",
 )
 def d06(spark, d):
-    return prep.violations(_prepared(spark, d).where("split is not null"), 4)
+    return prep.violations(_prepared_keys(spark, d).where("split is not null"), 4)
 
 
 @query(
@@ -100,7 +110,7 @@ def d06(spark, d):
 FROM (SELECT source_split, norm, count(*) AS n, min(label) AS lo, max(label) AS hi FROM ex GROUP BY 1, 2) JOIN (SELECT source_split, count(DISTINCT label) AS k FROM ex GROUP BY 1) USING (source_split) GROUP BY 1""",
 )
 def d07(spark, d):
-    return prep.split_audit(examples(spark, d))
+    return prep.split_audit(_keys(spark, d))
 
 
 @query(
@@ -112,7 +122,10 @@ SELECT row_id, split, truncated FROM cp WHERE split = 'test' UNION ALL SELECT ro
 UNION ALL SELECT row_id, split, truncated FROM cp WHERE split = 'train' AND norm NOT IN (SELECT norm FROM cp WHERE split = 'test' UNION SELECT norm FROM v)""",
 )
 def d08(spark, d):
-    return prep.cap_text(_prepared(spark, d).where("split is not null"), 80).select("row_id", "split", "truncated")
+    # beyond the cap one character more is enough to see that a text was cut
+    split = _prepared_keys(spark, d).where("split is not null").select("row_id", "split")
+    rows = examples(spark, d).select("row_id", F.substring("text", 1, 81).alias("text"), F.substring("norm", 1, 80).alias("norm"))
+    return prep.cap_text(rows.join(split, "row_id"), 80).select("row_id", "split", "truncated")
 
 
 @query("d09_k_per_class", LABELED + "SELECT row_id, label, rank FROM rk WHERE rank <= 8")
@@ -136,7 +149,7 @@ folds AS (SELECT norm, sha256(norm) AS group_sha256, CAST((row_number() OVER (PA
 
 @query("d11_group_folds", FOLDS + "SELECT row_id, group_sha256, fold FROM ex JOIN folds USING (norm)")
 def d11(spark, d):
-    return prep.grouped_folds(examples(spark, d)).select("row_id", "group_sha256", "fold")
+    return prep.grouped_folds(_keys(spark, d)).select("row_id", "group_sha256", "fold")
 
 
 @query(
@@ -146,7 +159,7 @@ trk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h(7, "row_id"
 SELECT row_id, CASE WHEN fold = 0 THEN CASE WHEN row_id IN (SELECT row_id FROM keep) THEN 'test' ELSE 'excluded' END WHEN fold = 1 THEN 'validation' ELSE 'train' END AS split FROM ex JOIN folds USING (norm)""",
 )
 def d12(spark, d):
-    rows = prep.grouped_folds(examples(spark, d))
+    rows = prep.grouped_folds(_keys(spark, d))
     test = rows.where("fold = 0")
     keep = prep.stratified_subset(test, test.count() // 2, 7).select("row_id", F.lit(True).alias("kept"))
     split = F.when(F.col("fold") == 0, F.when(F.col("kept"), "test").otherwise("excluded")).when(F.col("fold") == 1, "validation").otherwise("train")
@@ -161,12 +174,12 @@ SELECT label, count(*) FILTER (WHERE r <= 3) AS diagnostic, count(*) FILTER (WHE
 )
 def d13(spark, d):
     """Validation rows by use, whether ids or texts are shared with other splits, and what training offers."""
-    rows = _prepared(spark, d).where("split is not null")
+    rows = _prepared_keys(spark, d).where("split is not null")
     v = prep.hash_ranked(rows.where("split = 'validation'"), 13, ["label"])
     ids = rows.where("split = 'train'").select("row_id", F.lit(1).alias("same_id"))
-    texts = rows.where("split in ('train', 'test')").select("norm", F.lit(1).alias("same_text")).distinct()
+    texts = rows.where("split in ('train', 'test')").select("norm_sha256", F.lit(1).alias("same_text")).distinct()
     train = rows.where("split = 'train'").groupBy("label").agg(F.count("*").alias("train_rows"), F.least(F.count("*"), F.lit(2)).alias("demonstrations"))
-    out = v.join(ids, "row_id", "left").join(texts, "norm", "left").groupBy("label").agg(F.count_if(F.col("rank") <= 3).alias("diagnostic"), F.count_if(F.col("rank") > 3).alias("remaining"), F.count("same_id").alias("shared_ids"), F.count("same_text").alias("shared_texts"))
+    out = v.join(ids, "row_id", "left").join(texts, "norm_sha256", "left").groupBy("label").agg(F.count_if(F.col("rank") <= 3).alias("diagnostic"), F.count_if(F.col("rank") > 3).alias("remaining"), F.count("same_id").alias("shared_ids"), F.count("same_text").alias("shared_texts"))
     return out.join(train, "label", "left")
 
 
@@ -276,16 +289,31 @@ def f14(spark, d):
     return predictions(spark, d).where("probabilities is not null").select("run_id", "row_id", argmax(F.col("probabilities")).alias("best"))
 
 
+def _text(spark, d):
+    rows = examples(spark, d).select("row_id", "text", "label", "source_split")
+    vectors, weights, width = feat.text_vectors(rows)
+    return vectors.where("source_split = 'train'"), vectors.where("source_split = 'test'"), weights, width
+
+
 @query("f08_logistic_regression")
 def f08(spark, d):
-    rows = examples(spark, d)
-    return feat.fit_predict("logistic", rows.where("source_split = 'train'"), rows.where("source_split = 'test'"))
+    train, test, _, width = _text(spark, d)
+    return feat.predict_text(feat.fit_text("logistic", train, 1.0, 4, width), test)
+
+
+@query("f08_optimality", VIEWS + f", {_TERMS}, {_GRAMS} SELECT (SELECT count(*) FROM vocab) + (SELECT count(*) FROM gv) AS features, (SELECT count(*) FROM ex WHERE source_split = 'train') AS n_train, 1.0::DOUBLE AS strength, true AS flat")
+def f08_flat(spark, d):
+    """Whether the weights fitted with C = 1 meet the condition of the optimum, computed from the feature table."""
+    train, _, weights, width = _text(spark, d)
+    model = feat.fit_text("logistic", train, 1.0, 4, width)
+    n, flat = train.count(), F.col("steepest") < 1e-4
+    return feat.optimality(model, train, weights, 1.0).select(F.lit(width).cast("long").alias("features"), F.lit(n).cast("long").alias("n_train"), F.lit(1.0).alias("strength"), flat.alias("flat"))
 
 
 @query("f09_linear_svm")
 def f09(spark, d):
-    rows = examples(spark, d)
-    return feat.fit_predict("svm", rows.where("source_split = 'train'"), rows.where("source_split = 'test'"))
+    train, test, _, width = _text(spark, d)
+    return feat.predict_text(feat.fit_text("svm", train, 1.0, 4, width), test)
 
 
 @query("f11_random_forest")
@@ -300,12 +328,25 @@ def f12(spark, d):
     return feat.fit_predict_native("boosting", rows.where("split = 'train'"), rows.where("split = 'test'"), trees=20, depth=4)
 
 
-CANDIDATES = [("logistic", 0.1), ("logistic", 1.0), ("logistic", 10.0), ("bayes", 0.1), ("bayes", 1.0)]
+CANDIDATES = [(m, c) for m in ("logistic", "bayes") for c in (0.1, 1.0, 10.0)]
+
+
+def _tuned(spark, d, candidates=CANDIDATES, per_class=None):
+    rows = _prepared(spark, d).where("split is not null")
+    return feat.tuned(rows.select("row_id", "text", "label", "split"), candidates, 4, per_class)
+
+
+@query("f09_tuned_svm")
+def f09_tuned(spark, d):
+    return _tuned(spark, d, [("svm", c) for c in (0.1, 1.0, 10.0)])[1]
 
 
-def _tuned(spark, d):
-    rows = _prepared(spark, d)
-    return feat.tuned(*[rows.where(F.col("split") == s) for s in ("train", "validation", "test")], CANDIDATES, 4)
+@query("f13_equal_budget", PREPARED + " SELECT 1::BIGINT AS trials, count(*) AS n_test, count(DISTINCT row_id) AS n_ids FROM prepared WHERE split = 'test'")
+def f13_budget(spark, d):
+    """Four selected rows of every class train one candidate, none is scored on validation rows."""
+    predictions, trials = _tuned(spark, d, [("logistic", c) for c in (0.1, 1.0, 10.0)], 4)
+    n = trials.where("macro_f1 is null and chosen").count()
+    return predictions.agg(F.lit(n).cast("long").alias("trials"), F.count("*").alias("n_test"), F.count_distinct("row_id").alias("n_ids"))
 
 
 @query("f13_tuned_predictions")
