@@ -11,8 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PART = 8192
+#: Entries of rows that a task adds up at least.
+TASK_ENTRIES = 2_000_000
 
 
 @dataclass
@@ -71,7 +74,7 @@ def _slope(rows: DataFrame, method: str, weights: np.ndarray) -> tuple[float, np
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(list(parts), pa.list_(pa.float64()))], ["part", "x"])
 
     sums = rows.select("y", "idx", "w").mapInArrow(run, "part int, x array<double>").groupBy("part").agg(Summarizer.sum(array_to_vector("x")).alias("s"))
-    parts = sums.select("part", vector_to_array("s").alias("s")).orderBy("part").toPandas()
+    parts = sums.select("part", vector_to_array("s").alias("s")).toPandas().sort_values("part")
     sent.destroy()
     flat = np.concatenate(parts["s"].to_list())
     return float(flat[-1]), flat[: k * width].reshape(k, width)
@@ -80,7 +83,10 @@ def _slope(rows: DataFrame, method: str, weights: np.ndarray) -> tuple[float, np
 def fit(rows: DataFrame, method: str, n_classes: int, width: int, strength: float, steps: int = 100, tolerance: float | None = None) -> Linear:
     """The optimum for ``rows(y, idx, w)`` with C = ``strength``. The logistic intercept is free, the machines' is
     penalized like a weight."""
-    n = max(rows.count(), 1)
+    n, entries = rows.agg(F.count("*"), F.sum(F.size("idx"))).first()
+    n = max(n, 1)
+    # a task's slope is as wide as the vocabulary, so each gets enough entries to be worth it
+    rows = rows.coalesce(max(1, -(-(entries or 0) // TASK_ENTRIES)))
     tolerance = tolerance or (1e-5 if method == "logistic" else 1e-4)
     penalty = np.full((n_classes, width + 1), 1 / (strength * n))
     if method == "logistic":

@@ -336,11 +336,6 @@ def _tuned(spark, d, candidates=CANDIDATES, per_class=None):
     return feat.tuned(rows.select("row_id", "text", "label", "split"), candidates, 4, per_class)
 
 
-@query("f09_tuned_svm")
-def f09_tuned(spark, d):
-    return _tuned(spark, d, [("svm", c) for c in (0.1, 1.0, 10.0)])[1]
-
-
 @query("f13_equal_budget", PREPARED + " SELECT 1::BIGINT AS trials, count(*) AS n_test, count(DISTINCT row_id) AS n_ids FROM prepared WHERE split = 'test'")
 def f13_budget(spark, d):
     """Four selected rows of every class train one candidate, none is scored on validation rows."""

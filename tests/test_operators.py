@@ -71,14 +71,19 @@ def test_folded_texts_leak(spark):
     assert (audit["test"].duplicate_text_rows, audit["test"].conflicting_groups, audit["train"].n_classes) == (1, 0, 2)
 
 
-def test_quotas_and_order_independence(spark):
-    rows = frame(spark, [(i, int(i >= 80)) for i in range(100)], "row_id long, label int")
-    q = {r.label: r.quota for r in prep.quotas(rows.groupBy("label").agg(F.count("*").alias("n")), 20).collect()}
-    assert q == {0: 16, 1: 4}
-    a = {r.row_id for r in prep.stratified_subset(rows, 20, 1).collect()}
-    b = {r.row_id for r in prep.stratified_subset(rows.orderBy(F.desc("row_id")).repartition(5), 20, 1).collect()}
-    c = {r.row_id for r in prep.stratified_subset(rows, 20, 2).collect()}
-    assert a == b != c and len(a) == 20
+def test_subsets_follow_the_seed_and_not_the_order(spark):
+    import pytest
+
+    rows = frame(spark, [(7 * i + 3, min(i // 11, 2)) for i in range(61)], "row_id long, label int")
+    q = {r.label: r.quota for r in prep.quotas(rows.groupBy("label").agg(F.count("*").alias("n")), 13).collect()}
+    # shares 2.34, 2.34 and 8.31: one each, then ten by the largest rest
+    assert sum(q.values()) == 13 and min(q.values()) >= 2 and q[2] in (8, 9)
+    a = {r.row_id for r in prep.stratified_subset(rows, 13, 1).collect()}
+    b = {r.row_id for r in prep.stratified_subset(rows.orderBy(F.desc("row_id")).repartition(5), 13, 1).collect()}
+    c = {r.row_id for r in prep.stratified_subset(rows, 13, 2).collect()}
+    assert a == b != c and len(a) == 13
+    with pytest.raises(ValueError):
+        prep.stratified_subset(rows, 2, 1)
 
 
 def test_bootstrap_modes(spark):
@@ -106,7 +111,7 @@ def test_quotas_against_the_greedy_rule(spark):
     rng = random.Random(4)
     for case in range(12):
         n = {c: rng.choice([1, 2, 7, 50, 400]) for c in range(rng.randrange(1, 7))}
-        limit, total = rng.randrange(1, sum(n.values()) + 3), sum(n.values())
+        limit, total = rng.randrange(len(n), sum(n.values()) + 3), sum(n.values())
         order = sorted(((-(limit * k / total - j), c, j) for c, k in n.items() for j in range(1, k)))
         want = {c: 1 for c in n}
         for _, c, _ in order[: max(limit - len(n), 0)]:
