@@ -25,6 +25,20 @@ def number_text(v: Column) -> Column:
     return F.when(plain & short, F.regexp_replace(v.cast("string"), r"\.0$", "")).otherwise(_twelve_digits(v))
 
 
+def lossless(rows: DataFrame, text: str, value: str) -> DataFrame:
+    """(mismatches, n_rows): rows whose number does not come back from its text; "NA" stands for a missing one."""
+    return rows.agg(F.count_if(~F.expr(f"try_cast({text} as double) <=> {value}")).cast("int").alias("mismatches"), F.count("*").alias("n_rows"))
+
+
+def parity(native: DataFrame, written: DataFrame) -> DataFrame:
+    """Per split, rows that are the same in a native table (split, row_id, label, acctbal) and a serialized one (split,
+    row_id, label, text of the number), and rows that differ or are on one side only."""
+    b = written.select("split", "row_id", F.col("label").alias("l2"), F.col("text").alias("t2"), F.lit(True).alias("found"))
+    both = native.withColumn("there", F.lit(True)).join(b, ["split", "row_id"], "full_outer")
+    same = F.coalesce(F.col("found") & F.col("there"), F.lit(False)) & F.col("label").eqNullSafe(F.col("l2")) & F.expr("try_cast(t2 as double) <=> acctbal")
+    return both.groupBy("split").agg(F.count_if(same).alias("same"), F.count_if(~same).cast("int").alias("different"))
+
+
 def serialize(features: list[tuple[str, str]], task: str) -> Column:
     """'task', a line break, then name=value pairs in declared order; NA for missing values."""
     parts = []

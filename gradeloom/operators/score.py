@@ -15,11 +15,13 @@ from .rank import balanced, quantiles, running_total
 
 
 def alignment(test: DataFrame, preds: DataFrame) -> DataFrame:
-    """Per run: missing, extra and duplicate ids against ``test(row_id)``."""
-    per = preds.groupBy("run_id", "row_id").agg(F.count("*").alias("n"))
-    want = preds.select("run_id").distinct().crossJoin(test.select("row_id"))
-    both = want.withColumn("w", F.lit(1)).join(per, ["run_id", "row_id"], "full_outer")
-    return both.groupBy("run_id").agg(F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("w").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("duplicate"))
+    """Per run: missing, extra and duplicate ids against ``test(row_id)``. What a run misses follows from the ids that
+    it has, so no table of runs x test rows is formed."""
+    ids = test.select("row_id").distinct()
+    per = preds.groupBy("run_id", "row_id").agg(F.count("*").alias("n")).join(ids.withColumn("expected", F.lit(True)), "row_id", "left")
+    have = per.groupBy("run_id").agg(F.count("expected").alias("found"), F.count_if(F.col("expected").isNull()).alias("extra"), F.count_if(F.col("n") > 1).alias("duplicate"))
+    total = ids.agg(F.count("*").alias("total"))  # one row
+    return have.crossJoin(F.broadcast(total)).select("run_id", (F.col("total") - F.col("found")).alias("missing"), "extra", "duplicate")
 
 
 def confusion(preds: DataFrame, n_classes: int, by: tuple[str, ...] = ("run_id",)) -> DataFrame:

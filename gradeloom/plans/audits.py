@@ -8,6 +8,7 @@ from ..functions.scalars import keyed
 from ..operators import audit, score
 from ..sources import files
 from .prep import NATIVE, PREPARED, _native, _prepared
+from ..sources.shared import materialized
 from .registry import query
 from .scoring import CONF, per_class_sql
 from .views import N_CLASSES, VIEWS, examples, predictions, runs, table, u
@@ -58,6 +59,19 @@ def io06(spark, d):
     return files.load_prepared(spark, path, columns)[1]
 
 
+@query("io06_damaged", PREPARED + "SELECT split, count(*) + CASE split WHEN 'train' THEN 1 ELSE 0 END AS n_rows, split = 'test' AS intact FROM prepared WHERE split IS NOT NULL GROUP BY 1")
+def io06_damaged(spark, d):
+    """A row added to the saved training split, and another label in one row of the validation split."""
+    path, columns = files.shared_folder(spark, "prepared"), ["row_id", "label", "norm"]
+    rows = materialized(_prepared(spark, d).where("split is not null").select(*columns, "split"), "prepared-rows")
+    files.save_prepared(rows, path, columns)
+    least = rows.where("split = 'validation'").agg(F.min("row_id")).first()[0]
+    rows.where("split = 'train'").orderBy("row_id").limit(1).select(*columns).write.mode("append").parquet(f"{path}/rows/split=train")
+    changed = rows.where("split = 'validation'").withColumn("label", F.when(F.col("row_id") == least, (F.col("label") + 1) % 4).otherwise(F.col("label")))
+    changed.select(*columns).write.mode("overwrite").parquet(f"{path}/rows/split=validation")
+    return files.load_prepared(spark, path, columns)[1]
+
+
 GUARD = [("acctbal", "numeric"), ("nation", "categorical")]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import folded_text
+from ..functions.scalars import folded_text, keyed
 from ..operators import features as feat
 from ..operators import prep
 from ..operators import prompts
@@ -363,17 +363,28 @@ def s01(spark, d):
 
 @query("s03_lossless", NATIVE + "SELECT 0 AS mismatches, count(*) AS n_rows FROM tab")
 def s03(spark, d):
-    rows = _native(spark, d).withColumn("t", prompts.number_text(F.col("acctbal")))
-    return rows.agg(F.count_if(~F.expr("try_cast(t as double) <=> acctbal")).cast("int").alias("mismatches"), F.count("*").alias("n_rows"))
+    return prompts.lossless(_native(spark, d).withColumn("t", prompts.number_text(F.col("acctbal"))), "t", "acctbal")
+
+
+@query("s03_damaged", NATIVE + f"SELECT count(*) FILTER ({u("'cut'", 'row_id')} % 19 = 0 AND acctbal IS NOT NULL)::INTEGER AS mismatches, count(*) AS n_rows FROM tab")
+def s03_damaged(spark, d):
+    """Some texts are lost on the way: those of rows that had a number no longer give it."""
+    text = F.when(keyed("cut", F.col("row_id")) % 19 == 0, "NA").otherwise(prompts.number_text(F.col("acctbal")))
+    return prompts.lossless(_native(spark, d).withColumn("t", text), "t", "acctbal")
 
 
 @query("s04_parity", NATIVE + "SELECT split, count(*) AS same, 0 AS different FROM tab GROUP BY split")
 def s04(spark, d):
     a = _native(spark, d)
-    b = a.select("split", "row_id", F.col("label").alias("l2"), prompts.number_text(F.col("acctbal")).alias("t2"))
-    both = a.join(b, ["split", "row_id"], "full_outer")
-    same = F.col("label").eqNullSafe(F.col("l2")) & F.expr("try_cast(t2 as double) <=> acctbal")
-    return both.groupBy("split").agg(F.count_if(same).alias("same"), F.count_if(~same).cast("int").alias("different"))
+    return prompts.parity(a, a.select("split", "row_id", "label", prompts.number_text(F.col("acctbal")).alias("text")))
+
+
+@query("s04_damaged", NATIVE + f", h AS (SELECT split, {u("'par'", 'row_id')} AS h FROM tab) SELECT split, count(*) FILTER (h % 17 <> 0 AND h % 23 <> 0) AS same, count(*) FILTER (h % 17 = 0 OR h % 23 = 0)::INTEGER AS different FROM h GROUP BY split")
+def s04_damaged(spark, d):
+    """A written table with other labels in some rows and some rows missing."""
+    a, h = _native(spark, d), keyed("par", F.col("row_id"))
+    label = F.when(h % 17 == 0, F.col("label") + 1).otherwise(F.col("label"))
+    return prompts.parity(a, a.where(h % 23 != 0).select("split", "row_id", label.alias("label"), prompts.number_text(F.col("acctbal")).alias("text")))
 
 
 INSTRUCTION = "Classify the text by its language."
