@@ -31,7 +31,9 @@ def normalized_text(text: Column) -> Column:
 
 def folded_text(text: Column) -> Column:
     """NFKC + casefold + collapsed blanks; texts that need it go through an Arrow function."""
-    return F.when(text.rlike(NEEDS_FOLDING), _folded(text)).otherwise(normalized_text(text))
+    needed = text.rlike(NEEDS_FOLDING)
+    # a Python function runs on every row, whatever stands around it: other rows hand it null
+    return F.when(needed, _folded(F.when(needed, text))).otherwise(normalized_text(text))
 
 
 def coded(label: Column, n_classes: int, error: Column | None = None) -> Column:

@@ -133,26 +133,50 @@ def best_splits(histograms: DataFrame, ridge: float, least_rows: int, least_gain
     return per.groupBy("k", "node").agg(F.max("g").alias("g"), F.max("h").alias("h"), F.max(F.when(fits, told)).alias("s"))
 
 
-def fit(train: DataFrame, n_classes: int, rounds: int = 100, depth: int = 4, rate: float = 0.1, ridge: float = 1.0, least_rows: int = 1, least_gain: float = 1e-6, bins: int = 256) -> Boosted:
-    """A model of ``train(features array<double>, y int)``."""
+ROW = "bins array<short>, y int, raw array<double>"
+
+
+def _most_bins(model: Boosted) -> int:
+    return 1 + max([0, *map(len, model.cuts)])
+
+
+def _start(model: Boosted, train: DataFrame) -> DataFrame:
+    """The training rows in bins, each with the classes' shares as its scores."""
+    prior, width = model.prior.tolist(), len(model.cuts)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            found = model.bins(_matrix(pdf["features"], width))
+            yield pd.DataFrame({"bins": list(found), "y": pdf["y"], "raw": [prior] * len(pdf)})
+
+    return materialized(train.select("features", "y").mapInPandas(run, ROW), "boosting-rows")
+
+
+def begin(train: DataFrame, n_classes: int, bins: int = 256) -> Boosted:
+    """Medians, cuts and the classes' shares of ``train``; no tree yet."""
     counts = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(counts) != set(range(n_classes)):
         raise ValueError("training rows must cover every class")
     width = train.select(F.max(F.size("features"))).first()[0]
     share = np.array([counts[k] for k in range(n_classes)], float)
-    model = Boosted(*prepared(train, width, bins), np.log(share / share.sum()))
-    n_bins = 1 + max([0, *map(len, model.cuts)])
-    prior = model.prior.tolist()
+    return Boosted(*prepared(train, width, bins), np.log(share / share.sum()))
 
-    def start(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            found = model.bins(_matrix(pdf["features"], width))
-            yield pd.DataFrame({"bins": list(found), "y": pdf["y"], "raw": [prior] * len(pdf)})
+def first_splits(train: DataFrame, n_classes: int, ridge: float = 1.0, least_rows: int = 1, least_gain: float = 1e-6, bins: int = 256) -> DataFrame:
+    """(k, f, b, gain): the split at the root of each class's first tree, null where none gains."""
+    model = begin(train, n_classes, bins)
+    tree = (np.full((n_classes, 1), -1), np.zeros((n_classes, 1), int))
+    sums = _histograms(_start(model, train), [], tree, 0, 1, n_classes, len(model.cuts), _most_bins(model))
+    return best_splits(sums, ridge, least_rows, least_gain).select("k", (-F.col("s.f")).alias("f"), (-F.col("s.b")).alias("b"), "s.gain")
+
 
-    schema = "bins array<short>, y int, raw array<double>"
-    rows = materialized(train.select("features", "y").mapInPandas(start, schema), "boosting-rows")
+def fit(train: DataFrame, n_classes: int, rounds: int = 100, depth: int = 3, rate: float = 0.05, ridge: float = 1.0, least_rows: int = 1, least_gain: float = 1e-6, bins: int = 256) -> Boosted:
+    """A model of ``train(features array<double>, y int)``; ``rounds`` times ``depth`` jobs."""
+    model = begin(train, n_classes, bins)
+    width = len(model.cuts)
+    rows, n_bins = _start(model, train), _most_bins(model)
     written = 0
     for at in range(rounds):
         if at - written == KEPT:
@@ -163,7 +187,7 @@ def fit(train: DataFrame, n_classes: int, rounds: int = 100, depth: int = 4, rat
                     pdf["raw"] = list(add_trees(_matrix(pdf["raw"], n_classes), _matrix(pdf["bins"], width).astype(np.int64), since, depth))
                     yield pdf
 
-            rows, written = materialized(rows.mapInPandas(add, schema), "boosting-rows"), at
+            rows, written = materialized(rows.mapInPandas(add, ROW), "boosting-rows"), at
         model.rounds.append(grow(rows, model.rounds[written:], n_classes, width, n_bins, depth, rate, ridge, least_rows, least_gain))
     return model
 

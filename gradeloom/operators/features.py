@@ -34,11 +34,26 @@ def standardize(rows: DataFrame, train: DataFrame, column: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).withColumn("z", (F.coalesce(column, "median") - F.col("mean")) / scale).drop("median", "mean", "scale")
 
 
+#: The level of rows without one.
+MISSING_LEVEL = "__missing__"
+
+
 def one_hot(rows: DataFrame, train: DataFrame, column: str) -> DataFrame:
-    """``rows`` with the slot of their level, null (all zeros) for levels that training lacks."""
-    levels = train.select(column).distinct()
-    levels = levels.withColumn("slot", F.row_number().over(Window.orderBy(column)) - 1)
-    return rows.join(levels, column, "left")
+    """``rows`` with the slot of their level, null (all zeros) for levels that training lacks. A missing value is a
+    level of its own, ``MISSING_LEVEL``, which no value may spell."""
+    if rows.union(train.select(*rows.columns)).where(F.col(column) == MISSING_LEVEL).head(1):
+        raise ValueError(f"{MISSING_LEVEL} stands for missing values")
+    level = F.coalesce(column, F.lit(MISSING_LEVEL))
+    levels = train.select(level.alias("__level")).distinct()
+    levels = levels.withColumn("slot", F.row_number().over(Window.orderBy("__level")) - 1)
+    return rows.join(levels, level == F.col("__level"), "left").drop("__level")
+
+
+def numeric_matrix(rows: DataFrame, train: DataFrame, numeric: list[str], categorical: str) -> DataFrame:
+    """``rows`` with the array ``features``: the numeric columns, missing values as null, and the slots of ``one_hot``."""
+    slots = train.agg(F.count_distinct(F.coalesce(categorical, F.lit(MISSING_LEVEL)))).first()[0]
+    hot = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda k: F.coalesce((k == F.col("slot")).cast("double"), F.lit(0.0))) if slots else F.array().cast("array<double>")
+    return one_hot(rows, train, categorical).withColumn("features", F.concat(F.array(*[F.col(c).cast("double") for c in numeric]).cast("array<double>"), hot)).drop("slot")
 
 
 def provenance(train: DataFrame, numeric: str, categorical: str) -> DataFrame:
@@ -46,10 +61,15 @@ def provenance(train: DataFrame, numeric: str, categorical: str) -> DataFrame:
     return _moments(train, numeric).crossJoin(levels).select(F.lit(numeric).alias("feature"), "median", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"), "levels")
 
 
-def majority(train: DataFrame, test: DataFrame) -> DataFrame:
+def majority(train: DataFrame, test: DataFrame, n_classes: int | None = None) -> DataFrame:
+    """``test`` with the most frequent class of ``train`` (the lowest on ties) as label; with ``n_classes`` also with
+    probabilities, 1 for that class and 0 for the others."""
     counts = train.groupBy("label").agg(F.count("*").alias("n"))
     best = counts.agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-    return test.drop("label").crossJoin(F.broadcast(best))
+    out = test.drop("label").crossJoin(F.broadcast(best))
+    if n_classes is None:
+        return out
+    return out.withColumn("probabilities", F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: (k == F.col("label")).cast("double")))
 
 
 def word_terms(rows: DataFrame) -> DataFrame:
@@ -224,18 +244,14 @@ def tuned(rows: DataFrame, candidates: list[tuple[str, float]], n_classes: int,
     return predictions.withColumn("latency_s", F.lit(latency)), told
 
 
-def fit_predict_native(method: str, train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30) -> DataFrame:
-    """(row_id, y, label) of a forest, or of boosted trees one class against the rest, on the imputed numeric
-    and one-hot categorical features."""
+def fit_predict_native(train: DataFrame, test: DataFrame, trees: int = 200, depth: int = 30) -> DataFrame:
+    """(row_id, y, label) of a forest on the imputed numeric and one-hot categorical features."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
-    models = {
-        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42),
-        "boosting": lambda: OneVsRest(classifier=GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42)),
-    }
     a, b = standardize(train, train, "acctbal"), standardize(test, train, "acctbal")
-    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), models[method]()]
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=42)
+    stages = [StringIndexer(inputCol="nation", outputCol="level", handleInvalid="keep"), OneHotEncoder(inputCol="level", outputCol="hot"), VectorAssembler(inputCols=["z", "hot"], outputCol="features"), forest]
     out = Pipeline(stages=stages).fit(a).transform(b)
     return out.select("row_id", F.col("label").alias("y"), F.col("prediction").cast("int").alias("label"))

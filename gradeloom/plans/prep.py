@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import folded_text, keyed
+from ..operators import boosting
 from ..operators import features as feat
 from ..operators import prep
 from ..operators import prompts
@@ -210,6 +211,13 @@ def f05(spark, d):
     return feat.one_hot(rows, rows.where("split = 'train'"), "nation").select("row_id", "slot")
 
 
+@query("f05_missing_level", NATIVE + f", gone AS (SELECT row_id, split, CASE WHEN {u("'gone'", "row_id")} % 10 <> 0 THEN nation END AS nation FROM tab), fl AS (SELECT row_id, split, coalesce(nation, '__missing__') AS nation FROM gone), lv AS (SELECT nation, row_number() OVER (ORDER BY nation) - 1 AS slot FROM (SELECT DISTINCT nation FROM fl WHERE split = 'train')) SELECT row_id, lv.slot FROM fl LEFT JOIN lv USING (nation)")
+def f05_missing(spark, d):
+    """Some rows have no level: they share the slot of the missing one."""
+    rows = _native(spark, d).withColumn("nation", F.when(keyed("gone", F.col("row_id")) % 10 != 0, F.col("nation")))
+    return feat.one_hot(rows, rows.where("split = 'train'"), "nation").select("row_id", "slot")
+
+
 @query("f06_provenance", NATIVE + ", md AS (SELECT median(acctbal) AS m FROM tab WHERE split = 'train') SELECT 'acctbal' AS feature, any_value(m) AS median, round(avg(coalesce(acctbal, m)), 6) AS mean, round(stddev_pop(coalesce(acctbal, m)), 6) AS scale, count(DISTINCT nation) AS levels FROM tab, md WHERE split = 'train'")
 def f06(spark, d):
     return feat.provenance(_native(spark, d).where("split = 'train'"), "acctbal", "nation")
@@ -220,6 +228,11 @@ def f07(spark, d):
     return feat.majority(_split(spark, d, "train"), _split(spark, d, "test")).select("row_id", "label")
 
 
+@query("f07_probabilities", VIEWS + "SELECT row_id, c, CASE WHEN c = (SELECT label FROM ex WHERE source_split = 'train' GROUP BY label ORDER BY count(*) DESC, label LIMIT 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS p FROM ex, cls WHERE source_split = 'test'")
+def f07_probabilities(spark, d):
+    return feat.majority(_split(spark, d, "train"), _split(spark, d, "test"), 4).select("row_id", F.posexplode("probabilities").alias("c", "p"))
+
+
 _TERMS = r"""tok AS (SELECT row_id, source_split, label, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS w FROM ex),
 tm AS (SELECT row_id, source_split, label, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok),
 tf AS (SELECT row_id, source_split, label, term, count(*) AS tf FROM tm GROUP BY ALL),
@@ -319,13 +332,29 @@ def f09(spark, d):
 @query("f11_random_forest")
 def f11(spark, d):
     rows = _native(spark, d)
-    return feat.fit_predict_native("forest", rows.where("split = 'train'"), rows.where("split = 'test'"))
+    return feat.fit_predict_native(rows.where("split = 'train'"), rows.where("split = 'test'"))
+
+
+def _numeric(spark, d, numeric=("acctbal",)):
+    rows = _native(spark, d)
+    return feat.numeric_matrix(rows, rows.where("split = 'train'"), list(numeric), "nation").withColumnRenamed("label", "y")
 
 
 @query("f12_boosted_trees")
 def f12(spark, d):
-    rows = _native(spark, d)
-    return feat.fit_predict_native("boosting", rows.where("split = 'train'"), rows.where("split = 'test'"), trees=20, depth=4)
+    return boosting.boosted(_numeric(spark, d), 5, rounds=20)
+
+
+@query("f12_first_splits", NATIVE + """, tr AS (SELECT label, nation FROM tab WHERE split = 'train'), lv AS (SELECT nation, row_number() OVER (ORDER BY nation) - 1 AS f, count(*) AS m FROM tr GROUP BY nation),
+kc AS (SELECT label AS k, count(*) AS nk, (SELECT count(*) FROM tr) AS n, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM tr) AS p FROM tr GROUP BY label),
+sm AS (SELECT k, f, n, m, (SELECT count(*) FROM tr WHERE tr.label = k AND tr.nation = lv.nation) AS hit, nk, round(p * 16777216) AS up, round((p - 1) * 16777216) AS un, round(p * (1 - p) * 16777216) AS uh FROM kc, lv),
+gh AS (SELECT k, f, ((m - hit) * up + hit * un) / 16777216 AS gr, m * uh / 16777216 AS hr, ((n - nk) * up + nk * un) / 16777216 AS g, n * uh / 16777216 AS h FROM sm WHERE m < n),
+gn AS (SELECT k, f, (g - gr) * (g - gr) / (h - hr + 1) + gr * gr / (hr + 1) - g * g / (h + 1) AS gain FROM gh)
+SELECT k, f::INTEGER AS f, 0 AS b, round(gain, 4) AS gain FROM gn QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, f) = 1""")
+def f12_splits(spark, d):
+    """The first split of every class's first tree, on the levels of the categorical feature."""
+    rows = _numeric(spark, d, ())
+    return boosting.first_splits(rows.where("split = 'train'"), 5).withColumn("gain", F.round("gain", 4))
 
 
 CANDIDATES = [(m, c) for m in ("logistic", "bayes") for c in (0.1, 1.0, 10.0)]

@@ -64,7 +64,7 @@ def result(rows, **options):
 
 def test_trees_are_those_of_plain_loops(spark):
     # 12 rounds: scores are written once on the way
-    labels, p = result(table(spark).repartition(3), rounds=12, depth=2)
+    labels, p = result(table(spark).repartition(3), rounds=12, depth=2, rate=0.1)
     want = plain(12, 2)[TRAIN:]
     assert np.abs(p - want).max() < 1e-6
     assert labels == want.argmax(axis=1).tolist()

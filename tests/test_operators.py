@@ -220,7 +220,7 @@ def test_forest_has_the_surveys_size(spark, monkeypatch):
     made, fit = [], RandomForestClassifier._fit
     monkeypatch.setattr(RandomForestClassifier, "_fit", lambda self, rows: made.append(self) or fit(self, rows))
     rows = spark.createDataFrame([(k, float(k), "ab"[k % 2], k % 2) for k in range(40)], "row_id long, acctbal double, nation string, label int")
-    assert features.fit_predict_native("forest", rows, rows).count() == 40
+    assert features.fit_predict_native(rows, rows).count() == 40
     assert (made[0].getNumTrees(), made[0].getMaxDepth()) == (200, 30)
 
 
