@@ -3,9 +3,11 @@
 Grams of 2 and 3 characters of the lower-cased text hash into ``BUCKETS``. Training counts them per
 language over a bounded sample of labelled rows: each language's rows are thinned by a hash of doc_id
 to about ``TRAIN_ROWS`` (a documented parameter; it binds the fit alone). The model, one row of log
-probabilities per language, is broadcast: languages x BUCKETS doubles, ``MAX_LANGS`` languages (the most
-frequent) at most. Scoring gathers the grams of a batch from it and sums them per text, whole texts always,
-on top of the log of each language's share of the labelled rows.
+probabilities per language, is broadcast. It has all languages: where languages x BUCKETS pass ``CELLS``,
+grams share half as many buckets, and so on down to ``LEAST_BUCKETS``, so the broadcast stays at 64 MB up
+to 32,768 languages (more are an error). Scoring gathers the grams of a batch from it and sums them per
+text, on top of the log of each language's share of the labelled rows; whole texts always, long ones piece
+by piece, so that a batch has about a million characters however long a text is.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the
 language that sorts first; without training rows everything is ``und``; repeated rows are scored
@@ -18,11 +20,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text_batches import chunks, code_points, slices
+from .text_batches import BATCH_CHARS, chunks, code_points, slices
 
 BUCKETS = 1 << 15
 TRAIN_ROWS = 1500
-MAX_LANGS = 256
+CELLS = 1 << 23
+LEAST_BUCKETS = 256
 SMOOTHING = 0.1
 MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -45,6 +48,23 @@ def _padded(texts: list[str]) -> list[str]:
     return [f" {t.lower()} " for t in texts]
 
 
+def _pieces(texts: list[str], limit: int) -> tuple[list[int], list[str], list[int]]:
+    """Texts in pieces of about ``limit`` characters: (text of each piece, the piece with the two characters behind
+    it, how many of its characters start grams of their own). Every piece has three characters at least."""
+    owner, piece, own = [], [], []
+    for k, t in enumerate(texts):
+        first = 0
+        while len(t) - first > limit + 2:
+            owner.append(k)
+            piece.append(t[first : first + limit + 2])
+            own.append(limit)
+            first += limit
+        owner.append(k)
+        piece.append(t[first:])
+        own.append(len(t) - first)
+    return owner, piece, own
+
+
 def _count(batches, buckets: int):
     """Gram counts per language of a partition, as sparse rows."""
     import pandas as pd
@@ -53,12 +73,11 @@ def _count(batches, buckets: int):
     for pdf in batches:
         for lang, rows in pdf.groupby("lang")["text"]:
             total = held.setdefault(lang, np.zeros(buckets, np.int64))
-            texts = _padded(list(rows))
-            for a, b in chunks(texts):
-                for t in texts[a:b]:
-                    points, _ = code_points([t])
-                    for order in (2, 3):
-                        total += np.bincount(_grams(points, order, buckets), minlength=buckets)
+            _, texts, own = _pieces(_padded(list(rows)), BATCH_CHARS)
+            for t, n in zip(texts, own, strict=True):
+                points, _ = code_points([t])
+                for order in (2, 3):
+                    total += np.bincount(_grams(points, order, buckets)[:n], minlength=buckets)
     for lang, total in held.items():
         at = np.flatnonzero(total)
         yield pd.DataFrame({"lang": lang, "bucket": at, "n": total[at]})
@@ -67,17 +86,22 @@ def _count(batches, buckets: int):
 def training_sample(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, int]]:
     """(lang, text) of about ``train_rows`` rows a language, and the labelled rows of each language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    # a row a language
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return rows.select("lang", "text").limit(0), per
-    rate = F.create_map(*[F.lit(x) for k, n in per.items() for x in (k, min(1.0, train_rows / n))])
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, train_rows / n)) for k, n in per.items()], "lang string, __rate double")
     lot = F.pmod(F.xxhash64(F.lit("lang"), F.col("doc_id")), F.lit(1_000_000)) / 1e6
-    return rows.where(lot < F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0))).select("lang", "text"), per
+    return rows.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").where(lot < F.col("__rate")).select("lang", "text"), per
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages in order, their log probabilities (languages x buckets) and their log priors."""
     sample, per = training_sample(docs, train_rows)
+    if len(per) * min(LEAST_BUCKETS, buckets) > CELLS:
+        raise ValueError("too many languages for one model")
+    while len(per) * buckets > CELLS:
+        buckets //= 2
     counts = sample.mapInPandas(lambda it: _count(it, buckets), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((len(langs), buckets), SMOOTHING)
@@ -87,24 +111,26 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -
     return langs, np.log(table / table.sum(axis=1, keepdims=True)) if len(langs) else table, np.log(prior / prior.sum()) if len(langs) else prior
 
 
-def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+def score_texts(texts: list[str | None], langs: list[str], table: np.ndarray, prior: np.ndarray, limit: int = BATCH_CHARS) -> tuple[list[str], np.ndarray]:
     """Predicted language and its posterior for each text."""
     pred, score = ["und"] * len(texts), np.zeros(len(texts))
     live = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if langs else []
-    padded = _padded([texts[k] for k in live])
-    for a, b in chunks(padded):
-        points, at = code_points(padded[a:b])
-        total = np.repeat(prior[:, None], b - a, axis=1)
+    owner, pieces, own = _pieces(_padded([texts[k] for k in live]), limit)
+    total = np.repeat(prior[:, None], len(live), axis=1)
+    for a, b in chunks(pieces, limit):
+        points, at = code_points(pieces[a:b])
         for order in (2, 3):
             grams = _grams(points, order, table.shape[1])
-            # every padded text has 3 characters at least; grams across two texts are left out
-            cut = np.stack([at[:-1], np.minimum(at[1:] - order + 1, len(grams))], axis=1).ravel()
+            # grams across two pieces are left out, and those of characters that the next piece has again
+            ends = np.minimum(at[:-1] + own[a:b], at[1:] - order + 1)
+            cut = np.stack([at[:-1], ends], axis=1).ravel()
             last = len(cut) - 1 if cut[-1] == len(grams) else len(cut)
             for k in range(len(langs)):
-                total[k] += np.add.reduceat(table[k][grams], cut[:last])[::2]
+                np.add.at(total[k], owner[a:b], np.add.reduceat(table[k][grams], cut[:last])[::2])
+    if live:
         odds = np.exp(total - total.max(axis=0))
         best = total.argmax(axis=0)
-        for j, k in enumerate(live[a:b]):
+        for j, k in enumerate(live):
             pred[k], score[k] = langs[best[j]], 1.0 / odds[:, j].sum()
     return pred, score
 

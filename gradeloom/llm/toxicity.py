@@ -8,12 +8,14 @@ from a term. Around each hit a context window looks for quotation marks and word
 so that quoting a term counts apart from using it. A logistic regression over the counts per document,
 fitted on the same sample with the classes' sampling rates undone, gives the score.
 
-The sample's bounds (``TRAIN_ROWS`` a class) and the lexicon's (``TERMS``, and at most 4 times that with
-the words that have a listed beginning) are documented parameters of
-the fit; scoring covers every whole text, and what is broadcast has the lexicon's size.
+The sample's bounds (``TRAIN_ROWS`` a class) are documented parameters of the fit. The lexicon has every term
+that the sample bears out, words of two characters or more: a term needs ``MIN_ROWS`` toxic documents of the
+sample and ``MIN_SHARE`` of them, so it cannot outgrow the sample. Scoring covers every whole text, and what
+is broadcast has the lexicon's size.
 
 Defined results: null and empty texts score as a document without any hit; without labelled rows of
-both classes nothing is toxic (score 0); repeated rows are scored alike; an empty table gives an empty
+both classes nothing is toxic (score 0); a doc_id that is labelled both toxic and not takes no part in the
+fit, equal labels of one doc_id count once; repeated rows are scored alike; an empty table gives an empty
 result; further columns are kept by ``drop_toxic`` and ignored by the report.
 """
 
@@ -30,10 +32,10 @@ from .language_id import held_out
 from .text_batches import chunks, code_points, slices, texts_of
 
 TRAIN_ROWS = 6000
-TERMS = 200
 MIN_SHARE = 0.005
 MIN_ROWS = 4
 MIN_PRECISION = 0.9
+LEAST_CHARS = 2
 STEM = 4
 THRESHOLD = 0.3
 WINDOW = 24
@@ -55,7 +57,7 @@ def _candidates(batches):
     held: tuple[Counter, Counter] = (Counter(), Counter())
     for pdf in batches:
         for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-            words = {w for w in TOKEN.findall((text or "").lower()) if len(w) >= STEM}
+            words = {w for w in TOKEN.findall((text or "").lower()) if len(w) >= LEAST_CHARS}
             held[int(toxic)].update({"=" + w for w in words} | {"^" + w[:k] for w in words for k in (STEM, STEM + 1, STEM + 2) if len(w) > k})
     terms = list(held[0].keys() | held[1].keys())
     yield pd.DataFrame({"term": terms, "pos": [held[1][t] for t in terms], "neg": [held[0][t] for t in terms]})
@@ -65,7 +67,7 @@ def learn_lexicon(sample: DataFrame, n_pos: int) -> list[str]:
     """Terms ('=word' or '^beginning') with enough toxic documents and hardly any other."""
     least = max(MIN_ROWS, int(MIN_SHARE * n_pos))
     rows = sample.mapInPandas(_candidates, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    rows = rows.where((F.col("pos") >= least) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg")))).orderBy(F.desc("pos"), "term").limit(TERMS * 4).collect()
+    rows = rows.where((F.col("pos") >= least) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg")))).collect()
     kept: list[str] = []
     words = {r["term"][1:]: r["pos"] for r in rows if r["term"][0] == "="}
     for r in sorted(rows, key=lambda r: (r["term"][0] == "^", len(r["term"]), r["term"])):
@@ -75,11 +77,8 @@ def learn_lexicon(sample: DataFrame, n_pos: int) -> list[str]:
             if any(term.startswith(k[1:]) for k in kept if k[0] == "^") or r["pos"] <= 1.2 * max([0, *(n for w, n in words.items() if w.startswith(term))]):
                 continue
         kept.append(r["term"])
-    starts = [k[1:] for k in kept if k[0] == "^"]
     # words that have a kept beginning stay beside it: only whole words are matched with an edit
-    covered = {k for k in kept if k[0] == "=" and any(k[1:].startswith(s) for s in starts)}
-    order = {r["term"]: r["pos"] for r in rows}
-    return sorted(covered.union(sorted((k for k in kept if k not in covered), key=lambda k: (-order[k], k))[:TERMS]))
+    return sorted(kept)
 
 
 # ---- trie x automaton ----------------------------------------------------------------------------
@@ -239,7 +238,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def training_sample(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[int, float]]:
     """(text, toxic) of about ``train_rows`` labelled rows a class, and each class's sampling rate."""
-    marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").cast("int").alias("most"))
+    marked = marked.where("toxic = most").drop("most")
     per = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rates = {k: min(1.0, train_rows / n) for k, n in per.items()}
     lot = F.pmod(F.xxhash64(F.lit("toxic"), F.col("doc_id")), F.lit(1_000_000)) / 1e6

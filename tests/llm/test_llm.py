@@ -203,6 +203,25 @@ def test_language_id_against_plain_naive_bayes(spark, sample):
         assert abs(got[i].score - 1 / sum(math.exp(v - s[best]) for v in s.values())) < 1e-6
 
 
+def test_language_id_of_long_texts_piece_by_piece():
+    rng = np.random.default_rng(5)
+    table, prior = np.log(rng.random((3, 1024))), np.log(np.array([0.5, 0.3, 0.2]))
+    texts = ["".join(rng.choice(list("abc dé愚"), n)) + "a" for n in (0, 1, 2, 3, 9, 10, 11, 12, 13, 14, 57, 400)]
+    whole = language_id.score_texts(texts, ["x", "y", "z"], table, prior)
+    for limit in (3, 10, 11):
+        cut = language_id.score_texts(texts, ["x", "y", "z"], table, prior, limit)
+        assert cut[0] == whole[0] and np.allclose(cut[1], whole[1], rtol=1e-9)
+
+
+def test_language_id_of_many_languages(spark):
+    words = [chr(0x4E00 + 3 * k) + chr(0x4E00 + 7 * k + 1) + chr(0x4E00 + 11 * k + 2) for k in range(300)]
+    rows = [(4 * n + k * 1000, " ".join([words[k]] * 5), f"l{k:03d}") for k in range(300) for n in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table, _ = language_id.fit(docs)
+    assert len(langs) == 300 and table.size <= language_id.CELLS
+    assert language_id.identify(docs).join(docs, "doc_id").where("lang = lang_pred").count() == len(rows)
+
+
 def test_toxicity(spark, docs, empty):
     good, bad = "all of this is a plain and quiet text about weather", "you are such an idiot and a moron"
     texts = [(k, f"{bad if k % 4 == 0 else good} number{k}") for k in range(200)]
@@ -213,6 +232,17 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
     assert toxicity.score(empty, labels).count() == 0
     assert toxicity.drop_toxic(train, labels).count() == 150
+    # labels that contradict each other take no part, in whatever order they come
+    both = labels.union(labels.where("toxic = 1").withColumn("toxic", F.lit(0)))
+    assert toxicity.score(train, both).agg(F.max("score")).first()[0] == 0
+    twice = {r.doc_id: r.score for r in toxicity.score(train, labels.union(labels)).collect()}
+    assert twice == {r.doc_id: r.score for r in rows}
+
+
+def test_lexicon_follows_the_sample(spark):
+    terms = [f"w{k:03d}x{k * 7 % 31}" for k in range(320)] + ["zz"]
+    rows = [(f"{t} calm", 1) for t in terms for _ in range(6)] + [("calm weather", 0)] * 40
+    assert {"=" + t for t in terms} <= set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"), 320))
 
 
 def test_automaton():
