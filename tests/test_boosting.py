@@ -88,3 +88,15 @@ def test_budgets_classes_and_missing_columns(spark):
     # without any value every row gets the classes' shares
     assert len(set(labels)) == 1 and np.abs(p - np.bincount(Y[:TRAIN], minlength=K) / TRAIN).max() < 1e-6
     assert boosting.predict(boosting.fit(rows.where("split = 'train'"), K, rounds=1, depth=1), rows.limit(0)).count() == 0
+
+
+def test_missing_categories_have_a_slot_and_no_value_may_spell_it(spark):
+    from gradeloom.operators import features
+
+    rows = spark.createDataFrame([(1, 2.0, "a"), (2, None, None), (3, 1.0, "b"), (4, 0.0, "new")], "row_id long, acctbal double, nation string")
+    train = rows.where("row_id < 4")
+    got = {r.row_id: list(r.features) for r in features.numeric_matrix(rows, train, ["acctbal"], "nation").collect()}
+    # slots in order: the marker, a, b; a level that training lacks is all zeros
+    assert got == {1: [2.0, 0, 1, 0], 2: [None, 1, 0, 0], 3: [1.0, 0, 0, 1], 4: [0.0, 0, 0, 0]}
+    with pytest.raises(ValueError):
+        features.one_hot(rows.withColumn("nation", F.lit(features.MISSING_LEVEL)), train, "nation")
