@@ -124,6 +124,19 @@ def authorization(balances: DataFrame, stage: Column, cap_nano: int) -> DataFram
     return per.withColumn("cumulative_nano", upto).withColumn("remaining_nano", F.lit(cap_nano) - F.col("cumulative_nano"))
 
 
+def authorization_of(ledgers: dict[str, DataFrame], cap_nano: int) -> DataFrame:
+    """``authorization`` over several ledger tables, a stage each, in order of their names. A ledger that two of the
+    tables hold would be counted twice: that is an error."""
+    parts = [balances(ledger).withColumn("stage", F.lit(name)) for name, ledger in sorted(ledgers.items())]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    twice = rows.groupBy("ledger_id").agg(F.count("*").alias("n")).where("n > 1").orderBy("ledger_id").head(1)
+    if twice:
+        raise ValueError(f"ledger {twice[0]['ledger_id']} is in more than one table")
+    return authorization(rows, F.col("stage"), cap_nano)
+
+
 def balances(ledger: DataFrame) -> DataFrame:
     """Per ledger: reserved, charged (retained reservations in full) and counts."""
     r = reservations(ledger)

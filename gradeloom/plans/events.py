@@ -220,6 +220,14 @@ def l12(spark, d):
     return events.authorization(events.balances(ledger(spark, d)), F.col("ledger_id") % 3, 10**15)
 
 
+@query("l12_several_ledgers", RES + """, s AS (SELECT CASE WHEN ledger_id < 3 THEN 'a' WHEN ledger_id < 4 THEN 'b' ELSE 'c' END AS stage, CAST(sum(coalesce(charged, reserved)) AS BIGINT) AS counted_nano, count(DISTINCT ledger_id) AS ledgers FROM r GROUP BY 1)
+SELECT stage, counted_nano, ledgers, CAST(sum(counted_nano) OVER (ORDER BY stage) AS BIGINT) AS cumulative_nano, CAST(1000000000000000 - sum(counted_nano) OVER (ORDER BY stage) AS BIGINT) AS remaining_nano FROM s""")
+def l12_several(spark, d):
+    """Three ledger tables under one authorization."""
+    rows = ledger(spark, d)
+    return events.authorization_of({"c": rows.where("ledger_id > 3"), "a": rows.where("ledger_id < 3"), "b": rows.where("ledger_id = 3")}, 10**15)
+
+
 @query("l13_duplicate_requests", "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 20")
 def l13(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).where("n > 20")

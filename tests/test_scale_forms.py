@@ -158,3 +158,16 @@ def test_repeats_by_side_and_dataset(spark):
     d = got["d"]
     assert (d.status, d.agree, d.disagree, d.both_failed, d.reference_failed, d.repeat_failed, d.model_mismatch) == ("complete", 1, 0, 1, 1, 1, 1)
     assert (got["e"].status, got["e"].pairs, got["e"].disagree) == ("pending", 1, None) and (got["f"].status, got["f"].pairs) == ("pending", 0)
+
+
+def test_a_ledger_counts_in_one_table_only(spark):
+    from gradeloom.operators import events
+
+    row = lambda ledger, key, kind, reserved, charged: (ledger, key, kind, reserved, charged, None)
+    schema = "ledger_id long, reservation_id long, type string, reserved_nano long, charged_nano long, outcome string"
+    a = spark.createDataFrame([row(1, 1, "reserve", 10, None), row(1, 1, "settle", None, 7), row(2, 2, "reserve", 5, None)], schema)
+    b = spark.createDataFrame([row(3, 3, "reserve", 4, None)], schema)
+    got = [tuple(r) for r in events.authorization_of({"b": b, "a": a}, 20).orderBy("stage").collect()]
+    assert got == [("a", 12, 2, 12, 8), ("b", 4, 1, 16, 4)]
+    with pytest.raises(ValueError):
+        events.authorization_of({"a": a, "b": a}, 20)
