@@ -451,6 +451,85 @@ copies of the Software."""
     assert got == {1: ("mit", "mit", 1, 1), 2: ("gpl", "gpl", 1, 0), 3: ("gpl", "gpl", 1, 0), 4: ("apache-2.0", "apache-2.0,mit", 2, 0), 5: (None, "", 0, 1)}
 
 
+def brute_licenses(text, fitted):
+    """(families, unknown) per paragraph, from the definitions: plain loops over words, windows and templates."""
+    import re
+
+    import xxhash
+
+    def slot(*words):
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+        return (seed - (1 << 64) * (seed >= 1 << 63)) % license_scan.FEATURES
+
+    def grams(words):
+        return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
+
+    m, size, reach = fitted.model, license_scan.WINDOW, license_scan.REACH
+    coefficients, intercepts = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+    least, sure = license_scan._logit(fitted.notice_cut), license_scan._logit(license_scan.SURE)
+    out = []
+    for unit in re.split(r"\r?\n[^\S\n]*\n\s*", text or ""):
+        words = re.findall(r"[^\W_]+", unit.lower())
+        if not words:
+            continue
+        like, best = bool(re.search(license_scan.ANCHOR, re.sub(r"\s+", " ", unit))), {}
+        for s in range(0, max(len(words) - license_scan.STEP, 0) + 1, license_scan.STEP):
+            at = range(s, min(s + size, len(words)))
+            slots = [slot(words[i]) for i in at] + [slot(words[i - 1], words[i]) for i in at if i]
+            score = fitted.weights[-1] + sum(fitted.weights[k] for k in slots)
+            if score < least:
+                continue
+            like |= score >= sure
+            margins = intercepts + coefficients[:, slots].sum(axis=1)
+            p = np.exp(margins - margins.max())
+            p /= p.sum()
+            for k, family in enumerate(fitted.families[:-1]):
+                if p[k] < fitted.cuts[k]:
+                    continue
+                for template in license_scan.TEMPLATES[family]:
+                    own = license_scan.template_words(template)
+                    a = max(s - len(own), s - reach, 0)
+                    span = words[a : s + size + len(own)]
+                    found = grams(own) & grams(span)
+                    heads = [i for i in range(len(span) - 1) if span[i : i + 2] == own[:2]]
+                    denied = [bool({*span[max(i - license_scan.DENIAL, 0) : i]} & {*license_scan.NEGATIONS}) for i in heads]
+                    cover = len(found) / len(grams(own))
+                    if cover >= license_scan.COVER and not (heads and all(denied)):
+                        best.setdefault(family, []).append((cover, found, grams(own)))
+        top = {f: max(some, key=lambda x: x[0]) for f, some in best.items()}
+        stand = {f for f, x in top.items() if not any(y[0] > x[0] and x[1] <= y[2] for y in top.values())}
+        out.append((sorted(stand), like and not stand))
+    return out
+
+
+def test_licenses_against_plain_loops(spark, sample):
+    """Every paragraph of the tables' texts and of texts that name, deny, wrap and vary licences."""
+    story = "the river ran on past the mill and nobody came that day " * 30
+    more = [
+        "This tool is not licensed under the MIT License.", "Distributed under the GPLv3.", f"{story} released under the MIT License. {story}", "License: MIT",
+        "Licensed under the GNU Lesser General Public License, version 2.1 or later.\n\nLicensed under CC BY 4.0.", "The license was never shown at the counter.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "mit " * 500, "x",
+    ]
+    docs = sample.select("doc_id", "text").union(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(more)], "doc_id long, text string")).cache()
+    fitted = license_scan.Fitted(docs)
+    got = {}
+    for r in license_scan.scan_units(docs, fitted).collect():
+        got.setdefault(r.doc_id, []).append(r.family)
+    want = {}
+    for r in docs.collect():
+        flat = [f for stand, unknown in brute_licenses(r.text, fitted) for f in (stand or ["unknown"] * unknown)]
+        if flat:
+            want[r.doc_id] = sorted(flat)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert [want.get(10**6 + k) for k in range(8)] == [["unknown"], ["gpl"], ["mit"], ["mit"], ["cc-by", "lgpl"], ["unknown"], ["cc-by-nc"], ["mit"]]
+    named = {r.doc_id for r in sample.where("text rlike '(Licensed under|Released under|is licensed under)'").collect()}
+    assert named and named == {k for k, v in want.items() if k < 10**6 and set(v) != {"unknown"}}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
