@@ -19,7 +19,8 @@ def _twelve_digits(values):
 
 
 def number_text(v: Column) -> Column:
-    """The number with up to 12 digits; plain numbers stay in the JVM, others take an Arrow function."""
+    """The number with up to 12 digits; plain numbers stay in the JVM, others take an Arrow function. Zero has no sign."""
+    v = F.when(v == 0, F.lit(0.0)).otherwise(v)
     plain = (v == 0) | F.abs(v).between(1e-3, 9_999_999.0)
     short = F.length(F.regexp_replace(v.cast("string"), "[^0-9]", "")) <= 12
     return F.when(plain & short, F.regexp_replace(v.cast("string"), r"\.0$", "")).otherwise(_twelve_digits(v))

@@ -171,3 +171,11 @@ def test_a_ledger_counts_in_one_table_only(spark):
     assert got == [("a", 12, 2, 12, 8), ("b", 4, 1, 16, 4)]
     with pytest.raises(ValueError):
         events.authorization_of({"a": a, "b": a}, 20)
+
+
+def test_zero_has_no_sign(spark):
+    from gradeloom.operators import prompts
+
+    rows = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, -0.5), (4, None)], "k int, acctbal double").withColumn("t", prompts.number_text(F.col("acctbal")))
+    assert [r.t for r in rows.orderBy("k").collect()] == ["0", "0", "-0.5", None]
+    assert prompts.lossless(rows.where("k < 4"), "t", "acctbal").first().mismatches == 0
