@@ -133,3 +133,10 @@ def test_billing_stops_at_once(spark, tmp_path):
     spark.createDataFrame(rows, "g long, k long, kind string").coalesce(1).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("g long, k long, kind string").parquet(f"{tmp_path}/in")
     assert {r.g: r.halted_at for r in streams.halts(source, "g", "k", "kind", "error", stop="billing").collect()} == {1: 3, 3: 7}
+
+
+def test_a_reservation_that_costs_nothing_is_one(spark, tmp_path):
+    rows = [(1, 1, "reserve", 5, 0, None), (1, 2, "result", 5, None, None), (1, 3, "settle", 5, None, 0), (1, 4, "reserve", 6, -1, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/a")
+    got = streams.ledger_machine(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*"), 100, f"{tmp_path}/run").collect()
+    assert {r.seq: r.status for r in got} == {1: "admitted", 2: "answered", 3: "settled", 4: "violation"}
