@@ -77,3 +77,16 @@ def test_slopes_from_the_feature_table(spark):
     assert features.optimality(m, train, weights, 1.0).first().steepest < 2e-5
     m.weights[0, 3] += 1
     assert features.optimality(m, train, weights, 1.0).first().steepest > 1e-3
+
+
+def test_terms_are_neither_shuffled_by_row_nor_written(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "Ab cd ab cd", 0, "train"), (1, "cd ef", 1, "train"), (2, "ab zz", 0, "test"), (3, None, 0, "train")], "row_id long, text string, label int, source_split string")
+    monkeypatch.setattr(features, "materialized", None)
+    for terms, size in ((features.word_terms(rows), 5), (features.char_terms(rows, 3, 4), 9)):
+        out = features.tfidf(terms, rows, size)
+        assert "term" not in "".join(x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning" in x)
+        norms = out.groupBy("row_id").agg(F.sum(F.col("w") * F.col("w")).alias("s")).collect()
+        assert {r.row_id for r in norms} == {1, 2} and all(abs(r.s - 1) < 1e-9 for r in norms)
+    # labels of a row that repeats are counted apart
+    counts = {(r.row_id, r.label, r.term): r.tf for r in features.term_counts(features.word_terms(rows)).collect()}
+    assert counts == {(1, 0, "ab"): 2, (1, 0, "cd"): 2, (1, 0, "ab cd"): 2, (1, 0, "cd ab"): 1, (1, 1, "cd"): 1, (1, 1, "ef"): 1, (1, 1, "cd ef"): 1, (2, 0, "ab"): 1, (2, 0, "zz"): 1, (2, 0, "ab zz"): 1}
