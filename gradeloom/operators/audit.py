@@ -39,9 +39,20 @@ def leaves(rows: DataFrame, key: str, json: str) -> DataFrame:
             return out
 
 
+def _changed(left: DataFrame, right: DataFrame, key: str, json: str) -> DataFrame:
+    """(key): keys, a null one included, but for those that both sides have with one text alone: there no leaf differs."""
+    both = left.select(key, F.col(json).alias("text"), F.lit(1).alias("a"), F.lit(0).alias("b")).union(right.select(key, json, F.lit(0), F.lit(1)))
+    digest = both.select(key, F.sha2("text", 256).alias("text"), "a", "b")
+    per = digest.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"), F.min("text").alias("low"), F.max("text").alias("high"), F.count_if(F.col("text").isNull()).alias("null"), F.count("*").alias("n"))
+    same = (F.col("low") == F.col("high")) & (F.col("null") == 0) | (F.col("null") == F.col("n"))
+    return per.where(F.col(key).isNull() | (F.col("a") + F.col("b") < 2) | ~F.coalesce(same, F.lit(False))).select(F.col(key).alias("changed"))
+
+
 def manifest_diff(left: DataFrame, right: DataFrame, key: str, json: str, allowed: list[str]) -> DataFrame:
     """(key, path, status): leaves that only one side has or whose values differ, at any depth; paths that match an
-    allow-list expression may be missing on the left."""
+    allow-list expression may be missing on the left. Only manifests whose texts differ are opened."""
+    changed = materialized(_changed(left, right, key, json), "changed-manifests")
+    left, right = (x.join(changed, F.col(key).eqNullSafe(F.col("changed")), "left_semi") for x in (left, right))
     a = leaves(left, key, json).withColumnRenamed("value", "a").withColumn("in_a", F.lit(True))
     b = leaves(right, key, json).withColumnRenamed("value", "b").withColumn("in_b", F.lit(True))
     both = a.join(b, [key, "path"], "full_outer")

@@ -129,6 +129,17 @@ def test_leaves_of_any_manifest(spark):
     assert found == {(1, "changed"), (2, "changed")}
 
 
+def test_only_manifests_that_differ_are_opened(spark, monkeypatch):
+    left = [(1, '{"a":[1,2]}'), (1, '{"a":[1,2]}'), (2, '{"a":1}'), (3, None), (4, None), (5, '{"a":1}'), (6, '{"a":1}'), (None, "1")]
+    right = [(1, '{"a":[1,2]}'), (2, '{"a":2}'), (3, None), (4, "2"), (6, '{"a":1}'), (6, '{"b":1}'), (None, "1"), (7, "7")]
+    one, other = (spark.createDataFrame(x, "id int, m string") for x in (left, right))
+    opened, real = [], audit.leaves
+    monkeypatch.setattr(audit, "leaves", lambda rows, *a: opened.append({r.id for r in rows.collect()}) or real(rows, *a))
+    found = sorted(((r.id, r.path, r.status) for r in audit.manifest_diff(one, other, "id", "m", []).collect()), key=str)
+    assert opened == [{2, 4, 5, 6, None}, {2, 4, 6, 7, None}]
+    assert found == [(2, "$.a", "changed"), (4, "$", "changed"), (5, "$.a", "missing"), (6, "$.b", "added"), (7, "$", "added"), (None, "$", "added"), (None, "$", "missing")]
+
+
 def test_first_break_of_each_rule(spark):
     origin = {"plain": "attempted", "skipped": "upstream_not_called", "new": "not_attempted", "answered": "attempted", **{r: "attempted" for r in ("identity", "order", "twice", "stage", "after_success", "too_many", "unfinished", "none")}}
     original = [("r", k, s, 1 if k == "answered" else None, "p") for k, s in origin.items()]
