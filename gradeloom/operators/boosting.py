@@ -43,8 +43,16 @@ class Boosted:
         return out
 
 
-def _matrix(lists, width: int) -> np.ndarray:
-    return np.array([list(x) for x in lists], float).reshape(len(lists), width)
+def _matrix(batch, name: str, width: int) -> np.ndarray:
+    """A list column of an Arrow batch, nulls in the lists as nan, without a Python object per row."""
+    flat = batch.column(name).flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64 if flat.dtype == np.int16 else float).reshape(len(batch), width)
+
+
+def _lists(matrix: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1], matrix.ravel())
 
 
 def walk(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
@@ -96,12 +104,12 @@ def _histograms(rows: DataFrame, rounds, tree, level: int, depth: int, n_classes
     size = nodes * width * n_bins
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         sums = np.zeros((n_classes, 3, size), np.int64)
-        for pdf in batches:
-            bins = _matrix(pdf["bins"], width).astype(np.int64)
-            g, h = units(add_trees(_matrix(pdf["raw"], n_classes), bins, rounds, depth), pdf["y"].to_numpy())
+        for batch in batches:
+            bins = _matrix(batch, "bins", width)
+            g, h = units(add_trees(_matrix(batch, "raw", n_classes), bins, rounds, depth), batch.column("y").to_numpy())
             for k in range(n_classes):
                 node = walk(bins, tree[0][k], tree[1][k], level) - first
                 live = np.flatnonzero(node >= 0)
@@ -113,9 +121,10 @@ def _histograms(rows: DataFrame, rounds, tree, level: int, depth: int, n_classes
             at = np.flatnonzero(sums[k, 2])
             rest, b = np.divmod(at, n_bins)
             node, f = np.divmod(rest, width)
-            yield pd.DataFrame({"k": k, "node": node + first, "f": f, "b": b, "g": sums[k, 0, at], "h": sums[k, 1, at], "n": sums[k, 2, at]})
+            small = [np.full(len(at), k), node + first, f, b]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int32)) for x in small], *map(pa.array, sums[k][:, at])], ["k", "node", "f", "b", "g", "h", "n"])
 
-    return rows.select("bins", "raw", "y").mapInPandas(run, "k int, node int, f int, b int, g long, h long, n long")
+    return rows.select("bins", "raw", "y").mapInArrow(run, "k int, node int, f int, b int, g long, h long, n long")
 
 
 def best_splits(histograms: DataFrame, ridge: float, least_rows: int, least_gain: float) -> DataFrame:
@@ -141,17 +150,19 @@ def _most_bins(model: Boosted) -> int:
 
 
 def _start(model: Boosted, train: DataFrame) -> DataFrame:
-    """The training rows in bins, each with the classes' shares as its scores."""
-    prior, width = model.prior.tolist(), len(model.cuts)
+    """The training rows in bins, each with the classes' shares as its scores, dealt over all cores, however few files
+    or row groups they come from."""
+    prior, width = model.prior, len(model.cuts)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            found = model.bins(_matrix(pdf["features"], width))
-            yield pd.DataFrame({"bins": list(found), "y": pdf["y"], "raw": [prior] * len(pdf)})
+        for batch in batches:
+            found = model.bins(_matrix(batch, "features", width))
+            yield pa.RecordBatch.from_arrays([_lists(found), batch.column("y"), _lists(np.tile(prior, (len(batch), 1)))], ["bins", "y", "raw"])
 
-    return materialized(train.select("features", "y").mapInPandas(run, ROW), "boosting-rows")
+    dealt = train.select("features", "y").repartition(train.sparkSession.sparkContext.defaultParallelism)
+    return materialized(dealt.mapInArrow(run, ROW), "boosting-rows")
 
 
 def begin(train: DataFrame, n_classes: int, bins: int = 256) -> Boosted:
@@ -183,11 +194,13 @@ def fit(train: DataFrame, n_classes: int, rounds: int = 100, depth: int = 3, rat
             since = model.rounds[written:at]
 
             def add(batches, since=since):
-                for pdf in batches:
-                    pdf["raw"] = list(add_trees(_matrix(pdf["raw"], n_classes), _matrix(pdf["bins"], width).astype(np.int64), since, depth))
-                    yield pdf
+                import pyarrow as pa
+
+                for batch in batches:
+                    raw = add_trees(_matrix(batch, "raw", n_classes), _matrix(batch, "bins", width), since, depth)
+                    yield pa.RecordBatch.from_arrays([batch.column("bins"), batch.column("y"), _lists(raw)], ["bins", "y", "raw"])
 
-            rows, written = materialized(rows.mapInPandas(add, ROW), "boosting-rows"), at
+            rows, written = materialized(rows.mapInArrow(add, ROW), "boosting-rows"), at
         model.rounds.append(grow(rows, model.rounds[written:], n_classes, width, n_bins, depth, rate, ridge, least_rows, least_gain))
     return model
 
@@ -219,16 +232,16 @@ def predict(model: Boosted, rows: DataFrame) -> DataFrame:
     width, n_classes = len(model.cuts), len(model.prior)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         m = held.value
         depth = int(np.log2(m.rounds[0][0].shape[1] + 1)) - 1 if m.rounds else 0
-        for pdf in batches:
-            bins = m.bins(_matrix(pdf["features"], width)).astype(np.int64)
-            p = softmax(add_trees(np.tile(m.prior, (len(pdf), 1)), bins, m.rounds, depth))
-            yield pd.DataFrame({"row_id": pdf["row_id"], "y": pdf["y"], "label": p.argmax(axis=1).astype(np.int32), "probabilities": list(p)})
+        for batch in batches:
+            bins = m.bins(_matrix(batch, "features", width)).astype(np.int64)
+            p = softmax(add_trees(np.tile(m.prior, (len(batch), 1)), bins, m.rounds, depth))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("y"), pa.array(p.argmax(axis=1).astype(np.int32)), _lists(p)], ["row_id", "y", "label", "probabilities"])
 
-    return rows.select("row_id", "y", "features").mapInPandas(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, y int, label int, probabilities array<double>")
+    return rows.select("row_id", "y", "features").mapInArrow(run, f"row_id {rows.schema['row_id'].dataType.simpleString()}, y int, label int, probabilities array<double>")
 
 
 def boosted(rows: DataFrame, n_classes: int, per_class: int | None = None, seed: int = 42, **options) -> DataFrame:

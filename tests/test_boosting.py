@@ -100,3 +100,9 @@ def test_missing_categories_have_a_slot_and_no_value_may_spell_it(spark):
     assert got == {1: [2.0, 0, 1, 0], 2: [None, 1, 0, 0], 3: [1.0, 0, 0, 1], 4: [0.0, 0, 0, 0]}
     with pytest.raises(ValueError):
         features.one_hot(rows.withColumn("nation", F.lit(features.MISSING_LEVEL)), train, "nation")
+
+
+def test_rows_of_one_file_are_dealt_over_all_cores(spark):
+    train = spark.createDataFrame([([float(k % 9), None if k % 5 == 0 else 1.0], k % 2) for k in range(400)], "features array<double>, y int").coalesce(1)
+    start = boosting._start(boosting.begin(train, 2), train)
+    assert start.count() == 400 and start.select(F.spark_partition_id()).distinct().count() == min(400, spark.sparkContext.defaultParallelism)
