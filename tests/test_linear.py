@@ -90,3 +90,37 @@ def test_terms_are_neither_shuffled_by_row_nor_written(spark, monkeypatch):
     # labels of a row that repeats are counted apart
     counts = {(r.row_id, r.label, r.term): r.tf for r in features.term_counts(features.word_terms(rows)).collect()}
     assert counts == {(1, 0, "ab"): 2, (1, 0, "cd"): 2, (1, 0, "ab cd"): 2, (1, 0, "cd ab"): 1, (1, 1, "cd"): 1, (1, 1, "ef"): 1, (1, 1, "cd ef"): 1, (2, 0, "ab"): 1, (2, 0, "zz"): 1, (2, 0, "ab zz"): 1}
+
+
+def test_vectors_hold_the_terms_weights(spark):
+    rows = spark.createDataFrame([(1, "Ab cd ab cd", 0, "train"), (1, "cd ef", 1, "train"), (2, "ab zz a", 0, "test"), (3, None, 0, "train"), (4, "zz cd\tzz", 1, "train")], "row_id long, text string, label int, source_split string")
+    vectors, _, width = features.text_vectors(rows, 4, 9)
+    want: dict = {}
+    for terms, size in ((features.char_terms(rows, 3, 5), 9), (features.word_terms(rows), 4)):
+        for r in features.tfidf(terms, rows, size).collect():
+            want.setdefault(r.row_id, []).append(round(r.w, 9))
+    got = vectors.collect()
+    assert width == 13 and sorted(r.row_id for r in got) == [1, 1, 2, 3, 4] and sorted(r.y for r in got) == [0, 0, 0, 1, 1]
+    assert {r.row_id: sorted(round(w, 9) for w in r.w) for r in got if r.w} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_a_step_shuffles_no_more_with_more_files(spark, monkeypatch):
+    """Blocks are packed once, and a step has no more tasks than there are cores."""
+    rows = spark.createDataFrame([(k, k % 2, [k % 7], [1.0]) for k in range(64)], "row_id long, y int, idx array<int>, w array<double>").repartition(40)
+    blocks, seen = linear.packed(rows), []
+    assert linear.packed(blocks) is blocks and sum(len(r.y) // 4 for r in blocks.collect()) == 64
+    real = linear.summed
+    monkeypatch.setattr(linear, "summed", lambda b, *a: seen.append(b) or real(b, *a))
+    m = linear.fit(rows, "logistic", 2, 7, 1.0)
+    assert m.slope <= 1e-5 and all(b.dtypes == blocks.dtypes for b in seen) and linear.fit(blocks, "logistic", 2, 7, 1.0, start=m.weights).steps == 0
+
+
+def test_naive_bayes_is_sparks(spark):
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.linalg import Vectors
+
+    data = [(int(Y[k]), Vectors.dense(X[k])) for k in range(N)]
+    rows = spark.createDataFrame([(k, int(Y[k]), np.flatnonzero(X[k]).tolist(), X[k][X[k] != 0].tolist()) for k in range(N)], "row_id long, y int, idx array<int>, w array<double>")
+    want = NaiveBayes(smoothing=0.1).fit(spark.createDataFrame(data, ["label", "features"]))
+    got = linear.bayes(rows, K, WIDTH, 0.1).weights
+    assert np.abs(got[:, :-1] - want.theta.toArray()).max() < 1e-9 and np.abs(got[:, -1] - want.pi.toArray()).max() < 1e-9
