@@ -3,21 +3,23 @@
 Units are paragraphs: texts cut at blank lines, with single line breaks joined. Every paragraph is classified, in
 windows of ``WINDOW`` words every ``STEP`` words, in three steps:
 
-1. A binary logistic regression over hashed word 1- and 2-grams tells licence text from other text. Its weights are
+1. A binary linear model over hashed word 1- and 2-grams tells licence text from other text. Its weights are
    whole millionths in one array, so a window's score is a sum over its words, exact and without a row per window.
-2. Windows above the threshold go to a multinomial logistic regression over the same grams, which names families.
+2. Windows above the threshold go to a softmax over the same grams, which names families.
 3. A named family stands if the words around the window hold ``COVER`` of the 1- and 2-grams of one of its templates,
    not right behind a negation. Of two families in a paragraph, one falls if all that was found of it belongs to a template
    of the other that fits better (a licence whose name holds another's).
 
-Both are trained on windows of the templates set among sentences of the corpus, against look-alikes that name no
-licence and a bounded sample of the corpus's own sentences, also those with words of licences that resemble no template.
-Half of these sentences are held out; thresholds are calibrated on them so that hardly any window of the unknown class passes.
+Both are naive Bayes with tempered sums, trained on the whole corpus: the documents are halved by a hash of their texts. In
+one half every gram of every sentence is counted as other text, but for sentences that have words of licences and
+resemble a template; look-alikes that name no licence are added. A family's gram is as frequent as in that of its templates
+that has it most, mixed with other text, as notices stand among it. On the other half, every window is scored, and thresholds are the
+least at which hardly any window of other text passes. What is kept of the corpus are counts by gram and by bin of score.
 
 A paragraph is a notice of each family that stands in it. One without any counts as unknown if it has words of
 licences (``ANCHOR``) or a window that is surely licence text.
 
-Training and scoring run in the JVM (Spark ML and DataFrame functions), without Python on executors.
+Training and scoring run in the JVM (DataFrame functions), without Python on executors.
 
 Defined results: null and empty texts have no units and no family; ties between families go to the one
 that sorts first; repeated rows of a doc_id are counted together, once per row; an empty table gives an
@@ -26,30 +28,40 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
+from collections.abc import Iterable
+from functools import cached_property
+from typing import NamedTuple
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import let, materialize, text_of
+from .shared import let, text_of
 
 UNKNOWN = "unknown"
-FEATURES = 1 << 13
-SAMPLE_UNITS = 4000
-#: Documents whose sentences are sampled, about.
-SAMPLE_DOCS = 400
-#: Sentences of the corpus among which every template is set.
-CONTEXTS = 12
+FEATURES = 1 << 18
 WINDOW = 12
 STEP = 6
-#: Words of a template that a training window holds at least.
-OVERLAP = 6
+#: Share of a notice's grams that are its template's, not those of the text it stands among.
+MIX = 0.5
+#: Share of the look-alikes in other text.
+ALIKE = 0.01
+#: A gram's count is raised by this.
+SMOOTH = 0.1
+#: A word counts in up to three grams, so sums of their logarithms are divided by three.
+TEMPER = 3
+#: Share of windows that are licence text, before their words are looked at.
+PRIOR = 0.01
 LEAST_P = 0.1
+#: Share of held-out windows of other text that may pass a threshold.
+PASSING = 0.005
+#: Bins of probability in which held-out windows are counted.
+BINS = 1000
 #: Probability from which a window is licence text even if no family stands.
 SURE = 0.9
 COVER = 0.8
@@ -148,11 +160,11 @@ def _slot(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(FEATURES))
 
 
-def _slots(words: Column, first: Column, length: int = WINDOW) -> Column:
+def _slots(words: Column, first: Column, length: Column | int = WINDOW) -> Column:
     """Features of a window: slots of its words, and of the pairs that end in it."""
     at = F.slice(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(words, i - 1).alias("before"))), first + 1, F.lit(length))
     pairs = F.filter(at, lambda x: x["before"].isNotNull())
-    return F.concat(F.transform(at, lambda x: _slot(x["w"])), F.transform(pairs, lambda x: _slot(x["before"], x["w"]))).cast("array<string>")
+    return F.concat(F.transform(at, lambda x: _slot(x["w"])), F.transform(pairs, lambda x: _slot(x["before"], x["w"]))).cast("array<int>")
 
 
 def _starts(words: Column) -> Column:
@@ -195,82 +207,124 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
-def _resembling(rows: DataFrame) -> DataFrame:
-    """``rows(unit, words)`` that hold over half of what confirms some template (a fixed table, broadcast)."""
-    shape = F.broadcast(_templates(rows.sparkSession).select("own", F.element_at("own", 1).alias("any")))
-    held = F.size(F.array_intersect("own", _grams(F.col("words")))) >= COVER / 2 * F.size("own")
-    return rows.join(shape, held, "left_semi")
-
-
-def training_rows(docs: DataFrame, sample_units: int = SAMPLE_UNITS) -> DataFrame:
-    """(family, slots, held_out): windows of the templates in sentences of the corpus, of look-alikes and of units of the
-    corpus, the first ones by hash, so that reruns train on the same."""
-    spark = docs.sparkSession
-    lot = F.pmod(F.xxhash64(F.lit("license"), "doc_id"), F.lit(MILLION)) / MILLION
-    some = docs.where(F.col("text").isNotNull() & (lot < SAMPLE_DOCS / max(docs.count(), 1)))
-    drawn = sentences(some).select("unit", F.col("unit").rlike(ANCHOR).alias("anchored"))
-    order = [F.xxhash64("unit"), "unit"]
-    plain = drawn.where("not anchored").orderBy(*order).limit(sample_units)
-    near = drawn.where("anchored").orderBy(*order).limit(sample_units)
-    # at most twice sample_units sentences: one file
-    rest = materialize(plain.union(near).coalesce(1), "license-sentences").withColumn("words", _words(F.col("unit")))
-    near = rest.where("anchored")
-    rest = rest.where("not anchored").unionByName(near.join(_resembling(near).select("unit").distinct(), "unit", "left_anti"))
-    alike = spark.range(1).select(F.explode(F.array(*map(F.lit, LOOKALIKES))).alias("unit"))
-    held = (F.xxhash64("unit") % 2 == 0).alias("held_out")
-    others = rest.select("words", held).union(alike.select(_words(F.col("unit")), F.lit(False)))
-    others = others.select("words", "held_out", F.explode(_starts(F.col("words"))).alias("s"))
-
-    # numbers of CONTEXTS sentences; with none of the corpus a template stands alone
-    context = F.array_sort(F.collect_set("unit"))
-    number = F.transform("units", lambda u, k: F.struct(k.alias("k"), _words(u).alias("context")))
-    contexts = rest.where("not anchored").orderBy(*order).limit(CONTEXTS).agg(context.alias("units")).select(F.inline(number))
-    made = _templates(spark).select("family", "words", "length", F.explode(F.sequence(F.lit(0), F.lit(CONTEXTS - 1))).alias("k"))
-    made = made.join(F.broadcast(contexts), "k", "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
-    half = F.slice("context", F.lit(1), F.lit(WINDOW))
-    made = made.select("family", "length", F.size(half).alias("at"), F.concat(half, "words", F.slice("context", F.greatest(F.size("context") - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))).alias("words"))
-    made = made.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - STEP, F.lit(0)), F.lit(2))).alias("s"))
-    shared = F.least(F.col("s") + WINDOW, F.col("at") + F.col("length")) - F.greatest("s", "at")
-    made = made.where(shared >= F.least("length", F.lit(OVERLAP)))
-    known = made.select("family", _slots(F.col("words"), F.col("s")).alias("slots"), F.lit(False).alias("held_out"))
-    return known.union(others.select(F.lit(UNKNOWN), _slots(F.col("words"), F.col("s")), "held_out"))
+def _resembles(words: Column) -> Column:
+    """Whether the words hold over half of what confirms some template."""
+    own = [list(dict.fromkeys([*w, *map(" ".join, zip(w, w[1:], strict=False))])) for some in TEMPLATES.values() for w in map(template_words, some)]
+    table = F.array(*[F.split(F.lit("|".join(x)), "[|]") for x in own])
+    return let(_grams(words), lambda held: F.exists(table, lambda t: F.size(F.array_intersect(t, held)) >= COVER / 2 * F.size(t)))
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64(F.lit("license"), text_of()), F.lit(2)) == 0
+
+
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(slot, n): how often the grams of each slot occur in all sentences of ``docs`` that are other text."""
+    rows = sentences(docs).select(F.col("unit").rlike(ANCHOR).alias("anchored"), _words(F.col("unit")).alias("words"))
+    rows = rows.where(~F.when(F.col("anchored"), _resembles(F.col("words"))).otherwise(F.lit(False)))
+    slots = _slots(F.col("words"), F.lit(0), F.greatest(F.size("words"), F.lit(1)))
+    return rows.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+
+
+def _fixed_slots(spark: SparkSession) -> list[tuple[str, list[int]]]:
+    """(family, slots) of every template and, as unknown, look-alike."""
+    rows = [(f, template_words(t)) for f, some in [*TEMPLATES.items(), (UNKNOWN, LOOKALIKES)] for t in some]
+    kind = "array<struct<family:string,words:array<string>>>"
+    table = F.from_json(F.lit(json.dumps([{"family": f, "words": w} for f, w in rows])), kind)
+    rows = spark.range(1).select(F.inline(table)).select("family", _slots(F.col("words"), F.lit(0), F.size("words")).alias("slots"))
+    return [(r.family, r.slots) for r in rows.collect()]
+
+
+class Linear(NamedTuple):
+    coefficientMatrix: DenseMatrix
+    interceptVector: DenseVector
 
 
 class Fitted:
-    """Both models, of fixed size: ``weights`` (millionths, the bias last) and ``least`` (the score that lets a window
-    on) of the first; ``vectors``, ``model``, ``families`` and the threshold of each in ``cuts`` of the second."""
+    """Both models, of fixed size: ``rows`` has the weights of every family in millionths for each slot of a template, the first
+    one those of all other slots, and ``place`` the row of every slot. Of the first model, ``weights`` (the most of a slot's row; the
+    bias last) and ``notice_cut``, the probability that lets a window on; of the second, ``families``, ``model`` (rows and bias as
+    matrices) and the threshold of each family in ``cuts``."""
 
     def __init__(self, docs: DataFrame):
         self.families = [*sorted(TEMPLATES), UNKNOWN]
-        self.vectors = CountVectorizerModel.from_vocabulary([str(k) for k in range(FEATURES)], inputCol="slots", outputCol="features")
-        place = F.array_position(F.array(*map(F.lit, self.families)), F.col("family")) - 1
-        rows = self.vectors.transform(training_rows(docs).select(place.cast("double").alias("label"), "slots", "held_out"))
-        rows = materialize(rows.select("label", (F.col("label") < len(self.families) - 1).cast("double").alias("notice"), "features", "held_out").coalesce(1), "license-training")
-        train, rest = rows.where("not held_out"), rows.where("held_out")
-        first = LogisticRegression(labelCol="notice", regParam=0.001, maxIter=30, family="binomial").fit(train)
-        self.weights = [round(x * MILLION) for x in first.coefficients.toArray().tolist()] + [round(first.intercept * MILLION)]
-        self.model = LogisticRegression(regParam=0.003, maxIter=40, family="multinomial").fit(train)
-        p = vector_to_array("probability")
-        low = first.transform(rest).agg(F.percentile(F.get(p, 1), 0.995)).first()[0] or 0.0
-        self.notice_cut = min(max(LEAST_P, low), SURE)
-        high = self.model.transform(rest).agg(*[F.percentile(F.get(p, k), 0.995).alias(f"p{k}") for k in range(len(self.families) - 1)]).first()
-        self.cuts = [min(max(LEAST_P, x or 0.0), SURE) for x in high]
+        known = self.families[:-1]
+        counts = {r.slot: r.n for r in gram_counts(docs.where(~_held_out())).collect()}
+        total = sum(counts.values()) + SMOOTH * FEATURES
+        fixed = _fixed_slots(docs.sparkSession)
+        alike = [x for f, slots in fixed if f == UNKNOWN for x in slots]
+        other = [(1 - ALIKE) * (counts.get(k, 0) + SMOOTH) / total + ALIKE * alike.count(k) / len(alike) for k in range(FEATURES)]
+        share: list[dict[str, float]] = [{} for _ in range(FEATURES)]
+        for family, slots in fixed:
+            for k in slots if family != UNKNOWN else ():
+                share[k][family] = max(share[k].get(family, 0.0), slots.count(k) / len(slots))
+
+        def weight(k: int, family: str) -> int:
+            return round(math.log(1 - MIX + MIX * share[k].get(family, 0.0) / other[k]) / TEMPER * MILLION)
+
+        absent = round(math.log(1 - MIX) / TEMPER * MILLION)
+        self.place, self.rows = [0] * FEATURES, [[absent] * len(known)]
+        for k in range(FEATURES):
+            if share[k]:
+                self.place[k] = len(self.rows)
+                self.rows.append([weight(k, f) for f in known])
+        self.bias = _logit(PRIOR)
+        self.weights = [max(self.rows[k]) for k in self.place] + [self.bias]
+        self.notice_cut, self.cuts = LEAST_P, [LEAST_P] * len(known)
+        self.notice_cut, *self.cuts = self._thresholds(docs.where(_held_out()))
+
+    @cached_property
+    def model(self) -> Linear:
+        values = np.array([[*row, 0] for row in self.rows])[self.place].T / MILLION
+        return Linear(DenseMatrix(*values.shape, values.ravel(), isTransposed=True), DenseVector([self.bias / MILLION] * len(self.cuts) + [0.0]))
+
+    def _thresholds(self, docs: DataFrame) -> list[float]:
+        """The least bins, from LEAST_P to SURE, that at most PASSING of all windows of ``docs`` reach, leaving out those
+        around which a template is resembled: of the first model, then of each family."""
+        low, high = round(LEAST_P * BINS), round(SURE * BINS)
+        rows = units(docs).select(_words(F.col("unit")).alias("words"))
+        rows = rows.select(F.size(_starts(F.col("words"))).alias("n"), _hits(F.col("words"), self).alias("hits"))
+        rows = rows.select("n", F.posexplode_outer("hits").alias("k", "x")).select("n", "k", "x.*")
+        rows = rows.withColumn("slots", _slots(F.col("near"), F.col("at")))
+        one = lambda model, at, n: F.struct(model.alias("model"), at.cast("int").alias("bin"), n.cast("long").alias("n"))
+        # model -1 counts the windows, once a paragraph
+        all_windows = F.array(one(F.lit(-1), F.lit(0), F.when(F.coalesce("k", F.lit(0)) == 0, F.col("n")).otherwise(0)))
+        first = 1 / (1 + F.exp(-F.col("score") / MILLION))
+        p = F.concat(F.array(first), F.slice(_probabilities(F.col("slots"), self), 1, len(self.cuts)))
+        bins = F.transform(p, lambda x, i: one(i, F.least(F.floor(x * BINS), F.lit(high)), F.lit(1)))
+        bins = F.when(F.col("k").isNotNull(), F.when(~_resembles(F.col("near")), F.filter(bins, lambda x: x["bin"] >= low)))
+        rows = rows.select(F.inline(F.concat(all_windows, F.coalesce(bins, F.slice(all_windows, 1, 0))))).groupBy("model", "bin").agg(F.sum("n").alias("n"))
+        found = {(r.model, r.bin): r.n for r in rows.collect()}
+        may = math.floor(PASSING * found.get((-1, 0), 0))
+        cuts = []
+        for model in range(len(self.cuts) + 1):
+            cut, over = high, found.get((model, high), 0)
+            while cut > low and over + found.get((model, cut - 1), 0) <= may:
+                cut -= 1
+                over += found.get((model, cut), 0)
+            cuts.append(cut / BINS)
+        return cuts
 
 
 def _logit(p: float) -> int:
     return round(math.log(p / (1 - p)) * MILLION)
 
 
+def _integers(values: Iterable[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def _hits(words: Column, fitted: Fitted) -> Column:
     """(s, score, at, near): the windows that pass the first model; ``near`` are the words REACH around, ``at`` the
     window's place in it."""
-    table = F.split(F.lit(",".join(map(str, fitted.weights[:-1]))), ",").cast("array<int>")
+    place, peaks = _integers(fitted.place), _integers(map(max, fitted.rows))
     bias, least = fitted.weights[-1], _logit(fitted.notice_cut)
+    weight = lambda slot: F.get(peaks, F.get(place, slot.cast("int")))
 
     def weigh(words: Column) -> Column:
         def one(w: Column, i: Column) -> Column:
-            pair = F.when(i > 0, F.get(table, _slot(F.get(words, i - 1), w).cast("int"))).otherwise(0)
-            return (F.get(table, _slot(w).cast("int")) + pair).cast("long")
+            pair = F.when(i > 0, weight(_slot(F.get(words, i - 1), w))).otherwise(0)
+            return (weight(_slot(w)) + pair).cast("long")
 
         return F.transform(words, one)
 
@@ -288,6 +342,17 @@ def _hits(words: Column, fitted: Fitted) -> Column:
     return let(words, around)
 
 
+def _probabilities(slots: Column, fitted: Fitted) -> Column:
+    """The probability of every family and of none, from a window's slots."""
+    table = F.array(*map(_integers, fitted.rows))
+    start = F.array_repeat(F.lit(fitted.bias).cast("long"), len(fitted.cuts))
+    add = lambda a, k: F.zip_with(a, F.get(table, F.get(_integers(fitted.place), k)), lambda x, y: x + y)
+    margins = F.concat(F.aggregate(slots, start, add), F.array(F.lit(0).cast("long")))
+    powers = let(margins, lambda m: F.transform(m, lambda x: F.exp((x - F.array_max(m)) / MILLION)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
+
+
 def _affirmed(span: Column, head: Column) -> Column:
     """Whether the template's first words are found without a negation close before them, or not found."""
     places = F.filter(F.transform(span, lambda w, i: F.when(F.concat_ws(" ", w, F.get(span, i + 1)) == head, i)), lambda i: i.isNotNull())
@@ -302,9 +367,8 @@ def scan_units(docs: DataFrame, fitted: Fitted | None = None) -> DataFrame:
     families = F.array(*map(F.lit, fitted.families[:-1]))
     rows = units(docs).select("doc_id", F.monotonically_increasing_id().alias("at_unit"), F.col("unit").rlike(ANCHOR).alias("anchored"), _hits(_words(F.col("unit")), fitted).alias("hits"))
     rows = rows.where("anchored or size(hits) > 0").select("doc_id", "at_unit", "anchored", F.explode_outer("hits").alias("x")).select("doc_id", "at_unit", "anchored", "x.*")
-    no_word = F.array().cast("array<string>")
-    rows = rows.withColumn("slots", F.coalesce(_slots(F.col("near"), F.col("at")), no_word))
-    scored = fitted.model.transform(fitted.vectors.transform(rows)).withColumn("p", vector_to_array("probability"))
+    rows = rows.withColumn("slots", _slots(F.col("near"), F.col("at")))
+    scored = rows.withColumn("p", _probabilities(F.col("slots"), fitted))
     cuts = F.array(*map(F.lit, fitted.cuts))
     named = F.filter(F.transform(families, lambda f, k: F.struct(f.alias("family"), F.get("p", k).alias("p"), (F.get("p", k) >= F.get(cuts, k)).alias("on"))), lambda x: x["on"])
     named = F.when(F.col("s").isNotNull(), named)

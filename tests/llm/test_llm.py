@@ -530,6 +530,77 @@ def test_licenses_against_plain_loops(spark, sample):
     assert named and named == {k for k, v in want.items() if k < 10**6 and set(v) != {"unknown"}}
 
 
+def test_licenses_learn_from_every_document(spark):
+    """Counts, weights and thresholds of more documents than a sample would hold, against plain loops over all of them."""
+    import math
+    import re
+
+    import xxhash
+
+    def digest(*words):
+        seed = 42
+        for w in words:
+            seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+        return seed
+
+    def slots(words, first=0, size=10**9):
+        at = range(first, min(first + size, len(words)))
+        some = [(words[i],) for i in at] + [(words[i - 1], words[i]) for i in at if i]
+        return [(h - (1 << 64) * (h >= 1 << 63)) % license_scan.FEATURES for h in (digest(*x) for x in some)]
+
+    grams = lambda words: {*words, *map(" ".join, zip(words, words[1:], strict=False))}
+    plain = lambda text: re.findall(r"[^\W_]+", text.lower())
+    templates = {f: [license_scan.template_words(t) for t in some] for f, some in license_scan.TEMPLATES.items()}
+    confirming = [grams(t) for some in templates.values() for t in some]
+    resembles = lambda words: any(len(g & grams(words)) >= license_scan.COVER / 2 * len(g) for g in confirming)
+
+    ends = ["and was provided as is.", "In source and binary forms, with or without them!", "Licensed under the MIT License.", "A license of its own.\n\nSoftware is distributed."]
+    texts = [f"The mill{k} ran on{k} past the river{k % 7}, under it. {ends[k % 10] if k % 10 < 4 else 'Nobody came.'}" for k in range(2000)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {t for t in texts if digest("license", t or "") % 2 == 0}
+
+    count = {}
+    for text in texts:
+        for unit in re.split(r"\n|(?<=[.!?])\s+", text or "") if text not in held else ():
+            if not (re.search(license_scan.ANCHOR, unit) and resembles(plain(unit))):
+                for k in slots(plain(unit)):
+                    count[k] = count.get(k, 0) + 1
+    assert {r.slot: r.n for r in license_scan.gram_counts(docs.where(~license_scan._held_out())).collect()} == count
+    assert len(count) > 2000
+
+    fitted = license_scan.Fitted(docs)
+    total = sum(count.values()) + license_scan.SMOOTH * license_scan.FEATURES
+    alike = [k for t in license_scan.LOOKALIKES for k in slots(plain(t))]
+    share = {}
+    for f, some in templates.items():
+        for own in map(slots, some):
+            for k in own:
+                share[k, f] = max(share.get((k, f), 0), own.count(k) / len(own))
+    coefficients = fitted.model.coefficientMatrix.toArray()
+    for k in {k for k, _ in share}:
+        other = 0.99 * (count.get(k, 0) + license_scan.SMOOTH) / total + 0.01 * alike.count(k) / len(alike)
+        want = [math.log(0.5 + 0.5 * share.get((k, f), 0) / other) / 3 for f in fitted.families[:-1]]
+        assert np.allclose(coefficients[:-1, k], want, atol=1e-5)
+        assert abs(fitted.weights[k] - max(want) * 10**6) < 10
+
+    n, passed = 0, [[] for _ in fitted.families]
+    for text in texts:
+        for unit in re.split(r"\r?\n[^\S\n]*\n\s*", text) if text in held and text else ():
+            words = plain(unit)
+            for s in range(0, max(len(words) - license_scan.STEP, 0) + 1, license_scan.STEP):
+                n += 1
+                near = words[max(s - license_scan.REACH, 0) : s + license_scan.WINDOW + license_scan.REACH]
+                own = slots(words, s, license_scan.WINDOW)
+                p = 1 / (1 + math.exp(-(fitted.weights[-1] + sum(fitted.weights[k] for k in own)) / 10**6))
+                if p >= license_scan.LEAST_P and not resembles(near):
+                    e = np.exp(fitted.model.interceptVector.toArray() + coefficients[:, own].sum(axis=1))
+                    for some, x in zip(passed, [p, *(e / e.sum())[:-1]], strict=True):
+                        some.append(x)
+    assert n > 1000 and len(passed[0]) > n * license_scan.PASSING
+    cuts = [next((c / 1000 for c in range(100, 900) if sum(x >= c / 1000 for x in some) <= n * license_scan.PASSING), 0.9) for some in passed]
+    assert [fitted.notice_cut, *fitted.cuts] == cuts and max(cuts) > license_scan.LEAST_P
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
