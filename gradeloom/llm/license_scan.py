@@ -28,7 +28,6 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import itertools
 import json
 import math
 import re
@@ -45,6 +44,8 @@ from .shared import let, text_of
 
 UNKNOWN = "unknown"
 FEATURES = 1 << 18
+#: Slots that are looked up together; a power of two.
+BLOCK = 32
 WINDOW = 12
 STEP = 6
 #: Share of a notice's grams that are its template's, not those of the text it stands among.
@@ -167,6 +168,11 @@ def _slots(words: Column, first: Column, length: Column | int = WINDOW) -> Colum
     return F.concat(F.transform(at, lambda x: _slot(x["w"])), F.transform(pairs, lambda x: _slot(x["before"], x["w"]))).cast("array<int>")
 
 
+def _word_slots(words: Column) -> tuple[Column, Column]:
+    """By place, the slot of the word and that of the pair that ends there, null at the first."""
+    return F.transform(words, lambda w: _slot(w)), F.transform(words, lambda w, i: F.when(i > 0, _slot(F.get(words, i - 1), w)))
+
+
 def _starts(words: Column) -> Column:
     """First places of the windows: every word lies in one, and runs of up to WINDOW - STEP + 1 words lie whole in one."""
     return F.sequence(F.lit(0), F.greatest(F.size(words) - STEP, F.lit(0)), F.lit(STEP))
@@ -207,6 +213,19 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
+def _integers(values: Iterable[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _number(slot: Column, numbers: dict[int, int]) -> Column:
+    """The number of a slot, 0 if it has none: blocks of BLOCK slots with a number lie one after another behind an empty one."""
+    blocks = sorted({k // BLOCK for k in numbers})
+    starts = {b: (i + 1) * BLOCK for i, b in enumerate(blocks)}
+    first = _integers(starts.get(b, 0) for b in range(FEATURES // BLOCK))
+    rows = _integers([*[0] * BLOCK, *(numbers.get(b * BLOCK + i, 0) for b in blocks for i in range(BLOCK))])
+    return F.get(rows, F.get(first, F.shiftright(slot, BLOCK.bit_length() - 1).cast("int")) + slot.bitwiseAND(BLOCK - 1).cast("int"))
+
+
 def _resembles(words: Column) -> Column:
     """Whether the words hold over half of what confirms some template."""
     own = [list(dict.fromkeys([*w, *map(" ".join, zip(w, w[1:], strict=False))])) for some in TEMPLATES.values() for w in map(template_words, some)]
@@ -218,12 +237,21 @@ def _held_out() -> Column:
     return F.pmod(F.xxhash64(F.lit("license"), text_of()), F.lit(2)) == 0
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(slot, n): how often the grams of each slot occur in all sentences of ``docs`` that are other text."""
-    rows = sentences(docs).select(F.col("unit").rlike(ANCHOR).alias("anchored"), _words(F.col("unit")).alias("words"))
-    rows = rows.where(~F.when(F.col("anchored"), _resembles(F.col("words"))).otherwise(F.lit(False)))
-    slots = _slots(F.col("words"), F.lit(0), F.greatest(F.size("words"), F.lit(1)))
-    return rows.select(F.explode(slots).alias("slot")).groupBy("slot").agg(F.count("*").alias("n"))
+def gram_counts(docs: DataFrame, slots: Iterable[int]) -> DataFrame:
+    """(slot, n): how often grams of each of ``slots`` occur in all sentences of ``docs`` that are other text, and, for slot -1, grams of any."""
+    slots = sorted({*slots})
+    row = lambda x: _number(x, {k: i + 1 for i, k in enumerate(slots)})
+    one = lambda at, n: F.struct(at.alias("row"), n.cast("long").alias("n"))
+
+    def found(words: Column) -> Column:
+        places = F.concat(*[F.filter(F.transform(x, row), lambda i: i > 0) for x in _word_slots(words)])
+        # with less than two grams of templates nothing resembles one
+        alike = lambda rows: F.when((F.size(rows) > 1) & F.col("unit").rlike(ANCHOR), _resembles(words)).otherwise(F.lit(False))
+        every = F.array(one(F.lit(0), 2 * F.size(words) - 1))
+        return let(places, lambda rows: F.when(~alike(rows), F.concat(every, F.transform(rows, lambda i: one(i, F.lit(1))))))
+
+    rows = sentences(docs).select(F.inline(let(_words(F.col("unit")), found))).groupBy("row").agg(F.sum("n").alias("n"))
+    return rows.select(F.get(_integers([-1, *slots]), F.col("row")).alias("slot"), "n")
 
 
 def _fixed_slots(spark: SparkSession) -> list[tuple[str, list[int]]]:
@@ -242,40 +270,38 @@ class Linear(NamedTuple):
 
 class Fitted:
     """Both models, of fixed size: ``rows`` has the weights of every family in millionths for each slot of a template, the first
-    one those of all other slots, and ``place`` the row of every slot. Of the first model, ``weights`` (the most of a slot's row; the
+    one those of all other slots, and ``place`` the row of each such slot. Of the first model, ``weights`` (the most of a slot's row; the
     bias last) and ``notice_cut``, the probability that lets a window on; of the second, ``families``, ``model`` (rows and bias as
     matrices) and the threshold of each family in ``cuts``."""
 
     def __init__(self, docs: DataFrame):
         self.families = [*sorted(TEMPLATES), UNKNOWN]
         known = self.families[:-1]
-        counts = {r.slot: r.n for r in gram_counts(docs.where(~_held_out())).collect()}
-        total = sum(counts.values()) + SMOOTH * FEATURES
         fixed = _fixed_slots(docs.sparkSession)
         alike = [x for f, slots in fixed if f == UNKNOWN for x in slots]
-        other = [(1 - ALIKE) * (counts.get(k, 0) + SMOOTH) / total + ALIKE * alike.count(k) / len(alike) for k in range(FEATURES)]
-        share: list[dict[str, float]] = [{} for _ in range(FEATURES)]
+        share: dict[int, dict[str, float]] = {}
         for family, slots in fixed:
             for k in slots if family != UNKNOWN else ():
-                share[k][family] = max(share[k].get(family, 0.0), slots.count(k) / len(slots))
+                own = share.setdefault(k, {})
+                own[family] = max(own.get(family, 0.0), slots.count(k) / len(slots))
+        counts = {r.slot: r.n for r in gram_counts(docs.where(~_held_out()), share).collect()}
+        total = counts.get(-1, 0) + SMOOTH * FEATURES
+        other = {k: (1 - ALIKE) * (counts.get(k, 0) + SMOOTH) / total + ALIKE * alike.count(k) / len(alike) for k in share}
 
         def weight(k: int, family: str) -> int:
             return round(math.log(1 - MIX + MIX * share[k].get(family, 0.0) / other[k]) / TEMPER * MILLION)
 
         absent = round(math.log(1 - MIX) / TEMPER * MILLION)
-        self.place, self.rows = [0] * FEATURES, [[absent] * len(known)]
-        for k in range(FEATURES):
-            if share[k]:
-                self.place[k] = len(self.rows)
-                self.rows.append([weight(k, f) for f in known])
+        self.place = {k: i + 1 for i, k in enumerate(sorted(share))}
+        self.rows = [[absent] * len(known), *([weight(k, f) for f in known] for k in self.place)]
         self.bias = _logit(PRIOR)
-        self.weights = [max(self.rows[k]) for k in self.place] + [self.bias]
+        self.weights = [max(self.rows[self.place.get(k, 0)]) for k in range(FEATURES)] + [self.bias]
         self.notice_cut, self.cuts = LEAST_P, [LEAST_P] * len(known)
         self.notice_cut, *self.cuts = self._thresholds(docs.where(_held_out()))
 
     @cached_property
     def model(self) -> Linear:
-        values = np.array([[*row, 0] for row in self.rows])[self.place].T / MILLION
+        values = np.array([[*row, 0] for row in self.rows])[[self.place.get(k, 0) for k in range(FEATURES)]].T / MILLION
         return Linear(DenseMatrix(*values.shape, values.ravel(), isTransposed=True), DenseVector([self.bias / MILLION] * len(self.cuts) + [0.0]))
 
     def _thresholds(self, docs: DataFrame) -> list[float]:
@@ -310,23 +336,16 @@ def _logit(p: float) -> int:
     return round(math.log(p / (1 - p)) * MILLION)
 
 
-def _integers(values: Iterable[int]) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
-
-
 def _hits(words: Column, fitted: Fitted) -> Column:
     """(s, score, at, near): the windows that pass the first model; ``near`` are the words REACH around, ``at`` the
     window's place in it."""
-    place, peaks = _integers(fitted.place), _integers(map(max, fitted.rows))
-    bias, least = fitted.weights[-1], _logit(fitted.notice_cut)
-    weight = lambda slot: F.get(peaks, F.get(place, slot.cast("int")))
+    bias, least, absent = fitted.weights[-1], _logit(fitted.notice_cut), fitted.rows[0][0]
+    beyond = {k: max(fitted.rows[i]) - absent for k, i in fitted.place.items()}
 
     def weigh(words: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
-            pair = F.when(i > 0, weight(_slot(F.get(words, i - 1), w))).otherwise(0)
-            return (weight(_slot(w)) + pair).cast("long")
-
-        return F.transform(words, one)
+        one, pair = _word_slots(words)
+        both = lambda x, y: _number(x, beyond) + F.coalesce(_number(y, beyond) + absent, F.lit(0)) + absent
+        return F.zip_with(one, pair, lambda x, y: both(x, y).cast("long"))
 
     def passing(weights: Column) -> Column:
         total = lambda s: F.aggregate(F.slice(weights, s + 1, F.lit(WINDOW)), F.lit(bias).cast("long"), lambda a, x: a + x)
@@ -346,7 +365,7 @@ def _probabilities(slots: Column, fitted: Fitted) -> Column:
     """The probability of every family and of none, from a window's slots."""
     table = F.array(*map(_integers, fitted.rows))
     start = F.array_repeat(F.lit(fitted.bias).cast("long"), len(fitted.cuts))
-    add = lambda a, k: F.zip_with(a, F.get(table, F.get(_integers(fitted.place), k)), lambda x, y: x + y)
+    add = lambda a, k: F.zip_with(a, F.get(table, _number(k, fitted.place)), lambda x, y: x + y)
     margins = F.concat(F.aggregate(slots, start, add), F.array(F.lit(0).cast("long")))
     powers = let(margins, lambda m: F.transform(m, lambda x: F.exp((x - F.array_max(m)) / MILLION)))
     total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
