@@ -140,3 +140,54 @@ def test_a_reservation_that_costs_nothing_is_one(spark, tmp_path):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/a")
     got = streams.ledger_machine(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/*"), 100, f"{tmp_path}/run").collect()
     assert {r.seq: r.status for r in got} == {1: "admitted", 2: "answered", 3: "settled", 4: "violation"}
+
+
+def test_ledger_calls_to_the_state_follow_buckets_not_events(monkeypatch):
+    """Events in any order, repeated ones among them, in calls and pieces of any size, against the rules one by one; the state
+    is called a few times a bucket."""
+    import pandas as pd
+
+    class Store(dict):
+        calls = 0
+
+        def __getattr__(self, name):
+            Store.calls += 1
+            acts = {"exists": lambda: bool(self), "get": lambda: self[0], "update": lambda v: self.__setitem__(0, v), "containsKey": lambda k: k in self, "getValue": lambda k: self[k]}
+            return (acts | {"updateValue": self.__setitem__, "removeKey": self.__delitem__})[name]
+
+        get = update = property(lambda self: (lambda *v: self.__setitem__(0, v[0]) if v else self[0]))
+
+    class Handle:
+        def getValueState(self, *a):
+            return Store()
+
+        getMapState = getValueState
+
+    rng = random.Random(9)
+    n, rows, pool = 6_000, [], []
+    for seq in range(1, n + 1):
+        kind = rng.choice(["reserve", "reserve", "reserve", "settle", "result"])
+        name = len(rows) if kind == "reserve" or not pool else rng.choice(pool)
+        pool = [*pool[-50:], name] if kind == "reserve" else pool
+        rows.append((7, seq, kind, name, rng.randrange(0, 40) if kind == "reserve" else None, rng.randrange(0, 41) if kind == "settle" else None))
+    want = simulated([(*r[:4], r[4], 0 if r[5] is not None and r[2] != "settle" else r[5]) for r in rows], 10**6, False)
+    code = {"reserve": 0, "settle": 1, "result": 2}
+    for held, calls in ((1 << 19, 1), (500, 4)):
+        monkeypatch.setattr(streams.Ledger, "HELD", held)
+        machine, Store.calls = streams.Ledger(10**6, False), 0
+        machine.init(Handle())
+        mixed = rng.sample(rows, n)
+        got, repeated = {}, 0
+        for k in range(calls):
+            part = mixed[k::calls]
+            part += part[:20]
+            frames = [pd.DataFrame([(s, code[t], i, -1 if r is None else r, -1 if c is None else c) for _, s, t, i, r, c in part[at : at + 100]], columns=list(streams.Ledger.COLUMNS)) for at in range(0, len(part), 100)]
+            for out in machine.handleInputRows((7,), iter(frames), None):
+                for r in out.itertuples(index=False):
+                    if r.status == "repeated":
+                        repeated += 1
+                    else:
+                        assert (7, r.seq) not in got
+                        got[7, r.seq] = (r.status, r.balance_nano, r.halted)
+        assert got == want and repeated == 20 * calls
+        assert held == 500 or Store.calls < 60
