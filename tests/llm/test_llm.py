@@ -668,3 +668,30 @@ def test_parity_bitmaps_never_hide_a_link():
                 p, q = (np.bitwise_xor.reduce(p.reshape(2, -1)), q) if len(p) > len(q) else (p, np.bitwise_xor.reduce(q.reshape(2, -1)))
             bits = int(np.unpackbits((p ^ q).view(np.uint8)).sum())
             assert bits <= len(np.setxor1d(x, y))
+
+
+def test_links_do_not_depend_on_what_the_sample_marks(spark, monkeypatch):
+    """The bitmap of frequent shingles shapes the index only: the join is the same with none, all or some marked."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(24):
+        own = list(rng.choice(words, 40))
+        near = [*own]
+        near[int(rng.integers(0, 40))] = "x"
+        rows += [(3 * k, " ".join(own)), (3 * k + 1, " ".join(own[:37])), (3 * k + 2, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    size = jaccard_join.FREQUENT_BITS // 8
+    got = []
+    for marked in (np.zeros(size, np.uint8), np.full(size, 255, np.uint8), rng.integers(0, 256, size, np.uint8)):
+        monkeypatch.setattr(jaccard_join, "learn_frequent", lambda docs, marked=marked: marked)
+        got.append(sorted(tuple(r) for r in jaccard_join.near_copies(docs).collect()))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    root = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert got[0] == got[1] == got[2] == sorted((k, len(s), root[k]) for k, s in sets.items())
+    assert len(set(root.values())) < len(root)
